@@ -10,9 +10,13 @@ from ticketscope.schemas import body_column
 
 
 def clean_text(df: DataFrame, body: str | None = None) -> DataFrame:
-    """Adds `cleaned_text` and keeps rows where more than MIN_TEXT_LENGTH characters of it are left."""
-    text = cleaned(body or body_column(df))
-    return df.withColumn("cleaned_text", text).filter(F.length("cleaned_text") > MIN_TEXT_LENGTH)
+    """Adds `cleaned_text` and keeps rows where more than MIN_TEXT_LENGTH characters of it are left.
+
+    The text is generated from a one-element array rather than filtered afterwards: Spark would copy the
+    replacements into a filter and run them twice.
+    """
+    long_enough = F.filter(F.array(cleaned(body or body_column(df))), lambda text: F.length(text) > MIN_TEXT_LENGTH)
+    return df.select("*", F.explode(long_enough).alias("cleaned_text"))
 
 
 def sentiment(df: DataFrame, text: str = "cleaned_text") -> DataFrame:
@@ -20,14 +24,17 @@ def sentiment(df: DataFrame, text: str = "cleaned_text") -> DataFrame:
 
     The score is (positive - negative) / (positive + negative) over the lexicon patterns found, 0 when none is.
     """
-    lowered = F.coalesce(F.lower(text), F.lit(""))
-    found = df.withColumns({
-        "_positive": count_present(lowered, POSITIVE_PATTERNS),
-        "_negative": count_present(lowered, NEGATIVE_PATTERNS),
-    })
-    ratio = F.try_divide(F.col("_positive") - F.col("_negative"), F.col("_positive") + F.col("_negative"))
-    scored = found.withColumn("sentiment_score", F.coalesce(ratio, F.lit(0.0)).cast("float"))
-    return scored.drop("_positive", "_negative").withColumn("sentiment_category", sentiment_bucket("sentiment_score"))
+    lowered = F.array(F.coalesce(F.lower(text), F.lit("")))
+    found = F.transform(
+        lowered, lambda t: F.struct(count_present(t, POSITIVE_PATTERNS).alias("pos"), count_present(t, NEGATIVE_PATTERNS).alias("neg"))
+    )
+    pos, neg = F.col("_found.pos"), F.col("_found.neg")
+    return (
+        df.withColumn("_found", found.getItem(0))
+        .withColumn("sentiment_score", F.coalesce(F.try_divide(pos - neg, pos + neg), F.lit(0.0)).cast("float"))
+        .drop("_found")
+        .withColumn("sentiment_category", sentiment_bucket("sentiment_score"))
+    )
 
 
 def sentiment_distribution(scored: DataFrame) -> DataFrame:
