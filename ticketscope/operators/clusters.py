@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketscope.functions.stages import assembled, encoded, word_counts
-from ticketscope.operators.sampling import hash_sample
+from ticketscope.operators.sampling import hash_sample, spread
 from ticketscope.schemas import present
 
 SEED = 42
@@ -28,6 +28,7 @@ def cluster_features(
     """Bugs with a `features` vector of word counts, one-hot categories and numbers, and the fitted pipeline."""
     if fraction < 1.0:
         bugs = hash_sample(bugs, "key", fraction)
+    bugs = spread(bugs, "key")
     categories = present(bugs, ["project", "priority_name", "status_name"])
     numbers = present(bugs, ["summary_length", "description_length", "comment_count", "attachment_count"])
     stages = [

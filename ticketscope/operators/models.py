@@ -17,8 +17,8 @@ from ticketscope.functions.hashing import key_fraction
 from ticketscope.functions.stages import assembled, encoded, filtered_words, word_counts
 from ticketscope.operators.metrics import class_metrics, classification_report
 from ticketscope.operators.reopening import NUMERIC_FEATURES
-from ticketscope.operators.resolution import label_slow, mean_hours, resolution_hours, slow_labels
-from ticketscope.operators.sampling import balanced_sample, hash_split
+from ticketscope.operators.resolution import label_slow, mean_hours, resolution_hours
+from ticketscope.operators.sampling import balanced_sample, hash_split, spread
 from ticketscope.schemas import MODEL_COMPARISON, MODEL_METRICS, present
 
 SEED = 42
@@ -36,6 +36,20 @@ class ModelResult:
     seconds: float
 
 
+@dataclass(frozen=True)
+class Datasets:
+    """Train and test rows with `features` and `label`, the fitted pipeline, and the tables held in memory for them."""
+
+    train: DataFrame
+    test: DataFrame
+    pipeline: PipelineModel
+    held: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        for df in self.held:
+            df.unpersist()
+
+
 def best_model(results: list[ModelResult]) -> ModelResult:
     return max(results, key=lambda result: result.metrics["auc"])
 
@@ -84,20 +98,21 @@ def reopen_stages(features: DataFrame, partitions: int = 1, seed: int = SEED) ->
 
 def reopen_datasets(
     features: DataFrame, ratio: float = 3.0, partitions: int | None = None, seed: int = SEED
-) -> tuple[DataFrame, DataFrame, PipelineModel]:
-    """Train and test rows with `features` and a 0/1 `label`, and the pipeline fitted on the train rows.
+) -> Datasets:
+    """Balanced classes (one positive per `ratio` negatives) split by key, with the pipeline fitted on the train rows.
 
-    Nulls are filled before the split; classes are balanced to one positive per `ratio` negatives.
+    Nulls are filled before the split. The balanced rows stay in memory until the data sets are released.
     """
     numbers = present(features, NUMERIC_FEATURES)
     columns = ["key", "project", "priority_name", "text_content", "was_reopened", *numbers]
     balanced = balanced_sample(features.select(*columns).fillna(0, subset=numbers), ratio).withColumn(
         "label", F.col("was_reopened").cast("double")
     )
-    train, test = hash_split(balanced.persist(), "key")
+    balanced = spread(balanced, "key").persist()
+    train, test = hash_split(balanced, "key")
     partitions = partitions or features.sparkSession.sparkContext.defaultParallelism
     pipeline = reopen_stages(features, partitions, seed).fit(train)
-    return pipeline.transform(train), pipeline.transform(test), pipeline
+    return Datasets(pipeline.transform(train), pipeline.transform(test), pipeline, (balanced,))
 
 
 def reopen_estimators(trees: int = 100, seed: int = SEED) -> dict:
@@ -109,10 +124,10 @@ def reopen_estimators(trees: int = 100, seed: int = SEED) -> dict:
 
 
 def train_reopen_models(
-    train: DataFrame, test: DataFrame, models: list[str] | None = None, trees: int = 100, seed: int = SEED
+    data: Datasets, models: list[str] | None = None, trees: int = 100, seed: int = SEED
 ) -> list[ModelResult]:
     """Fits the wanted models (all by default) and measures them on train (AUC) and test rows."""
-    train, test = train.select("features", "label").persist(), test.select("features", "label").persist()
+    train, test = (rows.select("features", "label").persist() for rows in (data.train, data.test))
     auc = BinaryClassificationEvaluator(labelCol="label")
     results = []
     try:
@@ -150,7 +165,7 @@ def sentiment_classifier(scored: DataFrame, key: str = "comment_id") -> tuple[Da
 
     The pipeline is fitted on all rows so that topics can share it; the model sees the train rows only.
     """
-    scored = scored.select(key, "cleaned_text", "sentiment_category").persist()
+    scored = spread(scored.select(key, "cleaned_text", "sentiment_category"), key).persist()
     words = sentiment_stages().fit(scored)
     train, test = hash_split(words.transform(scored).select(key, "label", "features"), key)
     train = train.persist()
@@ -168,22 +183,20 @@ def slow_stages() -> Pipeline:
     return Pipeline(stages=[*encoded(SLOW_COLUMNS), assembled([f"{name}_vec" for name in SLOW_COLUMNS])])
 
 
-def slow_datasets(issues: DataFrame, parity: bool = False) -> tuple[DataFrame, DataFrame, PipelineModel]:
-    """Train and test rows with raw columns, `features` and `label`, and the fitted pipeline.
+def slow_datasets(issues: DataFrame, parity: bool = False) -> Datasets:
+    """Resolved issues split by key, with raw columns next to `features` and `label`.
 
     The mean that sets the label and the pipeline come from the train rows; `parity` takes both from all rows.
     """
-    if parity:
-        labelled = slow_labels(issues)
-        train, test = hash_split(labelled, "key")
-        pipeline = slow_stages().fit(labelled)
-    else:
-        train, test = hash_split(resolution_hours(issues), "key")
-        mean = mean_hours(train)
-        train, test = label_slow(train, mean), label_slow(test, mean)
-        pipeline = slow_stages().fit(train)
+    resolved = resolution_hours(issues.select("key", *SLOW_COLUMNS, "created", "resolutiondate"))
+    resolved = spread(resolved.select("key", *SLOW_COLUMNS, "resolution_hours"), "key").persist()
+    train, test = hash_split(resolved, "key")
+    fitted_on = resolved if parity else train
+    mean = mean_hours(fitted_on)
+    pipeline = slow_stages().fit(fitted_on)
     keep = ["key", *SLOW_COLUMNS, "label", "features"]
-    return pipeline.transform(train).select(*keep), pipeline.transform(test).select(*keep), pipeline
+    train, test = (pipeline.transform(label_slow(rows, mean)).select(*keep) for rows in (train, test))
+    return Datasets(train, test, pipeline, (resolved,))
 
 
 def folded_counts(train: DataFrame, folds: int = FOLDS) -> DataFrame:
@@ -223,13 +236,12 @@ def slow_tuners(seed: int = SEED, parallelism: int = 2) -> dict:
 
 
 def train_slow_models(
-    train: DataFrame, test: DataFrame, pipeline: PipelineModel, models: list[str] | None = None, seed: int = SEED,
-    parallelism: int = 2,
+    data: Datasets, models: list[str] | None = None, seed: int = SEED, parallelism: int = 2
 ) -> list[ModelResult]:
     """Tunes and fits the wanted models (all by default) and measures them on the test rows."""
-    rows = train.select("features", "label").persist()
-    merged = pipeline.transform(folded_counts(train)).select("features", "label", "fold", "weight").persist()
-    test = test.select("features", "label").persist()
+    rows = data.train.select("features", "label").persist()
+    merged = data.pipeline.transform(folded_counts(data.train)).select("features", "label", "fold", "weight").persist()
+    test = data.test.select("features", "label").persist()
     results = []
     try:
         for name, tuner in slow_tuners(seed, parallelism).items():

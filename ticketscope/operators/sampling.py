@@ -28,6 +28,15 @@ def hash_split(df: DataFrame, key: str, train: float = 0.8, salt: str = "split")
     return df.filter(position < train), df.filter(position >= train)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt out by a unique key, for tables that training reads many times.
+
+    Without it the number of tasks is that of the input files or of the last join. Hashing keeps a row in
+    its place when a task is run again.
+    """
+    return df.repartition(key)
+
+
 def balanced_sample(features: DataFrame, ratio: float = 3.0, flag: str = "was_reopened", key: str = "key") -> DataFrame:
     """All positives and about `ratio` negatives for each of them."""
     counts = features.agg(F.count_if(F.col(flag)).alias("pos"), F.count_if(~F.col(flag)).alias("neg"))

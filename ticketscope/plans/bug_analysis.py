@@ -19,8 +19,6 @@ from ticketscope.operators.reopening import (
 )
 from ticketscope.sources.writers import write_report
 
-CLUSTER_ALL_UP_TO = 10_000
-
 
 @dataclass
 class BugAnalysis:
@@ -44,26 +42,24 @@ def run_bug_analysis(
     changelog: DataFrame | None = None,
     out: str | None = None,
     sample: float | None = None,
-    cluster_fraction: float | None = None,
+    cluster_fraction: float = 1.0,
     models: list[str] | None = None,
     ks: range | list[int] = range(2, 6),
     trees: int = 50,
 ) -> BugAnalysis:
     """Runs every step; reports are written below `out` when it is given.
 
-    `sample` thins the issues first. Clusters use `cluster_fraction` of the bugs: by default all of them,
-    or a tenth where there are more than CLUSTER_ALL_UP_TO.
+    `sample` thins the issues first. Clusters use all bugs; `cluster_fraction=0.1` is the usual choice to
+    save time above some 10,000 of them.
     """
     bugs, changes = load_bugs(issues, changelog, sample)
     flagged = flag_bugs(bugs, reopen_flags(changes) if changes is not None else None)
     features = reopen_features(flagged, changes).persist()
 
-    train, test, _ = reopen_datasets(features)
-    results = train_reopen_models(train, test, models, trees)
+    data = reopen_datasets(features)
+    results = train_reopen_models(data, models, trees)
     best = best_model(results)
 
-    if cluster_fraction is None:
-        cluster_fraction = 0.1 if features.count() > CLUSTER_ALL_UP_TO else 1.0
     vectors, _ = cluster_features(features, cluster_fraction)
     vectors = vectors.persist()
     scores = scan_k(vectors, ks)
@@ -83,8 +79,8 @@ def run_bug_analysis(
         "cluster_extremes": cluster_extremes(clustered),
     }
     if hasattr(best.model, "featureImportances"):
-        tables["feature_importance"] = feature_importance(best.model, train, reopen_inputs(features))
-    analysis = BugAnalysis(results, clustered, k, scores, tables, [features, vectors])
+        tables["feature_importance"] = feature_importance(best.model, data.train, reopen_inputs(features))
+    analysis = BugAnalysis(results, clustered, k, scores, tables, [features, vectors, *data.held])
     if out is not None:
         save_results(analysis, out)
     return analysis

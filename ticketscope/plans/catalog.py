@@ -1,6 +1,7 @@
 """The registered queries: each takes a session and a folder of tables, reads them whole, returns a DataFrame."""
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,23 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # --- shared inputs ---------------------------------------------------------------------
 
+_held: list[DataFrame] = []  # in memory for the query run last; released when the next one starts
+
+
+def _hold(df: DataFrame) -> DataFrame:
+    _held.append(df.persist())
+    return df
+
+
+def _released(query: Query) -> Query:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        while _held:
+            _held.pop().unpersist()
+        return query(spark, sf_dir)
+
+    return run
+
 
 def _bugs(spark: SparkSession, sf: str, text: bool = True) -> DataFrame:
     bugs, changes = cleaning.load_bugs(bindings.issues(spark, sf, text), bindings.changelog(spark, sf))
@@ -49,9 +67,8 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, sf: str, vocab_size: int = 5000) -> DataFrame:
-    vectors, _ = clusters.cluster_features(_features(spark, sf).persist(), vocab_size=vocab_size)
-    keep = ["key", "summary", "was_reopened", "filtered_words", "features"]
-    return vectors.select(*keep).persist()
+    vectors, _ = clusters.cluster_features(_hold(_features(spark, sf)), vocab_size=vocab_size)
+    return _hold(vectors.select("key", "summary", "was_reopened", "filtered_words", "features"))
 
 
 # --- tables and cleaning ---------------------------------------------------------------
@@ -156,9 +173,10 @@ def _sentiment_report(spark: SparkSession, sf: str) -> DataFrame:
 
 def _word_vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
     scored = _scored(spark, sf).select("comment_id", "cleaned_text", "sentiment_category")
+    scored = _hold(sampling.spread(scored, "comment_id"))
     fitted = models.sentiment_stages().fit(scored)
     vocabulary = fitted.stages[-1].vocabulary
-    return fitted.transform(scored).select("sentiment_category", "features").persist(), vocabulary
+    return _hold(fitted.transform(scored).select("sentiment_category", "features")), vocabulary
 
 
 def _lda_topics(spark: SparkSession, sf: str) -> DataFrame:
@@ -225,41 +243,46 @@ _CLUSTERS: dict[str, Query] = {
 
 
 def _reopen_models(spark: SparkSession, sf: str) -> DataFrame:
-    train, test, _ = models.reopen_datasets(_features(spark, sf))
-    return models.model_metrics(spark, models.train_reopen_models(train, test))
+    data = models.reopen_datasets(_hold(_features(spark, sf)))
+    results = models.train_reopen_models(data)
+    data.release()
+    return models.model_metrics(spark, results)
 
 
 def _reopen_importance(spark: SparkSession, sf: str) -> DataFrame:
-    features = _features(spark, sf)
-    train, test, _ = models.reopen_datasets(features)
-    forest = models.train_reopen_models(train, test, ["RandomForest"])[0]
-    return importance.feature_importance(forest.model, train, models.reopen_inputs(features))
+    features = _hold(_features(spark, sf))
+    data = models.reopen_datasets(features)
+    forest = models.train_reopen_models(data, ["RandomForest"])[0]
+    data.release()
+    return importance.feature_importance(forest.model, data.train, models.reopen_inputs(features))
 
 
 def _slow(spark: SparkSession, sf: str, names: list[str] | None = None):
-    train, test, pipeline = models.slow_datasets(bindings.issues(spark, sf, text=False))
-    train, test = train.persist(), test.persist()
-    return train, test, pipeline, models.train_slow_models(train, test, pipeline, names)
+    data = models.slow_datasets(bindings.issues(spark, sf, text=False))
+    _held.extend(data.held)
+    return data, models.train_slow_models(data, names)
 
 
 def _slow_models(spark: SparkSession, sf: str) -> DataFrame:
-    return models.model_comparison(spark, _slow(spark, sf)[3])
+    return models.model_comparison(spark, _slow(spark, sf)[1])
 
 
 def _slow_confusion(spark: SparkSession, sf: str) -> DataFrame:
-    _, test, _, results = _slow(spark, sf, ["LogReg", "DecisionTree"])
-    return metrics.confusion_table(models.tagged_predictions(results, test))
+    data, results = _slow(spark, sf, ["LogReg", "DecisionTree"])
+    return metrics.confusion_table(models.tagged_predictions(results, data.test))
 
 
 def _slow_permutation(spark: SparkSession, sf: str) -> DataFrame:
-    _, test, pipeline, results = _slow(spark, sf, ["LogReg"])
-    return importance.permutation_importance(results[0].model, pipeline, test.drop("features"), models.SLOW_COLUMNS)
+    data, results = _slow(spark, sf, ["LogReg"])
+    test = data.test.drop("features")
+    return importance.permutation_importance(results[0].model, data.pipeline, test, models.SLOW_COLUMNS)
 
 
 def _slow_coefficients(spark: SparkSession, sf: str) -> DataFrame:
-    train, _, pipeline, results = _slow(spark, sf, ["LogReg"])
+    data, results = _slow(spark, sf, ["LogReg"])
+    rows = data.pipeline.transform(data.train.drop("features"))
     inputs = [f"{name}_vec" for name in models.SLOW_COLUMNS]
-    return importance.grouped_coef_importance(results[0].model, pipeline.transform(train.drop("features")), inputs)
+    return importance.grouped_coef_importance(results[0].model, rows, inputs)
 
 
 def _confusion_by_source(spark: SparkSession, sf: str) -> DataFrame:
@@ -306,15 +329,15 @@ _MODELS: dict[str, Query] = {
 
 
 def _analysis(spark: SparkSession, sf: str):
-    return run_bug_analysis(
+    analysis = run_bug_analysis(
         spark, bindings.issues(spark, sf), bindings.changelog(spark, sf), models=["LogisticRegression"], ks=[2, 3, 4]
     )
+    _held.extend(analysis.held)
+    return analysis
 
 
 def _saved_rates(spark: SparkSession, sf: str) -> DataFrame:
-    analysis = _analysis(spark, sf)
-    paths = save_results(analysis, shared_path(spark, "bug_analysis"))
-    analysis.release()
+    paths = save_results(_analysis(spark, sf), shared_path(spark, "bug_analysis"))
     return read_csv(spark, paths["cluster_reopening_rates"])
 
 
@@ -326,4 +349,5 @@ _ANALYSIS: dict[str, Query] = {
 
 def queries() -> dict[str, Query]:
     """All registered queries by name."""
-    return {**_TABLES, **_REOPENING, **_COMMENTS, **_TOPICS, **_CLUSTERS, **_MODELS, **_ANALYSIS}
+    every = {**_TABLES, **_REOPENING, **_COMMENTS, **_TOPICS, **_CLUSTERS, **_MODELS, **_ANALYSIS}
+    return {name: _released(query) for name, query in every.items()}
