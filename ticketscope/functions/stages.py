@@ -32,30 +32,17 @@ def assembled(columns: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep")
 
 
-def _attributes(df: DataFrame, column: str) -> dict:
-    return df.schema[column].metadata.get("ml_attr", {})
-
-
-def _size(df: DataFrame, column: str) -> int:
-    """Number of vector slots of an assembler input, from its attribute metadata; plain numbers take one."""
-    attributes = _attributes(df, column)
-    if "num_attrs" in attributes:
-        return attributes["num_attrs"]
-    return sum(len(group) for group in attributes.get("attrs", {}).values()) or 1
-
-
 def slot_names(df: DataFrame, inputs: list[str], features: str = "features") -> list[tuple[int, str, str]]:
-    """(slot, source column, feature name) for each slot of a vector assembled from `inputs`."""
-    named = {
-        attribute["idx"]: attribute.get("name")
-        for group in _attributes(df, features).get("attrs", {}).values()
-        for attribute in group
-    }
+    """(slot, source column, feature name) for each slot of a vector assembled from `inputs`.
+
+    The vector's metadata names each slot after its input, as `input` or `input_value`.
+    """
+    groups = df.schema[features].metadata["ml_attr"]["attrs"].values()
+    named = sorted((attribute["idx"], attribute["name"]) for group in groups for attribute in group)
     slots = []
-    for column in inputs:
+    for slot, name in named:
+        column = max((c for c in inputs if name == c or name.startswith(f"{c}_")), key=len)
         source = column.removesuffix("_vec")
-        for position in range(_size(df, column)):
-            slot = len(slots)
-            name = named.get(slot) or f"{column}_{position}"
-            slots.append((slot, source, name.replace(f"{column}_", f"{source}=", 1) if source != column else name))
+        value = name[len(column) + 1:]
+        slots.append((slot, source, f"{source}={value}" if value else source))
     return slots

@@ -28,9 +28,9 @@ def cluster_features(
     """Bugs with a `features` vector of word counts, one-hot categories and numbers, and the fitted pipeline."""
     if fraction < 1.0:
         bugs = hash_sample(bugs, "key", fraction)
-    bugs = spread(bugs, "key")
     categories = present(bugs, ["project", "priority_name", "status_name"])
     numbers = present(bugs, ["summary_length", "description_length", "comment_count", "attachment_count"])
+    bugs = spread(bugs.fillna(0, subset=numbers), "key")
     stages = [
         *word_counts("text_content", "text_features", vocab_size, min_df),
         *encoded(categories),

@@ -280,9 +280,8 @@ def _slow_permutation(spark: SparkSession, sf: str) -> DataFrame:
 
 def _slow_coefficients(spark: SparkSession, sf: str) -> DataFrame:
     data, results = _slow(spark, sf, ["LogReg"])
-    rows = data.pipeline.transform(data.train.drop("features"))
     inputs = [f"{name}_vec" for name in models.SLOW_COLUMNS]
-    return importance.grouped_coef_importance(results[0].model, rows, inputs)
+    return importance.grouped_coef_importance(results[0].model, data.train, inputs)
 
 
 def _confusion_by_source(spark: SparkSession, sf: str) -> DataFrame:
