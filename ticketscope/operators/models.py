@@ -80,13 +80,12 @@ def reopen_inputs(features: DataFrame) -> list[str]:
 
 
 def reopen_stages(features: DataFrame, partitions: int = 1, seed: int = SEED) -> Pipeline:
-    """One-hot project and priority, word vectors, counted bigrams and the numbers in one vector.
+    """One-hot project and priority, word vectors, counted bigrams and the numbers in one vector, from `filtered_words`.
 
     `partitions` is the number of parts the word vectors are trained on at once.
     """
     return Pipeline(stages=[
         *encoded(["project", "priority_name"]),
-        *filtered_words("text_content"),
         Word2Vec(inputCol="filtered_words", outputCol="word_features", vectorSize=100, minCount=5, seed=seed,
                  numPartitions=partitions),
         NGram(n=2, inputCol="filtered_words", outputCol="ngrams"),
@@ -100,18 +99,21 @@ def reopen_datasets(
 ) -> Datasets:
     """Balanced classes (one positive per `ratio` negatives) split by key, with the pipeline fitted on the train rows.
 
-    Nulls are filled before the split. The balanced rows stay in memory until the data sets are released.
+    Nulls are filled before the split. Texts are split into words once; these rows stay in memory, in place
+    of the texts, until the data sets are released. The pipeline returned starts from `text_content`.
     """
     numbers = present(features, NUMERIC_FEATURES)
     columns = ["key", "project", "priority_name", "text_content", "was_reopened", *numbers]
     balanced = balanced_sample(features.select(*columns).fillna(0, subset=numbers), ratio).withColumn(
         "label", F.col("was_reopened").cast("double")
     )
-    balanced = spread(balanced, "key").persist()
-    train, test = hash_split(balanced, "key")
+    words = PipelineModel(filtered_words("text_content"))
+    rows = words.transform(spread(balanced, "key")).drop("text_content", "words").persist()
+    train, test = hash_split(rows, "key")
     partitions = partitions or features.sparkSession.sparkContext.defaultParallelism
-    pipeline = reopen_stages(features, partitions, seed).fit(train)
-    return Datasets(pipeline.transform(train), pipeline.transform(test), pipeline, (balanced,))
+    fitted = reopen_stages(features, partitions, seed).fit(train)
+    pipeline = PipelineModel([*words.stages, *fitted.stages])
+    return Datasets(fitted.transform(train), fitted.transform(test), pipeline, (rows,))
 
 
 def reopen_estimators(trees: int = 100, seed: int = SEED) -> dict:
