@@ -6,6 +6,7 @@ from ticketscope.operators.cleaning import (
     clean_changelog, clean_comments, clean_issues, latest_per_key, load_bugs, normalise_columns,
 )
 from ticketscope.operators.resolution import recent_resolution, resolution_by_priority_status, slow_labels, top_changed_fields
+from ticketscope.operators.skew import semi_join
 from ticketscope.schemas import body_column
 from ticketscope.sources import ingest_csv, read_csv, read_parquet, write_cleaned, write_report
 from ticketscope.sources import writers
@@ -151,3 +152,13 @@ def test_bug_sample_takes_its_changes_along(spark):
     assert {row["key"] for row in kept.collect()} == keys and kept.count() == 3 * len(keys)
     everything, untouched = load_bugs(issues, changes)
     assert everything.count() == 1000 and untouched is changes
+
+
+@pytest.mark.parametrize("hot_rows", [10, 10_000])
+def test_semi_join_with_hot_keys(spark, hot_rows):
+    """Two hot keys, one of them wanted; the result is that of the plain join either way."""
+    left = spark.range(3000).selectExpr("id", "case id % 3 when 0 then 'in' when 1 then 'out' else concat('k', id % 500) end as key")
+    right = spark.range(0, 500, 2).selectExpr("concat('k', id) as key").union(spark.createDataFrame([("in",), ("in",)], "key string"))
+    plain = {row["id"] for row in left.join(right, "key", "left_semi").collect()}
+    rows = semi_join(left, right, "key", hot_rows).collect()
+    assert {row["id"] for row in rows} == plain and len(rows) == len(plain)

@@ -165,9 +165,9 @@ def test_clusters(spark, features):
 
 
 def test_keyword_ties_share_their_rank(spark):
-    df = spark.createDataFrame([(0, list("aaabbccd")), (1, ["x"]), (1, [])], "prediction int, filtered_words array<string>")
+    df = spark.createDataFrame([(0, list("aaabbccd")), (1, ["x"]), (1, []), (None, ["y"])], "prediction int, filtered_words array<string>")
     rows = [tuple(row) for row in clusters.cluster_keywords(df, 2).orderBy("prediction", "rank", "word").collect()]
-    assert rows == [(0, "a", 3, 1), (0, "b", 2, 2), (0, "c", 2, 2), (1, "x", 1, 1)]
+    assert rows == [(None, "y", 1, 1), (0, "a", 3, 1), (0, "b", 2, 2), (0, "c", 2, 2), (1, "x", 1, 1)]
 
 
 def test_extremes_take_the_lower_cluster_on_a_tie(spark):

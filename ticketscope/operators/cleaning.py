@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ticketscope.constants import BUG_TYPE, CENTURY_PREFIX, DEDUPE_KEYS, REQUIRED_COLUMNS, STATUS_FIELD
 from ticketscope.functions.hashing import key_fraction
 from ticketscope.functions.times import as_timestamp
+from ticketscope.operators.skew import semi_join
 
 
 def normalise_columns(df: DataFrame) -> DataFrame:
@@ -84,7 +85,7 @@ def load_bugs(
         issues = issues.filter(key_fraction("key") < fraction)
     bugs = issues.filter(F.col("issuetype_name") == BUG_TYPE)
     if sampling and changelog is not None:
-        changelog = changelog.join(bugs.select("key"), "key", "left_semi")
+        changelog = semi_join(changelog.filter(key_fraction("key") < fraction), bugs, "key")
     return bugs, changelog
 
 

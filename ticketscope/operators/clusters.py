@@ -68,13 +68,22 @@ def cluster_counts(clustered: DataFrame, by: str = "prediction") -> DataFrame:
 def cluster_keywords(clustered: DataFrame, n: int = 10, by: str = "prediction", words: str = "filtered_words") -> DataFrame:
     """Words of rank 1 to n by frequency in each cluster; ties share a rank, so there may be more than n.
 
-    Every task drops words beyond its own rank n before the clusters are brought together.
+    Frequencies are ranked, not words: a cluster has few different ones, however many words it has, and at
+    most n of them are kept to pick the words by.
     """
     counts = (
         clustered.select(by, F.explode(words).alias("word")).groupBy(by, "word").agg(F.count(F.lit(1)).alias("count"))
     )
-    rank = F.rank().over(Window.partitionBy(by).orderBy(F.desc("count")))
-    return counts.withColumn("rank", rank).filter(F.col("rank") <= n)
+    more_frequent = Window.partitionBy(by).orderBy(F.desc("count")).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = (
+        counts.groupBy(by, "count")
+        .agg(F.count(F.lit(1)).alias("words"))
+        .withColumn("rank", F.coalesce(F.sum("words").over(more_frequent), F.lit(0)) + 1)
+        .filter(F.col("rank") <= n)
+        .select(F.col(by).alias("_by"), F.col("count").alias("_count"), "rank")
+    )
+    same = F.col(by).eqNullSafe(F.col("_by")) & (F.col("count") == F.col("_count"))
+    return counts.join(ranks, same).select(by, "word", "count", "rank")
 
 
 def cluster_examples(clustered: DataFrame, n: int = 3, by: str = "prediction") -> DataFrame:

@@ -8,9 +8,7 @@ from ticketscope.constants import (
 )
 from ticketscope.functions.text import contains_any
 from ticketscope.functions.times import whole_days_between
-
-HOT_ROWS = 2_000_000
-MAX_HOT_KEYS = 10_000
+from ticketscope.operators.skew import HOT_ROWS, split_hot
 
 NUMERIC_FEATURES = [
     "summary_length", "description_length", "comment_count", "attachment_count", "status_change_count",
@@ -69,23 +67,12 @@ def reopen_flags(
     """Per issue with usable status changes, whether it was reopened.
 
     That is: a change into a resolved state directly followed by one out of such a state into an open
-    one, or any change to "reopened". Issues with more than `hot_rows` changes (the largest
-    MAX_HOT_KEYS of them, so the list fits a broadcast) are worked on in segments; all others in one
-    group each. Both ways give the same flags.
+    one, or any change to "reopened". Issues with more than `hot_rows` changes are worked on in
+    segments, all others in one group each. Both ways give the same flags.
     """
-    moves = _status_moves(changelog, order_by)
     order = [F.col(name) for name in order_by]
-    hot = (
-        moves.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("moves"))
-        .filter(F.col("moves") > hot_rows)
-        .orderBy(F.desc("moves"), "key")
-        .limit(MAX_HOT_KEYS)
-        .select("key")
-    )
-    return _flags_in_one_group(moves.join(F.broadcast(hot), "key", "left_anti"), order).unionByName(
-        _flags_in_segments(moves.join(F.broadcast(hot), "key", "left_semi"), order)
-    )
+    ordinary, hot = split_hot(_status_moves(changelog, order_by), "key", hot_rows)
+    return _flags_in_one_group(ordinary, order).unionByName(_flags_in_segments(hot, order))
 
 
 def flag_bugs(bugs: DataFrame, flags: DataFrame | None = None) -> DataFrame:

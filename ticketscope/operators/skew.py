@@ -1,0 +1,37 @@
+"""Keys that hold so many rows that one task should not take them all."""
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+HOT_ROWS = 2_000_000
+MAX_HOT_KEYS = 10_000
+
+
+def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The keys with more than `hot_rows` rows, at most the MAX_HOT_KEYS largest: always small enough to broadcast.
+
+    A key beyond those holds less than one MAX_HOT_KEYS-th of all rows and fits one task like any other.
+    """
+    return (
+        df.groupBy(key)
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .filter(F.col("_rows") > hot_rows)
+        .orderBy(F.desc("_rows"), key)
+        .limit(MAX_HOT_KEYS)
+        .select(key)
+    )
+
+
+def split_hot(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Rows of ordinary keys and rows of hot ones. Spark drops the second part at run time when there are none."""
+    hot = F.broadcast(hot_keys(df, key, hot_rows))
+    return df.join(hot, key, "left_anti"), df.join(hot, key, "left_semi")
+
+
+def semi_join(left: DataFrame, right: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Rows of `left` whose key is in `right`; rows of hot keys stay where they are instead of meeting in one task."""
+    ordinary, hot = split_hot(left, key, hot_rows)
+    wanted = right.select(key).join(F.broadcast(hot_keys(left, key, hot_rows)), key, "left_semi").distinct()
+    return ordinary.join(right.select(key), key, "left_semi").unionByName(
+        hot.join(F.broadcast(wanted), key, "left_semi")
+    )
