@@ -3,7 +3,8 @@
 import random
 
 import pytest
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ticketscope.functions.stages import slot_names
@@ -108,7 +109,7 @@ def test_threshold_from_train_or_from_all(issues):
     assert models.slow_datasets(issues, parity=True).train.count() == models.slow_datasets(issues).train.count()
 
 
-def test_merged_rows_train_the_same_regression(issues):
+def test_merged_rows_train_the_same_models(issues):
     data = models.slow_datasets(issues)
     merged = data.pipeline.transform(models.folded_counts(data.train))
     assert merged.agg(F.sum("weight")).first()[0] == data.train.count()
@@ -117,6 +118,15 @@ def test_merged_rows_train_the_same_regression(issues):
     assert merged.count() < data.train.count() / 10
     assert weighted.coefficients.toArray() == pytest.approx(single.coefficients.toArray(), abs=1e-3)
     assert weighted.intercept == pytest.approx(single.intercept, abs=1e-3)
+    tree = DecisionTreeClassifier(maxDepth=5).fit(data.train)
+    merged_tree = DecisionTreeClassifier(maxDepth=5, weightCol="weight").fit(merged)
+    assert merged_tree.depth == tree.depth and merged_tree.numNodes == tree.numNodes
+    probability = vector_to_array("probability").getItem(1)
+    single, weighted = (
+        {row["key"]: row["p"] for row in m.transform(data.test).select("key", probability.alias("p")).collect()}
+        for m in (tree, merged_tree)
+    )
+    assert weighted == pytest.approx(single)
     data.release()
 
 

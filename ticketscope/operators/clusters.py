@@ -65,15 +65,17 @@ def cluster_counts(clustered: DataFrame, by: str = "prediction") -> DataFrame:
     return clustered.groupBy(by).agg(F.count(F.lit(1)).alias("count")).orderBy(by)
 
 
-def cluster_keywords(clustered: DataFrame, n: int = 10, by: str = "prediction", words: str = "filtered_words") -> DataFrame:
+def cluster_keywords(
+    clustered: DataFrame, n: int = 10, by: str = "prediction", words: str = "filtered_words"
+) -> DataFrame:
     """Words of rank 1 to n by frequency in each cluster; ties share a rank, so there may be more than n.
 
     Frequencies are ranked, not words: a cluster has few different ones, however many words it has, and at
     most n of them are kept to pick the words by.
     """
-    counts = (
-        clustered.select(by, F.explode(words).alias("word")).groupBy(by, "word").agg(F.count(F.lit(1)).alias("count"))
-    )
+    # Exploding a plain column would make Spark split the text again in a filter for empty lists.
+    word = F.explode(F.array_compact(words)).alias("word")
+    counts = clustered.select(by, word).groupBy(by, "word").agg(F.count(F.lit(1)).alias("count"))
     more_frequent = Window.partitionBy(by).orderBy(F.desc("count")).rowsBetween(Window.unboundedPreceding, -1)
     ranks = (
         counts.groupBy(by, "count")
@@ -120,7 +122,8 @@ def cluster_extremes(clustered: DataFrame, by: str = "prediction") -> DataFrame:
         F.min_by(row, F.struct(-F.col("reopening_rate"), F.col(by))).alias("highest"),
         F.min_by(row, F.struct(F.col("reopening_rate"), F.col(by))).alias("lowest"),
     )
-    return picked.select(F.expr("stack(2, 'highest', highest, 'lowest', lowest) as (extreme, c)")).select("extreme", "c.*")
+    rows = F.expr("stack(2, 'highest', highest, 'lowest', lowest) as (extreme, c)")
+    return picked.select(rows).select("extreme", "c.*")
 
 
 def pca_projection(clustered: DataFrame, k: int = 2) -> DataFrame:

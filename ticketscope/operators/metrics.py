@@ -13,10 +13,11 @@ def _cells(predictions: DataFrame, *by: str) -> DataFrame:
 
 def class_metrics(predictions: DataFrame) -> DataFrame:
     """Precision, recall and F1 of each label that occurs; 0 where a denominator is empty."""
-    hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)
+    n, none = F.col("n"), F.lit(0).cast("bigint")
+    hit = F.when(F.col("label") == F.col("prediction"), n).otherwise(none)
     sides = F.array(
-        F.struct(F.col("label").alias("label"), hit.alias("tp"), F.col("n").alias("support"), F.lit(0).cast("bigint").alias("predicted")),
-        F.struct(F.col("prediction").alias("label"), F.lit(0).cast("bigint").alias("tp"), F.lit(0).cast("bigint").alias("support"), F.col("n").alias("predicted")),
+        F.struct("label", hit.alias("tp"), n.alias("support"), none.alias("predicted")),
+        F.struct(F.col("prediction").alias("label"), none.alias("tp"), none.alias("support"), n.alias("predicted")),
     )
     totals = (
         _cells(predictions)
@@ -27,7 +28,8 @@ def class_metrics(predictions: DataFrame) -> DataFrame:
     )
     precision = F.coalesce(F.try_divide("tp", "predicted"), F.lit(0.0))
     recall = F.coalesce(F.try_divide("tp", "support"), F.lit(0.0))
-    f1 = F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0))
+    p, r = F.col("precision"), F.col("recall")
+    f1 = F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
     return (
         totals.withColumns({"precision": precision, "recall": recall})
         .withColumn("f1", f1)

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ticketscope.functions.times import as_timestamp, days_between, hours_between
 
 
-def recent_resolution(issues: DataFrame, as_of: str | datetime.date | Column | None = None, months: int = 24) -> DataFrame:
+def recent_resolution(
+    issues: DataFrame, as_of: str | datetime.date | Column | None = None, months: int = 24
+) -> DataFrame:
     """Issues created within `months` before `as_of` (today by default), with days from creation to last update.
 
     `as_of` may be a scalar subquery, such as `issues.agg(F.max("created")).scalar()`.

@@ -1,6 +1,6 @@
 """Lexicon sentiment of comments and its relation to resolution time."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketscope.constants import MIN_TEXT_LENGTH, NEGATIVE_PATTERNS, POSITIVE_PATTERNS
@@ -24,10 +24,13 @@ def sentiment(df: DataFrame, text: str = "cleaned_text") -> DataFrame:
 
     The score is (positive - negative) / (positive + negative) over the lexicon patterns found, 0 when none is.
     """
-    lowered = F.array(F.coalesce(F.lower(text), F.lit("")))
-    found = F.transform(
-        lowered, lambda t: F.struct(count_present(t, POSITIVE_PATTERNS).alias("pos"), count_present(t, NEGATIVE_PATTERNS).alias("neg"))
-    )
+    def counts(lowered: Column) -> Column:
+        return F.struct(
+            count_present(lowered, POSITIVE_PATTERNS).alias("pos"), count_present(lowered, NEGATIVE_PATTERNS).alias("neg")
+        )
+
+    # Inside transform the text is worked out once, not once per pattern.
+    found = F.transform(F.array(F.coalesce(F.lower(text), F.lit(""))), counts)
     pos, neg = F.col("_found.pos"), F.col("_found.neg")
     return (
         df.withColumn("_found", found.getItem(0))

@@ -21,6 +21,7 @@ def run_activity_report(
     }
     if out is not None:
         write_cleaned(recent, f"{out}/recent_resolution")
-        write_report(tables["resolution_by_priority_status"], f"{out}/resolution_by_priority_status", ["priority_name", "status_name"])
-        write_report(tables["top_changed_fields"], f"{out}/top_changed_fields")
+        orders = {"resolution_by_priority_status": ["priority_name", "status_name"], "top_changed_fields": None}
+        for name, order in orders.items():
+            write_report(tables[name], f"{out}/{name}", order)
     return tables

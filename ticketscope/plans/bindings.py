@@ -20,10 +20,10 @@ def issue_key(number: Column) -> Column:
 
 
 def _one_of(value: Column, mapping: dict, default) -> Column:
-    start = F
+    cases = F.when(F.lit(False), F.lit(default))
     for match, result in mapping.items():
-        start = start.when(value == match, F.lit(result))
-    return start.otherwise(F.lit(default))
+        cases = cases.when(value == match, F.lit(result))
+    return cases.otherwise(F.lit(default))
 
 
 def _issue_type(number: Column) -> Column:
@@ -55,7 +55,7 @@ def issues(spark: SparkSession, sf_dir: str, text: bool = True) -> DataFrame:
         F.col("o_orderpriority").alias("priority_name"),
         status.alias("status_name"),
         F.col("n_name").alias("project_name"),
-        F.concat_ws(" ", F.col("c_mktsegment"), F.lit("order"), F.col("o_orderpriority"), F.lit("from"), "n_name").alias("summary"),
+        F.concat_ws(" ", "c_mktsegment", F.lit("order"), "o_orderpriority", F.lit("from"), "n_name").alias("summary"),
         F.col("o_orderdate").alias("created"),
         F.col("updated"),
         F.when(F.col("o_orderstatus") != "O", F.col("updated")).alias("resolutiondate"),

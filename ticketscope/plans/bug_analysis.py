@@ -89,14 +89,14 @@ def run_bug_analysis(
 def save_results(analysis: BugAnalysis, out: str) -> dict[str, str]:
     """Writes model metrics, cluster sizes and reopening rates as CSV reports; returns their paths."""
     reports = {
-        "reopening_model_metrics": (analysis.tables["model_metrics"], ["model"]),
-        "cluster_counts": (analysis.tables["cluster_counts"], ["prediction"]),
-        "cluster_reopening_rates": (analysis.tables["cluster_reopening_rates"], [F.desc("reopening_rate"), "prediction"]),
+        "reopening_model_metrics": ("model_metrics", ["model"]),
+        "cluster_counts": ("cluster_counts", ["prediction"]),
+        "cluster_reopening_rates": ("cluster_reopening_rates", [F.desc("reopening_rate"), "prediction"]),
     }
     paths = {}
     for name, (table, order) in reports.items():
         paths[name] = f"{out}/{name}"
-        write_report(table, paths[name], order)
+        write_report(analysis.tables[table], paths[name], order)
     return paths
 
 

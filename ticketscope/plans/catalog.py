@@ -136,6 +136,9 @@ _REOPENING: dict[str, Query] = {
     "reopen_examples": lambda spark, sf: reopening.reopen_examples(_bugs(spark, sf, text=False)),
     "reopen_features": _reopen_features,
     "reopen_profile": lambda spark, sf: reopening.reopen_profile(_features(spark, sf)),
+    "reopen_profile_strict": lambda spark, sf: reopening.reopen_profile(reopening.reopen_features(
+        _bugs(spark, sf), bindings.changelog(spark, sf), complete_status_only=True, open_days=None
+    )),
     "balanced_sample": lambda spark, sf: sampling.balanced_sample(
         _bugs(spark, sf, text=False).select("key", "was_reopened")
     ),
@@ -299,11 +302,11 @@ def _permuted_values(spark: SparkSession, sf: str) -> DataFrame:
     issues = bindings.issues(spark, sf, text=False).select("key", "project_name", "status_name")
     mixed = importance.permuted_columns(issues, ["project_name", "status_name"], blocks=4)
     sides = F.array(
-        F.struct(F.col("project_name").alias("value"), F.lit(1).alias("original"), F.lit(0).alias("permuted")),
-        F.struct(F.col("_permuted.project_name").alias("value"), F.lit(0).alias("original"), F.lit(1).alias("permuted")),
+        F.struct(F.col("project_name").alias("value"), F.lit(1).alias("n"), F.lit(0).alias("m")),
+        F.struct(F.col("_permuted.project_name").alias("value"), F.lit(0).alias("n"), F.lit(1).alias("m")),
     )
     return mixed.select(F.inline(sides)).groupBy("value").agg(
-        F.sum("original").alias("original"), F.sum("permuted").alias("permuted")
+        F.sum("n").alias("original"), F.sum("m").alias("permuted")
     )
 
 

@@ -234,6 +234,13 @@ def oracle_sql() -> dict[str, str]:
               avg(attachment_count) as avg_attachments, avg(status_change_count) as avg_status_changes,
               avg(resolution_time_days) as avg_resolution_days
             from features group by was_reopened"""),
+        "reopen_profile_strict": _with(["features", "moves"], """
+            select was_reopened, count(*) as bug_count, avg(comment_count) as avg_comments,
+              avg(summary_length) as avg_summary_length, avg(description_length) as avg_description_length,
+              avg(attachment_count) as avg_attachments, avg(coalesce(m.n, 0)) as avg_status_changes,
+              avg(date_diff('day', created::date, resolutiondate::date)) as avg_resolution_days
+            from features left join (select key, count(*) as n from moves group by key) m on features.key = m.key
+            group by was_reopened"""),
         "balanced_sample": _with(["bugs"], f"""
             select key, was_reopened from bugs where was_reopened or {_fraction('key')} < (
               select count(*) filter (where was_reopened) * 3.0::double / count(*) filter (where not was_reopened)
