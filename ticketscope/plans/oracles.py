@@ -254,7 +254,7 @@ def oracle_sql() -> dict[str, str]:
         "comment_sentiment": _with(["scored"], "select comment_id, sentiment_score, sentiment_category from scored"),
         "sentiment_distribution": _with(["scored"], "select sentiment_category, count(*) as count from scored group by 1"),
         "sentiment_examples": _with(["scored"], """
-            select sentiment_category, comment_id, sentiment_score, example,
+            select sentiment_category, comment_id, sentiment_score, example::int as example,
               case when length(body) > 100 then concat(substring(body, 1, 97), '...') else body end as text
             from (select *, row_number() over (partition by sentiment_category order by comment_id) as example from scored)
             where example <= 2"""),
@@ -262,7 +262,7 @@ def oracle_sql() -> dict[str, str]:
             select key, round(avg_sentiment, 6) as avg_sentiment, comment_count from by_issue"""),
         "sentiment_vs_resolution": _with(["by_issue", "issues"], f"""
             select {_bucket('avg_sentiment')} as sentiment_bucket, count(*) as issue_count,
-              avg(days) as avg_resolution_days, min(days) as min_resolution_days, max(days) as max_resolution_days
+              avg(days) as avg_resolution_days, min(days)::int as min_resolution_days, max(days)::int as max_resolution_days
             from by_issue join (select key, date_diff('day', created::date, resolutiondate::date) as days from issues) i
               on by_issue.key = i.key
             where days >= 0 group by 1"""),
@@ -275,7 +275,7 @@ def oracle_sql() -> dict[str, str]:
                 where word <> '' group by 1, 2))
             where rank <= 10""",
         "cluster_examples": _with(["bugs"], """
-            select prediction, key, summary, example from (
+            select prediction, key, summary, example::int as example from (
               select project_name as prediction, key, summary,
                 row_number() over (partition by project_name order by key) as example from bugs)
             where example <= 3"""),
