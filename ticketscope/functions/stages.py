@@ -43,6 +43,6 @@ def slot_names(df: DataFrame, inputs: list[str], features: str = "features") ->
     for slot, name in named:
         column = max((c for c in inputs if name == c or name.startswith(f"{c}_")), key=len)
         source = column.removesuffix("_vec")
-        value = name[len(column) + 1:]
-        slots.append((slot, source, f"{source}={value}" if value else source))
+        label = name if source == column else f"{source}={name[len(column) + 1:]}"
+        slots.append((slot, source, label))
     return slots

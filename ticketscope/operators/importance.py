@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketscope.functions.stages import slot_names
+from ticketscope.operators.memory import keep
 
 ROWS_PER_BLOCK = 100_000
 SLOTS = "slot int, source string, feature string, weight double"
@@ -67,9 +68,9 @@ def permutation_importance(
 ) -> DataFrame:
     """How much AUC the model loses when the values of one column are dealt out to other rows."""
     auc = BinaryClassificationEvaluator(labelCol="label")
-    raw = data.select(key, "label", *columns).persist()
+    raw = keep(data.select(key, "label", *columns))
     rows = raw.count()
-    mixed = permuted_columns(raw, columns, max(1, ceil(rows / ROWS_PER_BLOCK)), key, seed).persist()
+    mixed = keep(permuted_columns(raw, columns, max(1, ceil(rows / ROWS_PER_BLOCK)), key, seed))
 
     def score(df: DataFrame) -> float:
         return float(auc.evaluate(model.transform(pipeline.transform(df)).select("label", "rawPrediction")))

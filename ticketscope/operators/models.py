@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ticketscope.functions.hashing import key_fraction
 from ticketscope.functions.stages import assembled, encoded, filtered_words, word_counts
+from ticketscope.operators.memory import keep
 from ticketscope.operators.metrics import class_metrics
 from ticketscope.operators.reopening import NUMERIC_FEATURES
 from ticketscope.operators.resolution import label_slow, mean_hours, resolution_hours
@@ -109,7 +110,7 @@ def reopen_datasets(
         "label", F.col("was_reopened").cast("double")
     )
     words = PipelineModel(filtered_words("text_content"))
-    rows = words.transform(spread(balanced, "key")).drop("text_content", "words").persist()
+    rows = keep(words.transform(spread(balanced, "key")).drop("text_content", "words"))
     train, test = hash_split(rows, "key")
     partitions = partitions or features.sparkSession.sparkContext.defaultParallelism
     fitted = reopen_stages(features, partitions, seed).fit(train)
@@ -129,7 +130,7 @@ def train_reopen_models(
     data: Datasets, models: list[str] | None = None, trees: int = 100, seed: int = SEED
 ) -> list[ModelResult]:
     """Fits the wanted models (all by default) and measures them on train (AUC) and test rows."""
-    train, test = (rows.select("features", "label").persist() for rows in (data.train, data.test))
+    train, test = (keep(rows.select("features", "label")) for rows in (data.train, data.test))
     auc = BinaryClassificationEvaluator(labelCol="label")
     results = []
     try:
@@ -167,10 +168,10 @@ def sentiment_classifier(scored: DataFrame, key: str = "comment_id") -> tuple[Da
 
     The pipeline is fitted on all rows so that topics can share it; the model sees the train rows only.
     """
-    scored = spread(scored.select(key, "cleaned_text", "sentiment_category"), key).persist()
+    scored = keep(spread(scored.select(key, "cleaned_text", "sentiment_category"), key))
     words = sentiment_stages().fit(scored)
     train, test = hash_split(words.transform(scored).select(key, "label", "features"), key)
-    train = train.persist()
+    train = keep(train)
     model = LogisticRegression(maxIter=10, regParam=0.01, elasticNetParam=0.8).fit(train)
     train.unpersist()
     scored.unpersist()
@@ -191,13 +192,13 @@ def slow_datasets(issues: DataFrame, parity: bool = False) -> Datasets:
     The mean that sets the label and the pipeline come from the train rows; `parity` takes both from all rows.
     """
     resolved = resolution_hours(issues.select("key", *SLOW_COLUMNS, "created", "resolutiondate"))
-    resolved = spread(resolved.select("key", *SLOW_COLUMNS, "resolution_hours"), "key").persist()
+    resolved = keep(spread(resolved.select("key", *SLOW_COLUMNS, "resolution_hours"), "key"))
     train, test = hash_split(resolved, "key")
     fitted_on = resolved if parity else train
     mean = mean_hours(fitted_on)
     pipeline = slow_stages().fit(fitted_on)
-    keep = ["key", *SLOW_COLUMNS, "label", "features"]
-    train, test = (pipeline.transform(label_slow(rows, mean)).select(*keep) for rows in (train, test))
+    columns = ["key", *SLOW_COLUMNS, "label", "features"]
+    train, test = (pipeline.transform(label_slow(rows, mean)).select(*columns) for rows in (train, test))
     return Datasets(train, test, pipeline, (resolved,))
 
 
@@ -242,10 +243,10 @@ def train_slow_models(
     data: Datasets, models: list[str] | None = None, seed: int = SEED, parallelism: int = 2
 ) -> list[ModelResult]:
     """Tunes and fits the wanted models (all by default) and measures them on the test rows."""
-    rows = data.train.select("features", "label").persist()
-    merged = data.pipeline.transform(folded_counts(data.train)).select("features", "label", "fold", "weight").persist()
+    rows = keep(data.train.select("features", "label"))
+    merged = keep(data.pipeline.transform(folded_counts(data.train)).select("features", "label", "fold", "weight"))
     few_tasks = merged.coalesce(ceil(merged.count() / MERGED_ROWS_PER_TASK))
-    test = data.test.select("features", "label").persist()
+    test = keep(data.test.select("features", "label"))
     results = []
     try:
         for name, tuner in slow_tuners(seed, parallelism).items():

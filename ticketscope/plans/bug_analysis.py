@@ -11,6 +11,7 @@ from ticketscope.operators.clusters import (
     cluster_reopen_rates, scan_k,
 )
 from ticketscope.operators.importance import feature_importance
+from ticketscope.operators.memory import keep
 from ticketscope.operators.models import (
     ModelResult, best_model, model_metrics, reopen_datasets, reopen_inputs, train_reopen_models,
 )
@@ -54,14 +55,14 @@ def run_bug_analysis(
     """
     bugs, changes = load_bugs(issues, changelog, sample)
     flagged = flag_bugs(bugs, reopen_flags(changes) if changes is not None else None)
-    features = reopen_features(flagged, changes).persist()
+    features = keep(reopen_features(flagged, changes))
 
     data = reopen_datasets(features)
     results = train_reopen_models(data, models, trees)
     best = best_model(results)
 
     vectors, _ = cluster_features(features, cluster_fraction)
-    vectors = vectors.persist()
+    vectors = keep(vectors)
     scores = scan_k(vectors, ks)
     k = best_k(scores)
     clustered = cluster(vectors, k)

@@ -10,6 +10,7 @@ from ticketscope.functions.text import tokens
 from ticketscope.operators import (
     cleaning, clusters, importance, metrics, models, reopening, resolution, sampling, sentiment, topics,
 )
+from ticketscope.operators.memory import keep
 from ticketscope.plans import bindings
 from ticketscope.plans.bug_analysis import run_bug_analysis, save_results, summary
 from ticketscope.sources import read_csv, shared_path
@@ -23,7 +24,7 @@ _held: list[DataFrame] = []  # in memory for the query run last; released when t
 
 
 def _hold(df: DataFrame) -> DataFrame:
-    _held.append(df.persist())
+    _held.append(keep(df))
     return df
 
 

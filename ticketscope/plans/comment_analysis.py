@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame
 
+from ticketscope.operators.memory import keep
 from ticketscope.operators.metrics import class_metrics, classification_report
 from ticketscope.operators.models import sentiment_classifier
 from ticketscope.operators.sampling import sample_to_size
@@ -25,7 +26,7 @@ def run_comment_analysis(
     scored = sentiment(cleaned)
     predictions, _, words = sentiment_classifier(scored)
     vectors = words.transform(scored.select("comment_id", "cleaned_text", "sentiment_category"))
-    prepared = vectors.select("sentiment_category", "features").persist()
+    prepared = keep(vectors.select("sentiment_category", "features"))
     try:
         model = fit_topics(prepared, topics)
     finally:
