@@ -18,7 +18,7 @@ def plain_report(docs, items):
     for item, text in items:
         w = plain_words(text)
         for i in range(max(1, len(w) - 9) if w else 0):
-            windows.setdefault(tuple(w[i : i + 10]), set()).add(str(item))
+            windows.setdefault(tuple(w[i : i + 10]), set()).add("" if item is None else str(item))
     out = []
     for doc, text in docs:
         w = plain_words(text)

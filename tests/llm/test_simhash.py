@@ -61,7 +61,7 @@ def test_components_of_a_long_chain_and_a_star(spark):
 
 
 def test_one_of_each_component_stays(spark):
-    docs = odd_documents(spark)
+    docs = odd_documents(spark).filter("source is null or source <> 's9'")  # one id for two components has one label
     kept = simhash.keep_first(docs)
     assert kept.columns == docs.columns
     label = {(i, p): c for i, p, c in plain_components([(r.doc_id, r.text) for r in docs.collect()])}

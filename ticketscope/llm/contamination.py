@@ -8,7 +8,7 @@ with a term that no document holds cannot match and is dropped at once.
 
 Documents are known by the digest of their text, so copies share postings, and null or repeated ids do no harm. Null
 and empty texts have no words and match nothing. An item shorter than a window is one window; an item without words
-is none. Items with equal texts all count. Empty tables give empty or clean results. Further columns are not read.
+is none. Items with equal texts all count; an item without an id is named by the empty string. Empty tables give empty or clean results. Further columns are not read.
 
 Only DataFrame functions run here.
 """
@@ -125,7 +125,7 @@ def report(docs: DataFrame, items: DataFrame, width: int = WINDOW, doc_id: str =
         lambda s: s.hit,
     )
     hits = found.groupBy("key").agg(covered.alias("n_hit"))
-    named = found.select("key", "phrase").distinct().join(cut, "phrase").select("key", F.col("item_id").cast("string").alias("item")).distinct()
+    named = found.select("key", "phrase").distinct().join(cut, "phrase").select("key", F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item")).distinct()
     items_of = named.groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("items"))
     per_text = hits.join(items_of, "key", "left")
     all_docs = docs.select(docs[doc_id].alias("doc_id"), text_key(docs[text]).alias("key"), F.size(words(docs[text])).cast("long").alias("n_words"))
