@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketscope.llm import chat, contamination, lm, mixing, quality, repeats, simhash
+from ticketscope.llm import chat, contamination, extraction, lm, mixing, quality, repeats, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,12 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.formatted(turns.unionByName(marks)))
 
 
+def op4_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    texts = extraction.extracted(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return texts.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and model score of every document."""
     return lm.scores(_table(spark, sf_dir, "documents"))
@@ -55,6 +61,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_chat_format": op2_chat_format,
+    "op4_extract_html": op4_extract_html,
     "op5_lm_score": op5_lm_score,
     "op7_quality_rules": op7_quality_rules,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
