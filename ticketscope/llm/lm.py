@@ -197,10 +197,13 @@ def token_counts(pages: DataFrame) -> DataFrame:
     return stored(pages.filter("kind = 0").select("keys", "counts").mapInArrow(spread, "token long, c long"), "lm-tokens")
 
 
-def commonest(counts: DataFrame, limit: int) -> pd.DataFrame:
-    """Tokens above the lowest count that leaves at most `limit` of them; counts are looked at in fine log steps."""
+def commonest(counts: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens above the lowest count that leaves at most `limit` of them, sorted, and their counts.
+
+    Counts are looked at in fine log steps, so the driver sees at most 16 sizes a doubling before it takes the tokens.
+    """
     step = F.floor(F.log2("c") * 16).cast("long")
-    sizes = counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()  # at most 16 steps a doubling
+    sizes = counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()
     lowest, n = None, 0
     for row in sizes:
         n += row["count"]
@@ -208,16 +211,24 @@ def commonest(counts: DataFrame, limit: int) -> pd.DataFrame:
             break
         lowest = row["step"]
     if lowest is None:
-        return pd.DataFrame({"token": [], "c": []}, dtype="int64")
-    return counts.filter(step >= lowest).toPandas().sort_values("token")
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    head = counts.filter(step >= lowest).toArrow()
+    keys = head["token"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], head["c"].to_numpy()[order]
 
 
 def gathered(pages: DataFrame, settings: Settings) -> list[tuple[np.ndarray, np.ndarray]]:
     """Both filters as one array each, with the sizes of their pages: at most `filter_bytes` together."""
-    bits = [[b""] * settings.pages, [b""] * settings.pages]
+    sizes = np.zeros((2, settings.pages), np.int64)
+    for row in pages.select("kind", "page", F.octet_length("bits").alias("n")).collect():  # two numbers a page
+        sizes[row["kind"], row["page"]] = row["n"]
+    ends = np.cumsum(sizes, axis=1)
+    data = [np.zeros(int(e[-1]), np.uint8) for e in ends]
     for row in pages.select("kind", "page", "bits").toLocalIterator():
-        bits[row["kind"]][row["page"]] = bytes(row["bits"])
-    return [(np.frombuffer(b"".join(k), np.uint8), np.array([len(b) for b in k], np.int64)) for k in bits]
+        end = ends[row["kind"], row["page"]]
+        data[row["kind"]][end - len(row["bits"]) : end] = np.frombuffer(row["bits"], np.uint8)
+    return list(zip(data, sizes))
 
 
 def scores(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -227,10 +238,7 @@ def scores(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_
     pages = counted(rows.filter(~F.col("held_out")), settings)
     counts = token_counts(pages)
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    head = commonest(counts, settings.head_tokens)
-    head_keys = head["token"].to_numpy().view(np.uint64)
-    order = np.argsort(head_keys)
-    shared = spark.sparkContext.broadcast((head_keys[order], head["c"].to_numpy()[order], *gathered(pages, settings)))
+    shared = spark.sparkContext.broadcast((*commonest(counts, settings.head_tokens), *gathered(pages, settings)))
     weight, floor = settings.pair_weight, float(total + distinct + 1)
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
