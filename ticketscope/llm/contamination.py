@@ -23,16 +23,31 @@ WINDOW = 10
 MAX_BROADCAST_ROWS = 1_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_BETWEEN_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def parts(text: Column) -> Column:
+    """The lower-cased text cut between words; the first and last part may be empty, all others are words.
+
+    Only A-Z are lowered, which for a text without characters beyond ASCII is what the faster `lower` does.
+    """
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    plain = F.octet_length(text) == F.char_length(text)
+    return F.split(F.when(plain, F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER)), _BETWEEN)
 
 
 def words(text: Column) -> Column:
     """Lower-cased words: digits, letters and all characters beyond ASCII; null has none."""
-    lowered = F.translate(F.coalesce(text.cast("string"), F.lit("")), _UPPER, _LOWER)
-    return F.filter(F.split(lowered, _BETWEEN), lambda w: w != "")
+    return F.filter(parts(text), lambda w: w != "")
+
+
+def word_count(text: Column) -> Column:
+    whole = F.split(F.coalesce(text.cast("string"), F.lit("")), _BETWEEN_ANY_CASE)
+    return F.size(F.filter(whole, lambda w: w != "")).cast("long")
 
 
 def text_key(text: Column) -> Column:
-    return F.md5(F.coalesce(text.cast("string"), F.lit("")))
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
 
 
 def small(table: DataFrame) -> DataFrame:
@@ -52,45 +67,47 @@ def anchors(docs: DataFrame, phrases: DataFrame, text: str = "text", count: int
     """(phrase, term, offset, rank): the `count` rarest terms of each phrase whose terms all occur in the documents."""
     places = stored(phrases.select("phrase", F.posexplode(F.split("phrase", " ")).alias("offset", "term")), "places")
     vocabulary = stored(places.select("term").distinct(), "vocabulary")
-    seen = docs.select(F.explode(words(docs[text])).alias("term")).join(small(vocabulary), "term")
+    seen = docs.select(F.explode(parts(docs[text])).alias("term")).join(small(vocabulary), "term")
     frequencies = stored(seen.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequencies")
     known = places.join(frequencies, "term")
     rarest = Window.partitionBy("phrase").orderBy("df", "offset")
     ranked = known.select("phrase", "term", "offset", F.row_number().over(rarest).alias("rank"), F.count(F.lit(1)).over(Window.partitionBy("phrase")).alias("known"))
     whole = F.col("known") == F.size(F.split("phrase", " "))
+    ranked = ranked.withColumn("id", F.xxhash64("phrase"))
     return stored(ranked.filter(whole & (F.col("rank") <= count)).drop("known"), "anchors")
 
 
 def postings(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
     """The positional index of the given terms: (term, key, position), kept in the shared folder."""
-    spread = docs.select(text_key(docs[text]).alias("key"), F.posexplode(words(docs[text])).alias("position", "term"))
+    spread = docs.select(text_key(docs[text]).alias("key"), F.posexplode(parts(docs[text])).alias("position", "term"))
     return stored(spread.join(small(terms), "term").select("term", "key", "position").distinct(), "postings")
 
 
 def candidates(index: DataFrame, chosen: DataFrame, slop: int = 0) -> DataFrame:
-    """(phrase, key, start, shift): where the offset-adjusted lists of a phrase's rarest terms agree.
+    """(id, key, start, shift): where the offset-adjusted lists of a phrase's rarest terms agree; id is its hash.
 
     `shift` is how far the second list is off, at most `slop` words. Starts fall into blocks of slop + 1 words, and the
     second list is entered in its own block and its two neighbours, so equal keys are all a join needs.
     """
-    starts = index.join(small(chosen), "term").withColumn("start", F.col("position") - F.col("offset"))
-    block = F.floor(F.col("start") / (slop + 1)).cast("long")
-    first = starts.filter("rank = 1").select("phrase", "key", "start", block.alias("block"))
+    places = chosen.select("term", "id", "offset", "rank", (F.instr("phrase", " ") == 0).alias("alone"))
+    starts = index.join(small(places), "term").withColumn("start", F.col("position") - F.col("offset"))
+    block = F.floor(F.col("start") / (slop + 1)).cast("int")
+    first = starts.filter("rank = 1").select("id", "key", "start", block.alias("block"), "alone")
     near = F.array(*((block + d) for d in ((0,) if slop == 0 else (-1, 0, 1))))
-    second = starts.filter("rank = 2").select("phrase", "key", F.col("start").alias("other"), F.explode(near).alias("block"))
-    met = first.join(second, ["phrase", "key", "block"]).withColumn("shift", F.col("other") - F.col("start"))
-    both = met.filter(F.abs("shift") <= slop).select("phrase", "key", "start", "shift")
-    alone = first.filter(F.instr("phrase", " ") == 0).select("phrase", "key", "start", F.lit(0).alias("shift"))
-    return both.unionByName(alone)
+    second = starts.filter("rank = 2").select("id", "key", F.col("start").alias("other"), F.explode(near).alias("block"))
+    met = first.join(second, ["id", "key", "block"]).withColumn("shift", F.col("other") - F.col("start"))
+    both = met.filter(F.abs("shift") <= slop).select("id", "key", "start", "shift")
+    return both.unionByName(first.filter("alone").select("id", "key", "start", F.lit(0).alias("shift")))
 
 
-def exact_matches(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
+def exact_matches(docs: DataFrame, found: DataFrame, phrases: DataFrame, text: str = "text") -> DataFrame:
     """(key, start, width, phrase) of the candidates that the document holds word by word."""
-    wanted = found.filter("shift = 0 and start >= 0").groupBy("key").agg(F.collect_list(F.struct("start", "phrase")).alias("wanted"))
-    wanted = stored(wanted, "wanted")
+    named = stored(phrases.select("phrase", F.xxhash64("phrase").alias("id")), "phrases")
+    wanted = found.filter("shift = 0 and start >= 0").join(named, "id")
+    wanted = stored(wanted.groupBy("key").agg(F.collect_list(F.struct("start", "phrase")).alias("wanted")), "wanted")
     texts = docs.select(text_key(docs[text]).alias("key"), docs[text].alias("text"))
-    held = texts.join(small(wanted), "key").groupBy("key").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted"))
-    split = held.select("key", words(F.col("text")).alias("words"), "wanted")
+    held = texts.join(wanted, "key").groupBy("key").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted"))
+    split = held.select("key", parts(F.col("text")).alias("words"), "wanted")
     width = lambda w: F.size(F.split(w.phrase, " "))
     right = F.filter("wanted", lambda w: F.array_join(F.slice("words", w.start + 1, width(w)), " ") == w.phrase)
     return split.select("key", F.inline(F.transform(right, lambda w: F.struct(w.start.alias("start"), width(w).alias("width"), w.phrase.alias("phrase")))))
@@ -99,9 +116,10 @@ def exact_matches(docs: DataFrame, found: DataFrame, text: str = "text") -> Data
 def matches(docs: DataFrame, items: DataFrame, width: int = WINDOW, item_id: str = "item_id", item_text: str = "text", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """All exact window matches (key, start, width, phrase), and the windows (item_id, phrase) they come from."""
     cut = stored(windows(items, item_id, item_text, width), "windows")
-    chosen = anchors(docs, cut.select("phrase").distinct(), text)
+    phrases = cut.select("phrase").distinct()
+    chosen = anchors(docs, phrases, text)
     index = postings(docs, chosen.select("term").distinct(), text)
-    return stored(exact_matches(docs, candidates(index, chosen), text), "matches"), cut
+    return stored(exact_matches(docs, candidates(index, chosen), phrases, text), "matches"), cut
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, slop: int, width: int = WINDOW, item_id: str = "item_id", item_text: str = "text", text: str = "text") -> DataFrame:
@@ -109,7 +127,8 @@ def proximity_matches(docs: DataFrame, items: DataFrame, slop: int, width: int =
     cut = stored(windows(items, item_id, item_text, width), "windows")
     chosen = anchors(docs, cut.select("phrase").distinct(), text)
     index = postings(docs, chosen.select("term").distinct(), text)
-    return candidates(index, chosen, slop).distinct().join(cut, "phrase").select("item_id", "phrase", "key", "start", "shift")
+    named = cut.withColumn("id", F.xxhash64("phrase"))
+    return candidates(index, chosen, slop).distinct().join(named, "id").select("item_id", "phrase", "key", "start", "shift")
 
 
 def report(docs: DataFrame, items: DataFrame, width: int = WINDOW, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -128,7 +147,7 @@ def report(docs: DataFrame, items: DataFrame, width: int = WINDOW, doc_id: str =
     named = found.select("key", "phrase").distinct().join(cut, "phrase").select("key", F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item")).distinct()
     items_of = named.groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("items"))
     per_text = hits.join(items_of, "key", "left")
-    all_docs = docs.select(docs[doc_id].alias("doc_id"), text_key(docs[text]).alias("key"), F.size(words(docs[text])).cast("long").alias("n_words"))
+    all_docs = docs.select(docs[doc_id].alias("doc_id"), text_key(docs[text]).alias("key"), word_count(docs[text]).alias("n_words"))
     joined = all_docs.join(per_text, "key", "left")
     n_hit, items_found = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
     return joined.select(
