@@ -36,9 +36,9 @@ def test_given_table(spark):
     assert sum(r[2] > 0 for r in compared(documents(spark))) > 10
 
 
-@pytest.mark.parametrize("length, gram", [(400, 48), (60, 8), (20, 4), (8, 8)])
+@pytest.mark.parametrize("length, gram", [(400, 200), (400, 48), (60, 8), (20, 4), (8, 8)])
 def test_odd_rows(spark, length, gram):
-    assert any(r[2] for r in compared(odd_documents(spark), length=length, gram=gram))
+    assert any(r[2] for r in compared(odd_documents(spark), length=length, gram=gram, block=min(32, length // 2)))
 
 
 def test_periods_overlaps_and_shared_passages(spark):
@@ -48,8 +48,8 @@ def test_periods_overlaps_and_shared_passages(spark):
     texts = ["a" * 200, "ab" * 90, word(37) * 6, "x" + "a" * 41, "a" * 40, "a" * 39, shared + word(30) + other, word(20) + shared[:60] + word(20) + shared[40:],
              other + other, word(300), "é" * 50, "x" + "é" * 30, shared, shared, *(word(25) + shared[20 + i : 130] + word(25) for i in range(30))]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for length, gram in ((40, 12), (40, 40), (12, 5)):
-        compared(docs, length=length, gram=gram)
+    for length, gram, block, bits in ((40, 12, 8, 27), (40, 40, 32, 10), (12, 5, 4, 27), (40, 20, 7, 12)):
+        compared(docs, length=length, gram=gram, block=block, bits=bits)
 
 
 def test_segments_agree_across_blocks(monkeypatch):
@@ -65,5 +65,5 @@ def test_empty(spark):
 
 def test_other_columns_stay(spark):
     docs = odd_documents(spark)
-    done = repeats.removed(docs, length=60, gram=8)
+    done = repeats.removed(docs, length=60, gram=8, block=10)
     assert done.columns == [*docs.columns, "repeats"] and done.count() == docs.count()

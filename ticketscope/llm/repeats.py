@@ -5,20 +5,23 @@ Which strings repeat is found without sorting all suffixes (README says why and
 1. Anchors. In every window of `LENGTH` bytes the smallest hash of `GRAM` consecutive bytes, leftmost on ties, marks an
    anchor. It depends on the window's bytes alone, so equal windows have equal anchors in equal places. Neighbouring
    windows with one anchor form a segment, whose bytes and anchor place again depend on its own bytes and the two next
-   to it; inside a passage that occurs twice all segments but the first and last are therefore equal.
+   to it; inside a passage that occurs twice all segments but the first and last are therefore equal. A first pass
+   counts anchors, a second one emits the segments of those that occur twice; a bitmap of fixed size spares most others.
 2. Equal segments. A segment whose digest occurs twice lies wholly in repeated windows.
-3. Borders. Where an anchor occurs twice in unequal segments, the windows of one copy of each such segment are compared
-   one by one, by a 128-bit digest.
-
-All counts are sums over hashed keys, so neither a passage that half of the documents share nor a large group of copies
-gathers in one task. Documents with equal texts are one text with a multiplicity; rows are known by the digest of
-their bytes, so null and repeated ids do no harm. Null and empty texts have no bytes and lose none; so do texts shorter
-than `LENGTH`. An empty table gives an empty result. Further columns are not read, or pass through.
+3. Borders. Where an anchor occurs twice in unequal segments, one copy of each is cut into blocks of `BLOCK` windows,
+   counted from the anchor. Blocks whose common bytes occur in no other segment are done; the windows of the others are
+   compared one by one.
+
+Digests of bytes have 128 bits. All counts are sums over hashed keys, so neither a passage that half of the documents
+share nor a large group of copies gathers in one task. Rows are known by the digest of their bytes, so null and repeated
+ids do no harm. Null and empty texts have no bytes and lose none; so do texts shorter than `LENGTH`, and copies of a
+longer one lose all. An empty table gives an empty result. Further columns are not read, or pass through.
 """
 
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -28,7 +31,11 @@ from ticketscope.llm.storage import stored
 from ticketscope.llm.words import mixed, powers, prefix_hashes, text_bytes
 
 LENGTH = 400
-GRAM = 48
+GRAM = 200
+BLOCK = 32
+BITMAP_BITS = 27
+BITMAP_PAGES = 64
+MAX_BROADCAST_ROWS = 1_000_000
 _PLACE_BITS = 22
 
 
@@ -74,47 +81,124 @@ def _key(docs: DataFrame, text: str) -> Column:
     return F.unhex(F.md5(F.coalesce(docs[text].cast("string"), F.lit(""))))
 
 
-def all_segments(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """The segments of every row of (key, text)."""
+def anchor_digests(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """(anchor, digest) of every segment of every text; this digest has 64 bits."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, bounds = text_bytes(batch.column(0))
+            anchors, digests = [np.zeros(0, np.int64)], []
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                first, last, _, anchor = segments(data[a:b], length, gram)
+                raw = data[a:b].tobytes()
+                anchors.append(anchor.view(np.int64))
+                digests.extend(xxhash.xxh3_64_intdigest(raw[i : j + length]) for i, j in zip(first.tolist(), last.tolist()))
+            columns = [pa.array(np.concatenate(anchors)), pa.array(np.array(digests, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "digest"])
+
+    return texts.select("text").mapInArrow(run, "anchor long, digest long")
+
+
+def bitmap(repeated: DataFrame, bits: int) -> np.ndarray:
+    """One bit for the leading `bits` bits of each anchor: 2**bits / 8 bytes, whatever the number of anchors."""
+    page_bits = bits - BITMAP_PAGES.bit_length() + 1
+
+    def fill(rows: pd.DataFrame) -> pd.DataFrame:
+        page = np.zeros(1 << page_bits, bool)
+        slots = rows["anchor"].to_numpy().view(np.uint64) >> np.uint64(64 - bits)
+        page[(slots & np.uint64((1 << page_bits) - 1)).astype(np.int64)] = True
+        return pd.DataFrame({"page": [int(slots[0]) >> page_bits], "held": [np.packbits(page, bitorder="little").tobytes()]})
+
+    page = F.shiftrightunsigned("anchor", 64 - bits + page_bits).cast("int")
+    out = np.zeros((BITMAP_PAGES, (1 << page_bits) // 8), np.uint8)
+    # A slot counts once however many anchors share it, so a page's group is bounded by its slots.
+    slots = repeated.groupBy(F.shiftrightunsigned("anchor", 64 - bits).alias("slot")).agg(F.min("anchor").alias("anchor"))
+    for row in slots.select("anchor", page.alias("page")).groupBy("page").applyInPandas(fill, "page int, held binary").toLocalIterator():
+        out[row["page"]] = np.frombuffer(row["held"], np.uint8)
+    return out.ravel()
+
+
+def repeated_segments(texts: DataFrame, held: np.ndarray, bits: int, length: int, gram: int) -> DataFrame:
+    """(key, first, last, place, anchor, digest) of the segments whose anchor has its bit set."""
+    shared = texts.sparkSession.sparkContext.broadcast(held)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
         for batch in batches:
             data, bounds = text_bytes(batch.column(1))
-            rows: list[list] = [[], [], [], [], []]
+            keys: list[bytes] = []
+            digests: list[bytes] = []
+            numbers: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]
             for key, a, b in zip(batch.column(0).to_pylist(), bounds[:-1], bounds[1:]):
-                own = data[a:b]
-                first, last, place, anchor = segments(own, length, gram)
-                raw = own.tobytes()
-                rows[0].extend([key] * len(first))
-                rows[1].append(first), rows[2].append(last), rows[3].append(anchor.view(np.int64))
-                rows[4].extend(
-                    xxhash.xxh3_128_digest(raw[i : j + length], seed=p - i) for i, j, p in zip(first.tolist(), last.tolist(), place.tolist())
-                )
-            columns = [pa.array(rows[0], pa.binary()), *(pa.array(np.concatenate(c).astype(t)) for c, t in zip(rows[1:4], (np.int32, np.int32, np.int64))), pa.array(rows[4], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "first", "last", "anchor", "digest"])
+                found = segments(data[a:b], length, gram)
+                slot = (found[3] >> np.uint64(64 - bits)).astype(np.int64)
+                there = (known[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+                first, last, place, anchor = (x[there] for x in found)
+                raw = data[a:b].tobytes()
+                keys.extend([key] * len(first))
+                digests.extend(xxhash.xxh3_128_digest(raw[i : j + length]) for i, j in zip(first.tolist(), last.tolist()))
+                for held_numbers, x in zip(numbers, (first, last, place, anchor.view(np.int64))):
+                    held_numbers.append(x)
+            columns = [pa.array(np.concatenate(x).astype(t)) for x, t in zip(numbers, (np.int32, np.int32, np.int32, np.int64))]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *columns, pa.array(digests, pa.binary())], names=["key", "first", "last", "place", "anchor", "digest"])
+
+    return texts.select("key", "text").mapInArrow(run, "key binary, first int, last int, place int, anchor long, digest binary")
+
+
+def border_bodies(sources: DataFrame, length: int) -> DataFrame:
+    """(id, lead, body): the bytes of the listed segments, with how far their anchor is from the first byte."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                raw = text.encode()
+                rows += [(s["id"], s["place"] - s["first"], raw[s["first"] : s["last"] + length]) for s in listed]
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3, (pa.int64(), pa.int32(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "lead", "body"])
 
-    return texts.mapInArrow(run, "key binary, first int, last int, anchor long, digest binary")
+    return sources.mapInArrow(run, "id long, lead int, body binary")
 
 
-def border_windows(texts: DataFrame, length: int) -> DataFrame:
-    """(digest, high, low): the two hashes of every window of the listed segments (digest, first, last) of each text."""
+def block_cores(bodies: DataFrame, length: int, block: int) -> DataFrame:
+    """(id, block, core): for each block of windows, counted back from the anchor, the digest of the bytes all share."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for raw, listed in zip(batch.column(0), batch.column(1).to_pylist()):
-                own = np.frombuffer(raw.as_py().encode(), np.uint8)
-                # Two runs of the polynomial over differently coded bytes give the two halves of the digest.
-                halves = [gram_hashes(own, length), gram_hashes(own ^ np.uint8(0xA5), length)]
-                spans = [(s["digest"], s["first"], s["last"] + 1) for s in listed]
-                digests = [d for d, a, b in spans for _ in range(b - a)]
-                offsets = np.concatenate([np.arange(b - a, dtype=np.int32) for _, a, b in spans])
-                high, low = (np.concatenate([h[a:b] for _, a, b in spans]).view(np.int64) for h in halves)
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(offsets), pa.array(high), pa.array(low)], names=["digest", "offset", "high", "low"])
+            rows = []
+            for i, lead, body in zip(*(c.to_pylist() for c in batch.columns)):
+                nearest = max(0, lead - (len(body) - length))
+                for b in range(nearest // block, lead // block + 1):
+                    at = lead - b * block
+                    rows.append((i, b, xxhash.xxh3_128_digest(body[at : at - block + 1 + length], seed=b)))
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3, (pa.int64(), pa.int32(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "block", "core"])
+
+    return bodies.mapInArrow(run, "id long, block int, core binary")
+
 
-    return texts.mapInArrow(run, "digest binary, offset int, high long, low long")
+def block_windows(bodies: DataFrame, length: int, block: int) -> DataFrame:
+    """(id, offset, window): digest and place of every window of the blocks listed in (id, lead, body, blocks)."""
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, lead, body, blocks in zip(*(c.to_pylist() for c in batch.columns)):
+                for b in blocks:
+                    for at in range(max(0, lead - b * block - block + 1), min(lead - b * block, len(body) - length) + 1):
+                        rows.append((i, at, xxhash.xxh3_128_digest(body[at : at + length])))
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3, (pa.int64(), pa.int32(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "offset", "window"])
 
-def spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    return bodies.mapInArrow(run, "id long, offset int, window binary")
+
+
+def small(table: DataFrame) -> DataFrame:
+    """Marks a stored table of keys for broadcast where a count has shown it to be small."""
+    return F.broadcast(table) if table.count() <= MAX_BROADCAST_ROWS else table
+
+
+def spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, bits: int = BITMAP_BITS) -> DataFrame:
     """(key, windows): for each text that loses bytes, the first and last of its repeated windows, run by run.
 
     A text that several rows hold has the one run of all its windows.
@@ -123,27 +207,31 @@ def spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int =
     long_ones = texts.filter(F.octet_length("text") >= length)
     copied = long_ones.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.octet_length("text")).alias("bytes")).filter("n > 1")
     copied = stored(copied.drop("n"), "copied")
-    found = stored(all_segments(long_ones, length, gram), "segments")
     # An anchor seen once has no repeated window; where all its segments are equal, all of them repeat.
-    seen = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("a"), F.max("digest").alias("b"))
-    repeated = seen.filter("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("mixed"))
-    known = stored(found.join(repeated, "anchor").select("key", "first", "last", "digest", "mixed"), "repeated-anchors")
-    kinds = known.filter("mixed").groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "first", "last")).alias("one"))
-    kinds = stored(kinds.select("digest", (F.col("n") > 1).alias("doubled"), "one.*"), "segment-kinds")
-    # Of unequal segments with one anchor, one copy each is compared window by window.
-    listed = kinds.groupBy("key").agg(F.collect_list(F.struct("digest", "first", "last")).alias("listed"))
-    sources = texts.join(stored(listed, "borders"), "key").groupBy("key").agg(F.first("text").alias("text"), F.first("listed").alias("listed"))
-    windows = stored(border_windows(sources.select("text", "listed"), length), "border-windows")
-    again = windows.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n"))
-    single = kinds.filter("not doubled").select("digest", "key", F.col("first").alias("base"))
-    met = windows.join(again.filter("n > 1").select("high", "low"), ["high", "low"]).groupBy("digest").agg(F.collect_list("offset").alias("offsets"))
+    seen = anchor_digests(long_ones, length, gram).groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("a"), F.max("digest").alias("b"))
+    repeated = stored(seen.filter("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("mixed")), "repeated-anchors")
+    found = repeated_segments(long_ones, bitmap(repeated, bits), bits, length, gram)
+    known = stored(found.join(repeated, "anchor").drop("anchor"), "repeated-segments")
+    kinds = known.filter("mixed").groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "first", "last", "place")).alias("one"))
+    kinds = stored(kinds.select("digest", (F.col("n") > 1).alias("doubled"), "one.*", F.monotonically_increasing_id().alias("id")), "segment-kinds")
+    # Of unequal segments with one anchor, one copy each is compared in blocks, then window by window.
+    listed = stored(kinds.groupBy("key").agg(F.collect_list(F.struct("id", "first", "last", "place")).alias("listed")), "borders")
+    near = texts.join(small(listed.select("key")), "key", "left_semi").join(listed, "key").groupBy("key").agg(F.first("text").alias("text"), F.first("listed").alias("listed"))
+    bodies = stored(border_bodies(near.select("text", "listed"), length), "border-bodies")
+    cores = stored(block_cores(bodies, length, block), "block-cores")
+    shared = cores.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core")
+    blocks = cores.join(shared, "core", "left_semi").groupBy("id").agg(F.collect_list("block").alias("blocks"))
+    windows = stored(block_windows(bodies.join(blocks, "id").select("id", "lead", "body", "blocks"), length, block), "border-windows")
+    again = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("window")
+    single = kinds.filter("not doubled").select("id", "key", F.col("first").alias("base"))
+    met = windows.join(again, "window", "left_semi").groupBy("id").agg(F.collect_list("offset").alias("offsets"))
     place = lambda o: F.struct((F.col("base") + o).alias("first"), (F.col("base") + o).alias("last"))
-    partial = met.join(single, "digest").select("key", F.inline(F.transform("offsets", place)))
+    partial = met.join(single, "id").select("key", F.inline(F.transform("offsets", place)))
     doubled = known.join(kinds.filter("doubled").select("digest"), "digest", "left_semi").select("key", "first", "last")
     whole = known.filter("not mixed").select("key", "first", "last").unionByName(doubled).join(copied, "key", "left_anti")
     runs = whole.unionByName(partial.join(copied, "key", "left_anti")).groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("windows"))
     all_of = F.array(F.struct(F.lit(0).alias("first"), (F.col("bytes") - length).cast("int").alias("last")))
-    return runs.unionByName(copied.select("key", all_of.alias("windows")))
+    return stored(runs.unionByName(copied.select("key", all_of.alias("windows"))), "removed-windows")
 
 
 def _merged(windows: list[dict], length: int) -> list[tuple[int, int]]:
@@ -157,14 +245,17 @@ def _merged(windows: list[dict], length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def removed(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def removed(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, **settings) -> DataFrame:
     """All columns and a struct `repeats`: n_bytes, n_removed, spans (from, to) and the bytes that remain."""
     others = [c for c in docs.columns if c != "repeats"]
     at = others.index(text)
-    joined = docs.select(*others, _key(docs, text).alias("__key")).join(
-        spans(docs, text, length, gram).withColumnRenamed("key", "__key"), "__key", "left"
-    )
-    joined = joined.select(*others, F.col("windows").alias("__windows"))
+    lost = spans(docs, text, length, gram, **settings).withColumnRenamed("key", "__key")
+    keyed = docs.select(*others, _key(docs, text).alias("__key"))
+    keys = small(lost.select("__key"))
+    # Only texts that lose bytes are shuffled to meet their windows.
+    touched = keyed.join(keys, "__key", "left_semi").join(lost, "__key").select(*others, F.col("windows").alias("__windows"))
+    untouched = keyed.join(keys, "__key", "left_anti").select(*others, F.lit(None).cast(lost.schema["windows"].dataType).alias("__windows"))
+    joined = touched.unionByName(untouched)
     kind = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))), ("rest", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
