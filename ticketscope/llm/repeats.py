@@ -21,12 +21,12 @@ longer one lose all. An empty table gives an empty result. Further columns are n
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ticketscope.llm.bitmap import bitmap, has
 from ticketscope.llm.storage import stored
 from ticketscope.llm.words import mixed, powers, prefix_hashes, text_bytes
 
@@ -34,7 +34,6 @@ LENGTH = 400
 GRAM = 200
 BLOCK = 32
 BITMAP_BITS = 27
-BITMAP_PAGES = 64
 MAX_BROADCAST_ROWS = 1_000_000
 _PLACE_BITS = 22
 
@@ -99,25 +98,6 @@ def anchor_digests(texts: DataFrame, length: int, gram: int) -> DataFrame:
     return texts.select("text").mapInArrow(run, "anchor long, digest long")
 
 
-def bitmap(repeated: DataFrame, bits: int) -> np.ndarray:
-    """One bit for the leading `bits` bits of each anchor: 2**bits / 8 bytes, whatever the number of anchors."""
-    page_bits = bits - BITMAP_PAGES.bit_length() + 1
-
-    def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        page = np.zeros(1 << page_bits, bool)
-        slots = rows["anchor"].to_numpy().view(np.uint64) >> np.uint64(64 - bits)
-        page[(slots & np.uint64((1 << page_bits) - 1)).astype(np.int64)] = True
-        return pd.DataFrame({"page": [int(slots[0]) >> page_bits], "held": [np.packbits(page, bitorder="little").tobytes()]})
-
-    page = F.shiftrightunsigned("anchor", 64 - bits + page_bits).cast("int")
-    out = np.zeros((BITMAP_PAGES, (1 << page_bits) // 8), np.uint8)
-    # A slot counts once however many anchors share it, so a page's group is bounded by its slots.
-    slots = repeated.groupBy(F.shiftrightunsigned("anchor", 64 - bits).alias("slot")).agg(F.min("anchor").alias("anchor"))
-    for row in slots.select("anchor", page.alias("page")).groupBy("page").applyInPandas(fill, "page int, held binary").toLocalIterator():
-        out[row["page"]] = np.frombuffer(row["held"], np.uint8)
-    return out.ravel()
-
-
 def repeated_segments(texts: DataFrame, held: np.ndarray, bits: int, length: int, gram: int) -> DataFrame:
     """(key, first, last, place, anchor, digest) of the segments whose anchor has its bit set."""
     shared = texts.sparkSession.sparkContext.broadcast(held)
@@ -131,8 +111,7 @@ def repeated_segments(texts: DataFrame, held: np.ndarray, bits: int, length: int
             numbers: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]
             for key, a, b in zip(batch.column(0).to_pylist(), bounds[:-1], bounds[1:]):
                 found = segments(data[a:b], length, gram)
-                slot = (found[3] >> np.uint64(64 - bits)).astype(np.int64)
-                there = (known[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+                there = has(known, found[3], bits)
                 first, last, place, anchor = (x[there] for x in found)
                 raw = data[a:b].tobytes()
                 keys.extend([key] * len(first))
@@ -210,7 +189,7 @@ def spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int =
     # An anchor seen once has no repeated window; where all its segments are equal, all of them repeat.
     seen = anchor_digests(long_ones, length, gram).groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("a"), F.max("digest").alias("b"))
     repeated = stored(seen.filter("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("mixed")), "repeated-anchors")
-    found = repeated_segments(long_ones, bitmap(repeated, bits), bits, length, gram)
+    found = repeated_segments(long_ones, bitmap(repeated.select("anchor"), bits), bits, length, gram)
     known = stored(found.join(repeated, "anchor").drop("anchor"), "repeated-segments")
     kinds = known.filter("mixed").groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "first", "last", "place")).alias("one"))
     kinds = stored(kinds.select("digest", (F.col("n") > 1).alias("doubled"), "one.*", F.monotonically_increasing_id().alias("id")), "segment-kinds")
