@@ -164,9 +164,11 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, max_repeats: float =
         .filter((F.col("size") > 0) & (chance > 0))
         .select("unit", "source_key", leaves.alias("leaves"), (F.col("size") * F.col("rows")).cast("double").alias("size"), chance.alias("chance"))
     )
-    extra = rounded(open_units).withColumnRenamed("unit", "__unit")
+    extra = rounded(open_units).select(F.col("unit").alias("__unit"), F.col("extra").alias("__extra"))
+    rates = aims.select("__source", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("rate").alias("__rate"))
     plain = keyed.drop(*(c for c in ADDED if c != "size"))
-    joined = plain.join(aims.drop("units"), plain[source].eqNullSafe(aims["__source"]), "left").join(extra, "__unit", "left")
-    copies = (F.floor("rate") + F.coalesce("extra", F.lit(0.0))).cast("long")
+    joined = plain.join(rates, plain[source].eqNullSafe(rates["__source"]), "left").join(extra, "__unit", "left")
+    copies = (F.floor("__rate") + F.coalesce("__extra", F.lit(0.0))).cast("long")
     kept = [c for c in docs.columns if c not in ADDED]
-    return joined.select(*kept, "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    added = [F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), copies.alias("copies"), (copies * F.col("size")).alias("taken")]
+    return joined.select(*kept, "size", *added)
