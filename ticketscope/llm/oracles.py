@@ -1,3 +1,54 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express: chat formatting and benchmark decontamination."""
 
-ORACLES: dict[str, str] = {}
+OP2 = r"""
+with turns as (
+    select conv_id, turn, role, text from conversations
+    union all select -7, 0, 'user', '\### Assistant: </turn> ok'
+    union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), whole as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text,
+        regexp_replace(regexp_replace(coalesce(role, ''), '<(\\*)\|', '<\\\1|', 'g'), '\|(\\*)>', '|\\\1>', 'g') as safe_role,
+        regexp_replace(regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\\\1|', 'g'), '\|(\\*)>', '|\\\1>', 'g') as safe_text
+    from turns
+), joined as (
+    select conv_id,
+        count(*) as n_turns,
+        string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text) as lines,
+        coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '') as under,
+        sum(length('<|turn:') + length(safe_role) + length('|>') + 1 + length(safe_text) + length('<|end|>') + 1) as formatted_chars,
+        string_agg(role, ',' order by turn nulls first, role, text) as roles
+    from whole group by conv_id
+)
+select conv_id, n_turns, sha256(lines) as turns_sha256, length(under) as loss_chars, sha256(under) as loss_sha256,
+    cast(formatted_chars as bigint) as formatted_chars, regexp_full_match(roles, '(system,)?user,assistant(,user,assistant)*') as valid
+from joined
+"""
+
+_WORDS = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"""
+
+OP10 = f"""
+with items as (
+    select item_id, {_WORDS} as w from benchmark
+), windows as (
+    select distinct coalesce(cast(item_id as varchar), '') as item, least(len(w), 10) as width, unnest([array_to_string(w[i:i + 9], ' ') for i in range(1, greatest(1, len(w) - 9) + 1)]) as phrase
+    from items where len(w) > 0
+), docs as (
+    select row_number() over () as r, doc_id, {_WORDS} as w from documents
+), widths as (select distinct width from windows),
+starts as (
+    select r, width, unnest(range(1, len(w) - width + 2)) as i, unnest([array_to_string(w[i:i + width - 1], ' ') for i in range(1, len(w) - width + 2)]) as phrase
+    from docs, widths where len(w) >= width
+), hits as (
+    select r, s.width, i, item from starts s join windows using (phrase)
+), covered as (
+    select r, count(distinct p) as n_hit from (select r, unnest(range(i, i + width)) as p from (select distinct r, width, i from hits)) group by r
+), named as (
+    select r, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct r, item from hits) group by r
+)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+    sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from docs left join covered using (r) left join named using (r)
+"""
+
+ORACLES: dict[str, str] = {"op2_chat_format": OP2, "op10_decontaminate": OP10}

@@ -39,9 +39,9 @@ class Rules:
     bands: tuple[Band, ...] = (
         Band(0, 0.20, 1.10),
         Band(256, 0.20, 0.92),
-        Band(1024, 0.16, 0.80),
-        Band(8192, 0.13, 0.74),
-        Band(65536, 0.11, 0.72),
+        Band(1024, 0.16, 0.74),
+        Band(8192, 0.13, 0.68),
+        Band(65536, 0.11, 0.66),
     )
 
 

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketscope.llm import chat, contamination, extraction, linededup, lm, mixing, quality, repeats, simhash
+from ticketscope.llm import chat, contamination, extraction, licenses, linededup, lm, mixing, quality, repeats, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.formatted(turns.unionByName(marks)))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every license notice in every document, with its coverage and span."""
+    return licenses.notices(_table(spark, sf_dir, "documents"))
+
+
 def op4_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     texts = extraction.extracted(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
@@ -67,6 +72,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_chat_format": op2_chat_format,
+    "op3_license_scan": op3_license_scan,
     "op4_extract_html": op4_extract_html,
     "op5_lm_score": op5_lm_score,
     "op6_line_dedup": op6_line_dedup,
