@@ -49,22 +49,30 @@ def needed(n: int | np.ndarray, threshold: float) -> tuple:
     return (n - overlap + 1).astype(np.int64), (n - equal + 1).astype(np.int64)
 
 
-def line_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All lines of the texts as byte bounds, and the hashes of their words with the line each stands in."""
+_WORD_BITS = np.uint64(20)  # the lowest bits of a word's hash give way to the number of its line
+
+
+def word_hashes(data: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, cut to 44 bits at the top, and where they begin."""
     low = LOWER[data]
-    breaks = np.flatnonzero(data == 0x0A)
-    line_starts = np.union1d(bounds[:-1], breaks + 1)
-    starts, ends = word_bounds(low, bounds)
-    hashes = range_hashes(prefix_hashes(low), starts, ends)
-    return line_starts, hashes, np.searchsorted(line_starts, starts, side="right") - 1
+    starts, ends = word_bounds(low, own)
+    return range_hashes(prefix_hashes(low), starts, ends) >> _WORD_BITS << _WORD_BITS, starts
 
 
 def word_sets(hashes: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different words of each line, ordered by line, then hash."""
-    order = np.lexsort((hashes, lines))
-    h, l = hashes[order], lines[order]
-    new = np.append(True, (h[1:] != h[:-1]) | (l[1:] != l[:-1]))[: len(h)]
-    return h[new], l[new]
+    """The different words of each line, ordered by line, then hash; line numbers must not fall."""
+    if not len(hashes):
+        return hashes, lines
+    new = np.append(True, lines[1:] != lines[:-1])
+    dense, number = np.cumsum(new) - 1, lines[new]
+    if dense[-1] < 1 << int(_WORD_BITS):
+        both = np.sort((dense.astype(np.uint64) << np.uint64(44)) | (hashes >> _WORD_BITS))
+        both = both[np.append(True, both[1:] != both[:-1])]
+        return both << _WORD_BITS, number[(both >> np.uint64(44)).astype(np.int64)]
+    order = np.lexsort((hashes, dense))
+    h, d = hashes[order], dense[order]
+    once = np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]))
+    return h[once], number[d[once]]
 
 
 def rarity_table(texts: DataFrame, bits: int) -> np.ndarray:
@@ -75,11 +83,11 @@ def rarity_table(texts: DataFrame, bits: int) -> np.ndarray:
         total = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             data, bounds = text_bytes(batch.column(0))
-            for i, j in chunks(bounds, 1 << 22):
-                low = LOWER[data[bounds[i] : bounds[j]]]
-                starts, ends = word_bounds(low, bounds[i : j + 1] - bounds[i])
-                slots, n = np.unique((range_hashes(prefix_hashes(low), starts, ends) >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
-                total[slots] += n.astype(np.uint32)
+            for i, j in chunks(bounds):
+                hashes, _ = word_hashes(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
+                slots = np.sort((hashes >> np.uint64(64 - bits)).astype(np.int64))
+                first = np.flatnonzero(np.append(True, slots[1:] != slots[:-1])[: len(slots)])
+                total[slots[first]] += np.diff(np.append(first, len(slots))).astype(np.uint32)
         for page in range(pages):
             part = total[page << page_bits : (page + 1) << page_bits]
             at = np.flatnonzero(part)
@@ -119,8 +127,9 @@ def _key(docs: DataFrame, doc_id: str, text: str) -> Column:
 
 def sets_of_lines(data: np.ndarray, own: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
     """Words with their line, and for each line with enough words: its first word, size, text, number and digest."""
-    line_starts, hashes, at = line_words(data, own)
-    words, at = word_sets(hashes, at)
+    line_starts = np.union1d(own[:-1], np.flatnonzero(data == 0x0A) + 1)
+    hashes, starts = word_hashes(data, own)
+    words, at = word_sets(hashes, np.searchsorted(line_starts, starts, side="right") - 1)
     first = np.flatnonzero(np.append(True, at[1:] != at[:-1])[: len(at)])
     n = np.diff(np.append(first, len(at)))
     keep = np.repeat(n >= min_words, n)
@@ -148,11 +157,11 @@ def lines_of(texts: DataFrame, min_words: int) -> DataFrame:
     return texts.mapInArrow(run, "key binary, order long, line int, id long")
 
 
-_ENTRY = "word long, order long, id long, map long, line int, n int, place int"
+_ENTRY = "word long, order long, id long, map long, line int, span long"
 
 
 def prefix_entries(texts: DataFrame, table: np.ndarray, settings: Settings, only: np.ndarray | None = None) -> DataFrame:
-    """The probing prefixes of all lines; with `only`, of the words in that bitmap."""
+    """The probing prefixes of all lines; with `only`, of the words in that bitmap. `span` is n << 32 | place."""
     shared = texts.sparkSession.sparkContext.broadcast((table, only))
     shift = np.uint64(64 - settings.table_bits)
     once = int(np.ceil(np.log2(2) * 6))  # level of a slot that was counted once: its word is in no other line
@@ -162,90 +171,112 @@ def prefix_entries(texts: DataFrame, table: np.ndarray, settings: Settings, only
         for batch in batches:
             data, bounds = text_bytes(batch.column(2))
             orders = batch.column(1).to_numpy()
-            for i, j in chunks(bounds, 1 << 22):
-                words, at, first, n, text, number, digest = sets_of_lines(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], settings.min_words)
+            for i, j in chunks(bounds):
+                words, _, first, n, text, number, digest = sets_of_lines(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], settings.min_words)
                 if not len(first):
                     continue
+                order = orders[i:j][text]
                 group = np.repeat(np.arange(len(first)), n)
-                bit = np.uint64(1) << (words & np.uint64(63))
-                maps = np.bitwise_xor.reduceat(bit, first)
+                maps = np.bitwise_xor.reduceat(np.uint64(1) << ((words >> _WORD_BITS) & np.uint64(63)), first)
                 rare = levels[(words >> shift).astype(np.int64)]
-                # By line, then rarity, then hash: words are in hash order within a line, and the sort is stable.
-                order = np.argsort((group << 8) | rare, kind="stable")
-                words, rare = words[order], rare[order]
+                # By line, then rarity, then hash: words stand in hash order, so their place breaks ties.
+                sorted_ = np.sort((((group << 8) | rare) << 32) | np.arange(len(words)))
+                words, rare = words[sorted_ & 0xFFFFFFFF], (sorted_ >> 32) & 0xFF
                 place = np.arange(len(words)) - first[group]
-                keep = (place < needed(n, settings.threshold)[0][group]) & (rare > once)
+                # Of equal lines in a chunk the earliest speaks for all.
+                by_rank = np.lexsort((number, order, digest))
+                same = np.append(False, digest[by_rank][1:] == digest[by_rank][:-1])
+                speaks = np.ones(len(first), bool)
+                speaks[by_rank[same]] = False
+                keep = speaks[group] & (place < needed(n, settings.threshold)[0][group]) & (rare > once)
                 if wanted is not None:
                     keep &= has(wanted, words, settings.bitmap_bits)
                 g = group[keep]
-                rows = pd.DataFrame({"word": words[keep].view(np.int64), "order": orders[i:j][text[g]], "id": digest[g].view(np.int64), "map": maps[g].view(np.int64),
-                                     "line": number[g].astype(np.int32), "n": n[g].astype(np.int32), "place": place[keep].astype(np.int32)})
-                yield pa.RecordBatch.from_pandas(rows.sort_values(["order", "line"]).drop_duplicates(["word", "id"]), preserve_index=False)
+                columns = [words[keep].view(np.int64), order[g], digest[g].view(np.int64), maps[g].view(np.int64), number[g].astype(np.int32), (n[g].astype(np.int64) << 32) | place[keep]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["word", "order", "id", "map", "line", "span"])
 
     return texts.mapInArrow(run, _ENTRY)
 
 
-def _fits(a: pd.DataFrame, b: pd.DataFrame, t: float) -> np.ndarray:
-    """Whether lines a and b can be similar, by their lengths, the places where they meet and the parity maps."""
-    n, m = a["n"].to_numpy(), b["n"].to_numpy()
-    overlap = np.ceil((n + m) * t / (1 + t) - 1e-6)
-    rest = np.minimum(n - a["place"].to_numpy(), m - b["place"].to_numpy())
-    apart = np.bitwise_count(a["map"].to_numpy().view(np.uint64) ^ b["map"].to_numpy().view(np.uint64))
-    shorter = np.where(n <= m, a["place"].to_numpy() < needed(n, t)[1], b["place"].to_numpy() < needed(m, t)[1])
-    return shorter & (np.minimum(n, m) >= np.maximum(n, m) * t - 1e-6) & (rest >= overlap) & (n + m - apart >= 2 * overlap)
-
-
-def list_pairs(rows: pd.DataFrame, t: float, limit: int | None, only: np.ndarray | None, bits: int) -> tuple[np.ndarray, ...]:
-    """Pairs (later, earlier) within whole lists in order, and the (id, word) of lines that `limit` cut short."""
-    word = rows["word"].to_numpy()
-    start = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-    size = np.diff(np.append(start, len(word)))
-    base, place = np.repeat(start, size), np.arange(len(word)) - np.repeat(start, size)
-    found = np.zeros(len(word), np.int64)
-    active = np.flatnonzero(place > 0)
-    if only is not None:
-        active = active[has(only, rows["id"].to_numpy()[active].view(np.uint64), bits)]
-    later, earlier, step = [], [], 0
-    columns = rows[["n", "place", "map"]]
-    ids = rows["id"].to_numpy()
-    while len(active):
-        other = base[active] + step
-        fit = _fits(columns.take(active), columns.take(other), t)
-        later.append(ids[active[fit]]), earlier.append(ids[other[fit]])
-        found[active[fit]] += 1
-        step += 1
-        active = active[(place[active] > step) & ((found[active] < limit) if limit else True)]
-    cut = np.flatnonzero(found >= limit) if limit else np.zeros(0, np.int64)
-    none = [np.zeros(0, np.int64)]
-    return np.concatenate(later or none), np.concatenate(earlier or none), ids[cut], word[cut]
+class Lists:
+    """Inverted lists side by side, each ordered by rank; every word and line once."""
+
+    def __init__(self, columns: list[np.ndarray], t: float):
+        word, order, ids, maps, line, span = columns
+        by_rank = np.lexsort((ids, line, order, word))
+        word, ids = word[by_rank], ids[by_rank]
+        # Equal lines are neighbours only where ranks are equal, so copies are found by id.
+        by_id = np.lexsort((np.arange(len(ids)), ids, word))
+        copy = np.append(False, (ids[by_id][1:] == ids[by_id][:-1]) & (word[by_id][1:] == word[by_id][:-1]))
+        first = np.ones(len(ids), bool)
+        first[by_id[copy]] = False
+        at = by_rank[first]
+        self.word, self.ids, self.maps = word[first], ids[first], maps[at].view(np.uint64)
+        self.n, self.place = (span[at] >> 32).astype(np.int32), (span[at] & 0xFFFFFFFF).astype(np.int32)
+        self.rest = self.n - self.place
+        self.indexed = self.place < needed(self.n, t)[1]
+        self.t = t
+
+    def fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs can be similar, by their lengths, the places where they meet and the parity maps of their words."""
+        n, m = self.n[a], self.n[b]
+        overlap = np.ceil((n + m) * (self.t / (1 + self.t)) - 1e-6).astype(np.int32)
+        out = (np.minimum(self.rest[a], self.rest[b]) >= overlap) & (np.minimum(n, m) >= np.maximum(n, m) * self.t - 1e-6)
+        left = np.flatnonzero(out)
+        a, b, n, m = a[left], b[left], n[left], m[left]
+        apart = np.bitwise_count(self.maps[a] ^ self.maps[b]).astype(np.int32)
+        out[left] = (n + m - apart >= 2 * overlap[left]) & np.where(n <= m, self.indexed[a], self.indexed[b])
+        return out
+
+    def pairs(self, limit: int | None, only: np.ndarray | None, bits: int) -> tuple[np.ndarray, ...]:
+        """Pairs (later, earlier), and the (id, word) of lines that `limit` cut short in a list."""
+        new = np.flatnonzero(np.append(True, self.word[1:] != self.word[:-1])[: len(self.word)])
+        base = np.repeat(new, np.diff(np.append(new, len(self.word))))
+        place = np.arange(len(self.word)) - base
+        found = np.zeros(len(self.word), np.int32)
+        active = np.flatnonzero(place > 0)
+        if only is not None:
+            active = active[has(only, self.ids[active].view(np.uint64), bits)]
+        later, earlier, step = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        while len(active):
+            other = base[active] + step
+            fit = self.fits(active, other)
+            later.append(self.ids[active[fit]]), earlier.append(self.ids[other[fit]])
+            found[active[fit]] += 1
+            step += 1
+            active = active[(place[active] > step) & ((found[active] < limit) if limit else True)]
+        cut = np.flatnonzero((found >= limit) & (place > 0)) if limit else np.zeros(0, np.int64)
+        return np.concatenate(later), np.concatenate(earlier), self.ids[cut], self.word[cut]
 
 
 def candidate_pairs(entries: DataFrame, settings: Settings, limit: int | None, only: np.ndarray | None = None) -> DataFrame:
     """(later, earlier, word): candidate pairs, and lines whose list goes on (earlier null, word set)."""
     shared = entries.sparkSession.sparkContext.broadcast(only)
 
-    def results(rows: pd.DataFrame, most: np.ndarray | None) -> pa.RecordBatch:
-        rows = rows.drop_duplicates(["word", "id"])
-        later, earlier, cut, word = list_pairs(rows, settings.threshold, limit, most, settings.bitmap_bits)
-        columns = [pa.array(np.append(later, cut)), pa.array(np.append(earlier, np.zeros_like(cut)), mask=np.append(np.zeros(len(later), bool), np.ones(len(cut), bool))),
-                   pa.array(np.append(np.zeros_like(later), word), mask=np.append(np.ones(len(later), bool), np.zeros(len(cut), bool)))]
-        return pa.RecordBatch.from_arrays(columns, names=["later", "earlier", "word"])
+    def results(columns: list[np.ndarray], most: np.ndarray | None) -> pa.RecordBatch:
+        later, earlier, cut, word = Lists(columns, settings.threshold).pairs(limit, most, settings.bitmap_bits)
+        sides = [pa.array(earlier), pa.nulls(len(earlier), pa.int64())], [pa.nulls(len(cut), pa.int64()), pa.array(word)]
+        arrays = [pa.array(np.append(later, cut)), *(pa.concat_arrays([a, b]) for a, b in zip(*sides))]
+        return pa.RecordBatch.from_arrays(arrays, names=["later", "earlier", "word"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        most, held = shared.value, None
+        most = shared.value
+        held: list[list[np.ndarray]] = []  # what was read of the list that may go on
         for batch in batches:
-            rows = batch.to_pandas()
-            if not len(rows):
+            columns = [c.to_numpy() for c in batch.columns]
+            word = columns[0]
+            if not len(word):
                 continue
-            rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
-            last = int(np.searchsorted(rows["word"].to_numpy(), rows["word"].iloc[-1]))
-            held = rows.iloc[last:].reset_index(drop=True)
-            if last:
-                yield results(rows.iloc[:last].reset_index(drop=True), most)
-        if held is not None:
-            yield results(held, most)
-
-    lists = entries.repartition("word").sortWithinPartitions("word", "order", "line", "id")
+            last = int(np.searchsorted(word, word[-1]))
+            if last or (held and held[-1][0][-1] != word[-1]):
+                done = [*held, [c[:last] for c in columns]]
+                yield results([np.concatenate(c) for c in zip(*done)], most)
+                held = []
+            held.append([c[last:] for c in columns])
+        if held:
+            yield results([np.concatenate(c) for c in zip(*held)], most)
+
+    lists = entries.repartition("word").sortWithinPartitions("word")
     return lists.mapInArrow(run, "later long, earlier long, word long")
 
 
