@@ -1,15 +1,19 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
+from ticketscope.functions.hashing import CLUSTERS
+from ticketscope.functions.times import as_timestamp
 from ticketscope.operators.cleaning import (
     clean_changelog, clean_comments, clean_issues, latest_per_key, load_bugs, normalise_columns,
 )
-from ticketscope.operators.resolution import recent_resolution, resolution_by_priority_status, slow_labels, top_changed_fields
-from ticketscope.operators.skew import semi_join
+from ticketscope.operators.resolution import (
+    recent_resolution, resolution_by_priority_status, resolution_hours, slow_labels, top_changed_fields,
+)
+from ticketscope.operators.sampling import balanced_sample, hash_sample
 from ticketscope.schemas import body_column
-from ticketscope.sources import ingest_csv, read_csv, read_parquet, write_cleaned, write_report
-from ticketscope.sources import writers
+from ticketscope.sources import ingest_csv, read_csv, read_parquet, shared_path, write_cleaned, write_report
 
 RAW = ["key", "issuetype.name", "priority name", "status.name", "created", "updated", "resolutiondate"]
 
@@ -43,7 +47,7 @@ def test_issue_cleaning(spark):
     rows = {row["key"]: row for row in df.collect()}
     assert set(rows) == {"A-1", "A-4"}
     assert (rows["A-1"]["priority_name"], rows["A-1"]["updated"]) == ("Low", datetime(2020, 1, 5))
-    assert rows["A-4"]["created"] == datetime(2020, 1, 1, 10, 11, 12)
+    assert rows["A-4"]["created"] == datetime(2020, 1, 1, 10, 11, 12, 345000)
     assert rows["A-4"]["resolutiondate"] is None
 
 
@@ -107,9 +111,8 @@ def test_report_is_one_ordered_file(spark, tmp_path):
     assert read_csv(spark, str(tmp_path / "r")).first()["t"] == 'x, "y"'
 
 
-def test_large_report_is_written_whole_in_parts(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(writers, "MAX_REPORT_ROWS", 20)
-    write_report(spark.range(100).repartition(4), str(tmp_path / "r"))
+def test_long_report_is_written_whole_in_parts(spark, tmp_path):
+    write_report(spark.range(100).repartition(4), str(tmp_path / "r"), single_file=False)
     assert len(list((tmp_path / "r").glob("*.csv"))) == 4
     assert read_csv(spark, str(tmp_path / "r")).count() == 100
 
@@ -154,11 +157,52 @@ def test_bug_sample_takes_its_changes_along(spark):
     assert everything.count() == 1000 and untouched is changes
 
 
-@pytest.mark.parametrize("hot_rows", [10, 10_000])
-def test_semi_join_with_hot_keys(spark, hot_rows):
-    """Two hot keys, one of them wanted; the result is that of the plain join either way."""
-    left = spark.range(3000).selectExpr("id", "case id % 3 when 0 then 'in' when 1 then 'out' else concat('k', id % 500) end as key")
-    right = spark.range(0, 500, 2).selectExpr("concat('k', id) as key").union(spark.createDataFrame([("in",), ("in",)], "key string"))
-    plain = {row["id"] for row in left.join(right, "key", "left_semi").collect()}
-    rows = semi_join(left, right, "key", hot_rows).collect()
-    assert {row["id"] for row in rows} == plain and len(rows) == len(plain)
+def test_changes_of_a_hot_key_are_all_kept(spark):
+    """One bug holds a third of all changes."""
+    issues = spark.range(300).selectExpr("concat('P-', id) as key", "'Bug' as issuetype_name")
+    changes = spark.range(3000).selectExpr("id", "case when id % 3 = 0 then 'P-7' else concat('P-', id % 600) end as key")
+    bugs, kept = load_bugs(issues, changes, 0.99)
+    wanted = {row["key"] for row in bugs.collect()}
+    assert "P-7" in wanted and kept.count() == changes.filter(F.col("key").isin(wanted)).count()
+
+
+def test_samples_of_samples_are_fresh_choices(spark):
+    """Balancing and clustering a sample choose as they do on all rows."""
+    rows = spark.range(100_000).selectExpr("concat('P-', id) as key", "'Bug' as issuetype_name", "id % 50 = 0 as was_reopened")
+    for fraction in (0.02, 0.1, 1.0):
+        bugs, _ = load_bugs(rows, None, fraction)
+        counts = {r["was_reopened"]: r["count"] for r in balanced_sample(bugs).groupBy("was_reopened").count().collect()}
+        assert 3 * counts[True] == pytest.approx(counts[False], rel=0.25 if fraction < 0.1 else 0.1)
+        share = hash_sample(bugs, "key", 0.3, CLUSTERS).count() / bugs.count()
+        assert share == pytest.approx(0.3, rel=0.1)
+
+
+SHAPES = {
+    "2020-01-01T12:00:00.000+0500": datetime(2020, 1, 1, 7), "2020-01-01 12:00:00-03:30": datetime(2020, 1, 1, 15, 30),
+    "2020-01-01 10:00": datetime(2020, 1, 1, 10), "2020-01-01": datetime(2020, 1, 1), "2020-01-01T10:00:00Z": datetime(2020, 1, 1, 10),
+    "2020-01-01T10:00:01.25": datetime(2020, 1, 1, 10, 0, 1, 250000), "2020-01-01 10:00:00+05": datetime(2020, 1, 1, 5),
+    " 2020-01-01 10:00:00 ": datetime(2020, 1, 1, 10), "10:00": None, "no date": None, "01-02-20": None, "2020-13-01": None, "": None, None: None,
+}
+
+
+def test_time_stamps_are_read_whole(spark):
+    df = spark.createDataFrame([(t,) for t in SHAPES], "t string")
+    assert {r["t"]: r["x"] for r in df.select("t", as_timestamp(df, "t").alias("x")).collect()} == SHAPES
+
+
+def test_hours_between_offsets(spark):
+    row = ("A-1", "2020-01-01T10:00:00.000+0000", "2020-01-01T12:00:00.000+0500")
+    assert resolution_hours(spark.createDataFrame([row], "key string, created string, resolutiondate string")).first()["resolution_hours"] == -3.0
+
+
+def test_files_with_another_column_order_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,key\n1,A-1\n")
+    (tmp_path / "b.csv").write_text("key,id\nB-1,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_csv(spark, str(tmp_path)).collect()
+    (tmp_path / "b.csv").write_text("id,key\n2,B-1\n")
+    assert sorted(r["key"] for r in read_csv(spark, str(tmp_path)).collect()) == ["A-1", "B-1"]
+
+
+def test_shared_paths_are_fresh(spark):
+    assert shared_path(spark, "x") != shared_path(spark, "x")

@@ -7,6 +7,7 @@ from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from ticketscope.functions.hashing import key_fraction
 from ticketscope.functions.stages import slot_names
 from ticketscope.operators import clusters, importance, models, topics
 from ticketscope.operators.metrics import confusion_table
@@ -127,6 +128,15 @@ def test_merged_rows_train_the_same_models(issues):
         for m in (tree, merged_tree)
     )
     assert weighted == pytest.approx(single)
+    keyed = data.train.withColumns({"held_out": key_fraction("key", "held out") < models.HELD_OUT, "weight": F.lit(1.0)})
+    assert models.tuned_tree(merged).getMaxDepth() == models.tuned_tree(keyed).getMaxDepth()
+    data.release()
+
+
+def test_no_row_to_train_on_is_said(issues):
+    data = models.slow_datasets(issues.filter("resolutiondate is not null").limit(40))
+    with pytest.raises(ValueError, match="no resolved issue"):
+        models.train_slow_models(models.Datasets(data.train.filter("false"), data.test, data.pipeline))
     data.release()
 
 
@@ -144,7 +154,9 @@ def test_sentiment_model_and_topics(spark):
     endings = ["all good and great", "broken again crash", "nothing special here"]
     rows = [(str(n), f"A-{n % 9}", " ".join(draw.choices(WORDS[:4] + WORDS[5:8], k=6)) + " " + draw.choice(endings)) for n in range(300)]
     scored = sentiment(clean_text(spark.createDataFrame(rows, "comment_id string, key string, body string")))
-    predictions, _, words = models.sentiment_classifier(scored)
+    vectors = models.comment_vectors(scored)
+    predictions, _ = models.sentiment_classifier(vectors)
+    words = vectors.words
     assert predictions.filter("label = prediction").count() > 0.9 * predictions.count() > 0
     vocabulary = words.stages[-1].vocabulary
     assert "" not in vocabulary and "and" not in vocabulary

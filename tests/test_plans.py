@@ -16,7 +16,7 @@ pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="no test table
 
 def test_comment_analysis(spark):
     comments = bindings.comments(spark, SF_DIR)
-    tables = run_comment_analysis(comments, bindings.issues(spark, SF_DIR, text=False), topics=3)
+    tables = run_comment_analysis(comments, bindings.issues(spark, SF_DIR, text=False), topics=3).tables
     total = sum(row["count"] for row in tables["sentiment_distribution"].collect())
     assert total == comments.count()
     assert 0 <= tables["classification_report"].first()["accuracy"] <= 1
@@ -29,11 +29,11 @@ def test_comment_analysis(spark):
 def test_comment_analysis_without_usable_issues(spark):
     comments = bindings.comments(spark, SF_DIR)
     for issues in (None, bindings.issues(spark, SF_DIR, text=False).drop("resolutiondate")):
-        assert "sentiment_vs_resolution" not in run_comment_analysis(comments, issues, size=50, topics=2)
+        assert "sentiment_vs_resolution" not in run_comment_analysis(comments, issues, size=50, topics=2).tables
 
 
 def test_slow_resolution(spark):
-    tables = run_slow_resolution(bindings.issues(spark, SF_DIR, text=False), ["DecisionTree", "LogReg"])
+    tables = run_slow_resolution(bindings.issues(spark, SF_DIR, text=False), ["DecisionTree", "LogReg"]).tables
     assert {row["Model"] for row in tables["model_comparison"].collect()} == {"DecisionTree", "LogReg"}
     assert tables["confusion"].count() == 2
     assert tables["permutation_importance"].count() == 4

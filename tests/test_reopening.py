@@ -55,25 +55,25 @@ CASES = {
 }
 
 
-@pytest.mark.parametrize("hot_rows", [0, 1000])
-def test_patterns(spark, hot_rows):
+@pytest.mark.parametrize("unit", ["minute", "day"])
+def test_patterns(spark, unit):
     changes, number = [], 0
     for name, (steps, _) in CASES.items():
         for source, to in steps:
             number += 1
             changes.append(change(number, name, source, to))
-    assert flags_of(spark, changes, hot_rows=hot_rows) == {name: flag for name, (_, flag) in CASES.items()}
+    assert flags_of(spark, changes, unit=unit) == {name: flag for name, (_, flag) in CASES.items()}
 
 
-@pytest.mark.parametrize("hot_rows", [0, 1000])
-def test_order_is_time_then_id(spark, hot_rows):
+@pytest.mark.parametrize("unit", ["minute", "day"])
+def test_order_is_time_then_id(spark, unit):
     steps = [
         change(2, "late arrival", "Resolved", "Open", minutes=5),
         change(1, "late arrival", "Open", "Resolved", minutes=9),
         change(4, "same minute", "Resolved", "Open", minutes=5),
         change(3, "same minute", "Open", "Resolved", minutes=5),
     ]
-    assert flags_of(spark, steps, hot_rows=hot_rows) == {"late arrival": False, "same minute": True}
+    assert flags_of(spark, steps, unit=unit) == {"late arrival": False, "same minute": True}
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -89,8 +89,8 @@ def test_one_issue_with_a_third_of_all_changes(spark, seed):
     ]
     wanted = expected_flags(changes)
     assert flags_of(spark, changes) == wanted
-    assert flags_of(spark, changes, hot_rows=100) == wanted
-    assert flags_of(spark, changes, hot_rows=3) == wanted
+    assert flags_of(spark, changes, unit="hour") == wanted
+    assert flags_of(spark, changes, unit="minute") == wanted
 
 
 def test_single_pair_in_a_long_history_is_found_wherever_it_is(spark):
@@ -102,7 +102,7 @@ def test_single_pair_in_a_long_history_is_found_wherever_it_is(spark):
             steps = {place: ("Waiting", "Resolved"), place + 1: ("Resolved", "Open")}
             source, to = steps.get(step, ("Waiting", "Waiting"))
             changes.append(change(number, f"P-{place}", source, to, minutes=step))
-    flags = flags_of(spark, changes, hot_rows=10)
+    flags = flags_of(spark, changes, unit="minute")
     assert len(flags) == 60 and all(flags.values())
 
 

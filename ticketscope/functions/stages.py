@@ -23,9 +23,12 @@ def filtered_words(text: str) -> list:
     ]
 
 
+def counted_words(output: str, vocab_size: int, min_df: float) -> CountVectorizer:
+    return CountVectorizer(inputCol="filtered_words", outputCol=output, minDF=min_df, vocabSize=vocab_size)
+
+
 def word_counts(text: str, output: str, vocab_size: int, min_df: float) -> list:
-    counter = CountVectorizer(inputCol="filtered_words", outputCol=output, minDF=min_df, vocabSize=vocab_size)
-    return [*filtered_words(text), counter]
+    return [*filtered_words(text), counted_words(output, vocab_size, min_df)]
 
 
 def assembled(columns: list[str]) -> VectorAssembler:

@@ -4,20 +4,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ticketscope.constants import TIMESTAMP_FORMAT
-
+_DATED = r"^\d{4}-\d{2}-\d{2}"
+_SHORT_OFFSET = r"(:\d{2}(?:\.\d+)?) ?([+-]\d{2})(\d{2})$"
+_HOUR_OFFSET = r"(:\d{2}(?:\.\d+)?) ?([+-]\d{2})$"
 SECONDS_PER_DAY = 86400
 SECONDS_PER_HOUR = 3600
 
 
 def as_timestamp(df: DataFrame, name: str) -> Column:
-    """The column as a zone-less timestamp; text that does not parse becomes null.
+    """The column as a zone-less timestamp in UTC; text that does not parse becomes null.
 
-    Text is read up to its seconds, so fractions and zone suffixes are accepted.
+    Text is read whole: a date, with or without minutes, seconds and fractions, and with an offset as `Z`, `+05:00`,
+    `+0500` or `+05`. A time with an offset is moved to UTC.
     """
     if isinstance(df.schema[name].dataType, StringType):
-        text = F.regexp_replace(F.substring(F.col(name), 1, 19), "T", " ")
-        return F.try_to_timestamp(text, F.lit(TIMESTAMP_FORMAT)).cast("timestamp_ntz")
+        text = F.trim(F.col(name))
+        spelled = F.regexp_replace(F.regexp_replace(text, _SHORT_OFFSET, "$1$2:$3"), _HOUR_OFFSET, "$1$2:00")
+        return F.when(text.rlike(_DATED), spelled.try_cast("timestamp")).cast("timestamp_ntz")
     return F.col(name).cast("timestamp_ntz")
 
 

@@ -4,9 +4,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketscope.constants import BUG_TYPE, CENTURY_PREFIX, DEDUPE_KEYS, REQUIRED_COLUMNS, STATUS_FIELD
-from ticketscope.functions.hashing import key_fraction
+from ticketscope.functions.hashing import ISSUES, key_fraction
 from ticketscope.functions.times import as_timestamp
-from ticketscope.operators.skew import semi_join
 
 
 def normalise_columns(df: DataFrame) -> DataFrame:
@@ -82,10 +81,11 @@ def load_bugs(
     """Bugs, and the changes that belong to them when only a fraction of the issues is wanted."""
     sampling = fraction is not None and fraction < 1.0
     if sampling:
-        issues = issues.filter(key_fraction("key") < fraction)
+        issues = issues.filter(key_fraction("key", ISSUES) < fraction)
     bugs = issues.filter(F.col("issuetype_name") == BUG_TYPE)
     if sampling and changelog is not None:
-        changelog = semi_join(changelog.filter(key_fraction("key") < fraction), bugs, "key")
+        # Bug keys are unique, so Spark may split the changes of a key with very many of them.
+        changelog = changelog.filter(key_fraction("key", ISSUES) < fraction).join(bugs.select("key"), "key", "left_semi")
     return bugs, changelog
 
 

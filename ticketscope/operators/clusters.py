@@ -1,6 +1,6 @@
 """Bug clusters: features, number of clusters, assignment, and what marks each cluster."""
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
@@ -8,7 +8,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticketscope.functions.stages import assembled, encoded, word_counts
+from ticketscope.functions.hashing import CLUSTERS
+from ticketscope.functions.stages import assembled, counted_words, encoded, filtered_words
 from ticketscope.operators.sampling import hash_sample, spread
 from ticketscope.schemas import present
 
@@ -22,17 +23,25 @@ TRAITS = {
 }
 
 
+def with_words(bugs: DataFrame) -> DataFrame:
+    """Bugs with their words in `filtered_words` in place of the text. Persist the result: every fit reads it."""
+    return PipelineModel(filtered_words("text_content")).transform(spread(bugs, "key")).drop("text_content", "words")
+
+
 def cluster_features(
     bugs: DataFrame, fraction: float = 1.0, vocab_size: int = 5000, min_df: float = 2.0
 ) -> tuple[DataFrame, PipelineModel]:
-    """Bugs with a `features` vector of word counts, one-hot categories and numbers, and the fitted pipeline."""
+    """Bugs with a `features` vector of word counts, one-hot categories and numbers, and the fitted pipeline.
+
+    Pass bugs that already have their words (`with_words`), persisted: fit and transform then split no text again.
+    """
     if fraction < 1.0:
-        bugs = hash_sample(bugs, "key", fraction)
+        bugs = hash_sample(bugs, "key", fraction, CLUSTERS)
     categories = present(bugs, ["project", "priority_name", "status_name"])
     numbers = present(bugs, ["summary_length", "description_length", "comment_count", "attachment_count"])
-    bugs = spread(bugs.fillna(0, subset=numbers), "key")
+    bugs = (bugs if "filtered_words" in bugs.columns else with_words(bugs)).fillna(0, subset=numbers)
     stages = [
-        *word_counts("text_content", "text_features", vocab_size, min_df),
+        counted_words("text_features", vocab_size, min_df),
         *encoded(categories),
         assembled(["text_features", *[f"{name}_vec" for name in categories], *numbers]),
     ]
@@ -40,10 +49,16 @@ def cluster_features(
     return model.transform(bugs), model
 
 
-def scan_k(vectors: DataFrame, ks: range | list[int] = range(2, 11), seed: int = SEED) -> list[tuple[int, float]]:
-    """(k, silhouette) of k-means for each k. Pass persisted vectors: every k reads them several times."""
+def scan_models(vectors: DataFrame, ks: range | list[int] = range(2, 11), seed: int = SEED) -> dict[int, tuple[float, Model]]:
+    """Silhouette and model of k-means for each k. Pass persisted vectors: every k reads them several times."""
     evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
-    return [(k, float(evaluator.evaluate(cluster(vectors, k, seed=seed)))) for k in ks]
+    models = {k: cluster_model(vectors, k, seed=seed) for k in ks}
+    return {k: (float(evaluator.evaluate(model.transform(vectors))), model) for k, model in models.items()}
+
+
+def scan_k(vectors: DataFrame, ks: range | list[int] = range(2, 11), seed: int = SEED) -> list[tuple[int, float]]:
+    """(k, silhouette) of k-means for each k."""
+    return [(k, score) for k, (score, _) in scan_models(vectors, ks, seed).items()]
 
 
 def best_k(scores: list[tuple[int, float]]) -> int:
@@ -51,13 +66,17 @@ def best_k(scores: list[tuple[int, float]]) -> int:
     return max(scores, key=lambda score: (score[1], -score[0]))[0]
 
 
-def cluster(vectors: DataFrame, k: int, algorithm: str = "kmeans", seed: int = SEED) -> DataFrame:
-    """Vectors with their cluster in `prediction`."""
+def cluster_model(vectors: DataFrame, k: int, algorithm: str = "kmeans", seed: int = SEED) -> Model:
     estimators = {
         "kmeans": lambda: KMeans(k=k, seed=seed, featuresCol="features", initMode="k-means||"),
         "bisecting": lambda: BisectingKMeans(k=k, seed=seed, featuresCol="features"),
     }
-    return estimators[algorithm]().fit(vectors).transform(vectors)
+    return estimators[algorithm]().fit(vectors)
+
+
+def cluster(vectors: DataFrame, k: int, algorithm: str = "kmeans", seed: int = SEED) -> DataFrame:
+    """Vectors with their cluster in `prediction`."""
+    return cluster_model(vectors, k, algorithm, seed).transform(vectors)
 
 
 def cluster_counts(clustered: DataFrame, by: str = "prediction") -> DataFrame:

@@ -2,7 +2,6 @@
 
 import time
 from dataclasses import dataclass
-from math import ceil
 
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -14,20 +13,22 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationS
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ticketscope.constants import NUMERIC_FEATURES, SLOW_COLUMNS
 from ticketscope.functions.hashing import key_fraction
 from ticketscope.functions.stages import assembled, encoded, filtered_words, word_counts
 from ticketscope.operators.memory import keep
 from ticketscope.operators.metrics import class_metrics
-from ticketscope.operators.reopening import NUMERIC_FEATURES
 from ticketscope.operators.resolution import label_slow, mean_hours, resolution_hours
 from ticketscope.operators.sampling import balanced_sample, hash_split, spread
 from ticketscope.schemas import MODEL_COMPARISON, MODEL_METRICS, present
 
 SEED = 42
-SLOW_COLUMNS = ["issuetype_name", "priority_name", "project_name", "status_name"]
 FOLDS = 3
-MERGED_ROWS_PER_TASK = 50_000
+HELD_OUT = 0.2  # share of the keys on which the depth of the single tree is chosen
+MERGED_PARTS = 4  # tasks for the merged rows, at most one row per combination, label, fold and side
+WORD2VEC_PARTS = 8
 ON_MERGED_ROWS = {"LogReg", "DecisionTree"}
+DEPTHS = [5, 7]
 
 
 @dataclass(frozen=True)
@@ -81,10 +82,11 @@ def reopen_inputs(features: DataFrame) -> list[str]:
     return ["project_vec", "priority_name_vec", "word_features", "ngram_features", *present(features, NUMERIC_FEATURES)]
 
 
-def reopen_stages(features: DataFrame, partitions: int = 1, seed: int = SEED) -> Pipeline:
+def reopen_stages(features: DataFrame, partitions: int = WORD2VEC_PARTS, seed: int = SEED) -> Pipeline:
     """One-hot project and priority, word vectors, counted bigrams and the numbers in one vector, from `filtered_words`.
 
-    `partitions` is the number of parts the word vectors are trained on at once.
+    `partitions` is the number of parts the word vectors are trained on at once; it does not follow the cluster's
+    size, so the same rows give the same vectors on any number of cores.
     """
     return Pipeline(stages=[
         *encoded(["project", "priority_name"]),
@@ -97,22 +99,24 @@ def reopen_stages(features: DataFrame, partitions: int = 1, seed: int = SEED) ->
 
 
 def reopen_datasets(
-    features: DataFrame, ratio: float = 3.0, partitions: int | None = None, seed: int = SEED
+    features: DataFrame, ratio: float = 3.0, partitions: int = WORD2VEC_PARTS, seed: int = SEED
 ) -> Datasets:
     """Balanced classes (one positive per `ratio` negatives) split by key, with the pipeline fitted on the train rows.
 
-    Nulls are filled before the split. Texts are split into words once; these rows stay in memory, in place
-    of the texts, until the data sets are released. The pipeline returned starts from `text_content`.
+    Nulls are filled before the split. Texts are split into words once, unless the table has `filtered_words`; these
+    rows stay in memory, in place of the texts, until the data sets are released. The pipeline returned starts from
+    `text_content`.
     """
     numbers = present(features, NUMERIC_FEATURES)
-    columns = ["key", "project", "priority_name", "text_content", "was_reopened", *numbers]
+    text = "filtered_words" if "filtered_words" in features.columns else "text_content"
+    columns = ["key", "project", "priority_name", text, "was_reopened", *numbers]
     balanced = balanced_sample(features.select(*columns).fillna(0, subset=numbers), ratio).withColumn(
         "label", F.col("was_reopened").cast("double")
     )
     words = PipelineModel(filtered_words("text_content"))
-    rows = keep(words.transform(spread(balanced, "key")).drop("text_content", "words"))
+    rows = spread(balanced, "key")
+    rows = keep(rows if text == "filtered_words" else words.transform(rows).drop("text_content", "words"))
     train, test = hash_split(rows, "key")
-    partitions = partitions or features.sparkSession.sparkContext.defaultParallelism
     fitted = reopen_stages(features, partitions, seed).fit(train)
     pipeline = PipelineModel([*words.stages, *fitted.stages])
     return Datasets(fitted.transform(train), fitted.transform(test), pipeline, (rows,))
@@ -163,19 +167,32 @@ def sentiment_stages() -> Pipeline:
     return Pipeline(stages=[index, *word_counts("cleaned_text", "features", 10000, 2.0)])
 
 
-def sentiment_classifier(scored: DataFrame, key: str = "comment_id") -> tuple[DataFrame, Model, PipelineModel]:
-    """Test predictions of an elastic-net logistic regression, that model, and the word pipeline.
+@dataclass(frozen=True)
+class CommentVectors:
+    """Comments with `label` and word counts in `features`, held in memory, and the word pipeline fitted on all of them."""
 
-    The pipeline is fitted on all rows so that topics can share it; the model sees the train rows only.
-    """
-    scored = keep(spread(scored.select(key, "cleaned_text", "sentiment_category"), key))
-    words = sentiment_stages().fit(scored)
-    train, test = hash_split(words.transform(scored).select(key, "label", "features"), key)
-    train = keep(train)
+    rows: DataFrame
+    words: PipelineModel
+    held: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        for df in self.held:
+            df.unpersist()
+
+
+def comment_vectors(scored: DataFrame, key: str = "comment_id") -> CommentVectors:
+    """Texts are cleaned, scored and split into words once; classifier and topics share the result until it is released."""
+    text = keep(spread(scored.select(key, "cleaned_text", "sentiment_category"), key))
+    words = sentiment_stages().fit(text)
+    rows = keep(words.transform(text).select(key, "sentiment_category", "label", "features"))
+    return CommentVectors(rows, words, (rows, text))
+
+
+def sentiment_classifier(vectors: CommentVectors, key: str = "comment_id") -> tuple[DataFrame, Model]:
+    """Test predictions of an elastic-net logistic regression and that model, which sees the train rows only."""
+    train, test = hash_split(vectors.rows.select(key, "label", "features"), key)
     model = LogisticRegression(maxIter=10, regParam=0.01, elasticNetParam=0.8).fit(train)
-    train.unpersist()
-    scored.unpersist()
-    return model.transform(test).select(key, "label", "prediction"), model, words
+    return model.transform(test).select(key, "label", "prediction"), model
 
 
 # --- slow issues -----------------------------------------------------------------------
@@ -203,58 +220,83 @@ def slow_datasets(issues: DataFrame, parity: bool = False) -> Datasets:
 
 
 def folded_counts(train: DataFrame, folds: int = FOLDS) -> DataFrame:
-    """Equal rows merged into one with their number in `weight`, per fold of a key-hashed split.
+    """Equal rows merged into one with their number in `weight`, per fold and side of key-hashed splits.
 
     The vectors hold categories only, so a table of any length shrinks to its distinct combinations. Weighted
-    by them, an unpenalised logistic regression and a single decision tree come out as on the single rows.
-    Forests and boosted trees do not: they draw rows at random, so they are trained on the rows themselves.
+    by them, an unpenalised logistic regression and a single decision tree reach the optimum of the single rows.
+    (One-hot columns with an intercept leave the regression's coefficients free along a line; only their fit agrees.)
+    Forests and boosted trees draw rows at random, so they are trained on the rows themselves.
     """
     fold = F.floor(key_fraction("key", "fold") * folds).cast("int")
+    aside = key_fraction("key", "held out") < HELD_OUT
     return (
-        train.groupBy(*SLOW_COLUMNS, "label", fold.alias("fold"))
+        train.groupBy(*SLOW_COLUMNS, "label", fold.alias("fold"), aside.alias("held_out"))
         .agg(F.count(F.lit(1)).cast("double").alias("weight"))
     )
 
 
+def tuned_tree(rows: DataFrame, seed: int = SEED) -> Model:
+    """A decision tree on `features`, `label`, `weight`; its depth is the better one on the `held_out` rows.
+
+    Keys, not merged rows, decide who is held out, so merged and single rows choose alike.
+    """
+    auc = BinaryClassificationEvaluator(labelCol="label", weightCol="weight")
+    aside, rest = rows.filter("held_out"), rows.filter("not held_out")
+
+    def tree(depth: int) -> DecisionTreeClassifier:
+        return DecisionTreeClassifier(maxDepth=depth, seed=seed, weightCol="weight")
+
+    best = max(DEPTHS, key=lambda depth: (auc.evaluate(tree(depth).fit(rest).transform(aside)), -depth))
+    return tree(best).fit(rows)
+
+
 def slow_tuners(seed: int = SEED, parallelism: int = 2) -> dict:
-    """Trees choose between depth 5 and 7 on a held-out fifth; logistic regression runs a 3-fold validation."""
-    trees = {
+    """What fits each model: forests choose a depth on a held-out fifth; logistic regression runs a 3-fold validation."""
+    single = BinaryClassificationEvaluator(labelCol="label")
+    weighted = BinaryClassificationEvaluator(labelCol="label", weightCol="weight")
+    forests = {
         "RandomForest": RandomForestClassifier(numTrees=30, maxDepth=7, seed=seed),
         "GBT": GBTClassifier(maxIter=15, maxDepth=5, subsamplingRate=0.7, seed=seed),
-        "DecisionTree": DecisionTreeClassifier(maxDepth=7, seed=seed, weightCol="weight"),
     }
-    single = BinaryClassificationEvaluator(labelCol="label")
-    weighted = BinaryClassificationEvaluator(labelCol="label", weightCol="weight")
-    tuners = {
+    splits = {
         name: TrainValidationSplit(
-            estimator=tree, estimatorParamMaps=ParamGridBuilder().addGrid(tree.maxDepth, [5, 7]).build(),
-            evaluator=weighted if name in ON_MERGED_ROWS else single, trainRatio=0.8, seed=seed, parallelism=parallelism,
+            estimator=forest, estimatorParamMaps=ParamGridBuilder().addGrid(forest.maxDepth, DEPTHS).build(),
+            evaluator=single, trainRatio=1 - HELD_OUT, seed=seed, parallelism=parallelism,
         )
-        for name, tree in trees.items()
+        for name, forest in forests.items()
     }
-    tuners["LogReg"] = CrossValidator(
+    splits["LogReg"] = CrossValidator(
         estimator=LogisticRegression(maxIter=50, weightCol="weight"), estimatorParamMaps=ParamGridBuilder().build(),
         evaluator=weighted, numFolds=FOLDS, foldCol="fold", seed=seed, parallelism=parallelism,
     )
-    return tuners
+    fits = {name: lambda rows, tuner=tuner: tuner.fit(rows).bestModel for name, tuner in splits.items()}
+    return fits | {"DecisionTree": lambda rows: tuned_tree(rows, seed)}
 
 
 def train_slow_models(
     data: Datasets, models: list[str] | None = None, seed: int = SEED, parallelism: int = 2
 ) -> list[ModelResult]:
-    """Tunes and fits the wanted models (all by default) and measures them on the test rows."""
+    """Tunes and fits the wanted models (all by default) and measures them on the test rows.
+
+    A model's time counts all of its work; merging rows, which two models share, counts for both.
+    """
     rows = keep(data.train.select("features", "label"))
-    merged = keep(data.pipeline.transform(folded_counts(data.train)).select("features", "label", "fold", "weight"))
-    few_tasks = merged.coalesce(ceil(merged.count() / MERGED_ROWS_PER_TASK))
+    if rows.isEmpty():
+        rows.unpersist()
+        raise ValueError("no resolved issue to train on")
+    start = time.monotonic()
+    merged = keep(data.pipeline.transform(folded_counts(data.train)).select("features", "label", "fold", "held_out", "weight").coalesce(MERGED_PARTS))
+    merged.count()
+    merging = time.monotonic() - start
     test = keep(data.test.select("features", "label"))
     results = []
     try:
-        for name, tuner in slow_tuners(seed, parallelism).items():
+        for name, fit in slow_tuners(seed, parallelism).items():
             if models is not None and name not in models:
                 continue
             start = time.monotonic()
-            fitted = tuner.fit(few_tasks if name in ON_MERGED_ROWS else rows).bestModel
-            seconds = time.monotonic() - start
+            fitted = fit(merged if name in ON_MERGED_ROWS else rows)
+            seconds = time.monotonic() - start + (merging if name in ON_MERGED_ROWS else 0.0)
             results.append(ModelResult(name, fitted, binary_metrics(fitted, test), seconds))
     finally:
         for df in (rows, merged, test):

@@ -8,13 +8,6 @@ from ticketscope.constants import (
 )
 from ticketscope.functions.text import contains_any
 from ticketscope.functions.times import whole_days_between
-from ticketscope.operators.skew import HOT_ROWS, split_hot
-
-NUMERIC_FEATURES = [
-    "summary_length", "description_length", "comment_count", "attachment_count", "status_change_count",
-    "resolution_time_days",
-]
-
 
 def _status_moves(changelog: DataFrame, order_by: tuple[str, ...]) -> DataFrame:
     """Per status change only what the pattern needs: its place in the order and three flags."""
@@ -35,21 +28,21 @@ def _followed(order: list[Column], *group: str) -> Column:
     return F.col("resolves") & F.lead("leaves", 1, False).over(Window.partitionBy(*group).orderBy(*order))
 
 
-def _flags_in_one_group(moves: DataFrame, order: list[Column]) -> DataFrame:
-    paired = moves.withColumn("hit", _followed(order, "key") | F.col("direct"))
-    return paired.groupBy("key").agg(F.bool_or("hit").alias("was_reopened"))
-
+def reopen_flags(changelog: DataFrame, order_by: tuple[str, ...] = ("created", "id"), unit: str = "day") -> DataFrame:
+    """Per issue with usable status changes, whether it was reopened.
 
-def _flags_in_segments(moves: DataFrame, order: list[Column]) -> DataFrame:
-    """The same flags for long histories: each is cut into ordered ranges, which are reduced one by one.
+    That is: a change into a resolved state directly followed by one out of such a state into an open
+    one, or any change to "reopened". Changes without a time come first.
 
-    A range partitioning on (key, order) spreads one key over many tasks. Each range is reduced to its
-    first and last row and whether it holds a pair; the few range rows of a key are then linked up.
+    Every history is cut into segments by the `unit` of its first order column. A segment is reduced to its first and
+    last row and whether it holds a pair; the few segments of an issue are then linked up. So the changes are
+    shuffled once, by issue and segment, and an issue with very many of them fills many tasks.
     """
-    ranged = moves.repartitionByRange("key", *order).withColumn("segment", F.spark_partition_id())
+    order = [F.col(name) for name in order_by]
+    moves = _status_moves(changelog, order_by).withColumn("segment", F.date_trunc(unit, order_by[0]))
     place = F.struct(*order)
     segments = (
-        ranged.withColumn("hit", _followed(order, "key", "segment") | F.col("direct"))
+        moves.withColumn("hit", _followed(order, "key", "segment") | F.col("direct"))
         .groupBy("key", "segment")
         .agg(
             F.bool_or("hit").alias("hit"),
@@ -61,20 +54,6 @@ def _flags_in_segments(moves: DataFrame, order: list[Column]) -> DataFrame:
     return linked.groupBy("key").agg(F.bool_or("hit").alias("was_reopened"))
 
 
-def reopen_flags(
-    changelog: DataFrame, order_by: tuple[str, ...] = ("created", "id"), hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Per issue with usable status changes, whether it was reopened.
-
-    That is: a change into a resolved state directly followed by one out of such a state into an open
-    one, or any change to "reopened". Issues with more than `hot_rows` changes are worked on in
-    segments, all others in one group each. Both ways give the same flags.
-    """
-    order = [F.col(name) for name in order_by]
-    ordinary, hot = split_hot(_status_moves(changelog, order_by), "key", hot_rows)
-    return _flags_in_one_group(ordinary, order).unionByName(_flags_in_segments(hot, order))
-
-
 def flag_bugs(bugs: DataFrame, flags: DataFrame | None = None) -> DataFrame:
     """Bugs with `was_reopened`, False for those without a flag."""
     if flags is None:

@@ -3,10 +3,10 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketscope.functions.hashing import key_fraction
+from ticketscope.functions.hashing import BALANCE, SAMPLE, SIZE, key_fraction
 
 
-def hash_sample(df: DataFrame, key: str, fraction: float, salt: str = "") -> DataFrame:
+def hash_sample(df: DataFrame, key: str, fraction: float, salt: str = SAMPLE) -> DataFrame:
     """Rows whose key hash lies in the first `fraction` of the range."""
     return df.filter(key_fraction(key, salt) < fraction)
 
@@ -19,7 +19,7 @@ def bernoulli_sample(df: DataFrame, fraction: float, seed: int = 42) -> DataFram
 def sample_to_size(df: DataFrame, key: str, size: int) -> DataFrame:
     """About `size` rows, or all of them when there are no more; the count is a scalar subquery."""
     total = df.agg(F.count(F.lit(1))).scalar()
-    return df.filter(key_fraction(key) < F.try_divide(F.lit(float(size)), total))
+    return df.filter(key_fraction(key, SIZE) < F.try_divide(F.lit(float(size)), total))
 
 
 def hash_split(df: DataFrame, key: str, train: float = 0.8, salt: str = "split") -> tuple[DataFrame, DataFrame]:
@@ -41,4 +41,4 @@ def balanced_sample(features: DataFrame, ratio: float = 3.0, flag: str = "was_re
     """All positives and about `ratio` negatives for each of them."""
     counts = features.agg(F.count_if(F.col(flag)).alias("pos"), F.count_if(~F.col(flag)).alias("neg"))
     fraction = counts.select(F.try_divide(F.col("pos") * F.lit(float(ratio)), F.col("neg"))).scalar()
-    return features.filter(F.col(flag) | (~F.col(flag) & (key_fraction(key) < fraction)))
+    return features.filter(F.col(flag) | (~F.col(flag) & (key_fraction(key, BALANCE) < fraction)))

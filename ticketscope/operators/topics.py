@@ -15,7 +15,11 @@ def fit_topics(prepared: DataFrame, k: int = 5, iterations: int = 10, seed: int
 
 def topic_terms(model: LDAModel, vocabulary: list[str], terms: int = 3) -> DataFrame:
     """The strongest terms of each topic with their words, in weight order."""
-    topics = model.describeTopics(terms)
+    return terms_to_words(model.describeTopics(terms), vocabulary)
+
+
+def terms_to_words(topics: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """Topics (topic, termIndices, termWeights) with words in place of indices, in the order given."""
     words = topics.sparkSession.createDataFrame(list(enumerate(vocabulary)), "term int, word string")
     listed = topics.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("place", "t"))
     return (

@@ -115,12 +115,39 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Shapes of time stamps in exports: format of the text, and the hours its clock is ahead of UTC.
+TIME_SHAPES = {
+    1: ("yyyy-MM-dd'T'HH:mm:ss.SSS'+0500'", 5),
+    2: ("yyyy-MM-dd HH:mm", 0),
+    3: ("yyyy-MM-dd", 0),
+    4: ("yyyy-MM-dd'T'HH:mm:ss'-03:00'", -3),
+    5: ("yyyy-MM-dd HH:mm:ss.SSSSSS'Z'", 0),
+}
+
+
+def shaped(time: Column, shape: Column) -> Column:
+    """The time's clock reading as text in the shape of that number, plain for all others."""
+    cases = F.when(F.lit(False), "")
+    for number, (pattern, _) in TIME_SHAPES.items():
+        cases = cases.when(shape == number, F.date_format(time, pattern))
+    return cases.otherwise(F.date_format(time, "yyyy-MM-dd HH:mm:ss"))
+
+
+def dated_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues whose creation and resolution are text, each in one of all the shapes."""
+    number = F.regexp_extract("key", r"(\d+)$", 1).cast("long")
+    return issues(spark, sf_dir, text=False).select(
+        "key", shaped(F.col("created"), number % 6).alias("created"),
+        shaped(F.col("resolutiondate"), F.floor(number / 6) % 6).alias("resolutiondate"),
+    )
+
+
 def raw_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An uncleaned export with one line per shipment: repeated keys, dotted names, gaps, two-digit years."""
     number = F.col("l_orderkey")
     started = F.col("l_shipdate") - F.make_dt_interval(days=F.col("l_quantity").cast("int"))
     shape = F.when(F.col("l_discount") == 0.0, F.date_format(started, "dd-MM-yy")).otherwise(
-        F.date_format(started, "yyyy-MM-dd HH:mm:ss")
+        shaped(started, F.col("l_linenumber"))
     )
     return table(spark, sf_dir, "lineitem").select(
         issue_key(number).alias("key"),

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ticketscope.operators.cleaning import bug_share, load_bugs
 from ticketscope.operators.clusters import (
-    best_k, cluster, cluster_counts, cluster_examples, cluster_extremes, cluster_features, cluster_keywords,
-    cluster_reopen_rates, scan_k,
+    best_k, cluster_counts, cluster_examples, cluster_extremes, cluster_features, cluster_keywords,
+    cluster_reopen_rates, scan_models, with_words,
 )
 from ticketscope.operators.importance import feature_importance
 from ticketscope.operators.memory import keep
@@ -55,7 +55,7 @@ def run_bug_analysis(
     """
     bugs, changes = load_bugs(issues, changelog, sample)
     flagged = flag_bugs(bugs, reopen_flags(changes) if changes is not None else None)
-    features = keep(reopen_features(flagged, changes))
+    features = keep(with_words(reopen_features(flagged, changes)))  # words, split once for models and clusters
 
     data = reopen_datasets(features)
     results = train_reopen_models(data, models, trees)
@@ -63,9 +63,10 @@ def run_bug_analysis(
 
     vectors, _ = cluster_features(features, cluster_fraction)
     vectors = keep(vectors)
-    scores = scan_k(vectors, ks)
+    scanned = scan_models(vectors, ks)
+    scores = [(k, score) for k, (score, _) in scanned.items()]
     k = best_k(scores)
-    clustered = cluster(vectors, k)
+    clustered = scanned[k][1].transform(vectors)
 
     tables = {
         "bug_share": bug_share(issues),

@@ -3,17 +3,23 @@
 from collections.abc import Callable
 from functools import wraps
 
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator
+from pyspark.ml.feature import StringIndexer
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ticketscope.constants import SLOW_COLUMNS
 from ticketscope.functions.text import tokens
 from ticketscope.operators import (
     cleaning, clusters, importance, metrics, models, reopening, resolution, sampling, sentiment, topics,
 )
 from ticketscope.operators.memory import keep
 from ticketscope.plans import bindings
+from ticketscope.plans.activity_report import run_activity_report
 from ticketscope.plans.bug_analysis import run_bug_analysis, save_results, summary
-from ticketscope.sources import read_csv, shared_path
+from ticketscope.plans.comment_analysis import run_comment_analysis
+from ticketscope.sources import ingest_csv, read_csv, read_parquet, shared_path, write_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +53,10 @@ def _features(spark: SparkSession, sf: str) -> DataFrame:
     return reopening.reopen_features(_bugs(spark, sf), bindings.changelog(spark, sf))
 
 
+def _flags_by_project(spark: SparkSession, sf: str) -> DataFrame:
+    return _bugs(spark, sf, text=False).withColumn("prediction", F.col("project_name"))
+
+
 def _by_project(spark: SparkSession, sf: str) -> DataFrame:
     return _features(spark, sf).withColumn("prediction", F.col("project_name"))
 
@@ -68,7 +78,7 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, sf: str, vocab_size: int = 5000) -> DataFrame:
-    vectors, _ = clusters.cluster_features(_hold(_features(spark, sf)), vocab_size=vocab_size)
+    vectors, _ = clusters.cluster_features(_hold(clusters.with_words(_features(spark, sf))), vocab_size=vocab_size)
     return _hold(vectors.select("key", "summary", "was_reopened", "filtered_words", "features"))
 
 
@@ -82,6 +92,19 @@ def _csv_issues(spark: SparkSession, sf: str) -> DataFrame:
     return cleaning.clean_issues(read_csv(spark, path))
 
 
+def _ingested_issues(spark: SparkSession, sf: str) -> DataFrame:
+    folder = shared_path(spark, "export")
+    bindings.raw_issues(spark, sf).write.option("header", True).option("escape", '"').csv(f"{folder}/issues.csv")
+    return read_parquet(spark, ingest_csv(spark, folder, f"{folder}/cleaned", ("issues",))["issues"])
+
+
+def _report_fields(spark: SparkSession, sf: str) -> DataFrame:
+    return run_activity_report(
+        bindings.raw_issues(spark, sf), bindings.raw_comments(spark, sf), bindings.raw_changelog(spark, sf),
+        "2001-08-01", shared_path(spark, "activity_report"),
+    )["top_changed_fields"]
+
+
 def _enriched(spark: SparkSession, sf: str) -> DataFrame:
     enriched = cleaning.enrich_issues(
         bindings.issues(spark, sf, text=False), bindings.comments(spark, sf), bindings.changelog(spark, sf)
@@ -99,6 +122,8 @@ _TABLES: dict[str, Query] = {
     "issue_profile": lambda spark, sf: cleaning.table_profile(bindings.issues(spark, sf)),
     "clean_issues": lambda spark, sf: cleaning.clean_issues(bindings.raw_issues(spark, sf)),
     "csv_issues": _csv_issues,
+    "ingested_issues": _ingested_issues,
+    "activity_report_fields": _report_fields,
     "clean_comments": lambda spark, sf: cleaning.clean_comments(bindings.raw_comments(spark, sf)),
     "clean_changelog": lambda spark, sf: cleaning.clean_changelog(bindings.raw_changelog(spark, sf)),
     "enriched_issues": _enriched,
@@ -129,9 +154,26 @@ def _split(spark: SparkSession, sf: str) -> DataFrame:
     return train.withColumn("in_train", F.lit(True)).unionByName(test.withColumn("in_train", F.lit(False)))
 
 
+def _balanced_after_sample(spark: SparkSession, sf: str) -> DataFrame:
+    bugs, changes = cleaning.load_bugs(bindings.issues(spark, sf, text=False), bindings.changelog(spark, sf), 0.3)
+    flagged = reopening.flag_bugs(bugs, reopening.reopen_flags(changes))
+    return sampling.balanced_sample(flagged.select("key", "was_reopened"))
+
+
+def _unflagged_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Features where no change history is at hand."""
+    bugs, _ = cleaning.load_bugs(bindings.issues(spark, sf))
+    return reopening.reopen_features(reopening.flag_bugs(bugs)).select(
+        "key", "was_reopened", F.col("summary_length").cast("bigint").alias("summary_length"),
+        F.col("description_length").cast("bigint").alias("description_length"), "comment_count", "status_change_count",
+    )
+
+
 _REOPENING: dict[str, Query] = {
+    "balanced_after_sample": _balanced_after_sample,
+    "features_without_changelog": _unflagged_features,
     "reopen_flags": lambda spark, sf: reopening.reopen_flags(bindings.changelog(spark, sf)),
-    "reopen_flags_segmented": lambda spark, sf: reopening.reopen_flags(bindings.changelog(spark, sf), hot_rows=2),
+    "reopen_flags_segmented": lambda spark, sf: reopening.reopen_flags(bindings.changelog(spark, sf), unit="hour"),
     "flagged_bugs": lambda spark, sf: _bugs(spark, sf, text=False).select("key", "was_reopened"),
     "reopen_share": lambda spark, sf: reopening.reopen_share(_bugs(spark, sf, text=False)),
     "reopen_examples": lambda spark, sf: reopening.reopen_examples(_bugs(spark, sf, text=False)),
@@ -171,16 +213,15 @@ _COMMENTS: dict[str, Query] = {
 
 
 def _sentiment_report(spark: SparkSession, sf: str) -> DataFrame:
-    predictions, _, _ = models.sentiment_classifier(_scored(spark, sf))
-    return metrics.classification_report(predictions)
+    vectors = models.comment_vectors(_scored(spark, sf))
+    _held.extend(vectors.held)
+    return metrics.classification_report(models.sentiment_classifier(vectors)[0])
 
 
 def _word_vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
-    scored = _scored(spark, sf).select("comment_id", "cleaned_text", "sentiment_category")
-    scored = _hold(sampling.spread(scored, "comment_id"))
-    fitted = models.sentiment_stages().fit(scored)
-    vocabulary = fitted.stages[-1].vocabulary
-    return _hold(fitted.transform(scored).select("sentiment_category", "features")), vocabulary
+    vectors = models.comment_vectors(_scored(spark, sf))
+    _held.extend(vectors.held)
+    return vectors.rows, vectors.words.stages[-1].vocabulary
 
 
 def _lda_topics(spark: SparkSession, sf: str) -> DataFrame:
@@ -199,7 +240,37 @@ def _topic_weights_by_label(spark: SparkSession, sf: str) -> DataFrame:
     return by_label.select("label", *[F.round(f"avg_topic_{i}", 6).alias(f"avg_topic_{i}") for i in range(64)])
 
 
+def _topic_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """The weights of each comment's topics, which must sum to one."""
+    prepared, _ = _word_vectors(spark, sf)
+    weights = topics.topic_weights(topics.fit_topics(prepared, 3, 2), prepared)
+    total = F.aggregate("topic_dist_array", F.lit(0.0), lambda sum_, w: sum_ + w)
+    return weights.select("comment_id", F.round(total, 4).alias("total"))
+
+
+def _region_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Regions as topics: the nations in them are terms, weighed by their number."""
+    nations = bindings.table(spark, sf, "nation")
+    names = [row["n_name"] for row in nations.orderBy("n_nationkey").collect()]  # 25 nations
+    term = F.struct(F.col("n_nationkey").cast("int").alias("i"), F.col("n_nationkey").cast("double").alias("w"))
+    terms = F.sort_array(F.collect_list(term))
+    listed = nations.groupBy(F.col("n_regionkey").cast("int").alias("topic")).agg(terms.alias("t"))
+    shown = topics.terms_to_words(
+        listed.select("topic", F.col("t.i").alias("termIndices"), F.col("t.w").alias("termWeights")), names
+    )
+    return shown.select("topic", F.array_join("termWords", "|").alias("words"), F.aggregate("termWeights", F.lit(0.0), lambda x, w: x + w).alias("weight"))
+
+
+def _comment_study(spark: SparkSession, sf: str) -> DataFrame:
+    analysis = run_comment_analysis(bindings.comments(spark, sf), bindings.issues(spark, sf, text=False), topics=2)
+    _held.extend(analysis.held)
+    return analysis.tables["sentiment_vs_resolution"]
+
+
 _TOPICS: dict[str, Query] = {
+    "topic_weight_totals": _topic_totals,
+    "region_terms": _region_terms,
+    "comment_study": _comment_study,
     "sentiment_model_report": _sentiment_report,
     "lda_topics": _lda_topics,
     "topic_by_sentiment": _topic_by_sentiment,
@@ -225,20 +296,43 @@ def _kmeans(spark: SparkSession, sf: str, k: int = 4, algorithm: str = "kmeans")
     return clusters.cluster(_vectors(spark, sf), k, algorithm)
 
 
+def _embedding_silhouette(spark: SparkSession, sf: str) -> DataFrame:
+    """Silhouette of the embeddings with their labels as clusters."""
+    vectors = bindings.table(spark, sf, "embeddings").select(
+        array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), F.col("label").cast("int").alias("prediction")
+    )
+    score = ClusteringEvaluator(featuresCol="features", predictionCol="prediction").evaluate(vectors)
+    return spark.createDataFrame([(round(float(score), 6),)], "silhouette double")
+
+
+def _saved_counts(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_path(spark, "cluster_counts")
+    write_report(clusters.cluster_counts(_flags_by_project(spark, sf)), path, ["prediction"])
+    return read_csv(spark, path).select("prediction", F.col("count").cast("bigint").alias("count"))
+
+
+def _kmeans_total(spark: SparkSession, sf: str) -> DataFrame:
+    counts = clusters.cluster_counts(_kmeans(spark, sf))
+    return counts.agg(F.sum("count").alias("bugs"), F.count(F.lit(1)).alias("clusters"))
+
+
 _CLUSTERS: dict[str, Query] = {
-    "cluster_counts": lambda spark, sf: clusters.cluster_counts(_by_project(spark, sf)),
+    "embedding_silhouette": _embedding_silhouette,
+    "saved_cluster_counts": _saved_counts,
+    "kmeans_total": _kmeans_total,
+    "cluster_counts": lambda spark, sf: clusters.cluster_counts(_flags_by_project(spark, sf)),
     "cluster_keywords": _document_keywords,
     "cluster_examples": lambda spark, sf: clusters.cluster_examples(
-        _bugs(spark, sf, text=False).withColumn("prediction", F.col("project_name"))
+        _flags_by_project(spark, sf)
     ),
-    "cluster_reopening_rates": lambda spark, sf: clusters.cluster_reopen_rates(_by_project(spark, sf)),
+    "cluster_reopening_rates": lambda spark, sf: clusters.cluster_reopen_rates(_flags_by_project(spark, sf)),
     "cluster_extremes": lambda spark, sf: clusters.cluster_extremes(_by_project(spark, sf)),
     "cluster_silhouettes": _silhouettes,
     "kmeans_counts": lambda spark, sf: clusters.cluster_counts(_kmeans(spark, sf)),
     "bisecting_counts": lambda spark, sf: clusters.cluster_counts(_kmeans(spark, sf, algorithm="bisecting")),
     "kmeans_keywords": lambda spark, sf: clusters.cluster_keywords(_kmeans(spark, sf)),
     "pca_projection": lambda spark, sf: clusters.pca_projection(
-        clusters.cluster(_vectors(spark, sf, vocab_size=200), 4)
+        clusters.cluster(_vectors(spark, sf, vocab_size=1000), 4)
     ),
 }
 
@@ -272,19 +366,19 @@ def _slow_models(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _slow_confusion(spark: SparkSession, sf: str) -> DataFrame:
-    data, results = _slow(spark, sf, ["LogReg", "DecisionTree"])
+    data, results = _slow(spark, sf)
     return metrics.confusion_table(models.tagged_predictions(results, data.test))
 
 
 def _slow_permutation(spark: SparkSession, sf: str) -> DataFrame:
-    data, results = _slow(spark, sf, ["LogReg"])
+    data, results = _slow(spark, sf)
     test = data.test.drop("features")
-    return importance.permutation_importance(results[0].model, data.pipeline, test, models.SLOW_COLUMNS)
+    return importance.permutation_importance(models.best_model(results).model, data.pipeline, test, SLOW_COLUMNS)
 
 
 def _slow_coefficients(spark: SparkSession, sf: str) -> DataFrame:
     data, results = _slow(spark, sf, ["LogReg"])
-    inputs = [f"{name}_vec" for name in models.SLOW_COLUMNS]
+    inputs = [f"{name}_vec" for name in SLOW_COLUMNS]
     return importance.grouped_coef_importance(results[0].model, data.train, inputs)
 
 
@@ -311,7 +405,42 @@ def _permuted_values(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _confusion_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells per model, which must be all test rows."""
+    cells = _slow_confusion(spark, sf)
+    return cells.select("Model", (F.col("TP") + F.col("FP") + F.col("TN") + F.col("FN")).alias("rows"))
+
+
+def _folded_counts(spark: SparkSession, sf: str) -> DataFrame:
+    data = models.slow_datasets(bindings.issues(spark, sf, text=False))
+    _held.extend(data.held)
+    return models.folded_counts(data.train).withColumn("fold", F.col("fold").cast("bigint"))
+
+
+def _indexed_projects(spark: SparkSession, sf: str) -> DataFrame:
+    """Each project's index: by falling number of issues, then by name."""
+    issues = bindings.issues(spark, sf, text=False).select("project_name")
+    indexer = StringIndexer(inputCol="project_name", outputCol="index").fit(issues)
+    return indexer.transform(issues).distinct()
+
+
+def _scored_auc(spark: SparkSession, sf: str) -> DataFrame:
+    """Area under the curve of a fixed score with ties."""
+    rows = bindings.table(spark, sf, "labels").select(
+        F.col("quality").cast("double").alias("label"), (F.col("doc_id") % 10 + F.col("toxic") * 3).cast("double").alias("score")
+    )
+    auc = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="score").evaluate(rows)
+    return spark.createDataFrame([(round(float(auc), 9),)], "auc double")
+
+
 _MODELS: dict[str, Query] = {
+    "slow_confusion_totals": _confusion_totals,
+    "folded_counts": _folded_counts,
+    "indexed_projects": _indexed_projects,
+    "scored_auc": _scored_auc,
+    "offset_hours": lambda spark, sf: resolution.resolution_hours(bindings.dated_issues(spark, sf)).select(
+        "key", "resolution_hours"
+    ),
     "class_metrics": lambda spark, sf: metrics.class_metrics(_pairs(spark, sf)),
     "classification_report": _report,
     "confusion_table": _confusion_by_source,
@@ -333,7 +462,7 @@ _MODELS: dict[str, Query] = {
 
 def _analysis(spark: SparkSession, sf: str):
     analysis = run_bug_analysis(
-        spark, bindings.issues(spark, sf), bindings.changelog(spark, sf), models=["LogisticRegression"], ks=[2, 3, 4]
+        spark, bindings.issues(spark, sf), bindings.changelog(spark, sf)
     )
     _held.extend(analysis.held)
     return analysis

@@ -1,10 +1,21 @@
 """The registered queries once more, as plain SQL over the given tables."""
 
-from ticketscope.constants import (
-    NEGATIVE_PATTERNS, POSITIVE_PATTERNS, REOPEN_WORDS, RESOLUTION_WORDS, SENTIMENT_BOUNDS, SENTIMENTS,
-)
 from ticketscope.plans.bindings import COMMENT_ENDINGS
 
+# --- fixed values, spelled out here once more so that a slip in the code's own lists shows as a difference ---
+RESOLUTION_WORDS = ["resolved", "closed", "done", "fixed", "completed"]
+REOPEN_WORDS = ["reopened", "in progress", "open", "todo", "to do", "in development"]
+POSITIVE_PATTERNS = [
+    "thank", "good", "great", "excellent", "awesome", "works", "working", "fixed", "resolved", "solved", "correct",
+    "perfect", "nice", "love", "happy", "helpful", "appreciated", "appreciate",
+]
+NEGATIVE_PATTERNS = [
+    "bug", "issue", "problem", "error", "fail", "failed", "wrong", "bad", "broken", "not work", "doesn't work",
+    "incorrect", "crash", "stuck", "terrible", "horrible", "awful", "disappointing",
+]
+SENTIMENTS = ["Very Negative", "Negative", "Neutral", "Positive", "Very Positive"]
+SENTIMENT_BOUNDS = [-0.6, -0.2, 0.2, 0.6]
+
 
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
@@ -34,10 +45,21 @@ def _bucket(score: str) -> str:
     return f"case {steps} else {_quoted(SENTIMENTS[-1])} end"
 
 
-def _fraction(key: str, salt: str = "") -> str:
+def _fraction(key: str, salt: str) -> str:
     return f"(cast(concat('0x', substring(md5(concat('{salt}', {key})), 1, 8)) as bigint) / 4294967296.0::double)"
 
 
+def _shaped(time: str, shape: str) -> str:
+    return f"""case {shape} when 1 then strftime({time}, '%Y-%m-%dT%H:%M:%S.000+0500')
+        when 2 then strftime({time}, '%Y-%m-%d %H:%M') when 3 then strftime({time}, '%Y-%m-%d')
+        when 4 then strftime({time}, '%Y-%m-%dT%H:%M:%S-03:00') when 5 then strftime({time}, '%Y-%m-%d %H:%M:%S.000000Z')
+        else strftime({time}, '%Y-%m-%d %H:%M:%S') end"""
+
+
+def _ahead(shape: str) -> str:
+    return f"to_hours(case {shape} when 1 then 5 when 4 then -3 else 0 end)"
+
+
 _EVENT_ISSUE = "(user_id * 10 + extract(day from ts) % 10)"
 _SECONDS = "(floor(epoch({1})) - floor(epoch({0})))"
 _ENDINGS = " ".join(f"when {n} then {_quoted(text)}" for n, text in COMMENT_ENDINGS.items())
@@ -70,7 +92,8 @@ _VIEWS = {
           case l_returnflag when 'A' then 'High' when 'N' then 'Low' end as priority_name,
           case l_linestatus when 'O' then 'Open' else concat('Closed, "done"', chr(10), 'for good') end as status_name,
           case when l_discount = 0.0 then strftime(l_shipdate - to_days(cast(l_quantity as int)), '%d-%m-%y')
-            else strftime(l_shipdate - to_days(cast(l_quantity as int)), '%Y-%m-%d %H:%M:%S') end as created,
+            else {_shaped('(l_shipdate - to_days(cast(l_quantity as int)))', 'l_linenumber')} end as created,
+          case when l_discount <> 0.0 then (l_shipdate - to_days(cast(l_quantity as int))) - {_ahead('l_linenumber')} end as created_at,
           strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') as updated
         from lineitem""",
     "moves": f"""
@@ -165,8 +188,7 @@ def _with(views: list[str], body: str) -> str:
 
 
 _CLEAN_ISSUES = _with(["raw_issues"], """
-    select key, issuetype_name, priority_name, status_name, 
-      try_strptime(created, '%Y-%m-%d %H:%M:%S') as created, try_strptime(updated, '%Y-%m-%d %H:%M:%S') as updated
+    select key, issuetype_name, priority_name, status_name, created_at as created, try_strptime(updated, '%Y-%m-%d %H:%M:%S') as updated
     from (select *, row_number() over (partition by key order by updated desc, issuetype_name desc nulls last,
         priority_name desc nulls last, status_name desc nulls last, created desc nulls last) as n from raw_issues)
     where n = 1 and priority_name is not null and created like '20%' and updated like '20%'""")
@@ -187,6 +209,69 @@ def oracle_sql() -> dict[str, str]:
             from issues"""),
         "clean_issues": _CLEAN_ISSUES,
         "csv_issues": _CLEAN_ISSUES,
+        "ingested_issues": _CLEAN_ISSUES,
+        "activity_report_fields": f"""
+            select event_type as field, count(*) as total_changes, count(distinct {_key(_EVENT_ISSUE)}) as affected_issues
+            from events where event_type <> 'error' group by 1 order by 2 desc, 1 limit 10""",
+        "offset_hours": _with(["issues"], f"""
+            select key, ({_SECONDS.format('created', 'resolutiondate')} / 3600.0::double)
+              + (case n % 6 when 1 then 5 when 4 then -3 else 0 end) - (case (n // 6) % 6 when 1 then 5 when 4 then -3 else 0 end)
+              as resolution_hours
+            from (select *, cast(split_part(key, '-', 2) as bigint) as n from issues where resolutiondate is not null)"""),
+        "balanced_after_sample": _with(["bugs"], f"""
+            select key, was_reopened from bugs where {_fraction('key', 'issues')} < 0.3 and (was_reopened
+              or {_fraction('key', 'balance')} < (
+                select count(*) filter (where was_reopened) * 3.0::double / count(*) filter (where not was_reopened)
+                from bugs where {_fraction('key', 'issues')} < 0.3))"""),
+        "features_without_changelog": _with(["issues"], """
+            select key, false as was_reopened, coalesce(length(summary), 0)::bigint as summary_length,
+              coalesce(length(description), 0)::bigint as description_length, 0::bigint as comment_count,
+              0::bigint as status_change_count
+            from issues where issuetype_name = 'Bug'"""),
+        "topic_weight_totals": _with(["scored"], "select comment_id, 1.0::double as total from scored"),
+        "region_terms": """
+            select n_regionkey::int as topic, string_agg(n_name, '|' order by n_nationkey) as words,
+              sum(n_nationkey)::double as weight
+            from nation group by 1""",
+        "saved_cluster_counts": _with(["clusters"], "select prediction, total_bugs as count from clusters"),
+        "kmeans_total": _with(["bugs"], "select count(*) as bugs, 4::bigint as clusters from bugs"),
+        "slow_confusion_totals": _with(["resolved"], f"""
+            select m as Model, (select count(*) from resolved where not {_fraction('key', 'split')} < 0.8) as rows
+            from (select unnest(['RandomForest', 'GBT', 'LogReg', 'DecisionTree']) as m)"""),
+        "folded_counts": _with(["resolved"], f"""
+            select issuetype_name, priority_name, project_name, status_name, cast(resolution_hours > (
+                select sum(cast(round(resolution_hours * 3600) as bigint)) / 3600.0::double / count(*)
+                from resolved where {_fraction('key', 'split')} < 0.8) as int) as label,
+              cast(floor({_fraction('key', 'fold')} * 3) as bigint) as fold, {_fraction('key', 'held out')} < 0.2 as held_out,
+              count(*)::double as weight
+            from resolved where {_fraction('key', 'split')} < 0.8 group by all"""),
+        "indexed_projects": _with(["issues"], """
+            select project_name, (row_number() over (order by n desc, project_name) - 1)::double as index
+            from (select project_name, count(*) as n from issues group by 1)"""),
+        "scored_auc": """
+            with s as (select quality as label, doc_id % 10 + toxic * 3 as score, count(*) as n from labels group by all)
+            select round(sum(case when p.score > q.score then p.n * q.n when p.score = q.score then 0.5 * p.n * q.n else 0 end)::double
+              / ((select sum(n) from s where label = 1) * (select sum(n) from s where label = 0)), 9) as auc
+            from s p join s q on p.label = 1 and q.label = 0""",
+        "embedding_silhouette": """
+            with points as (select row_number() over () as r, label, embedding::double[] as x from embeddings),
+            squares as (select r, label, x, list_dot_product(x, x) as s from points),
+            sums as (select label, i, sum(v) as v from (select label, unnest(x) as v, unnest(range(len(x))) as i from points) group by 1, 2),
+            groups as (select label, list(v order by i) as y from sums group by 1),
+            sizes as (select label, count(*) as n, sum(s) as s from squares group by 1),
+            apart as (
+              select p.r, p.label, g.label as other, z.n, p.s + z.s / z.n - 2 * list_dot_product(p.x, g.y) / z.n as d
+              from squares p, groups g join sizes z on g.label = z.label),
+            sides as (
+              select r, max(d * n / nullif(n - 1, 0)) filter (where label = other) as a, max(n) filter (where label = other) as n,
+                min(d) filter (where label <> other) as b from apart group by r)
+            select round(avg(case when n = 1 then 0.0 else (b - a) / greatest(a, b) end), 6) as silhouette from sides""",
+        "comment_study": _with(["by_issue", "issues"], f"""
+            select {_bucket('avg_sentiment')} as sentiment_bucket, count(*) as issue_count,
+              avg(days) as avg_resolution_days, min(days)::int as min_resolution_days, max(days)::int as max_resolution_days
+            from by_issue join (select key, date_diff('day', created::date, resolutiondate::date) as days from issues) i
+              on by_issue.key = i.key
+            where days >= 0 group by 1"""),
         "clean_comments": f"""
             select comment_id, key, comment_body from (
               select *, row_number() over (partition by comment_id
@@ -216,7 +301,7 @@ def oracle_sql() -> dict[str, str]:
             from events group by 1 order by 2 desc, 1 limit 10""",
         "sampled_bug_changes": _with(["issues", "changelog"], f"""
             select id, key, field from changelog where key in (
-              select key from issues where issuetype_name = 'Bug' and {_fraction('key')} < 0.3)"""),
+              select key from issues where issuetype_name = 'Bug' and {_fraction('key', 'issues')} < 0.3)"""),
         "reopen_flags": _with(["flags"], "select key, was_reopened from flags"),
         "reopen_flags_segmented": _with(["flags"], "select key, was_reopened from flags"),
         "flagged_bugs": _with(["bugs"], "select key, was_reopened from bugs"),
@@ -242,13 +327,13 @@ def oracle_sql() -> dict[str, str]:
             from features left join (select key, count(*) as n from moves group by key) m on features.key = m.key
             group by was_reopened"""),
         "balanced_sample": _with(["bugs"], f"""
-            select key, was_reopened from bugs where was_reopened or {_fraction('key')} < (
+            select key, was_reopened from bugs where was_reopened or {_fraction('key', 'balance')} < (
               select count(*) filter (where was_reopened) * 3.0::double / count(*) filter (where not was_reopened)
               from bugs)"""),
         "train_test_split": _with(["bugs"], f"""
             select key, {_fraction('key', 'split')} < 0.8 as in_train from bugs"""),
         "comment_sample": _with(["comments"], f"""
-            select comment_id from comments where {_fraction('comment_id')} < 300.0::double / (select count(*) from comments)"""),
+            select comment_id from comments where {_fraction('comment_id', 'size')} < 300.0::double / (select count(*) from comments)"""),
         "cleaned_comments": _with(["cleaned"], """
             select comment_id, key, cleaned_text from cleaned where length(cleaned_text) > 10"""),
         "comment_sentiment": _with(["scored"], "select comment_id, sentiment_score, sentiment_category from scored"),

@@ -1,17 +1,29 @@
 """The whole slow-issue study: four tuned classifiers, how they compare and what they rely on."""
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 
 from ticketscope.operators.importance import grouped_coef_importance, permutation_importance
 from ticketscope.operators.metrics import confusion_table
+from ticketscope.constants import SLOW_COLUMNS
 from ticketscope.operators.models import (
-    SLOW_COLUMNS, best_model, model_comparison, slow_datasets, tagged_predictions, train_slow_models,
+    Datasets, best_model, model_comparison, slow_datasets, tagged_predictions, train_slow_models,
 )
 
 
-def run_slow_resolution(
-    issues: DataFrame, models: list[str] | None = None, parity: bool = False
-) -> dict[str, DataFrame]:
+@dataclass
+class SlowResolution:
+    """Result tables by name; `release()` frees the tables they are computed from."""
+
+    tables: dict[str, DataFrame]
+    data: Datasets
+
+    def release(self) -> None:
+        self.data.release()
+
+
+def run_slow_resolution(issues: DataFrame, models: list[str] | None = None, parity: bool = False) -> SlowResolution:
     """Model comparison, confusion cells, permutation importance of the best model and coefficient shares."""
     spark = issues.sparkSession
     data = slow_datasets(issues, parity)
@@ -28,5 +40,4 @@ def run_slow_resolution(
         if result.name == "LogReg":
             inputs = [f"{name}_vec" for name in SLOW_COLUMNS]
             tables["coefficient_importance"] = grouped_coef_importance(result.model, data.train, inputs)
-    data.release()
-    return tables
+    return SlowResolution(tables, data)

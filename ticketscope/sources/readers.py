@@ -15,6 +15,8 @@ def read_csv(
 
     A multi-line file is read by one task, so land large exports as many files, or pass
     `multi_line=False` for exports known to hold one record per line: those are split.
+    Every file's header must name the columns of the schema, or else of the first file, in that order: Spark refuses
+    a file that does not, rather than taking its columns by position.
     """
     reader = (
         spark.read.option("header", True)
@@ -24,9 +26,8 @@ def read_csv(
         .option("maxColumns", max_columns)
         .option("maxCharsPerColumn", -1)
     )
-    if schema is not None:
-        reader = reader.schema(schema).option("enforceSchema", False)
-    return reader.csv(path)
+    schema = reader.csv(path).schema if schema is None else schema
+    return reader.schema(schema).option("enforceSchema", False).csv(path)
 
 
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:

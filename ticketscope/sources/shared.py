@@ -1,20 +1,23 @@
 """The folder every executor can reach, for intermediate tables that must outlive a task."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by spark.checkpoint.dir; a temporary one only where the session names none (as in tests)."""
+    """Folder named by spark.checkpoint.dir. Unset, a session in one process gets a local one; a cluster is refused."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="ticketscope-"))
         folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A path for one named intermediate table of this application."""
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}"
+    """A fresh path for one intermediate table; no two calls share it."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"

@@ -6,7 +6,6 @@ from ticketscope.operators.cleaning import clean_changelog, clean_comments, clea
 from ticketscope.sources.readers import read_csv
 
 _CLEANERS = {"issues": clean_issues, "changelog": clean_changelog, "comments": clean_comments}
-MAX_REPORT_ROWS = 100_000
 
 
 def write_cleaned(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
@@ -17,23 +16,16 @@ def write_cleaned(df: DataFrame, path: str, partition_by: list[str] | None = Non
     writer.parquet(path)
 
 
-def write_report(df: DataFrame, path: str, order_by: list | None = None) -> None:
-    """Overwrite a CSV report with a header: one ordered file up to MAX_REPORT_ROWS rows, else many files.
+def write_report(df: DataFrame, path: str, order_by: list | None = None, single_file: bool = True) -> None:
+    """Overwrite a CSV report with a header: one ordered file, or with `single_file=False` written by all tasks.
 
-    The size check takes one row over the bound, so a large table is never pulled into one task; it is
-    written whole by all tasks instead.
+    A single file passes through one task, so leave it for reports that are known to be short.
     """
-    head = df.limit(MAX_REPORT_ROWS + 1).persist()
-    try:
-        small = head.count() <= MAX_REPORT_ROWS
-        if small:
-            out = head.repartition(1)
-            out = out.sortWithinPartitions(*order_by) if order_by else out
-        else:
-            out = df.orderBy(*order_by) if order_by else df
-        out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
-    finally:
-        head.unpersist()
+    if single_file:
+        df = df.coalesce(1) if order_by is None else df.repartition(1).sortWithinPartitions(*order_by)
+    elif order_by is not None:
+        df = df.orderBy(*order_by)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def ingest_csv(spark: SparkSession, source: str, target: str, tables: tuple[str, ...] = tuple(_CLEANERS),
