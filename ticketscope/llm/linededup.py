@@ -285,23 +285,35 @@ def small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= MAX_BROADCAST_ROWS else table
 
 
-def _words(line: Column) -> Column:
-    lowered = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.array_distinct(F.filter(F.split(lowered, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-
-
 def line_sets(texts: DataFrame, listed: DataFrame) -> DataFrame:
-    """(id, words): the whole sets of words of the listed lines (key, line, id)."""
+    """(id, words): the whole sets of words of the listed lines (key, line, id), as 64-bit hashes."""
     per_text = stored(listed.groupBy("key").agg(F.collect_list(F.struct("line", "id")).alias("listed")), "listed-lines")
-    held = texts.join(small(per_text.select("key")), "key", "left_semi").dropDuplicates(["key"]).join(per_text, "key")
-    cut = held.select(F.split("text", "\n").alias("lines"), F.explode("listed").alias("at"))
-    return cut.select("at.id", _words(F.get("lines", F.col("at.line"))).alias("words"))
+    # Equal documents list equal lines, so any one of them will do.
+    held = texts.select("key", "text").join(small(per_text.select("key")), "key", "left_semi").join(per_text, "key")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, bounds = text_bytes(batch.column(0))
+            ids, sets = [], []
+            for k, wanted in enumerate(batch.column(1).to_pylist()):
+                raw = data[bounds[k] : bounds[k + 1]]
+                breaks = np.append(np.append(-1, np.flatnonzero(raw == 0x0A)), len(raw))
+                for line in wanted:
+                    low = LOWER[raw[breaks[line["line"]] + 1 : breaks[line["line"] + 1]]]
+                    starts, ends = word_bounds(low, np.array([0, len(low)]))
+                    ids.append(line["id"])
+                    sets.append(np.unique(range_hashes(prefix_hashes(low), starts, ends)).view(np.int64))
+            edges = np.append(0, np.cumsum([len(x) for x in sets])).astype(np.int32)
+            words = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(sets or [np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), words], names=["id", "words"])
+
+    return held.select("text", "listed").mapInArrow(run, "id long, words array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, kinds: DataFrame, threshold: float) -> DataFrame:
     """(id,) of the later lines of the pairs whose sets of words are similar."""
     named = stored(pairs.select(F.explode(F.array("later", "earlier")).alias("id")).distinct(), "paired-lines")
-    sets = stored(line_sets(texts, kinds.join(named, "id", "left_semi")), "line-sets")
+    sets = stored(line_sets(texts, kinds.join(named, "id", "left_semi")).dropDuplicates(["id"]), "line-sets")
     later, earlier = (sets.select(F.col("id").alias(side), F.col("words").alias(w)) for side, w in (("later", "w"), ("earlier", "x")))
     common = F.size(F.array_intersect("w", "x"))
     similar = common >= (F.size("w") + F.size("x") - common) * F.lit(threshold) - F.lit(1e-9)
