@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketscope.llm import contamination, linededup, mixing, quality, simhash
-from ticketscope.llm.storage import stored
+from ticketscope.llm.storage import scratch, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,6 +59,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole `documents` table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+    with scratch(spark):
+        for name, stage in STAGES[:-1]:
+            docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        name, stage = STAGES[-1]
+        return stored(stage(spark, docs, sf_dir), f"pipeline-{name}", result=True)

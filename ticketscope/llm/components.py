@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketscope.llm.storage import stored
+from ticketscope.llm.storage import scratch, stored
 
 
 def _mark(links: DataFrame) -> tuple:
@@ -17,17 +17,19 @@ def components(links: DataFrame) -> DataFrame:
     neighbour, then every smaller one. The number of links never grows, no node's neighbours are gathered, and the
     loop ends when a round changes nothing, each component then being a star.
     """
-    links = stored(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    before = None
-    while (now := _mark(links)) != before:
-        before = now
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stored(large, "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        met = large.join(least, "u")
-        small = met.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        links = stored(small.distinct(), "small-star")
-    nodes = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    with scratch(links.sparkSession):
+        links = stored(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+        before = None
+        while (now := _mark(links)) != before:
+            before = now
+            both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+            large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            large = stored(large, "large-star")
+            least = large.groupBy("u").agg(F.min("v").alias("m"))
+            met = large.join(least, "u")
+            small = met.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+            links = stored(small.distinct(), "small-star")
+        nodes = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        roots = links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+        return stored(nodes.unionByName(roots), "components", result=True)

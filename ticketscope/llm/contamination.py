@@ -17,10 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ticketscope.llm.storage import stored
+from ticketscope.llm.storage import scratch, small, stored
 
 WINDOW = 10
-MAX_BROADCAST_ROWS = 1_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _BETWEEN_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -50,11 +49,6 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
 
 
-def small(table: DataFrame) -> DataFrame:
-    """Marks a stored table for broadcast where a count has shown it to be small; larger ones are joined by shuffle."""
-    return F.broadcast(table) if table.count() <= MAX_BROADCAST_ROWS else table
-
-
 def windows(items: DataFrame, item_id: str = "item_id", text: str = "text", width: int = WINDOW) -> DataFrame:
     """(item_id, phrase) of all windows; the words of a phrase are parted by spaces."""
     cut = items.select(items[item_id].alias("item_id"), words(items[text]).alias("words")).filter(F.size("words") > 0)
@@ -115,11 +109,12 @@ def exact_matches(docs: DataFrame, found: DataFrame, phrases: DataFrame, text: s
 
 def matches(docs: DataFrame, items: DataFrame, width: int = WINDOW, item_id: str = "item_id", item_text: str = "text", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """All exact window matches (key, start, width, phrase), and the windows (item_id, phrase) they come from."""
-    cut = stored(windows(items, item_id, item_text, width), "windows")
-    phrases = cut.select("phrase").distinct()
-    chosen = anchors(docs, phrases, text)
-    index = postings(docs, chosen.select("term").distinct(), text)
-    return stored(exact_matches(docs, candidates(index, chosen), phrases, text), "matches"), cut
+    with scratch(docs.sparkSession):
+        cut = stored(windows(items, item_id, item_text, width), "windows", result=True)
+        phrases = cut.select("phrase").distinct()
+        chosen = anchors(docs, phrases, text)
+        index = postings(docs, chosen.select("term").distinct(), text)
+        return stored(exact_matches(docs, candidates(index, chosen), phrases, text), "matches", result=True), cut
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, slop: int, width: int = WINDOW, item_id: str = "item_id", item_text: str = "text", text: str = "text") -> DataFrame:

@@ -26,10 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketscope.llm.bitmap import bitmap, has
-from ticketscope.llm.storage import stored
+from ticketscope.llm.storage import scratch, small, stored
 from ticketscope.llm.words import LOWER, chunks, mixed, prefix_hashes, range_hashes, text_bytes, word_bounds
 
-MAX_BROADCAST_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -280,11 +279,6 @@ def candidate_pairs(entries: DataFrame, settings: Settings, limit: int | None, o
     return lists.mapInArrow(run, "later long, earlier long, word long")
 
 
-def small(table: DataFrame) -> DataFrame:
-    """Marks a stored table of keys for broadcast where a count has shown it to be small."""
-    return F.broadcast(table) if table.count() <= MAX_BROADCAST_ROWS else table
-
-
 def line_sets(texts: DataFrame, listed: DataFrame) -> DataFrame:
     """(id, words): the whole sets of words of the listed lines (key, line, id), as 64-bit hashes."""
     per_text = stored(listed.groupBy("key").agg(F.collect_list(F.struct("line", "id")).alias("listed")), "listed-lines")
@@ -311,21 +305,29 @@ def line_sets(texts: DataFrame, listed: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, kinds: DataFrame, threshold: float) -> DataFrame:
-    """(id,) of the later lines of the pairs whose sets of words are similar."""
-    named = stored(pairs.select(F.explode(F.array("later", "earlier")).alias("id")).distinct(), "paired-lines")
-    sets = stored(line_sets(texts, kinds.join(named, "id", "left_semi")).dropDuplicates(["id"]), "line-sets")
-    later, earlier = (sets.select(F.col("id").alias(side), F.col("words").alias(w)) for side, w in (("later", "w"), ("earlier", "x")))
-    common = F.size(F.array_intersect("w", "x"))
-    similar = common >= (F.size("w") + F.size("x") - common) * F.lit(threshold) - F.lit(1e-9)
-    return stored(pairs.join(later, "later").join(earlier, "earlier").filter(similar).select(F.col("later").alias("id")).distinct(), "similar")
+    """(id,) of the later lines of the pairs (later, earlier) whose sets of words are similar."""
+    with scratch(pairs.sparkSession):
+        named = stored(pairs.select(F.explode(F.array("later", "earlier")).alias("id")).distinct(), "paired-lines")
+        sets = stored(line_sets(texts, kinds.join(named, "id", "left_semi")).dropDuplicates(["id"]), "line-sets")
+        later, earlier = (sets.select(F.col("id").alias(side), F.col("words").alias(w)) for side, w in (("later", "w"), ("earlier", "x")))
+        common = F.size(F.array_intersect("w", "x"))
+        similar = common >= (F.size("w") + F.size("x") - common) * F.lit(threshold) - F.lit(1e-9)
+        return stored(pairs.join(later, "later").join(earlier, "earlier").filter(similar).select(F.col("later").alias("id")).distinct(), "similar", result=True)
 
 
 def similar_lines(texts: DataFrame, kinds: DataFrame, settings: Settings) -> DataFrame:
     """(id,) of the different lines that an earlier one is similar to; `kinds` says where each id stands first."""
     table = rarity_table(texts, settings.table_bits)
     met = stored(candidate_pairs(prefix_entries(texts, table, settings), settings, settings.candidates), "line-pairs")
-    pairs = stored(met.filter("earlier is not null").select("later", "earlier").distinct(), "first-pairs")
-    similar = verified(pairs, texts, kinds, settings.threshold)
+    counted = met.filter("earlier is not null").groupBy("later", "earlier").agg(F.count(F.lit(1)).alias("lists"))
+    pairs = stored(counted, "first-pairs")
+    # One similar line is enough: each line tries the partner it met in most lists, then, if need be, the others.
+    likely = pairs.groupBy("later").agg(F.max_by("earlier", F.struct("lists", "earlier")).alias("earlier"))
+    likely = stored(likely, "likely-pairs")
+    similar = verified(likely, texts, kinds, settings.threshold)
+    others = pairs.select("later", "earlier").join(likely, ["later", "earlier"], "left_anti")
+    others = stored(others.join(similar.select(F.col("id").alias("later")), "later", "left_anti"), "other-pairs")
+    similar = stored(similar.unionByName(verified(others, texts, kinds, settings.threshold)), "similar-lines", result=True)
     left = stored(met.filter("word is not null").select(F.col("later").alias("id"), "word").join(similar, "id", "left_anti"), "cut-short")
     if left.isEmpty():
         return similar
@@ -337,18 +339,19 @@ def similar_lines(texts: DataFrame, kinds: DataFrame, settings: Settings) -> Dat
 
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
     """(key, lines): the numbers of the lines each document loses, from zero."""
-    texts = texts_of(docs, doc_id, text)
-    lines = stored(lines_of(texts, settings.min_words).distinct(), "lines")
-    # The id breaks ties of order and line between texts with one document id.
-    kinds = lines.groupBy("id").agg(F.min(F.struct("order", "line", "key")).alias("one"), F.count(F.lit(1)).alias("times"))
-    kinds = stored(kinds.select("id", "times", F.col("one.key").alias("key"), F.col("one.line").alias("line")), "line-kinds")
-    similar = similar_lines(texts, kinds.select("id", "key", "line"), settings)
-    gone = F.coalesce("gone", F.lit(False))
-    # Every line of a kind that goes, and every line but the first of the other kinds that repeat.
-    busy = kinds.join(similar.withColumn("gone", F.lit(True)), "id", "left").filter(gone | (F.col("times") > 1))
-    busy = busy.select("id", gone.alias("gone"), F.col("key").alias("first_key"), F.col("line").alias("first_line"))
-    lost = lines.join(busy, "id").filter(F.col("gone") | (F.col("key") != F.col("first_key")) | (F.col("line") != F.col("first_line")))
-    return stored(lost.groupBy("key").agg(F.collect_list("line").alias("lines")), "lost-lines")
+    with scratch(docs.sparkSession):
+        texts = texts_of(docs, doc_id, text)
+        lines = stored(lines_of(texts, settings.min_words).distinct(), "lines")
+        # The id breaks ties of order and line between texts with one document id.
+        kinds = lines.groupBy("id").agg(F.min(F.struct("order", "line", "key")).alias("one"), F.count(F.lit(1)).alias("times"))
+        kinds = stored(kinds.select("id", "times", F.col("one.key").alias("key"), F.col("one.line").alias("line")), "line-kinds")
+        similar = similar_lines(texts, kinds.select("id", "key", "line"), settings)
+        gone = F.coalesce("gone", F.lit(False))
+        # Every line of a kind that goes, and every line but the first of the other kinds that repeat.
+        busy = kinds.join(similar.withColumn("gone", F.lit(True)), "id", "left").filter(gone | (F.col("times") > 1))
+        busy = busy.select("id", gone.alias("gone"), F.col("key").alias("first_key"), F.col("line").alias("first_line"))
+        lost = lines.join(busy, "id").filter(F.col("gone") | (F.col("key") != F.col("first_key")) | (F.col("line") != F.col("first_line")))
+        return stored(lost.groupBy("key").agg(F.collect_list("line").alias("lines")), "lost-lines", result=True)
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticketscope.llm.storage import stored
+from ticketscope.llm.storage import scratch, small, stored
 
 LEAF_ROWS = 2000
 FAN = 64
@@ -164,10 +164,11 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, max_repeats: float =
         .filter((F.col("size") > 0) & (chance > 0))
         .select("unit", "source_key", leaves.alias("leaves"), (F.col("size") * F.col("rows")).cast("double").alias("size"), chance.alias("chance"))
     )
-    extra = rounded(open_units).select(F.col("unit").alias("__unit"), F.col("extra").alias("__extra"))
+    with scratch(docs.sparkSession):
+        extra = stored(rounded(open_units).filter("extra > 0").select(F.col("unit").alias("__unit"), F.col("extra").alias("__extra")), "mix-extra", result=True)
     rates = aims.select("__source", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("rate").alias("__rate"))
     plain = keyed.drop(*(c for c in ADDED if c != "size"))
-    joined = plain.join(rates, plain[source].eqNullSafe(rates["__source"]), "left").join(extra, "__unit", "left")
+    joined = plain.join(rates, plain[source].eqNullSafe(rates["__source"]), "left").join(small(extra), "__unit", "left")
     copies = (F.floor("__rate") + F.coalesce("__extra", F.lit(0.0))).cast("long")
     kept = [c for c in docs.columns if c not in ADDED]
     added = [F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), copies.alias("copies"), (copies * F.col("size")).alias("taken")]

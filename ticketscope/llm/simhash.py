@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketscope.llm.components import components
-from ticketscope.llm.storage import stored
+from ticketscope.llm.storage import scratch, small, stored
 
 SEED = 42
 MAX_BITS = 3
@@ -120,13 +120,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component: the one with the smallest id, null ids last; all its columns."""
-    tagged = stored(
-        with_fingerprint(docs, text, "__fp").withColumn("__row", F.monotonically_increasing_id()), "tagged"
-    )
-    prints = stored(tagged.select(F.col("__fp").alias("fp")).distinct(), "distinct-prints")
-    found = classes(prints).select(F.col("fp").alias("__fp"), "component")
-    rank = F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.col("__row").alias("row"))
-    rows = tagged.select("__fp", rank.alias("rank")).groupBy("__fp").agg(F.min("rank").alias("rank"))
-    rows = rows.join(found, "__fp", "left").groupBy(F.coalesce("component", "__fp")).agg(F.min("rank").alias("rank"))
-    return tagged.join(rows.select(F.col("rank.row").alias("__row")), "__row", "left_semi").select(*docs.columns)
+    """One document of each component: the one with the smallest id, null ids last, then by digest; all its columns.
+
+    Rows are known by the digest of all their columns, so texts stay where they are: rows whose digest is not kept are
+    dropped, and of equal rows that are kept one is taken.
+    """
+    others = F.to_json(F.struct(*(docs[c] for c in docs.columns if c != text), docs[text].isNull().alias("__null")))
+    key = F.unhex(F.md5(F.concat(F.md5(F.coalesce(docs[text].cast("string"), F.lit(""))), others)))
+    keyed = docs.withColumn("__key", key)
+    with scratch(docs.sparkSession):
+        slim = keyed.select(F.col("__key").alias("key"), docs[doc_id].alias("id"), docs[text].cast("string").alias("text"))
+        rows = stored(with_fingerprint(slim, "text", "fp").drop("text"), "prints")
+        prints = stored(rows.select("fp").distinct(), "distinct-prints")
+        rank = F.struct(F.col("id").isNull().alias("null"), "id", "key")
+        firsts = rows.groupBy("fp").agg(F.min(rank).alias("rank")).join(classes(prints), "fp", "left")
+        kept = stored(firsts.groupBy(F.coalesce("component", "fp")).agg(F.min("rank").alias("rank")).select("rank.key"), "kept")
+        keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
+        lost = keys.join(kept, "key", "left_anti").select("key", F.lit(False).alias("repeated"))
+        repeated = keys.filter("rows > 1").join(kept, "key", "left_semi").select("key", F.lit(True).alias("repeated"))
+        odd = stored(lost.unionByName(repeated).withColumnRenamed("key", "__key"), "lost-or-repeated", result=True)
+    single = keyed.join(small(odd.select("__key")), "__key", "left_anti")
+    several = keyed.join(small(odd.filter("repeated").select("__key")), "__key", "left_semi").dropDuplicates(["__key"])
+    return single.unionByName(several).select(*docs.columns)
