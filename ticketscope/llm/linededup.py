@@ -48,6 +48,8 @@ def needed(n: int | np.ndarray, threshold: float) -> tuple:
     return (n - overlap + 1).astype(np.int64), (n - equal + 1).astype(np.int64)
 
 
+PAIR_MAPS = 4
+_MAPS = [f"m{k}" for k in range(PAIR_MAPS)]
 _WORD_BITS = np.uint64(20)  # the lowest bits of a word's hash give way to the number of its line
 
 
@@ -143,17 +145,35 @@ def sets_of_lines(data: np.ndarray, own: np.ndarray, min_words: int) -> tuple[np
 
 
 def lines_of(texts: DataFrame, min_words: int) -> DataFrame:
-    """(key, order, line, id): every line with enough words; id is the digest of its set of words."""
+    """(key, order, line, id, n, maps): every line with enough words; id is the digest of its set of words.
+
+    The maps are `PAIR_MAPS` parity maps of 64 bits, each of the words that fall to it: finer than the one in the lists.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = text_bytes(batch.column(2))
             for i, j in chunks(bounds):
-                _, _, _, _, text, number, digest = sets_of_lines(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], min_words)
+                words, _, first, n, text, number, digest = sets_of_lines(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], min_words)
+                if not len(first):
+                    continue
+                bit, map_of = np.uint64(1) << ((words >> _WORD_BITS) & np.uint64(63)), (words >> np.uint64(26)) % np.uint64(PAIR_MAPS)
+                maps = [np.bitwise_xor.reduceat(np.where(map_of == k, bit, np.uint64(0)), first).view(np.int64) for k in range(PAIR_MAPS)]
                 at = pa.array(text + i)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(number.astype(np.int32)), pa.array(digest.view(np.int64))], names=["key", "order", "line", "id"])
+                columns = [batch.column(0).take(at), batch.column(1).take(at), *map(pa.array, (number.astype(np.int32), digest.view(np.int64), n.astype(np.int32), *maps))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "order", "line", "id", "n", *_MAPS])
+
+    return texts.mapInArrow(run, "key binary, order long, line int, id long, n int, " + ", ".join(f"{m} long" for m in _MAPS))
+
 
-    return texts.mapInArrow(run, "key binary, order long, line int, id long")
+def plausible(pairs: DataFrame, kinds: DataFrame, threshold: float) -> DataFrame:
+    """The pairs that the finer parity maps of both lines do not rule out."""
+    side = lambda name: kinds.select(F.col("id").alias(name), F.struct("n", *_MAPS).alias(f"__{name}"))
+    both = pairs.join(side("later"), "later").join(side("earlier"), "earlier")
+    a, b = F.col("__later"), F.col("__earlier")
+    apart = sum((F.bit_count(a[m].bitwiseXOR(b[m])) for m in _MAPS), F.lit(0))
+    total = a["n"] + b["n"]
+    return both.filter(total - apart >= 2 * F.ceil(total * F.lit(threshold / (1 + threshold)) - F.lit(1e-6))).select(*pairs.columns)
 
 
 _ENTRY = "word long, order long, id long, map long, line int, span long"
@@ -282,8 +302,9 @@ def candidate_pairs(entries: DataFrame, settings: Settings, limit: int | None, o
 def line_sets(texts: DataFrame, listed: DataFrame) -> DataFrame:
     """(id, words): the whole sets of words of the listed lines (key, line, id), as 64-bit hashes."""
     per_text = stored(listed.groupBy("key").agg(F.collect_list(F.struct("line", "id")).alias("listed")), "listed-lines")
-    # Equal documents list equal lines, so any one of them will do.
-    held = texts.select("key", "text").join(small(per_text.select("key")), "key", "left_semi").join(per_text, "key")
+    # Equal documents list equal lines, so any one of them will do; they stand side by side after the join.
+    held = texts.select("key", "text").join(small(per_text.select("key")), "key", "left_semi").join(per_text.hint("shuffle_merge"), "key")
+    held = held.dropDuplicates(["key"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -308,7 +329,7 @@ def verified(pairs: DataFrame, texts: DataFrame, kinds: DataFrame, threshold: fl
     """(id,) of the later lines of the pairs (later, earlier) whose sets of words are similar."""
     with scratch(pairs.sparkSession):
         named = stored(pairs.select(F.explode(F.array("later", "earlier")).alias("id")).distinct(), "paired-lines")
-        sets = stored(line_sets(texts, kinds.join(named, "id", "left_semi")).dropDuplicates(["id"]), "line-sets")
+        sets = stored(line_sets(texts, kinds.select("id", "key", "line").join(named, "id", "left_semi")), "line-sets")
         later, earlier = (sets.select(F.col("id").alias(side), F.col("words").alias(w)) for side, w in (("later", "w"), ("earlier", "x")))
         common = F.size(F.array_intersect("w", "x"))
         similar = common >= (F.size("w") + F.size("x") - common) * F.lit(threshold) - F.lit(1e-9)
@@ -320,7 +341,7 @@ def similar_lines(texts: DataFrame, kinds: DataFrame, settings: Settings) -> Dat
     table = rarity_table(texts, settings.table_bits)
     met = stored(candidate_pairs(prefix_entries(texts, table, settings), settings, settings.candidates), "line-pairs")
     counted = met.filter("earlier is not null").groupBy("later", "earlier").agg(F.count(F.lit(1)).alias("lists"))
-    pairs = stored(counted, "first-pairs")
+    pairs = stored(plausible(counted, kinds, settings.threshold), "first-pairs")
     # One similar line is enough: each line tries the partner it met in most lists, then, if need be, the others.
     likely = pairs.groupBy("later").agg(F.max_by("earlier", F.struct("lists", "earlier")).alias("earlier"))
     likely = stored(likely, "likely-pairs")
@@ -334,24 +355,25 @@ def similar_lines(texts: DataFrame, kinds: DataFrame, settings: Settings) -> Dat
     words, ids = (bitmap(left.select(c), settings.bitmap_bits) for c in ("word", "id"))
     rest = candidate_pairs(prefix_entries(texts, table, settings, words), settings, None, ids).select("later", "earlier").distinct()
     rest = rest.join(left.select(F.col("id").alias("later")).distinct(), "later", "left_semi").join(pairs, ["later", "earlier"], "left_anti")
-    return similar.unionByName(verified(stored(rest, "second-pairs"), texts, kinds, settings.threshold))
+    rest = stored(plausible(rest, kinds, settings.threshold), "second-pairs")
+    return similar.unionByName(verified(rest, texts, kinds, settings.threshold))
 
 
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
     """(key, lines): the numbers of the lines each document loses, from zero."""
     with scratch(docs.sparkSession):
         texts = texts_of(docs, doc_id, text)
-        lines = stored(lines_of(texts, settings.min_words).distinct(), "lines")
+        lines = stored(lines_of(texts, settings.min_words), "lines")
         # The id breaks ties of order and line between texts with one document id.
-        kinds = lines.groupBy("id").agg(F.min(F.struct("order", "line", "key")).alias("one"), F.count(F.lit(1)).alias("times"))
-        kinds = stored(kinds.select("id", "times", F.col("one.key").alias("key"), F.col("one.line").alias("line")), "line-kinds")
-        similar = similar_lines(texts, kinds.select("id", "key", "line"), settings)
+        kinds = lines.groupBy("id").agg(F.min(F.struct("order", "line", "key")).alias("one"), F.count(F.lit(1)).alias("times"), F.first("n").alias("n"), *(F.first(m).alias(m) for m in _MAPS))
+        kinds = stored(kinds.select("id", "times", F.col("one.key").alias("key"), F.col("one.line").alias("line"), "n", *_MAPS), "line-kinds")
+        similar = similar_lines(texts, kinds.drop("times"), settings)
         gone = F.coalesce("gone", F.lit(False))
         # Every line of a kind that goes, and every line but the first of the other kinds that repeat.
         busy = kinds.join(similar.withColumn("gone", F.lit(True)), "id", "left").filter(gone | (F.col("times") > 1))
         busy = busy.select("id", gone.alias("gone"), F.col("key").alias("first_key"), F.col("line").alias("first_line"))
-        lost = lines.join(busy, "id").filter(F.col("gone") | (F.col("key") != F.col("first_key")) | (F.col("line") != F.col("first_line")))
-        return stored(lost.groupBy("key").agg(F.collect_list("line").alias("lines")), "lost-lines", result=True)
+        lost = lines.select("key", "line", "id").join(busy, "id").filter(F.col("gone") | (F.col("key") != F.col("first_key")) | (F.col("line") != F.col("first_line")))
+        return stored(lost.groupBy("key").agg(F.collect_set("line").alias("lines")), "lost-lines", result=True)
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
