@@ -10,7 +10,8 @@ first n - ceil(t n) + 1 are looked up among the first n - ceil(2 t n / (1 + t))
 must fit in length, in the words left after the places where they meet, and in a 64-bit parity map of their words,
 which bounds their difference from below. A line takes only its `candidates` earliest partners from a list at first,
 which settles groups of variants without pairing them all; a line that these leave open, and that had more, takes all
-of that list in a second round. Pairs are verified on the full sets of words, so every decision is exact.
+of that list in a second round. Pairs are verified on the full sets of words, so every decision is exact
+up to equal hashes (44 bits for the words of one line, 64 bits for a line's set and for verification).
 
 Rows with equal id and text are one document. Null and empty texts have no lines to remove. An empty table gives an
 empty result. Columns besides id and text pass through.
