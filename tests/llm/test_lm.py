@@ -82,3 +82,16 @@ def test_no_rows_and_no_training_rows(spark):
 def test_copies_score_alike_and_reruns_agree(spark):
     docs = odd_documents(spark)
     assert rows_of(lm.scores(docs)) == rows_of(lm.scores(docs.repartition(5)))
+
+
+def test_a_filter_larger_than_its_room_is_sent_in_groups_and_loses_nothing(spark):
+    docs = odd_documents(spark)
+    whole, tight = lm.Settings(pages=16), lm.Settings(pages=16, filter_bytes=600)
+    pages = lm.counted(docs.filter(~lm.held_out(F.col("doc_id"))), tight)
+    groups = lm.page_groups(pages, tight)
+    assert len(groups) > 2 and all(len(g) == 1 or sum(n for *_, n in g) <= 600 for g in groups)
+    key = lambda r: repr(r[:3])
+    expected, actual = (sorted((tuple(r) for r in lm.scores(docs, s).collect()), key=key) for s in (whole, tight))
+    assert [r[:5] for r in actual] == [r[:5] for r in expected] and len(actual) == docs.count()
+    for column in (5, 6):
+        assert sorted(r[column] for r in actual) == pytest.approx(sorted(r[column] for r in expected))

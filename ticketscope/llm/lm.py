@@ -2,9 +2,10 @@
 
 Tokens are lower-cased words and one end mark per text. Counts of tokens and of pairs are gathered from all training
 texts, merged by hash page, and quantised to powers of two: an entry with level q is inserted once for each level
-1..q, so a count is read back by probing levels until one is missing. The pages together are the filter, which every
-worker gets; a page never takes more than its share of `Settings.filter_bytes`, so the broadcast is bounded. Where the
-entries of a page would need more, its rarest pairs are left to the smoothing, like pairs that were never seen.
+1..q, so a count is read back by probing levels until one is missing. The pages together are the filter: they grow with
+the entries and hold all of them. Workers get them in groups of at most `Settings.filter_bytes` (or one page). What fits
+in one group is scored in one pass; otherwise each group is probed in a pass of its own over the texts, and the levels
+found for every token are put together per text afterwards.
 
 The probability of a token interpolates the pair's share in its context with the token's own add-one share, both from
 probed counts. Next to it stands the exact base: add-one unigram scores, for which the commonest tokens are looked up in
@@ -86,11 +87,11 @@ def places(keys: np.ndarray, level: int, bits: np.ndarray | int, probes: int) ->
     return [((a + np.uint64(i) * b) % bits).astype(np.int64) for i in range(probes)]
 
 
-def page_filter(keys: np.ndarray, counts: np.ndarray, room: int, settings: Settings) -> bytes:
-    """One page: all levels of the keys, rarest keys left out level by level while the page would exceed `room` bytes."""
+def page_filter(keys: np.ndarray, counts: np.ndarray, room: int | None, settings: Settings) -> bytes:
+    """One page: all levels of the keys. With `room`, rarest keys are left out while the page would exceed so many bytes."""
     level = levels(counts)
     lowest = 1
-    while level[level >= lowest].sum() * settings.bits_per_entry > room * 8:
+    while room is not None and level[level >= lowest].sum() * settings.bits_per_entry > room * 8:
         lowest += 1
     keys, level = keys[level >= lowest], level[level >= lowest]
     bits = max(64, -(-int(level.sum()) * settings.bits_per_entry // 64) * 64)
@@ -167,8 +168,6 @@ def counted(train: DataFrame, settings: Settings) -> DataFrame:
         if n:
             yield from flushed()
 
-    room = settings.filter_bytes // (2 * settings.pages)
-
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         keys = np.concatenate([np.frombuffer(k, np.uint64) for k in rows["keys"]])
         counts = np.concatenate([np.frombuffer(c, np.uint32) for c in rows["counts"]]).astype(np.int64)
@@ -177,7 +176,7 @@ def counted(train: DataFrame, settings: Settings) -> DataFrame:
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         keys, counts = keys[first], np.add.reduceat(counts, first)
         kind, page = int(rows["kind"].iloc[0]), int(rows["page"].iloc[0])
-        bits = page_filter(keys, counts, room, settings)
+        bits = page_filter(keys, counts, None, settings)
         both = (keys.tobytes(), counts.tobytes()) if kind == 0 else (b"", b"")
         return pd.DataFrame([(kind, page, *both, bits)], columns=["kind", "page", "keys", "counts", "bits"])
 
@@ -218,19 +217,87 @@ def commonest(counts: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], head["c"].to_numpy()[order]
 
 
-def gathered(pages: DataFrame, settings: Settings) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Both filters as one array each, with the sizes of their pages: at most `filter_bytes` together."""
+def page_groups(pages: DataFrame, settings: Settings) -> list[list[tuple[int, int, int]]]:
+    """The (kind, page, bytes) of all pages in groups of at most `filter_bytes`, or of one page that is larger."""
+    groups: list[list[tuple[int, int, int]]] = [[]]
+    taken = 0
+    sizes = pages.select("kind", "page", F.octet_length("bits").alias("n")).collect()  # three numbers a page
+    for kind, page, n in sorted(tuple(r) for r in sizes):
+        if groups[-1] and taken + n > settings.filter_bytes:
+            groups.append([])
+            taken = 0
+        groups[-1].append((kind, page, n))
+        taken += n
+    return groups
+
+
+def gathered(pages: DataFrame, group: list[tuple[int, int, int]], settings: Settings) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Both filters with the pages of a group as one array each, and the sizes of their pages, zero outside the group."""
     sizes = np.zeros((2, settings.pages), np.int64)
-    for row in pages.select("kind", "page", F.octet_length("bits").alias("n")).collect():  # two numbers a page
-        sizes[row["kind"], row["page"]] = row["n"]
+    for kind, page, n in group:
+        sizes[kind, page] = n
     ends = np.cumsum(sizes, axis=1)
     data = [np.zeros(int(e[-1]), np.uint8) for e in ends]
-    for row in pages.select("kind", "page", "bits").toLocalIterator():
-        end = ends[row["kind"], row["page"]]
-        data[row["kind"]][end - len(row["bits"]) : end] = np.frombuffer(row["bits"], np.uint8)
+    if group:
+        code = F.col("kind") * settings.pages + F.col("page")
+        first, last = (k * settings.pages + p for k, p, _ in (group[0], group[-1]))
+        for row in pages.filter(code.between(first, last)).select("kind", "page", "bits").toLocalIterator():
+            end = ends[row["kind"], row["page"]]
+            data[row["kind"]][end - len(row["bits"]) : end] = np.frombuffer(row["bits"], np.uint8)
     return list(zip(data, sizes))
 
 
+def smoothed(single: np.ndarray, pair: np.ndarray, weight: float, floor: float) -> np.ndarray:
+    """Probability of every token of whole texts, from its own expected count and that of the pair it ends."""
+    context = np.roll(single, 1)  # the last token is an end mark, as is the context of the first
+    share = np.minimum(1.0, pair / np.maximum(context, 1.0))
+    own = (single + 1.0) / floor
+    return np.where(context > 0, weight * share + (1 - weight) * own, own)
+
+
+def probed_apart(rows: DataFrame, pages: DataFrame, groups: list, floor: float, settings: Settings) -> DataFrame:
+    """(key, score) of every different text, the groups of pages probed one after the other."""
+    context = rows.sparkSession.sparkContext
+    keyed = rows.select("key", "text")
+    weight, found_levels = settings.pair_weight, []
+    for group in groups:
+        shared = context.broadcast(gathered(pages, group, settings))
+
+        def probe(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            singles, doubles = (Filter(data, sizes, settings) for data, sizes in shared.value)
+            for batch in batches:
+                data, bounds = text_bytes(batch.column(1))
+                out = []
+                for i, j in chunks(bounds):
+                    found, per_text = tokens(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
+                    both = []
+                    for held, wanted in ((singles, found), (doubles, pairs(found))):
+                        keys, place = np.unique(wanted, return_inverse=True)
+                        both.append(held.level(keys).astype(np.uint8)[place])
+                    ends = np.cumsum(per_text)
+                    out += [b"".join(x[e - n : e].tobytes() for x in both) for e, n in zip(ends, per_text)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["key", "levels"])
+
+        found_levels.append(stored(keyed.mapInArrow(probe, "key binary, levels binary"), "lm-levels"))
+        shared.destroy()
+    together = found_levels[0]
+    for more in found_levels[1:]:
+        together = together.unionByName(more)
+    # Equal texts have equal levels, so a set holds at most one entry a group however often a text repeats.
+    together = together.groupBy("key").agg(F.collect_set("levels").alias("levels"))
+
+    def combine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for entries in batch.column(1).to_pylist():
+                both = np.maximum.reduce([np.frombuffer(x, np.uint8) for x in entries]).astype(np.int64)
+                single, pair = (expected(x) for x in np.split(both, 2))
+                out.append(float(np.log10(smoothed(single, pair, weight, floor)).sum()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["key", "score"])
+
+    return stored(together.mapInArrow(combine, "key binary, score double"), "lm-apart")
+
+
 def scores(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
     spark = docs.sparkSession
@@ -238,8 +305,13 @@ def scores(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_
     pages = counted(rows.filter(~F.col("held_out")), settings)
     counts = token_counts(pages)
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    shared = spark.sparkContext.broadcast((*commonest(counts, settings.head_tokens), *gathered(pages, settings)))
     weight, floor = settings.pair_weight, float(total + distinct + 1)
+    groups = page_groups(pages, settings)
+    apart = len(groups) > 1
+    key = F.unhex(F.md5(F.coalesce("text", F.lit("")))) if apart else F.lit(None).cast("binary")
+    rows = rows.select("doc_id", "text", "held_out", key.alias("key"))
+    whole = gathered(pages, [] if apart else groups[0], settings)
+    shared = spark.sparkContext.broadcast((*commonest(counts, settings.head_tokens), *whole))
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, common_counts, *held = shared.value
@@ -251,16 +323,13 @@ def scores(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_
                 found, per_text = tokens(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
                 owner = np.repeat(np.arange(j - i), per_text)
                 keys, place = np.unique(found, return_inverse=True)
-                single = expected(singles.level(keys))
-                pair_keys, pair_place = np.unique(pairs(found), return_inverse=True)
-                pair = expected(doubles.level(pair_keys))[pair_place]
-                context = np.empty(len(found))
-                context[1:] = single[place[:-1]]
-                context[0] = single[np.searchsorted(keys, END)]
-                share = np.minimum(1.0, pair / np.maximum(context, 1.0))
-                own = (single[place] + 1.0) / floor
-                known_context = context > 0
-                p = np.where(known_context, weight * share + (1 - weight) * own, own)
+                if apart:
+                    score_of = np.zeros(j - i)
+                else:
+                    pair_keys, pair_place = np.unique(pairs(found), return_inverse=True)
+                    pair = expected(doubles.level(pair_keys))[pair_place]
+                    p = smoothed(expected(singles.level(keys))[place], pair, weight, floor)
+                    score_of = np.bincount(owner, np.log10(p), j - i)
                 at = np.minimum(np.searchsorted(common, keys), max(0, len(common) - 1))
                 in_head = common[at] == keys if len(common) else np.zeros(len(keys), bool)
                 exact = np.where(in_head, common_counts[at] if len(common) else 0, 0)
@@ -269,19 +338,21 @@ def scores(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_
                 edges = np.append(0, np.cumsum(np.bincount(owner[rest], minlength=j - i))).astype(np.int32)
                 parts.append((
                     per_text, np.bincount(owner, seen[place], j - i).astype(np.int64), np.bincount(owner, logs[place], j - i),
-                    np.bincount(owner, np.log10(p), j - i), pa.ListArray.from_arrays(pa.array(edges), pa.array(found[rest].view(np.int64))),
+                    score_of, pa.ListArray.from_arrays(pa.array(edges), pa.array(found[rest].view(np.int64))),
                 ))
             if parts:
                 joined = [np.concatenate(x) for x in list(zip(*parts))[:4]]
                 tails = pa.concat_arrays([x[4] for x in parts])
-                columns = [batch.column(0), batch.column(2), pa.array(joined[0].astype(np.int64)), *map(pa.array, joined[1:]), tails]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "known", "logs", "score", "tail"])
+                columns = [batch.column(0), batch.column(2), pa.array(joined[0].astype(np.int64)), *map(pa.array, joined[1:]), tails, batch.column(3)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "known", "logs", "score", "tail", "key"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    shape = f"doc_id {kind}, held_out boolean, n_tokens long, known long, logs double, score double, tail array<long>"
-    scored = stored(rows.select("doc_id", "text", "held_out").mapInArrow(score, shape).withColumn("row", F.monotonically_increasing_id()), "lm-scored")
+    shape = f"doc_id {kind}, held_out boolean, n_tokens long, known long, logs double, score double, tail array<long>, key binary"
+    scored = stored(rows.mapInArrow(score, shape).withColumn("row", F.monotonically_increasing_id()), "lm-scored")
     tails = scored.select("row", F.explode("tail").alias("token")).groupBy("row", "token").agg(F.count(F.lit(1)).alias("times"))
     rare = tails.join(counts, "token").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more_logs"))
+    if apart:
+        scored = scored.drop("score").join(probed_apart(rows, pages, groups, floor, settings), "key")
     base = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(floor))
     return scored.join(rare, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
