@@ -85,3 +85,21 @@ def test_importance(spark):
     texts = -(2 * 0.25 * math.log(0.25) + 0.5 * math.log(0.5)) / math.log(4)
     assert found[1].importance == pytest.approx((1 - 0.9**2) * layouts + 0.9**2 * texts)
     assert found[2].importance == pytest.approx(0) and found[3].importance == 1 and found[1].layouts == 2
+
+
+def test_copies_of_a_plain_page_stay(spark):
+    one = "<div class='top'>Welcome</div><div id='post-123'><p>The same story, told at some length</p></div>"
+    other = "<div class='top'>Welcome</div><div id='post-{0}'><p>Another story numbered {0}</p></div>"
+    common = "<div class='top'>Welcome</div><div class='post'><p>{0}</p></div>"
+    rows = [(f"https://a.example/{i}", one) for i in range(6)] + [(f"https://a.example/o{i}", other.format(i)) for i in range(5)]
+    rows += [(f"https://b.example/{i}", common.format("The same story, told at some length")) for i in range(30)]
+    rows += [(f"https://b.example/o{i}", common.format(f"Another story numbered {i}")) for i in range(5)]
+    rows += [("https://c.example/", one)] * 9
+    pages = spark.createDataFrame(rows, "url string, html string")
+    texts = {(r.url, r.text.split("\n")[-1], r.text.count("\n")) for r in extraction.extracted(pages).collect()}
+    story = "The same story, told at some length"
+    assert texts == (
+        {(f"https://a.example/{i}", story, 0) for i in range(6)} | {(f"https://a.example/o{i}", f"Another story numbered {i}", 0) for i in range(5)}
+        | {(f"https://b.example/{i}", story, 0) for i in range(30)} | {(f"https://b.example/o{i}", f"Another story numbered {i}", 0) for i in range(5)}
+        | {("https://c.example/", story, 1)}
+    )

@@ -5,8 +5,10 @@ tree counts which child layouts (presentation) and which texts (content) its pag
 
     (1 - g**l) * entropy of its layouts + g**l * entropy of its texts, both over log(pages)
 
-with l layouts; an element seen on one page has importance one. Generic branches of low importance, which look and
-read alike all over the site, are removed from each page. Meaning that the page states itself comes first: navigation,
+with l layouts; an element seen on one page has importance one. Pages of a host whose main text (before any cut) is the
+same are copies and count once. Generic branches of low importance, which look and read alike all over the site, are
+removed from each page where their text is one that stands in at least two different main texts with enough other words
+around it (`Settings.min_rest` of its own length), so neither a copied body nor an unusual text in a common box goes. Meaning that the page states itself comes first: navigation,
 headers, footers, asides, forms, dialogs, scripts, hidden elements and branches whose names say so are noise wherever
 they stand, and what stands inside an article element is never judged by repetition, since copies of an article repeat
 too. Where a page has an article (or else a main) element with text, only that is read, else the whole body.
@@ -70,6 +72,7 @@ class Settings:
     weight: float = 0.9  # g
     threshold: float = 0.3
     min_pages: int = 4
+    min_rest: float = 0.1  # other main text on the page, by the branch's own
 
 
 @dataclass
@@ -110,11 +113,11 @@ def noisy(tag: str, attrs: dict[str, str], inside: bool) -> bool:
     return False
 
 
-def parsed(page: str, cut: frozenset[int] = frozenset()) -> tuple[list[Block], list[tuple[int, int, int, bool]]]:
-    """Blocks in page order, and (node, layout, text, open to judgement) of every element that is not inline."""
+def parsed(page: str, cut: frozenset[int] = frozenset()) -> tuple[list[Block], list[tuple[int, int, int, bool, int, int]]]:
+    """Blocks in page order, and (node, layout, text, open to judgement, first block, past the last) of block elements."""
     stack = [Element("", "", False, 0)]
     blocks: list[Block] = []
-    nodes: list[tuple[int, int, int, bool]] = []
+    nodes: list[tuple[int, int, int, bool, int, int]] = []
     text: list[str] = []
     state = {"noise": 0, "article": 0, "main": 0, "cut": 0}
 
@@ -149,7 +152,7 @@ def parsed(page: str, cut: frozenset[int] = frozenset()) -> tuple[list[Block], l
         state["cut"] -= cut_here
         body = "\n".join(b.text for b in blocks[done.first_block :])
         judged = tag in GENERIC and not state["noise"] and not done.noise and not state["article"]
-        nodes.append((xxhash.xxh64_intdigest(done.path), xxhash.xxh64_intdigest(" ".join(done.children)), xxhash.xxh64_intdigest(body), judged))
+        nodes.append((xxhash.xxh64_intdigest(done.path), xxhash.xxh64_intdigest(" ".join(done.children)), xxhash.xxh64_intdigest(body), judged, done.first_block, len(blocks)))
 
     at, end = 0, len(page)
     while at < end:
@@ -194,6 +197,16 @@ def parsed(page: str, cut: frozenset[int] = frozenset()) -> tuple[list[Block], l
     return blocks, nodes
 
 
+def chosen(blocks: list[Block]) -> list[bool]:
+    """Which blocks the page's own meaning leaves: those inside an article, else inside a main element, else all but noise."""
+    kept = [not b.noise for b in blocks]
+    for inside in ([b.article for b in blocks], [b.main for b in blocks]):
+        both = [k and i for k, i in zip(kept, inside)]
+        if any(both):
+            return both
+    return kept
+
+
 def main_text(page: str | None, cut: frozenset[int] = frozenset()) -> str:
     """The text of one page without noise and without the branches `cut`."""
     blocks, _ = parsed(page or "", cut)
@@ -208,21 +221,36 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1))
 
 
-def elements(pages: DataFrame) -> DataFrame:
-    """(key, host, node, layout, content, judged) of the elements of (key, host, html)."""
-    shape = pa.schema([("key", pa.binary()), ("host", pa.string()), ("node", pa.int64()), ("layout", pa.int64()), ("content", pa.int64()), ("judged", pa.bool_())])
+def judged_nodes(page: str, min_rest: float) -> Iterator[tuple[int, int, int, int, bool]]:
+    """(main text, node, layout, text, open to judgement) of the elements of one page."""
+    blocks, nodes = parsed(page)
+    main = chosen(blocks)
+    sizes = [0]
+    for block, inside in zip(blocks, main):
+        sizes.append(sizes[-1] + len(block.text) * inside)
+    body = xxhash.xxh64_intdigest("\n".join(b.text for b, inside in zip(blocks, main) if inside))
+    for node, layout, content, judged, first, last in nodes:
+        own = sizes[last] - sizes[first]
+        yield body, node, layout, content, judged and sizes[-1] - own >= min_rest * own
+
+
+def elements(pages: DataFrame, settings: Settings) -> DataFrame:
+    """(key, host, body, node, layout, content, judged) of the elements of (key, host, html)."""
+    names = ["body", "node", "layout", "content"]
+    shape = pa.schema([("key", pa.binary()), ("host", pa.string()), *((n, pa.int64()) for n in names), ("judged", pa.bool_())])
     signed = lambda x: x - (1 << 64) if x >> 63 else x
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [
-                (key, site, signed(node), signed(layout), signed(content), judged)
+                (key, site, *map(signed, digests), judged)
                 for key, site, page in zip(*(c.to_pylist() for c in batch.columns))
-                for node, layout, content, judged in parsed(page or "")[1]
+                for *digests, judged in judged_nodes(page or "", settings.min_rest)
             ]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 6, shape)], schema=shape)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 7, shape)], schema=shape)
 
-    return pages.select("key", "host", "html").mapInArrow(run, "key binary, host string, node long, layout long, content long, judged boolean")
+    longs = ", ".join(f"{n} long" for n in names)
+    return pages.select("key", "host", "html").mapInArrow(run, f"key binary, host string, {longs}, judged boolean")
 
 
 def style_tree(nodes: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -246,9 +274,14 @@ def extracted(pages: DataFrame, url: str = "url", page: str = "html", into: str
     empty = F.lit("")
     key = F.unhex(F.md5(F.concat(F.coalesce(pages[url].cast("string"), empty), F.lit("\n"), F.coalesce(pages[page].cast("string"), empty))))
     keyed = pages.select(key.alias("key"), host(pages[url]).alias("host"), pages[page].cast("string").alias("html"))
-    nodes = stored(elements(keyed.filter("host <> ''")), "elements")
-    low = style_tree(nodes, settings).filter((F.col("importance") < settings.threshold) & (F.col("pages") >= settings.min_pages))
-    cuts = nodes.filter("judged").join(low.select("host", "node"), ["host", "node"], "left_semi")
+    nodes = stored(elements(keyed.filter("host <> ''"), settings), "elements")
+    # One page speaks for all with its main text, so copies, and rows that repeat, count once.
+    one = nodes.groupBy("host", "body").agg(F.min("key").alias("key"))
+    different = stored(nodes.join(one.select("key"), "key", "left_semi").dropDuplicates(["host", "body", "node"]), "different-elements")
+    low = style_tree(different, settings).filter((F.col("importance") < settings.threshold) & (F.col("pages") >= settings.min_pages))
+    alike = different.filter("judged").groupBy("host", "node", "content").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
+    alike = alike.join(low.select("host", "node"), ["host", "node"], "left_semi")
+    cuts = nodes.filter("judged").join(alike.drop("n"), ["host", "node", "content"], "left_semi")
     cuts = stored(cuts.groupBy("key").agg(F.collect_set("node").alias("__cut")), "cuts").withColumnRenamed("key", "__key")
     others = [c for c in pages.columns if c != into]
     whole = pages.select(*others, key.alias("__key")).join(cuts, "__key", "left").select(*others, "__cut")
