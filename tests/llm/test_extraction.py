@@ -103,3 +103,16 @@ def test_copies_of_a_plain_page_stay(spark):
         | {(f"https://b.example/{i}", story, 0) for i in range(30)} | {(f"https://b.example/o{i}", f"Another story numbered {i}", 0) for i in range(5)}
         | {("https://c.example/", story, 1)}
     )
+
+
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_boxes_alike_inside_an_article_go_and_copies_stay(spark, tag):
+    box = "<div class='box'><p>Written by the team</p></div>"
+    page = f"<div class='top'>Welcome</div><{tag}><h1>Title</h1><div class='body'><p>{{}}</p></div>{box}</{tag}>"
+    stories = [f"A story of its own, numbered {i}" for i in range(6)]
+    rows = [(f"https://a.example/{i}", page.format(x)) for i, x in enumerate([*stories, *[stories[0]] * 20])]
+    rows += [(f"https://b.example/{i}", page.format(stories[0])) for i in range(20)]
+    pages = spark.createDataFrame(rows, "url string, html string")
+    found = {r.url: r.text for r in extraction.extracted(pages).collect()}
+    assert all(found[f"https://a.example/{i}"] == "Title\n" + (stories[i] if i < 6 else stories[0]) for i in range(26))
+    assert {found[f"https://b.example/{i}"] for i in range(20)} == {f"Title\n{stories[0]}\nWritten by the team"}

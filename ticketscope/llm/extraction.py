@@ -8,10 +8,10 @@ tree counts which child layouts (presentation) and which texts (content) its pag
 with l layouts; an element seen on one page has importance one. Pages of a host whose main text (before any cut) is the
 same are copies and count once. Generic branches of low importance, which look and read alike all over the site, are
 removed from each page where their text is one that stands in at least two different main texts with enough other words
-around it (`Settings.min_rest` of its own length), so neither a copied body nor an unusual text in a common box goes. Meaning that the page states itself comes first: navigation,
-headers, footers, asides, forms, dialogs, scripts, hidden elements and branches whose names say so are noise wherever
-they stand, and what stands inside an article element is never judged by repetition, since copies of an article repeat
-too. Where a page has an article (or else a main) element with text, only that is read, else the whole body.
+around it (`Settings.min_rest` of its own length), so neither a copied body nor an unusual text in a common box goes.
+Navigation, headers, footers, asides, forms, dialogs, scripts, hidden elements and branches whose names say so are noise
+wherever they stand. Where a page has an article (or else a main) element with text, only that is read, else the whole body; the cuts apply
+inside all three. An article or main element whose branches would all go is read whole.
 
 Character references are decoded, white space inside a block (line breaks and table cells included) becomes one space,
 blocks are joined by one line feed, and nothing else is dropped. Null and empty pages give an empty text. Pages without
@@ -151,7 +151,7 @@ def parsed(page: str, cut: frozenset[int] = frozenset()) -> tuple[list[Block], l
         state["main"] = max(0, state["main"] - (tag == "main"))
         state["cut"] -= cut_here
         body = "\n".join(b.text for b in blocks[done.first_block :])
-        judged = tag in GENERIC and not state["noise"] and not done.noise and not state["article"]
+        judged = tag in GENERIC and not state["noise"] and not done.noise
         nodes.append((xxhash.xxh64_intdigest(done.path), xxhash.xxh64_intdigest(" ".join(done.children)), xxhash.xxh64_intdigest(body), judged, done.first_block, len(blocks)))
 
     at, end = 0, len(page)
@@ -210,11 +210,11 @@ def chosen(blocks: list[Block]) -> list[bool]:
 def main_text(page: str | None, cut: frozenset[int] = frozenset()) -> str:
     """The text of one page without noise and without the branches `cut`."""
     blocks, _ = parsed(page or "", cut)
-    kept = [b for b in blocks if not b.noise]
-    for chosen in ([b for b in kept if b.article], [b for b in kept if b.main], [b for b in kept if not b.cut]):
-        if chosen:
-            return "\n".join(b.text for b in chosen)
-    return ""
+    main = [b for b, inside in zip(blocks, chosen(blocks)) if inside]
+    kept = [b for b in main if not b.cut]
+    if not kept and any(b.article or b.main for b in main):
+        kept = main
+    return "\n".join(b.text for b in kept)
 
 
 def host(url: Column) -> Column:
