@@ -16,8 +16,8 @@ from ticketscope.llm.storage import scratch, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents inside the word rules and compression bands."""
-    return quality.keep_good(docs)
+    """Documents inside the word rules and the compression limits taken from all documents."""
+    return quality.keep_good(docs, rules=quality.fitted(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

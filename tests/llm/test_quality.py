@@ -63,3 +63,22 @@ def test_keep_good_and_empty(spark):
     kept = quality.keep_good(docs)
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
     assert quality.keep_good(none_of(docs)).count() == 0 and quality.measure(none_of(docs), ["doc_id"]).count() == 0
+
+
+def test_limits_from_the_table_reject_what_passes_the_word_rules(spark):
+    rng = random.Random(5)
+    # As in the given table, every word of the junk has its sign.
+    dirty = lambda text: " ".join(w + ("###", "$$$", "%%%", "&&&")[sum(w.encode()) % 4] for w in text.split())
+    clean = [prose(rng, 900) for _ in range(800)]
+    junk = [dirty(prose(rng, 800)) for _ in range(40)]
+    noise = [" ".join(base64.b64encode(rng.randbytes(6)).decode() for _ in range(500)) for _ in range(20)]
+    few_words = [" ".join(rng.choice(("alpha", "beta", "gamma", "delta", "omega", "kappa", "sigma", "theta", "iota")) for _ in range(900)) for _ in range(20)]
+    tables = {"clean": clean, "junk": junk, "noise": noise, "few": few_words, "copies": [clean[0]] * 500}
+    docs = spark.createDataFrame([(k, t) for k, ts in tables.items() for t in ts], "kind string, text string").repartition(8)
+    rules = quality.fitted(docs)
+    found = quality.measure(docs, ["kind"], rules=rules).collect()
+    kept = Counter(r.kind for r in found if r.quality.kept)
+    assert not any(r.quality.base_failed for r in found if r.kind in ("junk", "noise"))
+    assert kept["clean"] >= 790 and kept["copies"] == 500 and kept["junk"] == kept["noise"] == kept["few"] == 0
+    assert quality.keep_good(docs, rules=rules).count() == sum(kept.values())
+    assert quality.fitted(none_of(docs)).limits == {}

@@ -3,7 +3,9 @@
 A text passes when it has enough words, is not mostly repeated three-word windows, and its zstandard ratio
 (compressed by raw bytes) lies inside the band for its length. Fixed chunks of the text are held against the band for
 their own length too; a text goes when more than `max_bad_chunks` of its bytes lie in chunks outside theirs. Low ratios mean
-repetition, high ones noise.
+repetition, high ones noise. The bands of `Rules` are wide outer bounds. `fitted` adds limits taken from the table: all
+different texts and chunks that pass the word rules are put into classes of half a doubling of length, and a class with
+`min_sample` of them accepts what lies within `spread` quartile distances of its quartiles. Smaller classes keep the bands.
 
 Null and empty texts have no words and are rejected. Every text is read whole, whatever its length. Repeated rows are
 judged one by one and alike; an empty table gives an empty result; further columns pass through untouched.
@@ -12,12 +14,14 @@ judged one by one and alike; an empty table gives an empty result; further colum
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -43,6 +47,7 @@ class Rules:
         Band(8192, 0.13, 0.68),
         Band(65536, 0.11, 0.66),
     )
+    limits: dict[tuple[bool, int], tuple[float, float]] = field(default_factory=dict)  # by chunk or text, and length class
 
 
 FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, zstd_ratio double, bad_chunks double, base_failed boolean, kept boolean"
@@ -63,9 +68,24 @@ def repeated_words(words: list[bytes]) -> int:
     return int(inside.sum())
 
 
-def within(raw: bytes, size: int, rules: Rules) -> bool:
+def fails(n: int, repeats: int, rules: Rules) -> bool:
+    """Whether the word rules reject a text of n words."""
+    return n < rules.min_words or 100 * repeats > rules.max_repeat_percent * n
+
+
+def length_class(n: int) -> int:
+    """Half a doubling of length each: 2 * log2(n), rounded down."""
+    return (n * n).bit_length() - 1
+
+
+def within(raw: bytes, size: int, rules: Rules, chunk: bool) -> bool:
     band = max((b for b in rules.bands if b.min_bytes <= len(raw)), key=lambda b: b.min_bytes)
-    return band.low <= size / len(raw) <= band.high
+    low, high = rules.limits.get((chunk, length_class(len(raw))), (band.low, band.high))
+    return max(low, band.low) <= size / len(raw) <= min(high, band.high)
+
+
+def pieces(raw: bytes, rules: Rules) -> list[bytes]:
+    return [raw[i : i + rules.chunk_bytes] for i in range(0, len(raw), rules.chunk_bytes)]
 
 
 def judged(text: str | None, rules: Rules, compressor: zstandard.ZstdCompressor) -> dict:
@@ -75,10 +95,9 @@ def judged(text: str | None, rules: Rules, compressor: zstandard.ZstdCompressor)
     joined = b"".join(words)
     counts = Counter(line for line in raw.split(b"\n") if _WORD.search(line))
     n, repeats = len(words), repeated_words(words)
-    failed = n < rules.min_words or 100 * repeats > rules.max_repeat_percent * n
+    failed = fails(n, repeats, rules)
     whole = len(compressor.compress(raw)) if raw else 0
-    parts = [raw[i : i + rules.chunk_bytes] for i in range(0, len(raw), rules.chunk_bytes)]
-    bad = sum(len(p) for p in parts if not within(p, len(compressor.compress(p)), rules)) / max(1, len(raw))
+    bad = sum(len(p) for p in pieces(raw, rules) if not within(p, len(compressor.compress(p)), rules, True)) / max(1, len(raw))
     return {
         "n_words": n,
         "word_chars": len(joined.decode()),
@@ -88,10 +107,46 @@ def judged(text: str | None, rules: Rules, compressor: zstandard.ZstdCompressor)
         "zstd_ratio": whole / len(raw) if raw else 0.0,
         "bad_chunks": bad,
         "base_failed": failed,
-        "kept": not failed and within(raw, whole, rules) and bad <= rules.max_bad_chunks,
+        "kept": not failed and within(raw, whole, rules, False) and bad <= rules.max_bad_chunks,
     }
 
 
+STEPS = 1000  # ratios are counted to a thousandth
+
+
+def fitted(docs: DataFrame, text: str = "text", rules: Rules = Rules(), spread: float = 2.5, min_sample: int = 256, max_bad_chunks: float = 0.1) -> Rules:
+    """The rules with limits from the ratios of all different texts and chunks of the table."""
+    names = ["piece", "chunk", "class", "step"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compressor = zstandard.ZstdCompressor(level=rules.level)
+        for batch in batches:
+            rows = []
+            for value in batch.column(0).to_pylist():
+                raw = (value or "").encode()
+                words = raw.split()
+                if fails(len(words), repeated_words(words), rules):
+                    continue
+                for chunk, piece in [(False, raw), *((True, p) for p in pieces(raw, rules))]:
+                    step = len(compressor.compress(piece)) * STEPS // len(piece)
+                    rows.append((xxhash.xxh64_intdigest(piece) >> 1, chunk, length_class(len(piece)), step))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)] if rows else [pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64())], names=names)
+
+    found = docs.select(docs[text].cast("string")).mapInArrow(run, "piece long, chunk boolean, class long, step long").distinct()
+    sizes: dict[tuple[bool, int], dict[int, int]] = {}
+    for row in found.groupBy("chunk", "class", "step").agg(F.count("*").alias("n")).collect():  # a row per class and thousandth
+        sizes.setdefault((row["chunk"], row["class"]), {})[row["step"]] = row["n"]
+    limits = {}
+    for which, counts in sizes.items():
+        steps = np.array(sorted(counts))
+        upto = np.cumsum([counts[x] for x in steps])
+        if upto[-1] >= min_sample:
+            low, high = (steps[np.searchsorted(upto, upto[-1] * q)] / STEPS for q in (0.25, 0.75))
+            reach = spread * max(high - low, 0.005)
+            limits[which] = (float(low - reach), float(high + reach))
+    return replace(rules, limits=limits, max_bad_chunks=min(rules.max_bad_chunks, max_bad_chunks))
+
+
 def _struct() -> pa.StructType:
     kinds = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
     return pa.struct([(n, kinds[k]) for n, k in (f.split() for f in FIELDS.split(", "))])

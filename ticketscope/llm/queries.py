@@ -50,8 +50,9 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Measures and verdict of every document."""
-    return quality.measure(_table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", "quality.*")
+    """Measures and verdict of every document, by limits taken from the table."""
+    docs = _table(spark, sf_dir, "documents")
+    return quality.measure(docs, ["doc_id"], rules=quality.fitted(docs)).select("doc_id", "quality.*")
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
