@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from fixtures import documents, none_of, odd_documents, prose
 from pyspark.sql import functions as F
@@ -79,3 +80,17 @@ def test_empty(spark):
 def test_documents_without_a_line_left_are_dropped(spark):
     docs = spark.createDataFrame([(1, "one two three four"), (2, "One  two three four"), (3, "one two three four\nfive six seven"), (4, None), (5, ""), (6, "x")], "doc_id long, text string")
     assert sorted((r.doc_id, r.text) for r in linededup.keep_unique(docs).collect()) == [(1, "one two three four"), (3, "five six seven"), (4, None), (5, ""), (6, "x")]
+
+
+def test_digests_of_lines_use_all_bits():
+    data = np.frombuffer("\n".join(f"one two three w{i}" for i in range(4000)).encode(), np.uint8)
+    words, _, first, *_, digest, twin = linededup.sets_of_lines(data, np.array([0, len(data)]), 1)
+    assert len(first) == 4000 and len(set(zip(digest.tolist(), twin.tolist()))) == 4000
+    sums = np.add.reduceat(words, first)
+    assert len(set((sums & np.uint64((1 << 20) - 1)).tolist())) > 3900 and not (digest == twin).any()
+
+
+def test_words_alike_in_44_bits_stay_apart():
+    hashes = np.array([(5 << 20) + 1, 7 << 20, (5 << 20) + 2, (5 << 20) + 1, 9 << 20], np.uint64)
+    words, at = linededup.word_sets(hashes, np.array([3, 3, 3, 3, 4]))
+    assert words.tolist() == [(5 << 20) + 1, (5 << 20) + 2, 7 << 20, 9 << 20] and at.tolist() == [3, 3, 3, 4]

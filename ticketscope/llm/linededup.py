@@ -11,7 +11,8 @@ must fit in length, in the words left after the places where they meet, and in a
 which bounds their difference from below. A line takes only its `candidates` earliest partners from a list at first,
 which settles groups of variants without pairing them all; a line that these leave open, and that had more, takes all
 of that list in a second round. Pairs are verified on the full sets of words, so every decision is exact
-up to equal hashes (44 bits for the words of one line, 64 bits for a line's set and for verification).
+up to equal hashes: 64 bits for a word, 128 bits (`id` and `twin`, two independent sums) for a line's set. Lists and
+pairs know lines by the `id` alone; two lines that share it without sharing the twin are never taken for copies.
 
 Rows with equal id and text are one document. Null and empty texts have no lines to remove. An empty table gives an
 empty result. Columns besides id and text pass through.
@@ -51,14 +52,15 @@ def needed(n: int | np.ndarray, threshold: float) -> tuple:
 
 PAIR_MAPS = 4
 _MAPS = [f"m{k}" for k in range(PAIR_MAPS)]
-_WORD_BITS = np.uint64(20)  # the lowest bits of a word's hash give way to the number of its line
+_WORD_BITS = np.uint64(20)  # the lowest bits of a word's hash give way to the number of its line, for sorting only
+_TWIN = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def word_hashes(data: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts, cut to 44 bits at the top, and where they begin."""
+    """Hashes of all words of the texts and where they begin."""
     low = LOWER[data]
     starts, ends = word_bounds(low, own)
-    return range_hashes(prefix_hashes(low), starts, ends) >> _WORD_BITS << _WORD_BITS, starts
+    return range_hashes(prefix_hashes(low), starts, ends), starts
 
 
 def word_sets(hashes: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,11 +70,16 @@ def word_sets(hashes: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.nda
     new = np.append(True, lines[1:] != lines[:-1])
     dense, number = np.cumsum(new) - 1, lines[new]
     if dense[-1] < 1 << int(_WORD_BITS):
-        both = np.sort((dense.astype(np.uint64) << np.uint64(44)) | (hashes >> _WORD_BITS))
-        both = both[np.append(True, both[1:] != both[:-1])]
-        return both << _WORD_BITS, number[(both >> np.uint64(44)).astype(np.int64)]
-    order = np.lexsort((hashes, dense))
-    h, d = hashes[order], dense[order]
+        both = (dense.astype(np.uint64) << np.uint64(44)) | (hashes >> _WORD_BITS)
+        order = np.argsort(both)
+        both, h, d = both[order], hashes[order], dense[order]
+        same = both[1:] == both[:-1]
+        if (same & (h[1:] != h[:-1])).any():  # different words of a line that agree in 44 bits
+            order = np.lexsort((hashes, dense))
+            h, d = hashes[order], dense[order]
+    else:
+        order = np.lexsort((hashes, dense))
+        h, d = hashes[order], dense[order]
     once = np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]))
     return h[once], number[d[once]]
 
@@ -128,7 +135,7 @@ def _key(docs: DataFrame, doc_id: str, text: str) -> Column:
 
 
 def sets_of_lines(data: np.ndarray, own: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
-    """Words with their line, and for each line with enough words: its first word, size, text, number and digest."""
+    """Words with their line, and for each line with enough words: its first word, size, text, number, digest and twin."""
     line_starts = np.union1d(own[:-1], np.flatnonzero(data == 0x0A) + 1)
     hashes, starts = word_hashes(data, own)
     words, at = word_sets(hashes, np.searchsorted(line_starts, starts, side="right") - 1)
@@ -142,11 +149,12 @@ def sets_of_lines(data: np.ndarray, own: np.ndarray, min_words: int) -> tuple[np
     text = np.searchsorted(own, line_starts[line], side="right") - 1
     number = line - np.searchsorted(line_starts, own[text])
     digest = mixed(np.add.reduceat(words, first) + n.astype(np.uint64)) if len(first) else np.zeros(0, np.uint64)
-    return words, at, first, n, text, number, digest
+    twin = mixed(np.add.reduceat(mixed(words ^ _TWIN), first) + n.astype(np.uint64)) if len(first) else np.zeros(0, np.uint64)
+    return words, at, first, n, text, number, digest, twin
 
 
 def lines_of(texts: DataFrame, min_words: int) -> DataFrame:
-    """(key, order, line, id, n, maps): every line with enough words; id is the digest of its set of words.
+    """(key, order, line, id, twin, n, maps): every line with enough words; id and twin are digests of its set of words.
 
     The maps are `PAIR_MAPS` parity maps of 64 bits, each of the words that fall to it: finer than the one in the lists.
     """
@@ -155,16 +163,16 @@ def lines_of(texts: DataFrame, min_words: int) -> DataFrame:
         for batch in batches:
             data, bounds = text_bytes(batch.column(2))
             for i, j in chunks(bounds):
-                words, _, first, n, text, number, digest = sets_of_lines(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], min_words)
+                words, _, first, n, text, number, digest, twin = sets_of_lines(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], min_words)
                 if not len(first):
                     continue
                 bit, map_of = np.uint64(1) << ((words >> _WORD_BITS) & np.uint64(63)), (words >> np.uint64(26)) % np.uint64(PAIR_MAPS)
                 maps = [np.bitwise_xor.reduceat(np.where(map_of == k, bit, np.uint64(0)), first).view(np.int64) for k in range(PAIR_MAPS)]
                 at = pa.array(text + i)
-                columns = [batch.column(0).take(at), batch.column(1).take(at), *map(pa.array, (number.astype(np.int32), digest.view(np.int64), n.astype(np.int32), *maps))]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "order", "line", "id", "n", *_MAPS])
+                columns = [batch.column(0).take(at), batch.column(1).take(at), *map(pa.array, (number.astype(np.int32), digest.view(np.int64), twin.view(np.int64), n.astype(np.int32), *maps))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "order", "line", "id", "twin", "n", *_MAPS])
 
-    return texts.mapInArrow(run, "key binary, order long, line int, id long, n int, " + ", ".join(f"{m} long" for m in _MAPS))
+    return texts.mapInArrow(run, "key binary, order long, line int, id long, twin long, n int, " + ", ".join(f"{m} long" for m in _MAPS))
 
 
 def plausible(pairs: DataFrame, kinds: DataFrame, threshold: float) -> DataFrame:
@@ -192,9 +200,10 @@ def prefix_entries(texts: DataFrame, table: np.ndarray, settings: Settings, only
             data, bounds = text_bytes(batch.column(2))
             orders = batch.column(1).to_numpy()
             for i, j in chunks(bounds):
-                words, _, first, n, text, number, digest = sets_of_lines(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], settings.min_words)
+                words, _, first, n, text, number, digest, twin = sets_of_lines(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], settings.min_words)
                 if not len(first):
                     continue
+                words = words >> _WORD_BITS << _WORD_BITS
                 order = orders[i:j][text]
                 group = np.repeat(np.arange(len(first)), n)
                 maps = np.bitwise_xor.reduceat(np.uint64(1) << ((words >> _WORD_BITS) & np.uint64(63)), first)
@@ -301,8 +310,8 @@ def candidate_pairs(entries: DataFrame, settings: Settings, limit: int | None, o
 
 
 def line_sets(texts: DataFrame, listed: DataFrame) -> DataFrame:
-    """(id, words): the whole sets of words of the listed lines (key, line, id), as 64-bit hashes."""
-    per_text = stored(listed.groupBy("key").agg(F.collect_list(F.struct("line", "id")).alias("listed")), "listed-lines")
+    """(id, twin, words): the whole sets of words of the listed lines (key, line, id, twin), as 64-bit hashes."""
+    per_text = stored(listed.groupBy("key").agg(F.collect_list(F.struct("line", "id", "twin")).alias("listed")), "listed-lines")
     # Equal documents list equal lines, so any one of them will do; they stand side by side after the join.
     held = texts.select("key", "text").join(small(per_text.select("key")), "key", "left_semi").join(per_text.hint("shuffle_merge"), "key")
     held = held.dropDuplicates(["key"])
@@ -310,7 +319,7 @@ def line_sets(texts: DataFrame, listed: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = text_bytes(batch.column(0))
-            ids, sets = [], []
+            ids, twins, sets = [], [], []
             for k, wanted in enumerate(batch.column(1).to_pylist()):
                 raw = data[bounds[k] : bounds[k + 1]]
                 breaks = np.append(np.append(-1, np.flatnonzero(raw == 0x0A)), len(raw))
@@ -318,27 +327,29 @@ def line_sets(texts: DataFrame, listed: DataFrame) -> DataFrame:
                     low = LOWER[raw[breaks[line["line"]] + 1 : breaks[line["line"] + 1]]]
                     starts, ends = word_bounds(low, np.array([0, len(low)]))
                     ids.append(line["id"])
+                    twins.append(line["twin"])
                     sets.append(np.unique(range_hashes(prefix_hashes(low), starts, ends)).view(np.int64))
             edges = np.append(0, np.cumsum([len(x) for x in sets])).astype(np.int32)
             words = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(sets or [np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), words], names=["id", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(twins, pa.int64()), words], names=["id", "twin", "words"])
 
-    return held.select("text", "listed").mapInArrow(run, "id long, words array<long>")
+    return held.select("text", "listed").mapInArrow(run, "id long, twin long, words array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, kinds: DataFrame, threshold: float) -> DataFrame:
-    """(id,) of the later lines of the pairs (later, earlier) whose sets of words are similar."""
+    """(id, twin) of the later lines of the pairs (later, earlier) whose sets of words are similar."""
     with scratch(pairs.sparkSession):
         named = stored(pairs.select(F.explode(F.array("later", "earlier")).alias("id")).distinct(), "paired-lines")
-        sets = stored(line_sets(texts, kinds.select("id", "key", "line").join(named, "id", "left_semi")), "line-sets")
-        later, earlier = (sets.select(F.col("id").alias(side), F.col("words").alias(w)) for side, w in (("later", "w"), ("earlier", "x")))
+        sets = stored(line_sets(texts, kinds.select("id", "twin", "key", "line").join(named, "id", "left_semi")), "line-sets")
+        later = sets.select(F.col("id").alias("later"), "twin", F.col("words").alias("w"))
+        earlier = sets.select(F.col("id").alias("earlier"), F.col("words").alias("x"))
         common = F.size(F.array_intersect("w", "x"))
         similar = common >= (F.size("w") + F.size("x") - common) * F.lit(threshold) - F.lit(1e-9)
-        return stored(pairs.join(later, "later").join(earlier, "earlier").filter(similar).select(F.col("later").alias("id")).distinct(), "similar", result=True)
+        return stored(pairs.join(later, "later").join(earlier, "earlier").filter(similar).select(F.col("later").alias("id"), "twin").distinct(), "similar", result=True)
 
 
 def similar_lines(texts: DataFrame, kinds: DataFrame, settings: Settings) -> DataFrame:
-    """(id,) of the different lines that an earlier one is similar to; `kinds` says where each id stands first."""
+    """(id, twin) of the different lines that an earlier one is similar to; `kinds` says where each id stands first."""
     table = rarity_table(texts, settings.table_bits)
     met = stored(candidate_pairs(prefix_entries(texts, table, settings), settings, settings.candidates), "line-pairs")
     counted = met.filter("earlier is not null").groupBy("later", "earlier").agg(F.count(F.lit(1)).alias("lists"))
@@ -366,14 +377,14 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
         texts = texts_of(docs, doc_id, text)
         lines = stored(lines_of(texts, settings.min_words), "lines")
         # The id breaks ties of order and line between texts with one document id.
-        kinds = lines.groupBy("id").agg(F.min(F.struct("order", "line", "key")).alias("one"), F.count(F.lit(1)).alias("times"), F.first("n").alias("n"), *(F.first(m).alias(m) for m in _MAPS))
-        kinds = stored(kinds.select("id", "times", F.col("one.key").alias("key"), F.col("one.line").alias("line"), "n", *_MAPS), "line-kinds")
+        kinds = lines.groupBy("id", "twin").agg(F.min(F.struct("order", "line", "key")).alias("one"), F.count(F.lit(1)).alias("times"), F.first("n").alias("n"), *(F.first(m).alias(m) for m in _MAPS))
+        kinds = stored(kinds.select("id", "twin", "times", F.col("one.key").alias("key"), F.col("one.line").alias("line"), "n", *_MAPS), "line-kinds")
         similar = similar_lines(texts, kinds.drop("times"), settings)
         gone = F.coalesce("gone", F.lit(False))
         # Every line of a kind that goes, and every line but the first of the other kinds that repeat.
-        busy = kinds.join(similar.withColumn("gone", F.lit(True)), "id", "left").filter(gone | (F.col("times") > 1))
-        busy = busy.select("id", gone.alias("gone"), F.col("key").alias("first_key"), F.col("line").alias("first_line"))
-        lost = lines.select("key", "line", "id").join(busy, "id").filter(F.col("gone") | (F.col("key") != F.col("first_key")) | (F.col("line") != F.col("first_line")))
+        busy = kinds.join(similar.withColumn("gone", F.lit(True)), ["id", "twin"], "left").filter(gone | (F.col("times") > 1))
+        busy = busy.select("id", "twin", gone.alias("gone"), F.col("key").alias("first_key"), F.col("line").alias("first_line"))
+        lost = lines.select("key", "line", "id", "twin").join(busy, ["id", "twin"]).filter(F.col("gone") | (F.col("key") != F.col("first_key")) | (F.col("line") != F.col("first_line")))
         return stored(lost.groupBy("key").agg(F.collect_set("line").alias("lines")), "lost-lines", result=True)
 
 
