@@ -94,3 +94,9 @@ def test_words_alike_in_44_bits_stay_apart():
     hashes = np.array([(5 << 20) + 1, 7 << 20, (5 << 20) + 2, (5 << 20) + 1, 9 << 20], np.uint64)
     words, at = linededup.word_sets(hashes, np.array([3, 3, 3, 3, 4]))
     assert words.tolist() == [(5 << 20) + 1, (5 << 20) + 2, 7 << 20, 9 << 20] and at.tolist() == [3, 3, 3, 4]
+
+
+def test_short_lines_that_repeat_go(spark):
+    docs = spark.createDataFrame([(1, "Share\none two three four\nRead more"), (2, "read  more\nfive six\nshare\n\nfive"), (3, "a b c\na b c d\nfour one two three five")], "doc_id long, text string")
+    assert compared(docs) == 3
+    assert {r.doc_id: r.text for r in linededup.deduplicated(docs).collect()} == {1: "Share\none two three four\nRead more", 2: "five six\n\nfive", 3: "a b c\na b c d"}

@@ -1,7 +1,8 @@
 """Near-duplicate lines: an exact set-similarity join with prefix, positional and length filters.
 
 A line is the set of its lower-cased words. It is removed when an earlier line has a Jaccard similarity of at least
-`Settings.threshold` with it; lines of fewer than `min_words` different words are left alone. Lines are in the order of
+`Settings.threshold` with it; lines of fewer than `min_words` different words are left alone, by default only those
+without words. Lines too short to be similar without being equal have no entries in the lists. Lines are in the order of
 document id (nulls last; ids that are no integers by hash), line number, then digest. Earlier lines count whether or not
 they are removed themselves. Equal sets are one entry at the place of the earliest, so copies never pair up.
 
@@ -36,7 +37,7 @@ from ticketscope.llm.words import LOWER, chunks, mixed, prefix_hashes, range_has
 @dataclass(frozen=True)
 class Settings:
     threshold: float = 0.8
-    min_words: int = 3
+    min_words: int = 1
     table_bits: int = 24
     candidates: int = 8
     bitmap_bits: int = 27
@@ -217,7 +218,8 @@ def prefix_entries(texts: DataFrame, table: np.ndarray, settings: Settings, only
                 same = np.append(False, digest[by_rank][1:] == digest[by_rank][:-1])
                 speaks = np.ones(len(first), bool)
                 speaks[by_rank[same]] = False
-                keep = speaks[group] & (place < needed(n, settings.threshold)[0][group]) & (rare > once)
+                near = n >= (n + 1) * settings.threshold - 1e-9  # shorter lines are similar to equal ones only
+                keep = (speaks & near)[group] & (place < needed(n, settings.threshold)[0][group]) & (rare > once)
                 if wanted is not None:
                     keep &= has(wanted, words, settings.bitmap_bits)
                 g = group[keep]
