@@ -1,4 +1,4 @@
-"""DuckDB SQL for the queries that SQL can express: chat formatting and benchmark decontamination."""
+"""DuckDB SQL for the queries that SQL can express: chat formatting, benchmark decontamination and structure repair."""
 
 OP2 = r"""
 with turns as (
@@ -51,4 +51,82 @@ select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items,
 from docs left join covered using (r) left join named using (r)
 """
 
-ORACLES: dict[str, str] = {"op2_chat_format": OP2, "op10_decontaminate": OP10}
+OP11 = r"""
+with keyed as (
+    select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+        list_transform(range(1, length(k) + 1), lambda i: cast(ascii(k[i]) as bigint)) as bytes
+    from (select *, coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as k from conversations)
+), summed as (
+    select conv_id, turn, role, text, xor(4294967295, list_reduce(list_prepend(4294967295, bytes), lambda c, b:
+        list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, (x & 1) * 3988292384)))) % 20 as fault
+    from keyed
+), damaged as (
+    select conv_id, turn, case when fault = 4 then 'user' else role end as role,
+        case when fault = 1 then '' when fault = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+        unnest(range(case when fault = 0 then 0 when fault = 3 then 2 else 1 end)) as copy
+    from summed
+), placed as (
+    select *, row_number() over (partition by conv_id order by turn nulls first, role, md5(text), copy) as pos,
+        rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as trimmed, left(role, 1) as initial
+    from damaged
+), seen as (
+    select *, row_number() over (partition by conv_id, role, md5(text) order by pos) > 1 as again from placed
+), judged as (
+    select *, trimmed = '' as blank, trimmed <> '' and again as duplicate,
+        trimmed <> '' and not again and right(trimmed, 1) not in ('.', '!', '?') as truncated,
+        coalesce(lag(initial) over (partition by conv_id order by pos) || initial not in ('su', 'ua', 'au'), false) as illegal
+    from seen
+), counts as (
+    select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (blank) as blank,
+        count(*) filter (duplicate) as duplicate, count(*) filter (truncated) as truncated, count(*) filter (illegal) as illegal, count(*) as n
+    from judged group by conv_id
+), costs as (
+    select conv_id, pos, 4 as del, case when blank or duplicate then 90000000 else 3 end + case when truncated then 3 else 0 end as rerole,
+        case when blank or duplicate or initial <> 's' then 90000000 when truncated then 3 else 0 end as keep_s,
+        case when blank or duplicate or initial <> 'u' then 90000000 when truncated then 3 else 0 end as keep_u,
+        case when blank or duplicate or initial <> 'a' then 90000000 when truncated then 3 else 0 end as keep_a
+    from judged
+), inserted(f, m, s, c) as (
+    values (0, 0, '', 0), (0, 2, 'I', 3), (0, 3, 'II', 6), (1, 1, '', 0), (1, 2, 'I', 3), (1, 3, 'II', 6), (2, 2, '', 0), (2, 3, 'I', 3), (3, 3, '', 0), (3, 2, 'I', 3)
+), acts(m, t, letter, kind) as (
+    values (0, 0, 'D', 'del'), (1, 1, 'D', 'del'), (2, 2, 'D', 'del'), (3, 3, 'D', 'del'), (0, 2, 'R', 'rerole'), (1, 2, 'R', 'rerole'),
+        (3, 2, 'R', 'rerole'), (2, 3, 'R', 'rerole'), (0, 1, 'K', 'keep_s'), (0, 2, 'K', 'keep_u'), (1, 2, 'K', 'keep_u'), (3, 2, 'K', 'keep_u'), (2, 3, 'K', 'keep_a')
+), edits as (
+    select f, t, s || letter as s, c, kind from inserted join acts using (m)
+), priced as (
+    select conv_id, pos, f, t, s, c + case kind when 'del' then del when 'rerole' then rerole when 'keep_s' then keep_s when 'keep_u' then keep_u else keep_a end as c
+    from costs, edits
+), steps as (
+    select conv_id, pos, list({'f': f, 't': t, 's': s, 'c': c}) as ways from priced where c < 1000 group by conv_id, pos
+), walk as (
+    with recursive w(conv_id, pos, best) as (
+        select distinct conv_id, cast(0 as bigint), [{'k': 0, 'a': ''}, {'k': 90000000, 'a': ''}, {'k': 90000000, 'a': ''}, {'k': 90000000, 'a': ''}] from counts
+        union all
+        select w.conv_id, s.pos, list_transform([0, 1, 2, 3], lambda to_state: coalesce(
+            list_min(list_transform(list_filter(s.ways, lambda x: x.t = to_state), lambda x: {'k': w.best[x.f + 1].k + x.c, 'a': w.best[x.f + 1].a || x.s})), {'k': 90000000, 'a': ''}))
+        from w join steps s on w.conv_id is not distinct from s.conv_id and s.pos = w.pos + 1
+    ) select * from w
+), ended as (
+    select counts.conv_id, n, list_min([{'k': best[1].k, 'a': best[1].a}, {'k': best[2].k + 6, 'a': best[2].a || 'II'}, {'k': best[3].k + 3, 'a': best[3].a || 'I'}, best[4]]) as best
+    from walk join counts on walk.conv_id is not distinct from counts.conv_id and walk.pos = counts.n
+), letters as (
+    select conv_id, best.a as audit, unnest(range(1, length(best.a) + 1)) as i from ended
+), read as (
+    select conv_id, i, audit[i] as letter, count(*) filter (audit[i] <> 'I') over (partition by conv_id order by i) as pos from letters
+), stood as (
+    select read.conv_id, i, letter, case when letter = 'I' then '' else text end as text, role,
+        row_number() over (partition by read.conv_id order by i) - max(case when letter = 'K' and initial = 's' then 1 else 0 end) over (partition by read.conv_id) as place
+    from read left join judged on read.conv_id is not distinct from judged.conv_id and judged.pos = read.pos and letter <> 'I' where letter <> 'D'
+), lines as (
+    select conv_id, string_agg(case when letter = 'K' then role when place % 2 = 1 then 'user' else 'assistant' end || ':' || text, chr(10) order by i) as whole
+    from stood group by conv_id
+)
+select ids.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+    coalesce(illegal, 0) as illegal, coalesce(best.k, 0) as cost, coalesce(best.a, '') as audit, sha256(coalesce(whole, '')) as repaired_sha256
+from (select distinct conv_id from conversations) ids
+left join counts on ids.conv_id is not distinct from counts.conv_id
+left join ended on ids.conv_id is not distinct from ended.conv_id
+left join lines on ids.conv_id is not distinct from lines.conv_id
+"""
+
+ORACLES: dict[str, str] = {"op2_chat_format": OP2, "op10_decontaminate": OP10, "op11_repair_structure": OP11}
