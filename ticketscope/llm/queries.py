@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketscope.llm import chat, contamination, extraction, licenses, linededup, lm, mixing, periodic, quality, repair, repeats, simhash
+from ticketscope.llm import chat, contamination, extraction, licenses, linededup, lm, mixing, periodic, quality, repair, repeats, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,11 @@ def op11_repair_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.digest(repair.damaged(_table(spark, sf_dir, "conversations")), "copies")
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words in every document, a tenth of them with a planted one."""
     return periodic.digest(_table(spark, sf_dir, "documents"), settings=periodic.Settings(drill=True))
@@ -92,5 +97,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_decontaminate": op10_decontaminate,
     "op11_repair_structure": op11_repair_structure,
+    "op12_toxicity": op12_toxicity,
     "op13_periodic_runs": op13_periodic_runs,
 }
