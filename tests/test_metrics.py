@@ -4,7 +4,7 @@ import pytest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 
 from ticketscope.operators.metrics import class_metrics, classification_report, confusion_table
-from ticketscope.operators.sampling import bernoulli_sample, hash_sample, hash_split, sample_to_size
+from ticketscope.operators.sampling import bernoulli_sample, hash_sample, hash_split, sample_exactly, sample_to_size
 
 
 @pytest.fixture(scope="module")
@@ -65,3 +65,16 @@ def test_sample_to_size(spark):
     assert sample_to_size(df.limit(0), "key", 10).count() == 0
     assert 900 < bernoulli_sample(df, 0.2).count() < 1100
     assert bernoulli_sample(df, 7.0).count() == 5000
+
+
+def test_sample_exactly(spark):
+    df = spark.range(5000).selectExpr("concat('k', id) as key", "id")
+    for size in (0, 1, 499, 500, 4999, 5000, 6000):
+        chosen = sample_exactly(df, "key", size)
+        assert chosen.count() == min(size, 5000) and chosen.columns == df.columns
+    keys = {r["key"] for r in sample_exactly(df, "key", 500).collect()}
+    assert keys == {r["key"] for r in sample_exactly(df.repartition(13), "key", 500).collect()}
+    assert keys < {r["key"] for r in sample_exactly(df, "key", 600).collect()}
+    same = spark.range(100).selectExpr("'one' as key", "id")
+    assert sample_exactly(same, "key", 30).count() == 30 and sample_exactly(same.unionByName(df), "key", 4000).count() == 4000
+    assert sample_exactly(df.limit(0), "key", 10).count() == 0

@@ -2,14 +2,18 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
+from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.feature import PCA
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ticketscope.functions.hashing import key_fraction
 from ticketscope.functions.stages import slot_names
-from ticketscope.operators import clusters, importance, models, topics
+from ticketscope.operators import certificates, clusters, components, importance, models, silhouettes, topics
 from ticketscope.operators.metrics import confusion_table
 from ticketscope.operators.sentiment import clean_text, sentiment
 from ticketscope.plans.bug_analysis import run_bug_analysis, summary
@@ -142,11 +146,18 @@ def test_no_row_to_train_on_is_said(issues):
 
 def test_permutation_keeps_all_values_and_moves_them(spark):
     df = spark.range(5000).selectExpr("concat('k', id) as key", "cast(id as string) as a", "case when id % 3 = 0 then null else id end as b")
-    mixed = importance.permuted_columns(df, ["a", "b"], blocks=3).persist()
-    assert mixed.count() == 5000
+    mixed = importance.permuted_columns(df, ["a", "b"]).persist()
+    assert mixed.count() == 5000 and mixed.columns == ["key", "a", "b", "_permuted"]
     assert mixed.select("_permuted.a").distinct().count() == 5000
     assert mixed.filter("_permuted.b is null").count() == df.filter("b is null").count()
     assert mixed.filter("a = _permuted.a").count() == 0
+    # Neither ranges nor partitions change who takes whose values.
+    want = {r["key"]: r["_permuted"]["a"] for r in mixed.collect()}
+    for ranges, parts in ((1, 1), (3, 7), (5000, 2)):
+        other = importance.permuted_columns(df.repartition(parts), ["a", "b"], ranges=ranges)
+        assert {r["key"]: r["_permuted"]["a"] for r in other.collect()} == want
+    assert importance.permuted_columns(df.limit(0), ["a"]).count() == 0
+    assert importance.permuted_columns(df.filter("key = 'k7'"), ["a"]).first()["_permuted"]["a"] == "7"
 
 
 def test_sentiment_model_and_topics(spark):
@@ -229,3 +240,76 @@ def test_whole_analysis(spark, tmp_path):
     for table in analysis.tables.values():
         table.collect()
     analysis.release()
+
+
+@pytest.fixture(scope="module")
+def sparse(spark):
+    """Sparse, dense and empty vectors of 40 slots in three loose groups."""
+    draw = np.random.default_rng(8)
+    rows = []
+    for n in range(900):
+        x = np.where(draw.random(40) < 0.2, draw.normal(size=40), 0) + np.where(np.arange(40) % 3 == n % 3, 2.0 * (n % 3), 0)
+        if n % 100 == 99:
+            x[:] = 0
+        held = np.flatnonzero(x)
+        rows.append((n, Vectors.dense(x) if n % 5 == 0 else Vectors.sparse(40, held, x[held])))
+    return spark.createDataFrame(rows, ["key", "features"]).repartition(5).persist()
+
+
+def test_components_equal_those_of_the_covariance(spark, sparse):
+    found = components.principal_components(sparse, 3)
+    want = PCA(k=3, inputCol="features", outputCol="out").fit(sparse)
+    assert np.abs(np.abs(want.pc.toArray()) - np.abs(found.directions)).max() < 1e-6
+    assert np.allclose(found.shares, want.explainedVariance.toArray(), atol=1e-8)
+    points = {r["key"]: (r["x"], r["y"]) for r in components.projected(sparse, found, ["x", "y", "z3"], ["key"]).collect()}
+    for row in sparse.collect():
+        assert np.allclose(points[row["key"]], row["features"].toArray() @ found.directions[:, :2])
+    assert [r["violations"] for r in certificates.component_violations(sparse, found).collect()] == [0, 0, 0]
+    turned = found.directions.copy()
+    turned[:, 1] = turned[:, 1] * 1.01
+    off = components.Components(turned, found.variances, found.shares, found.residuals, found.mean, found.passes)
+    assert {r["component"]: r["violations"] > 0 for r in certificates.component_violations(sparse, off).collect()}[2]
+    # Fewer rows than directions, and rows that do not differ.
+    few = components.principal_components(sparse.filter("key in (1, 2)"), 2)
+    assert few.variances[1] < 1e-9 * few.variances[0] and few.variances[0] > 0
+    assert (components.principal_components(sparse.filter("key = 1"), 2).variances < 1e-9).all()
+
+
+def test_silhouettes_of_many_k_at_once(spark, sparse):
+    fitted = silhouettes.fitted(sparse, [2, 3, 5])
+    scores = silhouettes.silhouettes(sparse, {k: m.clusterCenters() for k, m in fitted.items()})
+    for k, model in fitted.items():
+        assert scores[k] == pytest.approx(ClusteringEvaluator().evaluate(model.transform(sparse)), abs=1e-12)
+    sample = silhouettes.coreset(sparse, size=200).persist()
+    assert 120 < sample.count() < 300 and abs(sample.agg(F.sum("weight")).first()[0] - 900) < 250
+    assert clusters.best_k(clusters.scan_k(sparse, [2, 3, 5])) == max(scores, key=scores.get)
+
+
+def test_centres_are_certified(spark, sparse):
+    model = clusters.cluster_model(sparse, 3, max_iter=200, tol=0.0)
+    placed = model.transform(sparse).persist()
+    good = certificates.centre_violations(placed, model.clusterCenters()).collect()
+    assert sum(r["rows"] for r in good) == 900 and all(r["wrong_rows"] == r["wrong_slots"] == 0 for r in good)
+    moved = [c * (1.01 if i == 1 else 1) for i, c in enumerate(model.clusterCenters())]
+    assert {r["prediction"] for r in certificates.centre_violations(placed, moved).collect() if r["wrong_slots"]} == {1}
+    swapped = model.clusterCenters()[::-1]
+    assert sum(r["wrong_rows"] for r in certificates.centre_violations(placed, swapped).collect()) > 100
+
+
+def test_regression_and_tree_are_certified(spark, issues):
+    data = models.slow_datasets(issues)
+    merged = data.pipeline.transform(models.folded_counts(data.train)).persist()
+    model = LogisticRegression(maxIter=300, tol=1e-12, weightCol="weight").fit(merged)
+    rows = certificates.score_equations(model, merged, ["project_name", "priority_name"], "weight").collect()
+    assert len(rows) == 5 and all(abs(r["expected"] - r["seen"]) < 1e-3 for r in rows)
+    early = LogisticRegression(maxIter=1, weightCol="weight").fit(merged)
+    assert any(abs(r["expected"] - r["seen"]) > 1 for r in certificates.score_equations(early, merged, ["project_name"], "weight").collect())
+    tree = models.tuned_tree(merged)
+    assert certificates.leaf_violations(tree, merged, "weight").first()["wrong_leaves"] == 0
+    assert certificates.leaf_violations(tree, merged.filter("priority_name = 'High'"), "weight").first()["wrong_leaves"] > 0
+    # Merged and single rows give the same shares, whatever line their fits stopped on.
+    inputs = [f"{n}_vec" for n in ("issuetype_name", "priority_name", "project_name", "status_name")]
+    single = LogisticRegression(maxIter=300, tol=1e-12).fit(data.train)
+    one, two = ({r["Feature"]: r["Importance"] for r in importance.grouped_coef_importance(m, d, inputs).collect()} for m, d in ((model, merged), (single, data.train)))
+    assert one.keys() == two.keys() and all(abs(one[f] - two[f]) < 1e-3 for f in one)
+    data.release()

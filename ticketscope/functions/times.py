@@ -19,8 +19,9 @@ def as_timestamp(df: DataFrame, name: str) -> Column:
     """
     if isinstance(df.schema[name].dataType, StringType):
         text = F.trim(F.col(name))
-        spelled = F.regexp_replace(F.regexp_replace(text, _SHORT_OFFSET, "$1$2:$3"), _HOUR_OFFSET, "$1$2:00")
-        return F.when(text.rlike(_DATED), spelled.try_cast("timestamp")).cast("timestamp_ntz")
+        ahead = F.regexp_replace(F.regexp_replace(text, _SHORT_OFFSET, "$1$2:$3"), _HOUR_OFFSET, "$1$2:00")
+        spelled = F.when(F.substring(text, -5, 5).rlike("[+-]") & F.contains(text, F.lit(":")), ahead).otherwise(text)
+        return F.when(F.substring(text, 1, 10).rlike(_DATED), spelled.try_cast("timestamp")).cast("timestamp_ntz")
     return F.col(name).cast("timestamp_ntz")
 
 

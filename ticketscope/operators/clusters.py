@@ -2,15 +2,14 @@
 
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.clustering import BisectingKMeans, KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketscope.functions.hashing import CLUSTERS
 from ticketscope.functions.stages import assembled, counted_words, encoded, filtered_words
+from ticketscope.operators.components import principal_components, projected
 from ticketscope.operators.sampling import hash_sample, spread
+from ticketscope.operators.silhouettes import fitted, silhouettes
 from ticketscope.schemas import present
 
 SEED = 42
@@ -49,16 +48,11 @@ def cluster_features(
     return model.transform(bugs), model
 
 
-def scan_models(vectors: DataFrame, ks: range | list[int] = range(2, 11), seed: int = SEED) -> dict[int, tuple[float, Model]]:
-    """Silhouette and model of k-means for each k. Pass persisted vectors: every k reads them several times."""
-    evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
-    models = {k: cluster_model(vectors, k, seed=seed) for k in ks}
-    return {k: (float(evaluator.evaluate(model.transform(vectors))), model) for k, model in models.items()}
-
-
-def scan_k(vectors: DataFrame, ks: range | list[int] = range(2, 11), seed: int = SEED) -> list[tuple[int, float]]:
-    """(k, silhouette) of k-means for each k."""
-    return [(k, score) for k, (score, _) in scan_models(vectors, ks, seed).items()]
+def scan_k(vectors: DataFrame, ks: range | list[int] = range(2, 11), seed: int = SEED, key: str = "key") -> list[tuple[int, float]]:
+    """(k, silhouette) of k-means for each k, fitted on one coreset and judged on all rows. Pass persisted vectors."""
+    models = fitted(vectors, ks, key=key, seed=seed)
+    scores = silhouettes(vectors, {k: model.clusterCenters() for k, model in models.items()})
+    return [(k, scores[k]) for k in ks]
 
 
 def best_k(scores: list[tuple[int, float]]) -> int:
@@ -66,10 +60,11 @@ def best_k(scores: list[tuple[int, float]]) -> int:
     return max(scores, key=lambda score: (score[1], -score[0]))[0]
 
 
-def cluster_model(vectors: DataFrame, k: int, algorithm: str = "kmeans", seed: int = SEED) -> Model:
+def cluster_model(vectors: DataFrame, k: int, algorithm: str = "kmeans", seed: int = SEED, max_iter: int = 20, tol: float = 1e-4) -> Model:
+    """A fitted model; `max_iter` bounds the rounds of either algorithm, `tol` the last move of a k-means centre."""
     estimators = {
-        "kmeans": lambda: KMeans(k=k, seed=seed, featuresCol="features", initMode="k-means||"),
-        "bisecting": lambda: BisectingKMeans(k=k, seed=seed, featuresCol="features"),
+        "kmeans": lambda: KMeans(k=k, seed=seed, featuresCol="features", initMode="k-means||", maxIter=max_iter, tol=tol),
+        "bisecting": lambda: BisectingKMeans(k=k, seed=seed, featuresCol="features", maxIter=max_iter),
     }
     return estimators[algorithm]().fit(vectors)
 
@@ -148,13 +143,7 @@ def cluster_extremes(clustered: DataFrame, by: str = "prediction") -> DataFrame:
 def pca_projection(clustered: DataFrame, k: int = 2) -> DataFrame:
     """Cluster, reopening flag and the first k principal components (x, y, then z3, z4, ...).
 
-    The covariance is square in the vector size and solved in one place, so keep the vocabulary behind the
-    vectors small (`cluster_features(vocab_size=...)`); the rows stay distributed.
+    Vectors may be as wide as the clustered ones: no matrix square in their size is built.
     """
-    fitted = PCA(k=k, inputCol="features", outputCol="_pca").fit(clustered)
-    axes = ["x", "y"] + [f"z{i}" for i in range(3, k + 1)]
-    components = vector_to_array("_pca")
-    keep = present(clustered, ["key", "prediction", "was_reopened"])
-    return fitted.transform(clustered).select(
-        *keep, *[components.getItem(i).alias(axis) for i, axis in enumerate(axes[:k])]
-    )
+    axes = (["x", "y"] + [f"z{i}" for i in range(3, k + 1)])[:k]
+    return projected(clustered, principal_components(clustered, k), axes, present(clustered, ["key", "prediction", "was_reopened"]))

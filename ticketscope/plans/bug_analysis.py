@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ticketscope.operators.cleaning import bug_share, load_bugs
 from ticketscope.operators.clusters import (
     best_k, cluster_counts, cluster_examples, cluster_extremes, cluster_features, cluster_keywords,
-    cluster_reopen_rates, scan_models, with_words,
+    cluster_reopen_rates, cluster, scan_k, with_words,
 )
 from ticketscope.operators.importance import feature_importance
 from ticketscope.operators.memory import keep
@@ -63,10 +63,9 @@ def run_bug_analysis(
 
     vectors, _ = cluster_features(features, cluster_fraction)
     vectors = keep(vectors)
-    scanned = scan_models(vectors, ks)
-    scores = [(k, score) for k, (score, _) in scanned.items()]
+    scores = scan_k(vectors, ks)
     k = best_k(scores)
-    clustered = scanned[k][1].transform(vectors)
+    clustered = cluster(vectors, k)
 
     tables = {
         "bug_share": bug_share(issues),

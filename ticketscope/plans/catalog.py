@@ -3,6 +3,9 @@
 from collections.abc import Callable
 from functools import wraps
 
+import numpy as np
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector
@@ -10,10 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketscope.constants import SLOW_COLUMNS
+from ticketscope.functions.stages import assembled, encoded
 from ticketscope.functions.text import tokens
 from ticketscope.operators import (
-    cleaning, clusters, importance, metrics, models, reopening, resolution, sampling, sentiment, topics,
+    certificates, cleaning, clusters, importance, metrics, models, reopening, resolution, sampling, sentiment, silhouettes, topics,
 )
+from ticketscope.operators.components import principal_components
 from ticketscope.operators.memory import keep
 from ticketscope.plans import bindings
 from ticketscope.plans.activity_report import run_activity_report
@@ -195,6 +200,9 @@ _COMMENTS: dict[str, Query] = {
     "comment_sample": lambda spark, sf: sampling.sample_to_size(
         bindings.comments(spark, sf), "comment_id", 300
     ).select("comment_id"),
+    "comment_sample_exact": lambda spark, sf: sampling.sample_exactly(
+        bindings.comments(spark, sf), "comment_id", 300
+    ).select("comment_id"),
     "cleaned_comments": lambda spark, sf: sentiment.clean_text(bindings.comments(spark, sf)).select(
         "comment_id", "key", "cleaned_text"
     ),
@@ -305,6 +313,30 @@ def _embedding_silhouette(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(round(float(score), 6),)], "silhouette double")
 
 
+def _pca_certificate(spark: SparkSession, sf: str) -> DataFrame:
+    """Faults of the first two principal components of the bug vectors, from sums over their entries."""
+    vectors = _vectors(spark, sf)
+    return certificates.component_violations(vectors, principal_components(vectors, 2))
+
+
+def _kmeans_certificate(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows and faults of the clusters of the embeddings once k-means has settled, as totals."""
+    vectors = _hold(bindings.table(spark, sf, "embeddings").select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features")))
+    model = clusters.cluster_model(vectors, 4, max_iter=300, tol=0.0)
+    found = certificates.centre_violations(model.transform(vectors), model.clusterCenters())
+    return found.agg(F.count(F.lit(1)).alias("clusters"), F.sum("rows").alias("rows"), F.sum("wrong_rows").alias("wrong_rows"), F.sum("wrong_slots").alias("wrong_slots"))
+
+
+def _nearest_silhouette(spark: SparkSession, sf: str) -> DataFrame:
+    """Silhouettes of the embeddings around the mean embeddings of the first two, three and four labels."""
+    table = bindings.table(spark, sf, "embeddings").withColumn("x", F.col("embedding").cast("array<double>"))
+    sums = table.select("label", F.posexplode("x")).groupBy("label", "pos").agg(F.avg("col").alias("mean"))
+    listed = sums.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "mean"))), lambda e: e["mean"]).alias("mean"))
+    centres = [np.array(r["mean"]) for r in listed.orderBy("label").limit(4).collect()]  # four rows
+    scores = silhouettes.silhouettes(table.select(array_to_vector("x").alias("features")), {k: centres[:k] for k in (2, 3, 4)})
+    return spark.createDataFrame([(k, round(score, 6)) for k, score in scores.items()], "k bigint, silhouette double")
+
+
 def _saved_counts(spark: SparkSession, sf: str) -> DataFrame:
     path = shared_path(spark, "cluster_counts")
     write_report(clusters.cluster_counts(_flags_by_project(spark, sf)), path, ["prediction"])
@@ -331,9 +363,10 @@ _CLUSTERS: dict[str, Query] = {
     "kmeans_counts": lambda spark, sf: clusters.cluster_counts(_kmeans(spark, sf)),
     "bisecting_counts": lambda spark, sf: clusters.cluster_counts(_kmeans(spark, sf, algorithm="bisecting")),
     "kmeans_keywords": lambda spark, sf: clusters.cluster_keywords(_kmeans(spark, sf)),
-    "pca_projection": lambda spark, sf: clusters.pca_projection(
-        clusters.cluster(_vectors(spark, sf, vocab_size=1000), 4)
-    ),
+    "pca_projection": lambda spark, sf: clusters.pca_projection(clusters.cluster(_vectors(spark, sf), 4)),
+    "pca_certificate": _pca_certificate,
+    "kmeans_certificate": _kmeans_certificate,
+    "nearest_silhouette": _nearest_silhouette,
 }
 
 
@@ -395,7 +428,7 @@ def _report(spark: SparkSession, sf: str) -> DataFrame:
 def _permuted_values(spark: SparkSession, sf: str) -> DataFrame:
     """How often each value occurs before and after the permutation; both must agree."""
     issues = bindings.issues(spark, sf, text=False).select("key", "project_name", "status_name")
-    mixed = importance.permuted_columns(issues, ["project_name", "status_name"], blocks=4)
+    mixed = importance.permuted_columns(issues, ["project_name", "status_name"])
     sides = F.array(
         F.struct(F.col("project_name").alias("value"), F.lit(1).alias("n"), F.lit(0).alias("m")),
         F.struct(F.col("_permuted.project_name").alias("value"), F.lit(0).alias("n"), F.lit(1).alias("m")),
@@ -433,7 +466,57 @@ def _scored_auc(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(round(float(auc), 9),)], "auc double")
 
 
+def _slow_regression(spark: SparkSession, sf: str):
+    """The registered regression of slow issues, fitted until it settles, and its merged train rows."""
+    data = models.slow_datasets(bindings.issues(spark, sf, text=False))
+    _held.extend(data.held)
+    merged = _hold(data.pipeline.transform(models.folded_counts(data.train)))
+    return data, merged, LogisticRegression(maxIter=500, tol=1e-12, weightCol="weight").fit(merged)
+
+
+def _regression_balance(spark: SparkSession, sf: str) -> DataFrame:
+    """Positives the regression expects per type, priority, project and status, to the nearest whole one."""
+    _, merged, model = _slow_regression(spark, sf)
+    balance = certificates.score_equations(model, merged, SLOW_COLUMNS, "weight")
+    return balance.select("source", "value", F.col("rows").cast("bigint").alias("rows"), F.round("expected").cast("bigint").alias("positives"))
+
+
+def _priority_coefficients(spark: SparkSession, sf: str) -> DataFrame:
+    """Centred coefficients of a regression of slow issues on their priority alone."""
+    data = models.slow_datasets(bindings.issues(spark, sf, text=False))
+    _held.extend(data.held)
+    pipeline = Pipeline(stages=[*encoded(["priority_name"]), assembled(["priority_name_vec"])])
+    rows = data.train.groupBy("priority_name", "label").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    rows = _hold(pipeline.fit(rows).transform(rows))
+    model = LogisticRegression(maxIter=500, tol=1e-12, weightCol="weight").fit(rows)
+    found = importance.centred_coefficients(model, rows, ["priority_name_vec"]).filter("not feature like '%__unknown'")
+    return found.select("feature", F.round("weight", 4).alias("weight"))
+
+
+def _tree_root(spark: SparkSession, sf: str) -> DataFrame:
+    """First question of the tuned decision tree and its gain."""
+    data, merged, model = _slow_tree(spark, sf)
+    return certificates.root_split(model, merged, [f"{name}_vec" for name in SLOW_COLUMNS]).withColumn("gain", F.round("gain", 6))
+
+
+def _slow_tree(spark: SparkSession, sf: str):
+    data = models.slow_datasets(bindings.issues(spark, sf, text=False))
+    _held.extend(data.held)
+    merged = _hold(data.pipeline.transform(models.folded_counts(data.train)))
+    return data, merged, models.tuned_tree(merged)
+
+
+def _tree_leaves(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaves of the tuned decision tree whose class counts are not those of the train rows that reach them."""
+    _, merged, model = _slow_tree(spark, sf)
+    return certificates.leaf_violations(model, merged, "weight").select((F.col("leaves") > 1).alias("grown"), "wrong_leaves")
+
+
 _MODELS: dict[str, Query] = {
+    "slow_regression_balance": _regression_balance,
+    "priority_coefficients": _priority_coefficients,
+    "slow_tree_root": _tree_root,
+    "slow_tree_leaves": _tree_leaves,
     "slow_confusion_totals": _confusion_totals,
     "folded_counts": _folded_counts,
     "indexed_projects": _indexed_projects,

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from ticketscope.operators.memory import keep
 from ticketscope.operators.metrics import class_metrics, classification_report
 from ticketscope.operators.models import comment_vectors, sentiment_classifier
-from ticketscope.operators.sampling import sample_to_size
+from ticketscope.operators.sampling import sample_exactly
 from ticketscope.operators.sentiment import (
     clean_text, sentiment, sentiment_distribution, sentiment_examples, sentiment_vs_resolution,
 )
@@ -32,12 +32,12 @@ def run_comment_analysis(
 ) -> CommentAnalysis:
     """All result tables. Issues are optional: without them, or without their dates, that table is left out.
 
-    All comments are used; `size` thins longer tables to about that many. Texts are cleaned and scored once and held
+    All comments are used; `size` thins longer tables to that many. Texts are cleaned and scored once and held
     until the analysis is released.
     """
     cleaned = clean_text(comments)
     if size is not None:
-        cleaned = sample_to_size(cleaned, "comment_id", size)
+        cleaned = sample_exactly(cleaned, "comment_id", size)
     scored = keep(sentiment(cleaned))
     vectors = comment_vectors(scored)
     predictions, _ = sentiment_classifier(vectors)

@@ -138,6 +138,11 @@ _VIEWS = {
     "resolved": f"""
         select *, {_SECONDS.format('created', 'resolutiondate')} / 3600.0::double as resolution_hours
         from issues where resolutiondate is not null""",
+    "labelled": f"""
+        select issuetype_name, priority_name, project_name, status_name, cast(resolution_hours > (
+            select sum(cast(round(resolution_hours * 3600) as bigint)) / 3600.0::double / count(*)
+            from resolved where {_fraction('key', 'split')} < 0.8) as int) as label
+        from resolved where {_fraction('key', 'split')} < 0.8""",
     "pairs": "select quality::double as label, toxic::double as prediction from labels",
     "class_counts": """
         select label, (select count(*) from pairs x where x.label = c.label) as support,
@@ -166,7 +171,7 @@ _VIEWS = {
 _NEEDS = {
     "moves": ["changelog"], "flags": ["moves"], "bugs": ["issues", "flags"], "activity": ["changelog"],
     "features": ["bugs", "activity"], "cleaned": ["comments"], "scored": ["cleaned"], "by_issue": ["scored"],
-    "resolved": ["issues"], "class_counts": ["pairs"], "class_rates": ["class_counts"], "clusters": ["features"],
+    "resolved": ["issues"], "labelled": ["resolved"], "class_counts": ["pairs"], "class_rates": ["class_counts"], "clusters": ["features"],
     "recent": ["issues"],
 }
 
@@ -245,6 +250,50 @@ def oracle_sql() -> dict[str, str]:
               cast(floor({_fraction('key', 'fold')} * 3) as bigint) as fold, {_fraction('key', 'held out')} < 0.2 as held_out,
               count(*)::double as weight
             from resolved where {_fraction('key', 'split')} < 0.8 group by all"""),
+        "comment_sample_exact": _with(["comments"], """
+            select comment_id from comments order by md5(concat('size', comment_id)) limit 300"""),
+        "slow_regression_balance": _with(["labelled"], """
+            select source, value, count(*) as rows, sum(label)::bigint as positives
+            from labelled cross join lateral (values ('issuetype_name', issuetype_name), ('priority_name', priority_name),
+              ('project_name', project_name), ('status_name', status_name)) as v(source, value)
+            group by all"""),
+        "priority_coefficients": _with(["labelled"], """
+            select concat('priority_name=', priority_name) as feature, round(w - avg(w) over (), 4) as weight
+            from (select priority_name, ln(avg(label) / (1 - avg(label))) as w from labelled group by 1)"""),
+        "slow_tree_root": _with(["labelled"], """
+            select * from (with sides as (
+              select source, value, count(*)::double as n, sum(label)::double as ones
+              from labelled cross join lateral (values ('issuetype_name', issuetype_name), ('priority_name', priority_name),
+                ('project_name', project_name), ('status_name', status_name)) as v(source, value)
+              group by all),
+            whole as (select count(*)::double as n, sum(label)::double as ones from labelled),
+            gains as (
+              select source, value, 2 * w.ones / w.n * (1 - w.ones / w.n) - s.n / w.n * 2 * s.ones / s.n * (1 - s.ones / s.n)
+                - (w.n - s.n) / w.n * 2 * (w.ones - s.ones) / (w.n - s.n) * (1 - (w.ones - s.ones) / (w.n - s.n)) as gain
+              from sides s, whole w where s.n < w.n)
+            select source, value, round(gain, 6) as gain from gains order by gains.gain desc limit 1)"""),
+        "slow_tree_leaves": "select true as grown, 0::bigint as wrong_leaves",
+        "pca_certificate": "select unnest([1, 2])::int as component, 0::bigint as violations",
+        "kmeans_certificate": "select 4::bigint as clusters, count(*) as rows, 0::bigint as wrong_rows, 0::bigint as wrong_slots from embeddings",
+        "nearest_silhouette": """
+            with points as (select row_number() over () as r, label, embedding::double[] as x from embeddings),
+            sums as (select label, i, avg(v) as v from (select label, unnest(x) as v, unnest(range(len(x))) as i from points) group by 1, 2),
+            means as (select row_number() over (order by label) as c, list(v order by i) as y from sums group by label),
+            sets as (select unnest([2, 3, 4])::bigint as k),
+            placed as (
+              select k, r, any_value(x) as x, min({'d': list_dot_product(y, y) - 2 * list_dot_product(x, y), 'c': c}).c as label
+              from sets, points, means where c <= k group by k, r),
+            squares as (select *, list_dot_product(x, x) as s from placed),
+            parts as (select k, label, i, sum(v) as v from (select k, label, unnest(x) as v, unnest(range(len(x))) as i from placed) group by all),
+            groups as (select k, label, list(v order by i) as y from parts group by all),
+            sizes as (select k, label, count(*) as n, sum(s) as s from squares group by all),
+            apart as (
+              select p.k, p.r, p.label, g.label as other, z.n, p.s + z.s / z.n - 2 * list_dot_product(p.x, g.y) / z.n as d
+              from squares p join groups g on p.k = g.k join sizes z on g.k = z.k and g.label = z.label),
+            sides as (
+              select k, r, max(d * n / nullif(n - 1, 0)) filter (where label = other) as a, max(n) filter (where label = other) as n,
+                min(d) filter (where label <> other) as b from apart group by all)
+            select k, round(avg(case when n = 1 then 0.0 else (b - a) / greatest(a, b) end), 6) as silhouette from sides group by k""",
         "indexed_projects": _with(["issues"], """
             select project_name, (row_number() over (order by n desc, project_name) - 1)::double as index
             from (select project_name, count(*) as n from issues group by 1)"""),
