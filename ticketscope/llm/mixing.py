@@ -3,10 +3,10 @@
 A document of a source with target T and size S should appear T / S times. The whole part of that is certain; the
 rest, below one, is a probability. Two open sides trade probability at random, in inverse proportion to their sizes,
 until one of the two is decided, so the expected words of the source never change and each document keeps its chance.
-Documents are dealt to leaves of bounded size. In a leaf the two sides are the largest open document and the pool of
-all smaller ones, which share one probability; so large documents are decided first and a small one stays open. It goes
-up the tree, where up to `FAN` of them meet and trade in pairs, level by level, until one is left in each source: that
-one is rounded to the nearer side. A source thus misses its target by half a small document.
+Documents are dealt to leaves of bounded size. There they trade in pairs, largest first: the open document meets the
+next smaller one. The one left open goes up the tree, where up to `FAN` of them meet and trade likewise, level by level,
+until one is left in each source: it is taken with the probability it still has. So every document keeps its chance, the
+expected words of a source are its target, and a source misses it by less than one document.
 
 Weights are reshared until no target is above `max_repeats` times its source's size.
 
@@ -16,14 +16,16 @@ they never trade. A source without any words has target 0. An empty table gives
 input are kept; those named like the added ones (`size`, `source_size`, `target`, `copies`, `taken`) are replaced.
 """
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketscope.llm.storage import scratch, small, stored
+from ticketscope.llm.words import chunks, text_bytes, word_bounds
 
 LEAF_ROWS = 2000
 FAN = 64
@@ -31,13 +33,26 @@ ADDED = ("size", "source_size", "target", "copies", "taken")
 
 
 def word_count(text: str | Column) -> Column:
-    """Number of words parted by ASCII white space; null has none.
-
-    Every run of white space is one character of the reduced text, so its length counts the words.
-    """
+    """Number of words parted by ASCII white space; null has none. One pass over the text, without a copy of it."""
     text = F.coalesce((F.col(text) if isinstance(text, str) else text).cast("string"), F.lit(""))
-    blank = F.regexp_replace(F.regexp_replace(text, r"[^\x20\x09-\x0D]+", "w"), r"[\x20\x09-\x0D]+", "")
-    return F.char_length(blank).cast("long")
+    return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]++")).cast("long")
+
+
+def counted(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """The columns `keep` and the number of words of each text as `size`: narrow rows for mixing without the texts."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, bounds = text_bytes(batch.column(len(keep)))
+            sizes = np.zeros(batch.num_rows, np.int64)
+            for first, last in chunks(bounds):
+                edges = bounds[first : last + 1] - bounds[first]
+                starts, _ = word_bounds(data[bounds[first] : bounds[last]], edges)
+                sizes[first:last] = np.diff(np.searchsorted(starts, edges))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(sizes)], names=[*keep, "size"])
+
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    return docs.select(*keep, docs[text].cast("string").alias("__text")).mapInArrow(run, f"{shape}, size long")
 
 
 def cycled_weights(sources: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0)) -> DataFrame:
@@ -78,19 +93,6 @@ def trade(p: float, q: float, ratio: float, draw: float) -> tuple[float, float]:
     return (0.0, q + ratio * down) if down == p else (p - down, 1.0)
 
 
-def settle_leaf(sizes: np.ndarray, chance: float, draws: np.ndarray) -> tuple[np.ndarray, int]:
-    """Decides documents of equal chance, largest first, against the pool of the rest; (chances, place left open)."""
-    out, pool = np.zeros(len(sizes)), np.append(np.cumsum(sizes[::-1])[::-1], 0.0)
-    for i in range(len(sizes) - 1):
-        out[i], rest = np.clip(trade(chance, chance, sizes[i] / pool[i + 1], draws[i]), 0.0, 1.0)
-        if out[i] not in (0.0, 1.0):
-            out[i + 1 :] = round(rest)
-            return out, i
-        chance = rest
-    out[-1] = chance
-    return out, len(sizes) - 1
-
-
 def settle_pairs(sizes: np.ndarray, chances: np.ndarray, draws: np.ndarray) -> tuple[np.ndarray, int]:
     """Decides documents in pairs, the open one against the next smaller; (chances, place left open)."""
     out, a = chances.copy(), 0
@@ -101,15 +103,14 @@ def settle_pairs(sizes: np.ndarray, chances: np.ndarray, draws: np.ndarray) -> t
     return out, a
 
 
-def _node(leaf: bool, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _node(last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["size", "unit"], ascending=[False, True]).reset_index(drop=True)
-        draws = np.random.default_rng(int(rows["seed"].iloc[0]) & 0x7FFFFFFFFFFFFFFF).random(len(rows))
-        sizes, chances = rows["size"].to_numpy(), rows["chance"].to_numpy()
-        found, at = settle_leaf(sizes, chances[0], draws) if leaf else settle_pairs(sizes, chances, draws)
+        draws = np.random.default_rng(int(rows["seed"].iloc[0]) & 0x7FFFFFFFFFFFFFFF).random(len(rows) + 1)
+        found, at = settle_pairs(rows["size"].to_numpy(), rows["chance"].to_numpy(), draws)
         undecided = not last and 0.0 < found[at] < 1.0
         if not undecided:
-            found[at] = round(found[at])
+            found[at] = float(draws[-1] < found[at])
         return rows.assign(chance=found, open=np.arange(len(rows)) == at if undecided else False)
 
     return run
@@ -126,7 +127,7 @@ def rounded(units: DataFrame) -> DataFrame:
         last = width <= 1
         keyed = rows.withColumn("seed", F.xxhash64("source_key", "node", F.lit(level)))
         shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keyed.schema) + ", open boolean"
-        done = stored(keyed.groupBy("source_key", "node").applyInPandas(_node(level == 0, last), shape), f"mix-level-{level}")
+        done = stored(keyed.groupBy("source_key", "node").applyInPandas(_node(last), shape), f"mix-level-{level}")
         closed = done.filter(~F.col("open")).select("unit", F.col("chance").alias("extra"))
         decided = closed if decided is None else decided.unionByName(closed)
         if last:
@@ -148,6 +149,8 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, max_repeats: float =
     # Two hashes with different seeds make the key of a unit; equal rows have equal keys.
     parts = [F.hash(sized[doc_id], sized[source], "size"), F.xxhash64(sized[doc_id].isNull(), sized[doc_id], sized[source].isNull(), sized[source], "size", body)]
     keyed = sized.withColumn("__unit", F.concat_ws(":", *(p.cast("string") for p in parts))).withColumn("__key", F.xxhash64(sized[source].isNull(), sized[source]))
+    if set(keyed.columns) <= {doc_id, source, "size", "__unit", "__key"}:
+        keyed = stored(keyed, "mix-rows")  # narrow rows: whatever their sizes were counted from is read once
     units = stored(
         keyed.groupBy(F.col("__unit").alias("unit"), F.col("__key").alias("source_key"), F.col(source).alias("source"), "size").agg(F.count(F.lit(1)).alias("rows")),
         "mix-units",

@@ -14,7 +14,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the words the mix takes of it."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count("text").alias("size"))
+    docs = mixing.counted(_table(spark, sf_dir, "documents"), ["doc_id", "source"])
     mixed = mixing.mix(docs, text=None, size="size")
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
