@@ -28,6 +28,12 @@ SHAPES = {
     "<a title=\"open>x</a> y": "x y",
     "<ARTICLE><P>Upper</P></ARTICLE><DIV>no</DIV>": "Upper",
     "</div></p>x</b>": "x",
+    "<article><p>A story</p><section id='social-history'><p>Of the town and its people</p></section></article>": "A story\nOf the town and its people",
+    "<article><p>How to</p><div class='login-tutorial'><p>First open the page and then sign in</p></div></article>": "How to\nFirst open the page and then sign in",
+    "<body><form id='aspnetForm'><div id='top'><a href='/'>Home page</a></div><div id='text'><p>The whole story of the day</p></div></form></body>": "Home page\nThe whole story of the day",
+    "<article><p>A story told at some length</p><div class='post-notice'><p>Read our terms</p></div><div class='discussion'><div class='entry'><p>Nice</p></div><div class='entry'><p>Bad</p></div></div></article>": "A story told at some length",
+    "<article><p>Methods and results</p><section id='discussion'><h2>Discussion</h2><p>It works</p></section></article>": "Methods and results\nDiscussion\nIt works",
+    "<p>Text of the page, long</p><div class='social-stuff'><a href='/f'>Follow</a> <a href='/s'>Send it</a></div><form><p>Your name</p></form>": "Text of the page, long",
     "": "",
 }
 
@@ -116,3 +122,16 @@ def test_boxes_alike_inside_an_article_go_and_copies_stay(spark, tag):
     found = {r.url: r.text for r in extraction.extracted(pages).collect()}
     assert all(found[f"https://a.example/{i}"] == "Title\n" + (stories[i] if i < 6 else stories[0]) for i in range(26))
     assert {found[f"https://b.example/{i}"] for i in range(20)} == {f"Title\n{stories[0]}\nWritten by the team"}
+
+
+def test_boilerplate_with_neutral_names_goes_and_every_article_stays(spark):
+    """Thirty pages a host, no name that says anything, no article element: only the tree can tell."""
+    page = (
+        "<div class='a'><ul><li>One</li><li>Two</li></ul></div><div class='b'><h1>Title {0}</h1><p>Body of story {0} on {1}</p><p>And its end {0}</p></div>"
+        "<div class='c'><div class='d'>Seen {0} times</div><div class='e'><p>Made by the team</p></div></div><div class='f'><p>All rights with us</p></div>"
+    )
+    rows = [(f"https://{h}.example/{i}", page.format(f"{h}{i}", i * i)) for h in ("one", "two") for i in range(30)]
+    found = {r.url: r.text for r in extraction.extracted(spark.createDataFrame(rows, "url string, html string")).collect()}
+    for h in ("one", "two"):
+        for i in range(30):
+            assert found[f"https://{h}.example/{i}"] == f"Title {h}{i}\nBody of story {h}{i} on {i * i}\nAnd its end {h}{i}\nSeen {h}{i} times"

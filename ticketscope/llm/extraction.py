@@ -9,8 +9,11 @@ with l layouts; an element seen on one page has importance one. Pages of a host
 same are copies and count once. Generic branches of low importance, which look and read alike all over the site, are
 removed from each page where their text is one that stands in at least two different main texts with enough other words
 around it (`Settings.min_rest` of its own length), so neither a copied body nor an unusual text in a common box goes.
-Navigation, headers, footers, asides, forms, dialogs, scripts, hidden elements and branches whose names say so are noise
-wherever they stand. Where a page has an article (or else a main) element with text, only that is read, else the whole body; the cuts apply
+Scripts, hidden elements, navigation, footers, asides and headers outside an article are noise wherever they stand; the
+tree judges them too. Other elements that look like noise are suspects, decided when the whole page has been read: a
+form, or a branch all of whose names are known ones for noise, goes unless it holds most of the page's text; a branch
+named for comments goes where there is other text; a name that only contains such a word, or a discussion, goes where
+its text is mostly links or, for a discussion, made of repeated entries. All other branches are the tree's. Where a page has an article (or else a main) element with text, only that is read, else the whole body; the cuts apply
 inside all three. An article or main element whose branches would all go is read whole.
 
 Character references are decoded, white space inside a block (line breaks and table cells included) becomes one space,
@@ -38,9 +41,10 @@ INLINE = frozenset(
     "strike strong sub sup time tt u var wbr img".split()
 )
 RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed noframes".split())
-FURNITURE = frozenset("nav footer aside menu form dialog button select fieldset object canvas head".split()) | RAW
+FURNITURE = frozenset("nav footer aside menu button select object canvas head".split()) | RAW
+FORMS = frozenset("form fieldset dialog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-GENERIC = frozenset("div section ul ol dl table center details figure".split())
+JUDGED = frozenset("div section ul ol dl table center details figure nav footer aside header form menu".split())
 CLOSED_BY_BLOCK = frozenset(["p"])
 SELF_CLOSING = frozenset("p li dt dd tr td th option thead tbody tfoot".split())
 CELLS = frozenset("td th".split())
@@ -51,8 +55,15 @@ NOISE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsors sponsored promo promos promotion "
     "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside footer footers footnav masthead "
     "cookie cookies consent gdpr popup popups modal overlay newsletter subscribe subscription signup social share sharing sharebar "
-    "related recommended recommendations comment comments commentlist disqus respond reply replies pagination pager "
-    "copyright login skip toolbar tagcloud trending".split()
+    "related recommended recommendations pagination pager copyright login skip toolbar tagcloud trending".split()
+)
+COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
+DISCUSSION = frozenset("discussion responses reactions feedback".split())
+NOTICES = frozenset("notice notices alert banner".split())
+NEUTRAL = frozenset(
+    "box bar list lists item items container wrapper wrap inner outer section block blocks area left right top bottom center "
+    "primary secondary site page global links link posts articles stories group row col column columns panel has is js"
+    .split()
 )
 WEAK_NOISE = frozenset("header headers banner notice notices alert widget widgets form forms search toolbar topbar".split())
 CONTENT = frozenset("content article post entry body main story text title page".split())
@@ -83,6 +94,7 @@ class Element:
     first_block: int
     children: list[str] = field(default_factory=list)
     seen: dict[str, int] = field(default_factory=dict)
+    suspect: int = -1
 
 
 @dataclass
@@ -92,25 +104,58 @@ class Block:
     article: bool
     main: bool
     cut: bool
+    links: int
+    suspects: tuple[int, ...]
+
+
+# What is known of an element at its start tag: surely noise, noise unless it is most of the page, a form, reader
+# comments if there is other text, a discussion if it repeats, noise if it is mostly links.
+SURE, NAMED, FORM, COMMENT, TALK, PERHAPS = "sure", "named", "form", "comment", "talk", "perhaps"
+MOST = {NAMED: 0.8, FORM: 0.5}  # share of the page's text above which a suspect is its body
 
 
-def noisy(tag: str, attrs: dict[str, str], inside: bool) -> bool:
-    """Whether the element says that it is no part of the main text; `inside` an article, a header may hold its title."""
+def suspected(tag: str, attrs: dict[str, str], inside: bool) -> str:
+    """What the element's tag, role and names say of it; `inside` an article, a header may hold its title."""
     if tag in FURNITURE or (tag == "header" and not inside):
-        return True
+        return SURE
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
-        return True
+        return SURE
     if tag in ("html", "body", "main"):
-        return False
-    if attrs.get("role", "").lower() in ROLES:
-        return True
+        return ""
+    role = attrs.get("role", "").lower()
+    if tag in FORMS or role == "form":
+        return FORM
+    if role in ROLES:
+        return SURE
+    found = ""
     for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
-        words = {w.lower() for w in _NAME.findall(name)}
-        if (words & NOISE and tag != "article") or words == {"comment"} or words == {"comments"}:
-            return True
-        if words & WEAK_NOISE and not words & CONTENT and tag != "article" and not (inside and "header" in words):
-            return True
-    return False
+        words = [w.lower() for w in _NAME.findall(name) if not w.isdigit()]
+        known = set(words)
+        if not known & (NOISE | COMMENTS | DISCUSSION | WEAK_NOISE):
+            continue
+        strange = known - NOISE - COMMENTS - DISCUSSION - WEAK_NOISE - NEUTRAL - CONTENT
+        weak = known & WEAK_NOISE and not known & CONTENT and not (inside and "header" in known)
+        if tag == "article" and not known <= COMMENTS | NEUTRAL:
+            continue
+        if known & COMMENTS and not strange:
+            return COMMENT
+        if not strange and (known & NOISE or weak or words[-1] in NOTICES):
+            return NAMED
+        if known & DISCUSSION and not strange:
+            found = TALK
+        elif known & (NOISE | COMMENTS) and not found:
+            found = PERHAPS
+    return found
+
+
+def decided(kind: str, own: int, links: int, repeats: bool, total: int) -> bool:
+    """Whether a suspect is noise, from the characters in it, in its links, and on the page."""
+    linked, other = 2 * links > own, total - own
+    if kind in MOST:
+        return linked or own <= MOST[kind] * total
+    if kind == COMMENT:
+        return 10 * other >= own
+    return linked or (kind == TALK and repeats and 10 * other >= own)
 
 
 def parsed(page: str, cut: frozenset[int] = frozenset()) -> tuple[list[Block], list[tuple[int, int, int, bool, int, int]]]:
@@ -119,14 +164,23 @@ def parsed(page: str, cut: frozenset[int] = frozenset()) -> tuple[list[Block], l
     blocks: list[Block] = []
     nodes: list[tuple[int, int, int, bool, int, int]] = []
     text: list[str] = []
-    state = {"noise": 0, "article": 0, "main": 0, "cut": 0}
+    state = {"noise": 0, "article": 0, "main": 0, "cut": 0, "link": 0, "linked": 0}
+    suspects: list[tuple[str, bool]] = []  # kind, and whether its parts repeat
+    open_suspects: list[int] = []
 
     def flush() -> None:
         joined = " ".join("".join(text).split())
+        links, state["linked"] = min(state["linked"], len(joined)), 0
         text.clear()
         if joined:
             noise = state["noise"] > 0 or (stack[-1].tag not in HEADINGS and any(e.tag == "header" for e in stack))
-            blocks.append(Block(joined, noise, state["article"] > 0, state["main"] > 0, state["cut"] > 0))
+            blocks.append(Block(joined, noise, state["article"] > 0, state["main"] > 0, state["cut"] > 0, links, tuple(open_suspects)))
+
+    def said(part: str) -> None:
+        part = html.unescape(part)
+        text.append(part)
+        if state["link"]:
+            state["linked"] += len(part)
 
     def push(tag: str, raw: str) -> None:
         attrs = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(raw)} if raw.strip(" /") else {}
@@ -134,12 +188,17 @@ def parsed(page: str, cut: frozenset[int] = frozenset()) -> tuple[list[Block], l
         label = ".".join([tag, *sorted(attrs.get("class", "").split()), *(["#" + attrs["id"]] if attrs.get("id") else [])])
         n = top.seen[label] = top.seen.get(label, -1) + 1
         top.children.append(label)
-        new = Element(tag, f"{top.path}/{label}[{n}]", noisy(tag, attrs, state["article"] + state["main"] > 0), len(blocks))
+        kind = suspected(tag, attrs, state["article"] + state["main"] > 0)
+        new = Element(tag, f"{top.path}/{label}[{n}]", kind == SURE, len(blocks))
+        if kind and kind != SURE:
+            new.suspect = len(suspects)
+            suspects.append((kind, False))
+            open_suspects.append(new.suspect)
         stack.append(new)
         state["noise"] += new.noise
         state["article"] += tag == "article"
         state["main"] += tag == "main" or attrs.get("role") == "main"
-        if tag in GENERIC and cut and xxhash.xxh64_intdigest(new.path) in cut:
+        if tag in JUDGED and cut and xxhash.xxh64_intdigest(new.path) in cut:
             state["cut"] += 1
             new.tag = "\0" + tag  # marks that leaving it ends a cut
 
@@ -151,17 +210,21 @@ def parsed(page: str, cut: frozenset[int] = frozenset()) -> tuple[list[Block], l
         state["main"] = max(0, state["main"] - (tag == "main"))
         state["cut"] -= cut_here
         body = "\n".join(b.text for b in blocks[done.first_block :])
-        judged = tag in GENERIC and not state["noise"] and not done.noise
+        judged = tag in JUDGED and not state["noise"]
+        if done.suspect >= 0:
+            open_suspects.remove(done.suspect)
+            repeats = any(n > 0 for label, n in done.seen.items() if "." in label or label == "li" or label == "article")
+            suspects[done.suspect] = (suspects[done.suspect][0], repeats)
         nodes.append((xxhash.xxh64_intdigest(done.path), xxhash.xxh64_intdigest(" ".join(done.children)), xxhash.xxh64_intdigest(body), judged, done.first_block, len(blocks)))
 
     at, end = 0, len(page)
     while at < end:
         found = _TAG.search(page, at)
         if found is None:
-            text.append(html.unescape(page[at:]))
+            said(page[at:])
             break
         if found.start() > at:
-            text.append(html.unescape(page[at : found.start()]))
+            said(page[at : found.start()])
         at = found.end()
         tag = (found["name"] or found["name2"] or "").lower()
         if not tag:
@@ -173,6 +236,8 @@ def parsed(page: str, cut: frozenset[int] = frozenset()) -> tuple[list[Block], l
                 at = close.end() if close else end
             continue
         if tag in INLINE:
+            if tag == "a":
+                state["link"] = 0 if closing else 1
             if tag == "img":
                 text.append(" ")
             continue
@@ -194,6 +259,17 @@ def parsed(page: str, cut: frozenset[int] = frozenset()) -> tuple[list[Block], l
     flush()
     while len(stack) > 1:
         pop()
+    if suspects:
+        own, linked, total = [0] * len(suspects), [0] * len(suspects), 0
+        for block in blocks:
+            if not block.noise:
+                total += len(block.text)
+                for i in block.suspects:
+                    own[i] += len(block.text)
+                    linked[i] += block.links
+        gone = {i for i, (kind, repeats) in enumerate(suspects) if decided(kind, own[i], linked[i], repeats, total)}
+        for block in blocks:
+            block.noise = block.noise or not gone.isdisjoint(block.suspects)
     return blocks, nodes
 
 
