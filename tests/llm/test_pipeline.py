@@ -17,7 +17,9 @@ def expected_stage(name, rows, docs, spark):
     """Sorted (doc_id, text) that the stage must keep."""
     if name == "quality_rules":
         compressor = zstandard.ZstdCompressor(level=3)
-        kept = [(i, t) for i, t in rows if quality.judged(t, quality.Rules(), compressor)["kept"]]
+        rules = quality.fitted(docs)
+        assert rules.limits
+        kept = [(i, t) for i, t in rows if quality.judged(t, rules, compressor)["kept"]]
     elif name == "line_dedup":
         done = plain_lines(docs, linededup.Settings())
         kept = [(i, done[i, t]) for i, t in rows if done[i, t] == t or (done[i, t] or "").encode().split()]
@@ -31,8 +33,19 @@ def expected_stage(name, rows, docs, spark):
     return sorted(kept, key=repr)
 
 
+def with_a_rewrapped_copy(docs):
+    """The table and a copy of one document with the same words on other lines: no line is alike, every shingle is."""
+    rows = docs.collect()
+    long = [r for r in rows if r.lang == "en" and 300 < len(r.text.split()) < 3000 and "###" not in r.text and "|" not in r.text]
+    chosen = max(long, key=lambda r: (len(set(r.text.split())) / len(r.text.split()), r.doc_id))
+    words = chosen.text.split()
+    text = "\n".join(" ".join(words[i : i + 37]) for i in range(0, len(words), 37))
+    copy = chosen.asDict() | {"doc_id": max(r.doc_id for r in rows) + 1, "text": text, "n_chars": len(text)}
+    return docs.unionByName(docs.sparkSession.createDataFrame([tuple(copy[c] for c in docs.columns)], docs.schema))
+
+
 def test_stages_and_whole(spark):
-    docs = documents(spark)
+    docs = with_a_rewrapped_copy(documents(spark))
     for name, stage in corpus_pipeline.STAGES[:-1]:
         rows = [(r.doc_id, r.text) for r in docs.collect()]
         done = stage(spark, docs, SMALL)
@@ -42,6 +55,10 @@ def test_stages_and_whole(spark):
         assert all(r.n_chars == len(r.text) for r in found)
         assert 0 < len(found) < len(rows), name
         docs = spark.createDataFrame(found, docs.schema)
+    kept = spark.createDataFrame(documents(spark).collect(), documents(spark).schema)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, SMALL)
+    docs = kept.persist()
     whole = corpus_pipeline.run(spark, SMALL).collect()
     times = Counter(r.doc_id for r in whole)
     assert {r.doc_id for r in whole} <= {r.doc_id for r in docs.collect()}

@@ -82,3 +82,32 @@ def test_limits_from_the_table_reject_what_passes_the_word_rules(spark):
     assert kept["clean"] >= 790 and kept["copies"] == 500 and kept["junk"] == kept["noise"] == kept["few"] == 0
     assert quality.keep_good(docs, rules=rules).count() == sum(kept.values())
     assert quality.fitted(none_of(docs)).limits == {}
+
+
+def test_limits_do_not_hang_on_the_size_of_the_table(spark):
+    rng = random.Random(8)
+    noise = lambda n: " ".join(base64.b64encode(rng.randbytes(6)).decode() for _ in range(n))
+    texts = [("clean", prose(rng, rng.choice((80, 150, 300, 600, 1200, 2400)))) for _ in range(1500)]
+    texts += [("noise", noise(rng.choice((200, 500, 900)))) for _ in range(60)]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(texts)], "id long, kind string, text string")
+    verdicts = {}
+    for share in (1, 5, 20):
+        part = docs.filter(docs.id % share == 0)
+        found = quality.measure(part, ["id", "kind"], rules=quality.fitted(part)).filter("not quality.base_failed").collect()
+        verdicts[share] = {r.id: r.quality.kept for r in found}
+        clean, bad = ([r.quality.kept for r in found if r.kind == k] for k in ("clean", "noise"))
+        assert sum(clean) >= 0.95 * len(clean) and sum(bad) <= 0.1 * len(bad), share
+    assert sum(verdicts[1][i] != kept for i, kept in verdicts[5].items()) <= 0.02 * len(verdicts[5])
+
+
+def test_smoothing():
+    import numpy as np
+
+    x = np.arange(quality.CLASSES)
+    weights = np.where((x > 10) & (x < 30), 100.0, 0.0)
+    line = quality.smoothed(0.9 - 0.01 * x, weights, 20.0)
+    assert np.allclose(line, 0.9 - 0.01 * x, atol=1e-5)  # a line stays, and goes on where there are no texts
+    odd = (0.9 - 0.01 * x) + np.where(x == 20, 0.3, 0)
+    assert abs(quality.smoothed(odd, np.where(x == 20, 1.0, weights), 20.0)[20] - 0.7) < 0.03  # one text bends it little
+    assert quality.middle(np.array([3, 1, 2]), np.array([1, 1, 5])) == 2

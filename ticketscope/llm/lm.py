@@ -1,15 +1,21 @@
 """Language-model scores from a log-frequency Bloom filter of word pairs.
 
 Tokens are lower-cased words and one end mark per text. Counts of tokens and of pairs are gathered from all training
-texts, merged by hash page, and quantised to powers of two: an entry with level q is inserted once for each level
-1..q, so a count is read back by probing levels until one is missing. The pages together are the filter: they grow with
-the entries and hold all of them. Workers get them in groups of at most `Settings.filter_bytes` (or one page). What fits
-in one group is scored in one pass; otherwise each group is probed in a pass of its own over the texts, and the levels
-found for every token are put together per text afterwards.
-
-The probability of a token interpolates the pair's share in its context with the token's own add-one share, both from
-probed counts. Next to it stands the exact base: add-one unigram scores, for which the commonest tokens are looked up in
-a broadcast table of at most `Settings.head_tokens` rows and all other occurrences are joined with the counts.
+texts, merged by hash page, and quantised: levels are one per doubling for pairs and four for tokens. An entry with
+level q is inserted once for each level 1..q, so a count is read back by probing levels: doubling steps until one is
+missing, then halving. A level stands for the mean of the training counts that share it, so the read counts of all
+tokens sum to what they should. The pages together are the filter: they hold all entries and their number follows the
+training bytes. Workers get them in groups of at most `Settings.filter_bytes` (or one page). What fits in one group is
+scored in one pass; otherwise each group is probed in a pass of its own over the texts, and the levels found for every
+token are put together per text afterwards.
+
+The probability of a token w behind c is (n(c, w) + m * p(w)) / (n(c) + f + m): the counts of pair and context, m
+(`Settings.prior`) backed-off tokens of the add-one share p(w), and f, the number of false pairs the filter is expected
+to show behind any context (its rate of false positives times the vocabulary). Over all w the pairs seen and the
+expected false ones make n(c) + f, so the probabilities sum to about one, behind rare contexts too. A pair never counts
+more than its context or its word, and none is looked for unless both are known. Next to it stands the exact base:
+add-one unigram scores, for which the commonest tokens are looked up in a broadcast table of at most
+`Settings.head_tokens` rows and all other occurrences are joined with the counts.
 
 Tokens are known by 64-bit hashes. Null and empty texts are one end mark. Repeated rows are counted and scored each. A
 null id counts as empty text when the held-out rows are chosen. An empty table gives an empty result; without training
@@ -17,7 +23,7 @@ rows all counts are zero. Further columns are not read.
 """
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -35,13 +41,15 @@ _PAIR = np.uint64(0xA0761D6478BD642F)
 
 @dataclass(frozen=True)
 class Settings:
-    filter_bytes: int = 128 << 20
-    pages: int = 256  # a power of two
-    bits_per_entry: int = 8
-    probes: int = 5
-    pair_weight: float = 0.7
+    filter_bytes: int = 76 << 20
+    pages: int = 0  # a power of two; 0: one per `page_text` bytes of training text
+    page_text: int = 4 << 20
+    bits_per_entry: int = 16
+    probes: int = 11
+    steps: tuple[int, int] = (4, 1)  # levels per doubling, of tokens and of pairs
+    prior: float = 100.0
     head_tokens: int = 1 << 20
-    flush_tokens: int = 4_000_000
+    flush_tokens: int = 2_000_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -69,15 +77,12 @@ def pairs(found: np.ndarray) -> np.ndarray:
     return mixed(before * _PAIR + found)
 
 
-def levels(counts: np.ndarray) -> np.ndarray:
-    """One for a count of one, one more with each doubling."""
-    return np.frexp(counts.astype(np.float64))[1].astype(np.int64)
+TOP = 255  # levels are stored in one byte
 
 
-def expected(level: np.ndarray) -> np.ndarray:
-    """The middle of the counts that share a level; zero for level zero."""
-    top = np.exp2(level.astype(np.float64))
-    return np.where(level > 0, (top / 2 + top - 1) / 2, 0.0)
+def levels(counts: np.ndarray, steps: int) -> np.ndarray:
+    """One for a count of one, `steps` more with each doubling."""
+    return np.minimum(1 + np.floor(np.log2(counts.astype(np.float64)) * steps + 1e-9).astype(np.int64), TOP)
 
 
 def places(keys: np.ndarray, level: int, bits: np.ndarray | int, probes: int) -> list[np.ndarray]:
@@ -87,19 +92,16 @@ def places(keys: np.ndarray, level: int, bits: np.ndarray | int, probes: int) ->
     return [((a + np.uint64(i) * b) % bits).astype(np.int64) for i in range(probes)]
 
 
-def page_filter(keys: np.ndarray, counts: np.ndarray, room: int | None, settings: Settings) -> bytes:
-    """One page: all levels of the keys. With `room`, rarest keys are left out while the page would exceed so many bytes."""
-    level = levels(counts)
-    lowest = 1
-    while room is not None and level[level >= lowest].sum() * settings.bits_per_entry > room * 8:
-        lowest += 1
-    keys, level = keys[level >= lowest], level[level >= lowest]
+def page_filter(keys: np.ndarray, level: np.ndarray, settings: Settings) -> tuple[bytes, float]:
+    """One page with all levels of the keys, and its rate of false positives."""
     bits = max(64, -(-int(level.sum()) * settings.bits_per_entry // 64) * 64)
     page = np.zeros(bits, bool)
+    order = np.argsort(-level, kind="stable")
+    keys, level = keys[order], level[order]
     for q in range(1, int(level.max(initial=0)) + 1):
-        for at in places(keys[level >= q], q, np.uint64(bits), settings.probes):
+        for at in places(keys[: np.searchsorted(-level, -q, side="right")], q, np.uint64(bits), settings.probes):
             page[at] = True
-    return np.packbits(page, bitorder="little").tobytes()
+    return np.packbits(page, bitorder="little").tobytes(), float(page.mean() ** settings.probes)
 
 
 class Filter:
@@ -113,21 +115,35 @@ class Filter:
         self.shift = np.uint64(64 - (settings.pages - 1).bit_length())
         self.probes = settings.probes
 
-    def level(self, keys: np.ndarray) -> np.ndarray:
-        """Probed level of each key: the last of 1, 2, 3, ... that is there."""
+    def holds(self, keys: np.ndarray, level: np.ndarray) -> np.ndarray:
+        """Whether each key is there at its level; most that are not fall out at the first few bits."""
         page = (keys >> self.shift).astype(np.int64)
+        left = np.arange(len(keys))
+        a = mixed(keys + level.astype(np.uint64) * np.uint64(_LEVEL))
+        b = mixed(a) | np.uint64(1)
+        base, bits = self.starts[page], self.bits[page]
+        for i in range(self.probes):
+            at = ((a[left] + np.uint64(i) * b[left]) % bits[left]).astype(np.int64) + base[left]
+            left = left[(self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+        out = np.zeros(len(keys), bool)
+        out[left] = True
+        return out
+
+    def level(self, keys: np.ndarray) -> np.ndarray:
+        """Probed level of each key: levels 1, 2, 4, ... until one is missing, then halves between the last two."""
         out = np.zeros(len(keys), np.int64)
-        active = np.flatnonzero(~self.empty[page])
-        q = 0
-        while len(active):
-            q += 1
-            k, base, bits = keys[active], self.starts[page[active]], self.bits[page[active]]
-            there = np.ones(len(active), bool)
-            for at in places(k, q, bits, self.probes):
-                at = at + base
-                there &= (self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-            active = active[there]
-            out[active] = q
+        active = np.flatnonzero(~self.empty[(keys >> self.shift).astype(np.int64)])
+        step = 1
+        while len(active) and step <= TOP:
+            active = active[self.holds(keys[active], np.full(len(active), step))]
+            out[active] = step
+            step *= 2
+        step = out // 2
+        while step.any():
+            between = np.flatnonzero(step)
+            there = between[self.holds(keys[between], out[between] + step[between])]
+            out[there] += step[there]
+            step //= 2
         return out
 
 
@@ -176,12 +192,14 @@ def counted(train: DataFrame, settings: Settings) -> DataFrame:
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         keys, counts = keys[first], np.add.reduceat(counts, first)
         kind, page = int(rows["kind"].iloc[0]), int(rows["page"].iloc[0])
-        bits = page_filter(keys, counts, None, settings)
+        level = levels(counts, settings.steps[kind])
+        bits, rate = page_filter(keys, level, settings)
         both = (keys.tobytes(), counts.tobytes()) if kind == 0 else (b"", b"")
-        return pd.DataFrame([(kind, page, *both, bits)], columns=["kind", "page", "keys", "counts", "bits"])
+        row = (kind, page, *both, bits, rate, np.bincount(level).tolist(), np.bincount(level, counts).tolist())
+        return pd.DataFrame([row], columns=["kind", "page", "keys", "counts", "bits", "rate", "entries", "sums"])
 
     parts = train.select("text").mapInArrow(gather, _PARTS)
-    return stored(parts.groupBy("kind", "page").applyInPandas(merge, _PARTS + ", bits binary"), "lm-pages")
+    return stored(parts.groupBy("kind", "page").applyInPandas(merge, _PARTS + ", bits binary, rate double, entries array<long>, sums array<double>"), "lm-pages")
 
 
 def token_counts(pages: DataFrame) -> DataFrame:
@@ -247,19 +265,47 @@ def gathered(pages: DataFrame, group: list[tuple[int, int, int]], settings: Sett
     return list(zip(data, sizes))
 
 
-def smoothed(single: np.ndarray, pair: np.ndarray, weight: float, floor: float) -> np.ndarray:
-    """Probability of every token of whole texts, from its own expected count and that of the pair it ends."""
-    context = np.roll(single, 1)  # the last token is an end mark, as is the context of the first
-    share = np.minimum(1.0, pair / np.maximum(context, 1.0))
-    own = (single + 1.0) / floor
-    return np.where(context > 0, weight * share + (1 - weight) * own, own)
-
-
-def probed_apart(rows: DataFrame, pages: DataFrame, groups: list, floor: float, settings: Settings) -> DataFrame:
+@dataclass(frozen=True)
+class Smoothing:
+    """What probabilities rest on besides the levels: means of token and pair levels, expected false pairs, prior, floor."""
+
+    means: tuple[np.ndarray, np.ndarray]
+    false: float
+    prior: float
+    floor: float
+
+    def counts(self, token_levels: np.ndarray, pair_levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.means[0][token_levels], self.means[1][pair_levels]
+
+    def probability(self, context: np.ndarray, single: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """Of each token, from the read counts of its context, of itself and of the pair."""
+        own = (single + 1.0) / self.floor
+        pair = np.minimum(np.minimum(pair, context), single)
+        return np.where(context > 0, (pair + self.prior * own) / (context + self.false + self.prior), own)
+
+    def of_texts(self, single: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """Probability of every token of whole texts: the last is an end mark, as is the context of the first."""
+        return self.probability(np.roll(single, 1), single, pair)
+
+
+def smoothing(pages: DataFrame, total: int, distinct: int, settings: Settings) -> Smoothing:
+    """Level means and false positives over all pages."""
+    listed = pages.select("kind", F.posexplode(F.arrays_zip("entries", "sums")))
+    means = [np.zeros(TOP + 1), np.zeros(TOP + 1)]
+    for row in listed.groupBy("kind", "pos").agg(F.sum("col.entries").alias("n"), F.sum("col.sums").alias("sum")).collect():  # a row per level
+        means[row["kind"]][row["pos"]] = row["sum"] / max(row["n"], 1)
+    for values in means:  # levels that only a false positive shows stand for the nearest below
+        for i in range(1, TOP + 1):
+            values[i] = values[i] or values[i - 1]
+    rate = pages.filter("kind = 1").agg(F.sum("rate")).first()[0] or 0.0
+    return Smoothing((means[0], means[1]), rate / settings.pages * distinct, settings.prior, float(total + distinct + 1))
+
+
+def probed_apart(rows: DataFrame, pages: DataFrame, groups: list, smooth: Smoothing, settings: Settings) -> DataFrame:
     """(key, score) of every different text, the groups of pages probed one after the other."""
     context = rows.sparkSession.sparkContext
     keyed = rows.select("key", "text")
-    weight, found_levels = settings.pair_weight, []
+    found_levels = []
     for group in groups:
         shared = context.broadcast(gathered(pages, group, settings))
 
@@ -291,8 +337,7 @@ def probed_apart(rows: DataFrame, pages: DataFrame, groups: list, floor: float,
             out = []
             for entries in batch.column(1).to_pylist():
                 both = np.maximum.reduce([np.frombuffer(x, np.uint8) for x in entries]).astype(np.int64)
-                single, pair = (expected(x) for x in np.split(both, 2))
-                out.append(float(np.log10(smoothed(single, pair, weight, floor)).sum()))
+                out.append(float(np.log10(smooth.of_texts(*smooth.counts(*np.split(both, 2)))).sum()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["key", "score"])
 
     return stored(together.mapInArrow(combine, "key binary, score double"), "lm-apart")
@@ -302,10 +347,14 @@ def scores(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
     spark = docs.sparkSession
     rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("text"), held_out(docs[doc_id]).alias("held_out"))
-    pages = counted(rows.filter(~F.col("held_out")), settings)
+    train = rows.filter(~F.col("held_out"))
+    if not settings.pages:
+        size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        settings = replace(settings, pages=max(16, 1 << (size // settings.page_text).bit_length()))
+    pages = counted(train, settings)
     counts = token_counts(pages)
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    weight, floor = settings.pair_weight, float(total + distinct + 1)
+    smooth = smoothing(pages, total, distinct, settings)
     groups = page_groups(pages, settings)
     apart = len(groups) > 1
     key = F.unhex(F.md5(F.coalesce("text", F.lit("")))) if apart else F.lit(None).cast("binary")
@@ -327,8 +376,7 @@ def scores(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_
                     score_of = np.zeros(j - i)
                 else:
                     pair_keys, pair_place = np.unique(pairs(found), return_inverse=True)
-                    pair = expected(doubles.level(pair_keys))[pair_place]
-                    p = smoothed(expected(singles.level(keys))[place], pair, weight, floor)
+                    p = smooth.of_texts(*smooth.counts(singles.level(keys)[place], doubles.level(pair_keys)[pair_place]))
                     score_of = np.bincount(owner, np.log10(p), j - i)
                 at = np.minimum(np.searchsorted(common, keys), max(0, len(common) - 1))
                 in_head = common[at] == keys if len(common) else np.zeros(len(keys), bool)
@@ -352,8 +400,8 @@ def scores(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_
     tails = scored.select("row", F.explode("tail").alias("token")).groupBy("row", "token").agg(F.count(F.lit(1)).alias("times"))
     rare = tails.join(counts, "token").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more_logs"))
     if apart:
-        scored = scored.drop("score").join(probed_apart(rows, pages, groups, floor, settings), "key")
-    base = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(floor))
+        scored = scored.drop("score").join(probed_apart(rows, pages, groups, smooth, settings), "key")
+    base = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(smooth.floor))
     return scored.join(rare, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score",

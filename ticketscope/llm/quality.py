@@ -4,8 +4,10 @@ A text passes when it has enough words, is not mostly repeated three-word window
 (compressed by raw bytes) lies inside the band for its length. Fixed chunks of the text are held against the band for
 their own length too; a text goes when more than `max_bad_chunks` of its bytes lie in chunks outside theirs. Low ratios mean
 repetition, high ones noise. The bands of `Rules` are wide outer bounds. `fitted` adds limits taken from the table: all
-different texts and chunks that pass the word rules are put into classes of half a doubling of length, and a class with
-`min_sample` of them accepts what lies within `spread` quartile distances of its quartiles. Smaller classes keep the bands.
+different texts and chunks that pass the word rules are put into classes of half a doubling of length. The medians of the
+classes and their median deviations are smoothed over length, weighed by the number of texts, so a class with few or no
+texts borrows from its neighbours; accepted is what lies within `spread` smoothed deviations of the smoothed median.
+One rule holds for tables of any size.
 
 Null and empty texts have no words and are rejected. Every text is read whole, whatever its length. Repeated rows are
 judged one by one and alike; an empty table gives an empty result; further columns pass through untouched.
@@ -112,10 +114,37 @@ def judged(text: str | None, rules: Rules, compressor: zstandard.ZstdCompressor)
 
 
 STEPS = 1000  # ratios are counted to a thousandth
+CLASSES = 64  # length classes up to 4 GB
 
 
-def fitted(docs: DataFrame, text: str = "text", rules: Rules = Rules(), spread: float = 2.5, min_sample: int = 256, max_bad_chunks: float = 0.1) -> Rules:
-    """The rules with limits from the ratios of all different texts and chunks of the table."""
+def smoothed(values: np.ndarray, weights: np.ndarray, stiffness: float) -> np.ndarray:
+    """The curve nearest to the weighted values whose slope changes little: a Whittaker smoother of second differences."""
+    bend = np.diff(np.eye(len(values)), 2, axis=0)
+    return np.linalg.solve(np.diag(weights) + stiffness * bend.T @ bend + 1e-9 * np.eye(len(values)), weights * values)
+
+
+def middle(steps: np.ndarray, counts: np.ndarray) -> float:
+    """Median of values with counts."""
+    order = np.argsort(steps)
+    upto = np.cumsum(counts[order])
+    return float(steps[order][np.searchsorted(upto, upto[-1] / 2)])
+
+
+def limits_of(sizes: dict[int, dict[int, int]], spread: float, stiffness: float, least: float) -> dict[int, tuple[float, float]]:
+    """Accepted ratios of every length class from the counts (class, step) of a table."""
+    curve, weights = np.zeros((2, CLASSES)), np.zeros(CLASSES)
+    cells = {c: (np.array(list(n)) / STEPS, np.array(list(n.values()))) for c, n in sizes.items()}
+    for c, (steps, counts) in cells.items():
+        curve[0, c], weights[c] = middle(steps, counts), counts.sum()
+    centre = smoothed(curve[0], weights, stiffness)
+    for c, (steps, counts) in cells.items():
+        curve[1, c] = max(middle(np.abs(steps - centre[c]), counts), least)
+    wide = np.maximum(smoothed(curve[1], weights, stiffness), least)
+    return {c: (float(centre[c] - spread * wide[c]), float(centre[c] + spread * wide[c])) for c in range(CLASSES)}
+
+
+def fitted(docs: DataFrame, text: str = "text", rules: Rules = Rules(), spread: float = 5.0, stiffness: float = 20.0, least: float = 0.008, max_bad_chunks: float = 0.1) -> Rules:
+    """The rules with limits from the ratios of all different texts and chunks of the table; an empty table gives none."""
     names = ["piece", "chunk", "class", "step"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,13 +166,10 @@ def fitted(docs: DataFrame, text: str = "text", rules: Rules = Rules(), spread:
     for row in found.groupBy("chunk", "class", "step").agg(F.count("*").alias("n")).collect():  # a row per class and thousandth
         sizes.setdefault((row["chunk"], row["class"]), {})[row["step"]] = row["n"]
     limits = {}
-    for which, counts in sizes.items():
-        steps = np.array(sorted(counts))
-        upto = np.cumsum([counts[x] for x in steps])
-        if upto[-1] >= min_sample:
-            low, high = (steps[np.searchsorted(upto, upto[-1] * q)] / STEPS for q in (0.25, 0.75))
-            reach = spread * max(high - low, 0.005)
-            limits[which] = (float(low - reach), float(high + reach))
+    for chunk in (False, True):
+        of_kind = {c: n for (kind, c), n in sizes.items() if kind is chunk}
+        if of_kind:
+            limits |= {(chunk, c): both for c, both in limits_of(of_kind, spread, stiffness, least).items()}
     return replace(rules, limits=limits, max_bad_chunks=min(rules.max_bad_chunks, max_bad_chunks))
 
 
