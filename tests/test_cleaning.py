@@ -2,6 +2,7 @@ from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ticketscope.functions.hashing import CLUSTERS
 from ticketscope.functions.times import as_timestamp
@@ -12,8 +13,10 @@ from ticketscope.operators.resolution import (
     recent_resolution, resolution_by_priority_status, resolution_hours, slow_labels, top_changed_fields,
 )
 from ticketscope.operators.sampling import balanced_sample, hash_sample
-from ticketscope.schemas import body_column
-from ticketscope.sources import ingest_csv, read_csv, read_parquet, shared_path, write_cleaned, write_report
+from ticketscope.schemas import body_column, raw_schema
+from ticketscope.sources import (
+    ingest_csv, publish, published, read_csv, read_parquet, read_published, shared_path, write_cleaned, write_report,
+)
 
 RAW = ["key", "issuetype.name", "priority name", "status.name", "created", "updated", "resolutiondate"]
 
@@ -95,6 +98,51 @@ def test_csv_with_quotes_and_line_breaks(spark, tmp_path):
     assert read_parquet(spark, paths["comments"]).count() == 1
 
 
+def test_ingest_by_schema(spark, tmp_path):
+    (tmp_path / "comments.csv").write_text("comment_id,key,body\n1,A-1,hello\n")
+    (tmp_path / "changelog.csv").write_text("id,key,field,fromString,toString,created\n1,A-1,status,Open,Done,2020-01-02\n")
+    schemas = {t: raw_schema(t) for t in ("comments", "changelog")}
+    paths = ingest_csv(spark, str(tmp_path), str(tmp_path / "out"), tuple(schemas), schemas=schemas)
+    assert read_parquet(spark, paths["changelog"]).first()["created"] == datetime(2020, 1, 2)
+    assert raw_schema("changelog", without=("created",)).names == ["id", "key", "field", "fromString", "toString"]
+    with pytest.raises(Exception, match="(?i)header"):
+        swapped = StructType(raw_schema("comments").fields[::-1])
+        ingest_csv(spark, str(tmp_path), str(tmp_path / "again"), ("comments",), schemas={"comments": swapped})
+
+
+def test_missing_columns_are_named_before_anything_is_written(spark, tmp_path):
+    (tmp_path / "comments.csv").write_text("comment_id,key,body\n1,A-1,hello\n")
+    (tmp_path / "issues.csv").write_text("key,created,updated,status.name\nA-1,2020-01-01,2020-01-02,Open\n")
+    with pytest.raises(ValueError, match=r"issues lacks the columns \['priority_name', 'issuetype_name'\]"):
+        ingest_csv(spark, str(tmp_path), str(tmp_path / "out"), ("comments", "issues"))
+    assert not (tmp_path / "out").exists()
+
+
+def test_reports_appear_together(spark, tmp_path):
+    """The second of three writes dies; a reader keeps the former set."""
+    out = str(tmp_path)
+    report = lambda value: lambda path: write_report(spark.sql(f"select '{value}' as v"), path)
+    seen = lambda: {n: r.first()["v"] for n, r in read_published(spark, out, read_csv).items()}
+    first = publish(spark, out, {n: report(f"old {n}") for n in "abc"})
+    assert published(spark, out) == first and seen() == {n: f"old {n}" for n in "abc"}
+
+    def dies(path):
+        write_report(spark.sql("select 'half' as v"), path)
+        raise OSError("disk full")
+
+    with pytest.raises(OSError, match="disk full"):
+        publish(spark, out, {"a": report("new a"), "b": dies, "c": report("new c")})
+    assert published(spark, out) == first and seen() == {n: f"old {n}" for n in "abc"}
+    publish(spark, out, {"a": report("new a"), "b": report("new b")})
+    assert seen() == {"a": "new a", "b": "new b"}
+    assert read_csv(spark, first["c"]).first()["v"] == "old c"
+
+
+def test_chosen_time_is_not_parsed_twice(spark):
+    plan = clean_issues(raw(spark, raw_issue()))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_cast") <= 3 and "__newest" not in clean_issues(raw(spark, raw_issue())).columns
+
+
 def test_parquet_is_partitioned_on_request(spark, tmp_path):
     df = spark.createDataFrame([("a", 1), ("b", 2)], "p string, v int")
     write_cleaned(df, str(tmp_path / "t"), ["p"])

@@ -4,15 +4,16 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA
+from pyspark.ml.feature import PCA, Word2Vec
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ticketscope.functions.hashing import key_fraction
-from ticketscope.functions.stages import slot_names
+from ticketscope.functions.stages import hashed_words, slot_names
 from ticketscope.operators import certificates, clusters, components, importance, models, silhouettes, topics
 from ticketscope.operators.metrics import confusion_table
 from ticketscope.operators.sentiment import clean_text, sentiment
@@ -313,3 +314,15 @@ def test_regression_and_tree_are_certified(spark, issues):
     one, two = ({r["Feature"]: r["Importance"] for r in importance.grouped_coef_importance(m, d, inputs).collect()} for m, d in ((model, merged), (single, data.train)))
     assert one.keys() == two.keys() and all(abs(one[f] - two[f]) < 1e-3 for f in one)
     data.release()
+
+
+def test_word_vectors_of_slots(spark):
+    """Without shared slots the vectors are those of the words; with few slots there are no more vectors than slots."""
+    words = [w for n in range(40) for w in [f"word{n}"] * (n + 5)]
+    rows = spark.createDataFrame([(i, words[i::7]) for i in range(7)], "key int, filtered_words array<string>").coalesce(1)
+    train = lambda slots: Pipeline(stages=[hashed_words("filtered_words", "hashed_words", slots), word2vec("hashed_words")])
+    word2vec = lambda column: Word2Vec(inputCol=column, outputCol="x", vectorSize=8, minCount=5, seed=1, numPartitions=1)
+    vectors = lambda model: [r["x"].toArray() for r in model.transform(rows).orderBy("key").collect()]
+    wide = train(2**40).fit(rows)
+    assert np.allclose(vectors(wide), vectors(word2vec("filtered_words").fit(rows)), atol=1e-6)
+    assert train(6).fit(rows).stages[-1].getVectors().count() <= 6

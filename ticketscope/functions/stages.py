@@ -1,7 +1,7 @@
 """Shared pipeline stages, and the names behind the slots of an assembled vector."""
 
 from pyspark.ml.feature import (
-    CountVectorizer, OneHotEncoder, RegexTokenizer, StopWordsRemover, StringIndexer, VectorAssembler,
+    CountVectorizer, OneHotEncoder, RegexTokenizer, SQLTransformer, StopWordsRemover, StringIndexer, VectorAssembler,
 )
 from pyspark.sql import DataFrame
 
@@ -23,6 +23,13 @@ def filtered_words(text: str) -> list:
     ]
 
 
+def hashed_words(words: str, output: str, slots: int) -> SQLTransformer:
+    """Words replaced by the number of their hash slot, so that no more than `slots` different ones are left."""
+    return SQLTransformer(
+        statement=f"SELECT *, transform({words}, w -> cast(pmod(xxhash64(w), {slots}) AS string)) AS {output} FROM __THIS__"
+    )
+
+
 def counted_words(output: str, vocab_size: int, min_df: float) -> CountVectorizer:
     return CountVectorizer(inputCol="filtered_words", outputCol=output, minDF=min_df, vocabSize=vocab_size)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ticketscope.constants import BUG_TYPE, CENTURY_PREFIX, DEDUPE_KEYS, REQUIRED_COLUMNS, STATUS_FIELD
 from ticketscope.functions.hashing import ISSUES, key_fraction
 from ticketscope.functions.times import as_timestamp
+from ticketscope.schemas import present
 
 
 def normalise_columns(df: DataFrame) -> DataFrame:
@@ -17,47 +18,52 @@ def normalise_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*names)
 
 
-def latest_per_key(df: DataFrame, key: str, newest: Column | None = None) -> DataFrame:
+def latest_per_key(df: DataFrame, key: str, newest: Column | None = None, carried: str | None = None) -> DataFrame:
     """One row per key: the newest, ties settled by the whole row, so every run keeps the same one.
 
     It is a `max` over rows, combined before the shuffle, so a key with a third of all rows costs no
-    more than any other.
+    more than any other. What `newest` found is returned as the column `carried` when that is named.
     """
     rest = [name for name in df.columns if name != key]
     order = [newest.alias("_newest")] if newest is not None else []
     kept = df.groupBy(key).agg(F.max(F.struct(*order, *[F.col(name) for name in rest])).alias("_row"))
-    return kept.select(*[F.col(key) if name == key else F.col("_row")[name].alias(name) for name in df.columns])
+    found = [F.col("_row")["_newest"].alias(carried)] if carried is not None and order else []
+    return kept.select(*[F.col(key) if name == key else F.col("_row")[name].alias(name) for name in df.columns], *found)
 
 
-def _newest(df: DataFrame) -> Column | None:
-    for name in ("updated", "created"):
-        if name in df.columns:
-            return as_timestamp(df, name)
-    return None
+_PARSED = "__newest"
 
 
-def _unique_and_complete(df: DataFrame, table: str) -> DataFrame:
+def _unique_and_complete(df: DataFrame, table: str) -> tuple[DataFrame, str | None]:
+    """Unique, complete rows, with the parsed time of the column named second in `_PARSED`."""
     df = normalise_columns(df)
-    return latest_per_key(df, DEDUPE_KEYS[table], _newest(df)).dropna(subset=REQUIRED_COLUMNS[table])
+    by = next((name for name in ("updated", "created") if name in df.columns), None)
+    newest = None if by is None else as_timestamp(df, by)
+    return latest_per_key(df, DEDUPE_KEYS[table], newest, _PARSED).dropna(subset=REQUIRED_COLUMNS[table]), by
+
+
+def _with_times(df: DataFrame, times: list[str], parsed: str | None) -> DataFrame:
+    """The columns `times` as time stamps; the one that rows were chosen by is not parsed again."""
+    found = {name: F.col(_PARSED) if name == parsed else as_timestamp(df, name) for name in present(df, times)}
+    return df.withColumns(found).drop(_PARSED)
 
 
 def clean_issues(raw: DataFrame) -> DataFrame:
     """Unique, complete issues whose two time stamps carry a four-digit year, with times parsed."""
-    df = _unique_and_complete(raw, "issues")
+    df, parsed = _unique_and_complete(raw, "issues")
     df = df.filter(F.col("created").startswith(CENTURY_PREFIX) & F.col("updated").startswith(CENTURY_PREFIX))
-    times = [name for name in ("created", "updated", "resolutiondate") if name in df.columns]
-    return df.withColumns({name: as_timestamp(df, name) for name in times})
+    return _with_times(df, ["created", "updated", "resolutiondate"], parsed)
 
 
 def clean_comments(raw: DataFrame) -> DataFrame:
     """Unique comments that name their issue."""
-    return _unique_and_complete(raw, "comments")
+    return _with_times(_unique_and_complete(raw, "comments")[0], [], None)
 
 
 def clean_changelog(raw: DataFrame) -> DataFrame:
     """Unique changes that name their issue and field, with times parsed where there are any."""
-    df = _unique_and_complete(raw, "changelog")
-    return df.withColumn("created", as_timestamp(df, "created")) if "created" in df.columns else df
+    df, parsed = _unique_and_complete(raw, "changelog")
+    return _with_times(df, ["created"], parsed)
 
 
 def enrich_issues(issues: DataFrame, comments: DataFrame, changelog: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ticketscope.constants import NUMERIC_FEATURES, SLOW_COLUMNS
 from ticketscope.functions.hashing import key_fraction
-from ticketscope.functions.stages import assembled, encoded, filtered_words, word_counts
+from ticketscope.functions.stages import assembled, encoded, filtered_words, hashed_words, word_counts
 from ticketscope.operators.memory import keep
 from ticketscope.operators.metrics import class_metrics
 from ticketscope.operators.resolution import label_slow, mean_hours, resolution_hours
@@ -27,6 +27,7 @@ FOLDS = 3
 HELD_OUT = 0.2  # share of the keys on which the depth of the single tree is chosen
 MERGED_PARTS = 4  # tasks for the merged rows, at most one row per combination, label, fold and side
 WORD2VEC_PARTS = 8
+WORD_SLOTS = 2**17  # two 100-slot vectors of single precision each: 105 MB on the driver at most
 ON_MERGED_ROWS = {"LogReg", "DecisionTree"}
 DEPTHS = [5, 7]
 
@@ -82,15 +83,19 @@ def reopen_inputs(features: DataFrame) -> list[str]:
     return ["project_vec", "priority_name_vec", "word_features", "ngram_features", *present(features, NUMERIC_FEATURES)]
 
 
-def reopen_stages(features: DataFrame, partitions: int = WORD2VEC_PARTS, seed: int = SEED) -> Pipeline:
+def reopen_stages(
+    features: DataFrame, partitions: int = WORD2VEC_PARTS, seed: int = SEED, word_slots: int = WORD_SLOTS
+) -> Pipeline:
     """One-hot project and priority, word vectors, counted bigrams and the numbers in one vector, from `filtered_words`.
 
     `partitions` is the number of parts the word vectors are trained on at once; it does not follow the cluster's
-    size, so the same rows give the same vectors on any number of cores.
+    size, so the same rows give the same vectors on any number of cores. Words share `word_slots` hash slots, each with
+    one vector, so the driver holds that many whatever the texts; words of one slot share its vector.
     """
     return Pipeline(stages=[
         *encoded(["project", "priority_name"]),
-        Word2Vec(inputCol="filtered_words", outputCol="word_features", vectorSize=100, minCount=5, seed=seed,
+        hashed_words("filtered_words", "hashed_words", word_slots),
+        Word2Vec(inputCol="hashed_words", outputCol="word_features", vectorSize=100, minCount=5, seed=seed,
                  numPartitions=partitions),
         NGram(n=2, inputCol="filtered_words", outputCol="ngrams"),
         CountVectorizer(inputCol="ngrams", outputCol="ngram_features", vocabSize=1000, minDF=5.0),

@@ -1,6 +1,7 @@
 """The whole bug analysis: reopening, models, clusters, reports and summary."""
 
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from ticketscope.operators.models import (
 from ticketscope.operators.reopening import (
     flag_bugs, reopen_examples, reopen_features, reopen_flags, reopen_profile, reopen_share,
 )
+from ticketscope.sources.published import publish
+from ticketscope.sources.readers import read_csv
 from ticketscope.sources.writers import write_report
 
 
@@ -48,7 +51,7 @@ def run_bug_analysis(
     ks: range | list[int] = range(2, 6),
     trees: int = 50,
 ) -> BugAnalysis:
-    """Runs every step; reports are written below `out` when it is given.
+    """Runs every step; reports are published below `out` when it is given.
 
     `sample` thins the issues first. Clusters use all bugs; `cluster_fraction=0.1` is the usual choice to
     save time above some 10,000 of them.
@@ -83,21 +86,26 @@ def run_bug_analysis(
         tables["feature_importance"] = feature_importance(best.model, data.train, reopen_inputs(features))
     analysis = BugAnalysis(results, clustered, k, scores, tables, [features, vectors, *data.held])
     if out is not None:
-        save_results(analysis, out)
+        save_results(spark, tables, out)
     return analysis
 
 
-def save_results(analysis: BugAnalysis, out: str) -> dict[str, str]:
-    """Writes model metrics, cluster sizes and reopening rates as CSV reports; returns their paths."""
+def save_results(spark: SparkSession, tables: dict[str, DataFrame], out: str) -> dict[str, str]:
+    """Publishes model metrics, cluster sizes and reopening rates as CSV reports that appear together; returns their paths.
+
+    Copies under the plain names `<out>/<report>` follow, for readers of fixed paths; only the published reports are
+    sure to be of one run.
+    """
     reports = {
         "reopening_model_metrics": ("model_metrics", ["model"]),
         "cluster_counts": ("cluster_counts", ["prediction"]),
         "cluster_reopening_rates": ("cluster_reopening_rates", [F.desc("reopening_rate"), "prediction"]),
     }
-    paths = {}
-    for name, (table, order) in reports.items():
-        paths[name] = f"{out}/{name}"
-        write_report(analysis.tables[table], paths[name], order)
+    paths = publish(spark, out, {
+        name: partial(write_report, tables[table], order_by=order) for name, (table, order) in reports.items()
+    })
+    for name, path in paths.items():
+        write_report(read_csv(spark, path), f"{out}/{name}")
     return paths
 
 

@@ -1,7 +1,7 @@
 """The registered queries: each takes a session and a folder of tables, reads them whole, returns a DataFrame."""
 
 from collections.abc import Callable
-from functools import wraps
+from functools import reduce, wraps
 
 import numpy as np
 from pyspark.ml import Pipeline
@@ -24,7 +24,7 @@ from ticketscope.plans import bindings
 from ticketscope.plans.activity_report import run_activity_report
 from ticketscope.plans.bug_analysis import run_bug_analysis, save_results, summary
 from ticketscope.plans.comment_analysis import run_comment_analysis
-from ticketscope.sources import ingest_csv, read_csv, read_parquet, shared_path, write_report
+from ticketscope.sources import ingest_csv, read_csv, read_parquet, read_published, shared_path, write_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -98,9 +98,10 @@ def _csv_issues(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _ingested_issues(spark: SparkSession, sf: str) -> DataFrame:
-    folder = shared_path(spark, "export")
-    bindings.raw_issues(spark, sf).write.option("header", True).option("escape", '"').csv(f"{folder}/issues.csv")
-    return read_parquet(spark, ingest_csv(spark, folder, f"{folder}/cleaned", ("issues",))["issues"])
+    folder, raw = shared_path(spark, "export"), bindings.raw_issues(spark, sf)
+    raw.write.option("header", True).option("escape", '"').csv(f"{folder}/issues.csv")
+    paths = ingest_csv(spark, folder, f"{folder}/cleaned", ("issues",), schemas={"issues": raw.schema})
+    return read_parquet(spark, paths["issues"])
 
 
 def _report_fields(spark: SparkSession, sf: str) -> DataFrame:
@@ -343,6 +344,19 @@ def _saved_counts(spark: SparkSession, sf: str) -> DataFrame:
     return read_csv(spark, path).select("prediction", F.col("count").cast("bigint").alias("count"))
 
 
+def _published_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """Reports published together over the projects, read back by the manifest as (report, item, value)."""
+    out, bugs = shared_path(spark, "reports"), _hold(_flags_by_project(spark, sf))
+    scored = metrics.class_metrics(_pairs(spark, sf)).withColumn("model", F.col("label").cast("int").cast("string"))
+    tables = {"model_metrics": scored, "cluster_counts": clusters.cluster_counts(bugs), "cluster_reopening_rates": clusters.cluster_reopen_rates(bugs)}
+    save_results(spark, tables, out)
+    shown = {"reopening_model_metrics": ("model", "support"), "cluster_counts": ("prediction", "count"), "cluster_reopening_rates": ("prediction", "reopening_rate")}
+    return reduce(DataFrame.unionByName, [
+        table.select(F.lit(name).alias("report"), F.col(shown[name][0]).alias("item"), F.round(F.col(shown[name][1]).cast("double"), 6).alias("value"))
+        for name, table in sorted(read_published(spark, out, read_csv).items())
+    ])
+
+
 def _kmeans_total(spark: SparkSession, sf: str) -> DataFrame:
     counts = clusters.cluster_counts(_kmeans(spark, sf))
     return counts.agg(F.sum("count").alias("bugs"), F.count(F.lit(1)).alias("clusters"))
@@ -351,6 +365,7 @@ def _kmeans_total(spark: SparkSession, sf: str) -> DataFrame:
 _CLUSTERS: dict[str, Query] = {
     "embedding_silhouette": _embedding_silhouette,
     "saved_cluster_counts": _saved_counts,
+    "published_reports": _published_reports,
     "kmeans_total": _kmeans_total,
     "cluster_counts": lambda spark, sf: clusters.cluster_counts(_flags_by_project(spark, sf)),
     "cluster_keywords": _document_keywords,
@@ -552,7 +567,7 @@ def _analysis(spark: SparkSession, sf: str):
 
 
 def _saved_rates(spark: SparkSession, sf: str) -> DataFrame:
-    paths = save_results(_analysis(spark, sf), shared_path(spark, "bug_analysis"))
+    paths = save_results(spark, _analysis(spark, sf).tables, shared_path(spark, "bug_analysis"))
     return read_csv(spark, paths["cluster_reopening_rates"])
 
 

@@ -239,6 +239,10 @@ def oracle_sql() -> dict[str, str]:
               sum(n_nationkey)::double as weight
             from nation group by 1""",
         "saved_cluster_counts": _with(["clusters"], "select prediction, total_bugs as count from clusters"),
+        "published_reports": _with(["clusters", "class_rates"], """
+            select 'cluster_counts' as report, prediction as item, total_bugs::double as value from clusters
+            union all select 'cluster_reopening_rates', prediction, round(reopening_rate, 6) from clusters
+            union all select 'reopening_model_metrics', label::int::varchar, support::double from class_rates"""),
         "kmeans_total": _with(["bugs"], "select count(*) as bugs, 4::bigint as clusters from bugs"),
         "slow_confusion_totals": _with(["resolved"], f"""
             select m as Model, (select count(*) from resolved where not {_fraction('key', 'split')} < 0.8) as rows

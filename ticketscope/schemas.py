@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ticketscope.constants import BODY_COLUMNS
+from ticketscope.constants import BODY_COLUMNS, REQUIRED_COLUMNS
 
 ISSUES = T.StructType([
     T.StructField("key", T.StringType(), False),
@@ -51,6 +51,22 @@ MODEL_COMPARISON = T.StructType([
 ])
 
 
+CLEANED = {"issues": ISSUES, "changelog": CHANGELOG, "comments": COMMENTS}
+
+
+def raw_schema(table: str, without: tuple[str, ...] = ()) -> T.StructType:
+    """Schema of an export that holds the cleaned table's columns in their order, all as text."""
+    return T.StructType([T.StructField(f.name, T.StringType()) for f in CLEANED[table] if f.name not in without])
+
+
+def require_columns(df: DataFrame, table: str) -> DataFrame:
+    """The table itself; refused, with the missing columns named, when cleaning could not work on it."""
+    missing = [name for name in REQUIRED_COLUMNS[table] if name not in df.columns]
+    if missing:
+        raise ValueError(f"{table} lacks the columns {missing}; it has {df.columns}")
+    return df
+
+
 def body_column(comments: DataFrame) -> str:
     """Name of the first known comment-body column the table has."""
     for name in BODY_COLUMNS:

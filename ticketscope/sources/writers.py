@@ -1,8 +1,10 @@
 """Sinks: cleaned parquet tables and small CSV reports."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
-from ticketscope.operators.cleaning import clean_changelog, clean_comments, clean_issues
+from ticketscope.operators.cleaning import clean_changelog, clean_comments, clean_issues, normalise_columns
+from ticketscope.schemas import require_columns
 from ticketscope.sources.readers import read_csv
 
 _CLEANERS = {"issues": clean_issues, "changelog": clean_changelog, "comments": clean_comments}
@@ -29,11 +31,18 @@ def write_report(df: DataFrame, path: str, order_by: list | None = None, single_
 
 
 def ingest_csv(spark: SparkSession, source: str, target: str, tables: tuple[str, ...] = tuple(_CLEANERS),
-               multi_line: bool = True) -> dict[str, str]:
-    """Read `<source>/<table>.csv`, clean each table and write `<target>/cleaned_<table>.parquet`."""
-    written = {}
+               multi_line: bool = True, schemas: dict[str, StructType] | None = None) -> dict[str, str]:
+    """Read `<source>/<table>.csv`, clean each table and write `<target>/cleaned_<table>.parquet`.
+
+    Tables in `schemas` are read by their schema (`schemas.raw_schema` gives the usual one), others by the header of
+    their first file. All are checked before the first is written: a table without the columns that cleaning needs,
+    whose names are compared after normalising, is refused with these named.
+    """
+    schemas = schemas or {}
+    raw = {t: read_csv(spark, f"{source}/{t}.csv", schemas.get(t), multi_line=multi_line) for t in tables}
+    for table in tables:
+        require_columns(normalise_columns(raw[table]), table)
+    written = {table: f"{target}/cleaned_{table}.parquet" for table in tables}
     for table in tables:
-        raw = read_csv(spark, f"{source}/{table}.csv", multi_line=multi_line)
-        written[table] = f"{target}/cleaned_{table}.parquet"
-        write_cleaned(_CLEANERS[table](raw), written[table])
+        write_cleaned(_CLEANERS[table](raw[table]), written[table])
     return written
