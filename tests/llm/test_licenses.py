@@ -66,6 +66,20 @@ def test_given_table_against_plain_search(spark):
     assert found == expected and found
 
 
+def test_whole_licences_are_told_apart(spark):
+    """Whole texts with copyright lines win over the sentences they begin with; a head alone stays a head."""
+    rng = random.Random(4)
+    whole = {"BSD-2-Clause", "BSD-3-Clause", "ISC licence", "MIT licence", "Unlicense text", "Zlib"}
+    heads = {"MIT text", "ISC", "BSD", "Unlicense"}
+    rows = [(n, f"{prose(rng, 30)}\nCopyright (c) 2020 Somebody\n\n{NOTICES[n]}\n{prose(rng, 30)}") for n in sorted(whole | heads)]
+    found = licenses.notices(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {(r.doc_id, r.license, r.coverage) for r in found} == {(n, n, 1.0) for n in whole | heads} and len(found) == len(rows)
+    body = NOTICES["BSD-3-Clause"].split()
+    holes = " ".join(w for i, w in enumerate(body) if i % 12)  # every twelfth word is gone
+    (hit,) = licenses.notices(spark.createDataFrame([(1, holes)], "doc_id long, text string")).collect()
+    assert hit.license == "BSD-3-Clause" and 0.85 < hit.coverage < 0.95
+
+
 def test_winnowing_keeps_one_of_every_window():
     hashes = np.random.default_rng(0).integers(0, 9, 200).astype(np.uint64)
     for window in (1, 2, 5, 300):

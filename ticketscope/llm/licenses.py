@@ -22,22 +22,55 @@ from pyspark.sql import DataFrame
 
 from ticketscope.llm.words import LOWER, chunks, mixed, prefix_hashes, range_hashes, text_bytes, word_bounds
 
-# The wording of common notices.
+# The wording of common short notices, of headers and of whole short licences.
+_BSD_SOURCE = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+_BSD_BINARY = "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_DISCLAIMER = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. "
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_MIT_HEAD = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"
+_NO_WARRANTY = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE"
+_DEALINGS = "BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_ISC_HEAD = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+
 NOTICES = {
+    "AGPL-3.0 header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "All rights reserved": "All rights reserved",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "Apache-2.0 header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "BSD": _BSD_HEAD,
+    "BSD-2-Clause": " ".join([_BSD_HEAD, _BSD_SOURCE, _BSD_BINARY, _BSD_DISCLAIMER]),
+    "BSD-3-Clause": " ".join([_BSD_HEAD, _BSD_SOURCE, _BSD_BINARY, _BSD_NAMES, _BSD_DISCLAIMER]),
     "CC-BY-4.0": "Licensed under CC BY 4.0",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0",
+    "CC0-1.0 notice": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
+    "EPL-2.0 notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
     "GPL-3.0": "licensed under the GNU General Public License, version 3",
     "GPL-3.0 header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "ISC": _ISC_HEAD,
+    "ISC licence": _ISC_HEAD + " THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "LGPL-3.0 header": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "MIT": "Released under the MIT License",
-    "MIT text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions",
+    "MIT licence": f"{_MIT_HEAD}: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {_NO_WARRANTY} AUTHORS OR COPYRIGHT HOLDERS {_DEALINGS}",
+    "MIT text": _MIT_HEAD,
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "Unlicense text": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. "
+        "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. "
+        "We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. " + _NO_WARRANTY + " AUTHORS " + _DEALINGS
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+        "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+        "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."
+    ),
 }
 
 MAX_TEMPLATE_WORDS = 1_000_000
@@ -96,23 +129,21 @@ def aligned(template: list[int], words: list[int], low: int, high: int) -> tuple
 
     Returns the number, and the first and last word met; among equal paths the shortest span of words is taken.
     """
-    best: dict[int, tuple[int, int, int]] = {}  # by diagonal: matched, minus words spanned, first word
-    top = (0, 0, 0)
+    best: dict[int, tuple[int, int]] = {}  # by diagonal: words matched, first word; of equal counts the latest start
+    top = (0, 0, 0)  # words matched, minus words spanned, first word
     for i, wanted in enumerate(template):
-        row: dict[int, tuple[int, int, int]] = {}
+        row: dict[int, tuple[int, int]] = {}
         for d in range(low, high + 1):
             j = i + d
             if not 0 <= j < len(words):
                 continue
             # Paths that end at template words before i and at words before j.
-            before = best.get(d, (0, 0, -1))
-            here = max(best.get(d + 1, (0, 0, -1)), row.get(d - 1, (0, 0, -1)), before, key=lambda c: (c[0], c[1]))
+            before = best.get(d, (0, -1))
+            here = max(best.get(d + 1, (0, -1)), row.get(d - 1, (0, -1)), before)
             if words[j] == wanted:
-                first = before[2] if before[0] else j
-                met = (before[0] + 1, first - j, first)
-                if (met[0], met[1]) > (top[0], top[1]):
-                    top = met
-                here = max(here, met, key=lambda c: (c[0], c[1]))
+                met = (before[0] + 1, before[1] if before[0] else j)
+                top = max(top, (met[0], met[1] - j, met[1]))
+                here = max(here, met)
             row[d] = here
         best = row
     return top[0], top[2], top[2] - top[1]
@@ -141,6 +172,8 @@ def found_in(words: np.ndarray, index: Index, settings: Settings) -> list[tuple[
                 groups.append([d, d])
         for low, high in groups:
             begin, end = max(0, low - band), min(len(words), high + len(wanted) + band)
+            if np.isin(wanted, words[begin:end]).sum() < settings.min_coverage * len(wanted):
+                continue  # no alignment can meet words that are not there
             n, first, last = aligned(wanted.tolist(), words[begin:end].tolist(), low - band - begin, high + band - begin)
             if n >= settings.min_coverage * len(wanted):
                 matches.append((template, n, first + begin, last + begin))
@@ -172,9 +205,11 @@ def notices(docs: DataFrame, templates: dict[str, str] | None = None, settings:
                 edges = np.searchsorted(starts, own)
                 for k in range(j - i):
                     a, b = edges[k], edges[k + 1]
-                    for template, n, first, last in found_in(words[a:b], index, settings):
-                        body = part[own[k] : own[k + 1]]
-                        chars = [int(((body[: x - own[k]] & 0xC0) != 0x80).sum()) for x in (starts[a + first], ends[a + last])]
+                    matches = found_in(words[a:b], index, settings)
+                    # Characters before each byte of the text, counted once for all its matches.
+                    before = np.append(0, np.cumsum((part[own[k] : own[k + 1]] & 0xC0) != 0x80)) if matches else None
+                    for template, n, first, last in matches:
+                        chars = [int(before[x - own[k]]) for x in (starts[a + first], ends[a + last])]
                         owners.append(i + k)
                         rows.append((index.names[template], n, n / len(index.words[template]), first, last, *chars))
             kinds = [pa.string(), pa.int64(), pa.float64(), *[pa.int64()] * 4]
