@@ -1,4 +1,4 @@
-"""DuckDB SQL for the queries that SQL can express: chat formatting, benchmark decontamination and structure repair."""
+"""DuckDB SQL for the queries that SQL can express: chats, line dedup, repeated bytes, decontamination, structure repair."""
 
 OP2 = r"""
 with turns as (
@@ -129,4 +129,71 @@ left join ended on ids.conv_id is not distinct from ended.conv_id
 left join lines on ids.conv_id is not distinct from lines.conv_id
 """
 
-ORACLES: dict[str, str] = {"op2_chat_format": OP2, "op10_decontaminate": OP10, "op11_repair_structure": OP11}
+# Distinct sets of words at their first place; pairs share one of the rarest words of both, then meet whole.
+OP6 = r"""
+with docs as (
+    select distinct doc_id, text from documents
+), lines as (
+    select doc_id, unnest(range(len(l))) as line, unnest(l) as body from (select doc_id, string_split(text, chr(10)) as l from docs where text is not null)
+), sets as (
+    select doc_id, line, list_sort(list_distinct(list_filter(regexp_split_to_array(
+        translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> ''))) as s from lines
+), placed as (
+    select *, row_number() over (order by doc_id nulls last, line) as place from sets where len(s) > 0
+), kinds as (
+    select s, min(place) as kind from placed group by s
+), words as (
+    select kind, len(s) as n, unnest(s) as w from kinds
+), ranked as (
+    select kind, n, w, row_number() over (partition by kind order by c, w) as p from words join (select w, count(*) as c from words group by w) using (w)
+), prefixes as (
+    select kind, n, w from ranked where p <= n // 5 + 1
+), pairs as (
+    select distinct a.kind as later, b.kind as earlier
+    from prefixes a join prefixes b on a.w = b.w and b.kind < a.kind and 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)
+), gone as (
+    select distinct later as kind from pairs join kinds a on later = a.kind join kinds b on earlier = b.kind
+    where 9 * len(list_intersect(a.s, b.s)) >= 4 * (len(a.s) + len(b.s))
+), lost as (
+    select doc_id, line from placed join kinds using (s) left join gone using (kind) where gone.kind is not null or place <> kinds.kind
+), kept as (
+    select l.doc_id, count(*) as n_lines, count(lost.line) as n_removed,
+        coalesce(string_agg(body, chr(10) order by l.line) filter (lost.line is null), '') as rest
+    from lines l left join lost on l.doc_id is not distinct from lost.doc_id and l.line = lost.line group by l.doc_id
+)
+select doc_id, cast(coalesce(n_lines, 0) as bigint) as n_lines, cast(coalesce(n_removed, 0) as bigint) as n_removed,
+    sha256(rest) as kept_sha256
+from documents left join kept using (doc_id)
+"""
+
+# All windows of 400 bytes, as hexadecimal text cut in tiles of 1000 starts.
+OP9 = r"""
+with docs as (
+    select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as body from documents
+), windows as (
+    select r, 1000 * tile + i as i, md5_number(substr(part, 2 * i + 1, 800)) as w
+    from (select r, tile, part, unnest(range(0, length(part) // 2 - 399)) as i
+        from (select r, tile, substr(body, 2000 * tile + 1, 2798) as part from (select r, body, unnest(range(0, (length(body) // 2 - 400) // 1000 + 1)) as tile from docs where length(body) >= 800)))
+), repeated as (
+    select w from windows group by w having count(*) > 1
+), starts as (
+    select r, i, lag(i) over (partition by r order by i) as before from windows semi join repeated using (w)
+), runs as (
+    select r, i, sum(case when before is null or i > before + 400 then 1 else 0 end) over (partition by r order by i) as run from starts
+), spans as (
+    select r, min(i) as a, max(i) + 400 as b from runs group by r, run
+), pieces as (
+    select r, a, b, coalesce(lag(b) over (partition by r order by a), 0) as from_byte from spans
+), kept as (
+    select r, sum(b - a) as n_removed, count(*) as n_spans,
+        string_agg(substr(body, 2 * from_byte + 1, 2 * (a - from_byte)), '' order by a) || any_value(substr(body, 2 * max_b + 1)) as rest
+    from (select *, max(b) over (partition by r) as max_b from pieces) join docs using (r) group by r
+)
+select doc_id, cast(length(body) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed,
+    cast(coalesce(n_spans, 0) as bigint) as n_spans, sha256(unhex(coalesce(rest, body))) as kept_sha256
+from docs left join kept using (r)
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_chat_format": OP2, "op6_line_dedup": OP6, "op9_suffix_dedup": OP9, "op10_decontaminate": OP10, "op11_repair_structure": OP11,
+}
