@@ -52,6 +52,18 @@ def test_periods_overlaps_and_shared_passages(spark):
         compared(docs, length=length, gram=gram, block=block, bits=bits)
 
 
+def test_hot_segments_meet_their_digest_in_place(spark, monkeypatch):
+    """A passage in a third of all texts, some digests above the bound and some below it."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdef") for _ in range(n))
+    hot, rare = word(300), word(200)
+    texts = [word(80) + (hot if i % 3 == 0 else rare if i % 20 == 1 else "") + word(80) for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for bound in (1, 20, 10_000):
+        monkeypatch.setattr(repeats, "HOT_SEGMENTS", bound)
+        assert sum(r[2] > 0 for r in compared(docs, length=60, gram=20)) >= 40
+
+
 def test_segments_agree_across_blocks(monkeypatch):
     data = np.random.default_rng(1).integers(0, 4, 5000).astype(np.uint8)
     whole = repeats.segments(data, 60, 10)

@@ -34,6 +34,7 @@ LENGTH = 400
 GRAM = 200
 BLOCK = 32
 BITMAP_BITS = 27
+HOT_SEGMENTS = 10_000  # segments with one digest from which it is sent to them
 _PLACE_BITS = 22
 
 
@@ -187,7 +188,7 @@ def spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int =
         found = repeated_segments(long_ones, bitmap(repeated.select("anchor"), bits), bits, length, gram)
         known = stored(found.join(repeated, "anchor").drop("anchor"), "repeated-segments")
         kinds = known.filter("mixed").groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "first", "last", "place")).alias("one"))
-        kinds = stored(kinds.select("digest", (F.col("n") > 1).alias("doubled"), "one.*", F.monotonically_increasing_id().alias("id")), "segment-kinds")
+        kinds = stored(kinds.select("digest", "n", (F.col("n") > 1).alias("doubled"), "one.*", F.monotonically_increasing_id().alias("id")), "segment-kinds")
         # Of unequal segments with one anchor, one copy each is compared in blocks, then window by window.
         listed = stored(kinds.groupBy("key").agg(F.collect_list(F.struct("id", "first", "last", "place")).alias("listed")), "borders")
         near = texts.join(small(listed.select("key")), "key", "left_semi").join(listed, "key").groupBy("key").agg(F.first("text").alias("text"), F.first("listed").alias("listed"))
@@ -201,7 +202,10 @@ def spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int =
         met = windows.join(again, "window", "left_semi").groupBy("id").agg(F.collect_list("offset").alias("offsets"))
         place = lambda o: F.struct((F.col("base") + o).alias("first"), (F.col("base") + o).alias("last"))
         partial = met.join(single, "id").select("key", F.inline(F.transform("offsets", place)))
-        doubled = known.join(kinds.filter("doubled").select("digest"), "digest", "left_semi").select("key", "first", "last")
+        # Segments that very many texts hold meet their digest where they are; only the others are dealt by digest.
+        many = small(kinds.filter(F.col("doubled") & (F.col("n") >= HOT_SEGMENTS)).select("digest"))
+        few = small(kinds.filter(F.col("doubled") & (F.col("n") < HOT_SEGMENTS)).select("digest"))
+        doubled = known.join(many, "digest", "left_semi").unionByName(known.join(many, "digest", "left_anti").join(few, "digest", "left_semi")).select("key", "first", "last")
         whole = known.filter("not mixed").select("key", "first", "last").unionByName(doubled).join(copied, "key", "left_anti")
         runs = whole.unionByName(partial.join(copied, "key", "left_anti")).groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("windows"))
         all_of = F.array(F.struct(F.lit(0).alias("first"), (F.col("bytes") - length).cast("int").alias("last")))
