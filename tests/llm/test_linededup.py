@@ -65,6 +65,31 @@ def test_groups_of_variants(spark, candidates):
     assert compared(variants(spark), Settings(candidates=candidates, bitmap_bits=16)) > 100
 
 
+@pytest.mark.parametrize("candidates", [1, 8])
+def test_long_lists_are_cut_into_cells(spark, candidates, monkeypatch):
+    settings = Settings(candidates=candidates, bitmap_bits=16, list_entries=24)
+    cells = []
+    real = linededup.cells_of
+    monkeypatch.setattr(linededup, "cells_of", lambda parts, settings: cells.append(real(parts, settings)) or linededup.stored(cells[-1], "cells"))
+    assert compared(variants(spark), settings) > 100
+    assert cells
+
+
+def test_rarity_in_a_tree_of_merges(spark, monkeypatch):
+    texts = spark.createDataFrame([(f"common w{i} w{i % 7}",) for i in range(300)], "text string").repartition(9)
+    flat = linededup.rarity_table(texts, 16)
+    monkeypatch.setattr(linededup, "_FAN_IN", 2)
+    assert (linededup.rarity_table(texts, 16) == flat).all() and flat.max() == np.ceil(np.log2(301) * 6)
+
+
+def test_packed_entries_come_back():
+    rng = np.random.default_rng(3)
+    columns = [rng.integers(0, 1 << 30, 50).astype(kind) for kind in linededup._COLUMNS.values()]
+    parts = linededup.packed(columns, np.array([0, 20, 20, 50]))
+    for first, last, a, b in ((0, 1, 0, 20), (1, 2, 20, 20), (0, 3, 0, 50)):
+        assert all((x == y[a:b]).all() for x, y in zip(linededup.unpacked(parts, first, last), columns))
+
+
 def test_odd_rows(spark):
     assert compared(odd_documents(spark).filter("source is null or source <> 's9'")) > 10
 

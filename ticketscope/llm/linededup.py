@@ -11,7 +11,9 @@ first n - ceil(t n) + 1 are looked up among the first n - ceil(2 t n / (1 + t))
 must fit in length, in the words left after the places where they meet, and in a 64-bit parity map of their words,
 which bounds their difference from below. A line takes only its `candidates` earliest partners from a list at first,
 which settles groups of variants without pairing them all; a line that these leave open, and that had more, takes all
-of that list in a second round. Pairs are verified on the full sets of words, so every decision is exact
+of that list in a second round, which reads the stored lists that were cut short. Entries travel packed, by buckets of
+words; a bucket of more than `list_entries` is cut into blocks of lines that meet in pairs of blocks, each pair in a task
+of its own, so a word of a third of all lines fills many tasks. Pairs are verified on the full sets of words, so every decision is exact
 up to equal hashes: 64 bits for a word, 128 bits (`id` and `twin`, two independent sums) for a line's set. Lists and
 pairs know lines by the `id` alone; two lines that share it without sharing the twin are never taken for copies.
 
@@ -41,6 +43,7 @@ class Settings:
     table_bits: int = 24
     candidates: int = 8
     bitmap_bits: int = 27
+    list_entries: int = 1 << 21
 
 
 def needed(n: int | np.ndarray, threshold: float) -> tuple:
@@ -55,6 +58,8 @@ PAIR_MAPS = 4
 _MAPS = [f"m{k}" for k in range(PAIR_MAPS)]
 _WORD_BITS = np.uint64(20)  # the lowest bits of a word's hash give way to the number of its line, for sorting only
 _TWIN = np.uint64(0xC2B2AE3D27D4EB4F)
+_LEVELS = 6  # levels of the rarity table for each doubling of a count
+_FAN_IN = 64  # partial counts that are merged at once
 
 
 def word_hashes(data: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,19 +107,30 @@ def rarity_table(texts: DataFrame, bits: int) -> np.ndarray:
             part = total[page << page_bits : (page + 1) << page_bits]
             at = np.flatnonzero(part)
             if len(at):
-                columns = [pa.array([page], pa.int32()), pa.array([at.astype(np.uint32).tobytes()], pa.binary()), pa.array([part[at].tobytes()], pa.binary())]
+                columns = [pa.array([page], pa.int32()), pa.array([at.astype(np.uint32).tobytes()], pa.binary()), pa.array([part[at].astype(np.uint64).tobytes()], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["page", "slots", "counts"])
 
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(1 << page_bits, np.float64)
+    def summed(rows: pd.DataFrame) -> np.ndarray:
+        total = np.zeros(1 << page_bits, np.uint64)
         for slots, counts in zip(rows["slots"], rows["counts"]):
-            total[np.frombuffer(slots, np.uint32)] += np.frombuffer(counts, np.uint32)
-        levels = np.minimum(255, np.ceil(np.log2(total + 1) * 6)).astype(np.uint8)
-        return pd.DataFrame({"page": [int(rows["page"].iloc[0])], "levels": [levels.tobytes()]})
+            total[np.frombuffer(slots, np.uint32)] += np.frombuffer(counts, np.uint64)
+        return total
 
-    parts = texts.select("text").mapInArrow(count, "page int, slots binary, counts binary")
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        total = summed(rows)
+        at = np.flatnonzero(total)
+        return pd.DataFrame({"page": rows["page"].iloc[:1], "part": rows["part"].iloc[:1] // _FAN_IN, "slots": [at.astype(np.uint32).tobytes()], "counts": [total[at].tobytes()]})
+
+    def quantised(rows: pd.DataFrame) -> pd.DataFrame:
+        levels = np.minimum(255, np.ceil(np.log2(summed(rows) + 1.0) * _LEVELS)).astype(np.uint8)
+        return pd.DataFrame({"page": rows["page"].iloc[:1], "levels": [levels.tobytes()]})
+
+    shape = "page int, slots binary, counts binary"
+    parts = stored(texts.select("text").mapInArrow(count, shape).withColumn("part", F.spark_partition_id()), "rarity")
+    while (parts.agg(F.max("part")).first()[0] or 0) >= _FAN_IN:
+        parts = stored(parts.groupBy("page", F.floor(F.col("part") / _FAN_IN)).applyInPandas(merge, f"{shape}, part int"), "rarity")
     out = np.zeros((pages, 1 << page_bits), np.uint8)
-    for row in parts.groupBy("page").applyInPandas(merge, "page int, levels binary").toLocalIterator():
+    for row in parts.groupBy("page").applyInPandas(quantised, "page int, levels binary").toLocalIterator():
         out[row["page"]] = np.frombuffer(row["levels"], np.uint8)
     return out.ravel()
 
@@ -186,17 +202,58 @@ def plausible(pairs: DataFrame, kinds: DataFrame, threshold: float) -> DataFrame
     return both.filter(total - apart >= 2 * F.ceil(total * F.lit(threshold / (1 + threshold)) - F.lit(1e-6))).select(*pairs.columns)
 
 
-_ENTRY = "word long, order long, id long, map long, line int, span long"
+_COLUMNS = {"word": np.uint64, "order": np.int64, "id": np.int64, "map": np.uint64, "line": np.int32, "n": np.int32, "place": np.int32}
+_PACKED = ", ".join(f"{c} binary" for c in _COLUMNS)
+_FLUSH = 1 << 17  # entries that a task gathers before it packs them
+_CLASSES = 1 << 12  # finest parts, by id, into which a long list can be cut
+
+
+def packed(columns: list[np.ndarray], edges: np.ndarray) -> list[pa.Array]:
+    """One binary value for each column and stretch of entries between neighbouring edges."""
+    out = []
+    for values, kind in zip(columns, _COLUMNS.values()):
+        values = np.ascontiguousarray(values, kind)
+        offsets = (edges * values.itemsize).astype(np.int32)
+        out.append(pa.BinaryArray.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)]))
+    return out
+
+
+def unpacked(columns: list[pa.Array], first: int, last: int) -> list[np.ndarray]:
+    """The entries of rows `first` to `last`."""
+    out = []
+    for column, kind in zip(columns, _COLUMNS.values()):
+        data, bounds = text_bytes(column)
+        out.append(data[bounds[first] : bounds[last]].view(kind))
+    return out
+
+
+def bucket_bits(table: np.ndarray, threshold: float) -> int:
+    """Bits of a word's hash that name its bucket, so that buckets stay at some 2**18 entries however large the input."""
+    counts = np.bincount(table, minlength=256)
+    total = float(np.sum(counts * (2.0 ** (np.arange(256) / _LEVELS) - 1)))
+    return max(8, int(np.ceil(np.log2(1 + total * (1 - threshold)))) - 18)
 
 
-def prefix_entries(texts: DataFrame, table: np.ndarray, settings: Settings, only: np.ndarray | None = None) -> DataFrame:
-    """The probing prefixes of all lines; with `only`, of the words in that bitmap. `span` is n << 32 | place."""
-    shared = texts.sparkSession.sparkContext.broadcast((table, only))
+def prefix_entries(texts: DataFrame, table: np.ndarray, settings: Settings) -> DataFrame:
+    """The probing prefixes of all lines, packed by bucket: words whose hashes have the same leading bits."""
+    shared = texts.sparkSession.sparkContext.broadcast(table)
+    bits = bucket_bits(table, settings.threshold)
+
+    def rows(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        columns = [np.concatenate(c) for c in zip(*held)]
+        order = np.argsort(columns[0])
+        columns = [c[order] for c in columns]
+        bucket = (columns[0] >> np.uint64(64 - bits)).astype(np.int64)
+        first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        arrays = [pa.array(bucket[first]), *packed(columns, np.append(first, len(bucket)))]
+        return pa.RecordBatch.from_arrays(arrays, names=["bucket", *_COLUMNS])
+
     shift = np.uint64(64 - settings.table_bits)
-    once = int(np.ceil(np.log2(2) * 6))  # level of a slot that was counted once: its word is in no other line
+    once = _LEVELS  # level of a slot that was counted once: its word is in no other line
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, wanted = shared.value
+        levels = shared.value
+        held, size = [], 0
         for batch in batches:
             data, bounds = text_bytes(batch.column(2))
             orders = batch.column(1).to_numpy()
@@ -220,20 +277,26 @@ def prefix_entries(texts: DataFrame, table: np.ndarray, settings: Settings, only
                 speaks[by_rank[same]] = False
                 near = n >= (n + 1) * settings.threshold - 1e-9  # shorter lines are similar to equal ones only
                 keep = (speaks & near)[group] & (place < needed(n, settings.threshold)[0][group]) & (rare > once)
-                if wanted is not None:
-                    keep &= has(wanted, words, settings.bitmap_bits)
                 g = group[keep]
-                columns = [words[keep].view(np.int64), order[g], digest[g].view(np.int64), maps[g].view(np.int64), number[g].astype(np.int32), (n[g].astype(np.int64) << 32) | place[keep]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["word", "order", "id", "map", "line", "span"])
+                held.append([words[keep], order[g], digest[g].view(np.int64), maps[g], number[g].astype(np.int32), n[g].astype(np.int32), place[keep].astype(np.int32)])
+                size += len(g)
+                if size >= _FLUSH:
+                    yield rows(held)
+                    held, size = [], 0
+        if size:
+            yield rows(held)
 
-    return texts.mapInArrow(run, _ENTRY)
+    return texts.mapInArrow(run, f"bucket long, {_PACKED}")
 
 
 class Lists:
-    """Inverted lists side by side, each ordered by rank; every word and line once."""
+    """Inverted lists side by side, each ordered by rank; every word and line once.
+
+    Entries of sides 1 and 2 pair with those of the other side only; side 0 pairs with all.
+    """
 
-    def __init__(self, columns: list[np.ndarray], t: float):
-        word, order, ids, maps, line, span = columns
+    def __init__(self, columns: list[np.ndarray], side: np.ndarray, t: float):
+        word, order, ids, maps, line, n, place = columns
         by_rank = np.lexsort((ids, line, order, word))
         word, ids = word[by_rank], ids[by_rank]
         # Equal lines are neighbours only where ranks are equal, so copies are found by id.
@@ -242,8 +305,8 @@ class Lists:
         first = np.ones(len(ids), bool)
         first[by_id[copy]] = False
         at = by_rank[first]
-        self.word, self.ids, self.maps = word[first], ids[first], maps[at].view(np.uint64)
-        self.n, self.place = (span[at] >> 32).astype(np.int32), (span[at] & 0xFFFFFFFF).astype(np.int32)
+        self.at, self.word, self.ids, self.maps = at, word[first], ids[first], maps[at]
+        self.n, self.place, self.side = n[at], place[at], side[at]
         self.rest = self.n - self.place
         self.indexed = self.place < needed(self.n, t)[1]
         self.t = t
@@ -252,7 +315,8 @@ class Lists:
         """Which pairs can be similar, by their lengths, the places where they meet and the parity maps of their words."""
         n, m = self.n[a], self.n[b]
         overlap = np.ceil((n + m) * (self.t / (1 + self.t)) - 1e-6).astype(np.int32)
-        out = (np.minimum(self.rest[a], self.rest[b]) >= overlap) & (np.minimum(n, m) >= np.maximum(n, m) * self.t - 1e-6)
+        out = (self.side[a] == 0) | (self.side[a] != self.side[b])
+        out &= (np.minimum(self.rest[a], self.rest[b]) >= overlap) & (np.minimum(n, m) >= np.maximum(n, m) * self.t - 1e-6)
         left = np.flatnonzero(out)
         a, b, n, m = a[left], b[left], n[left], m[left]
         apart = np.bitwise_count(self.maps[a] ^ self.maps[b]).astype(np.int32)
@@ -280,35 +344,111 @@ class Lists:
         return np.concatenate(later), np.concatenate(earlier), self.ids[cut], self.word[cut]
 
 
-def candidate_pairs(entries: DataFrame, settings: Settings, limit: int | None, only: np.ndarray | None = None) -> DataFrame:
-    """(later, earlier, word): candidate pairs, and lines whose list goes on (earlier null, word set)."""
-    shared = entries.sparkSession.sparkContext.broadcast(only)
+_MET = f"later long, earlier long, word_cut long, bucket long, class int, sides binary, {_PACKED}"
+
+
+def _met(kind: int, rows: int, **columns: pa.Array) -> pa.RecordBatch:
+    """Rows of `candidate_pairs` with the given columns, all others null."""
+    types = {"later": pa.int64(), "earlier": pa.int64(), "word_cut": pa.int64(), "bucket": pa.int64(), "class": pa.int32(), "sides": pa.binary()} | {c: pa.binary() for c in _COLUMNS}
+    return pa.RecordBatch.from_arrays([pa.array(np.full(rows, kind, np.int8)), *(columns.get(c, pa.nulls(rows, t)) for c, t in types.items())], names=["kind", *types])
+
+
+PAIR, CUT, LIST, LONG = range(4)
 
-    def results(columns: list[np.ndarray], most: np.ndarray | None) -> pa.RecordBatch:
-        later, earlier, cut, word = Lists(columns, settings.threshold).pairs(limit, most, settings.bitmap_bits)
-        sides = [pa.array(earlier), pa.nulls(len(earlier), pa.int64())], [pa.nulls(len(cut), pa.int64()), pa.array(word)]
-        arrays = [pa.array(np.append(later, cut)), *(pa.concat_arrays([a, b]) for a, b in zip(*sides))]
-        return pa.RecordBatch.from_arrays(arrays, names=["later", "earlier", "word"])
+
+def _paired(columns: list[np.ndarray], sides: np.ndarray, settings: Settings) -> Iterator[pa.RecordBatch]:
+    """The first partners in these lists; lines cut short, and the whole lists that they were cut short in."""
+    lists = Lists(columns, sides, settings.threshold)
+    later, earlier, cut, word = lists.pairs(settings.candidates, None, settings.bitmap_bits)
+    if len(later):
+        yield _met(PAIR, len(later), later=pa.array(later), earlier=pa.array(earlier))
+    if len(cut):
+        yield _met(CUT, len(cut), later=pa.array(cut), word_cut=pa.array(word.view(np.int64)))
+        at = lists.at[np.isin(lists.word, word)]
+        whole = packed([c[at] for c in columns], np.array([0, len(at)]))
+        yield _met(LIST, 1, sides=pa.array([sides[at].tobytes()], pa.binary()), **dict(zip(_COLUMNS, whole)))
+
+
+def _by_class(bucket: int, columns: list[np.ndarray]) -> pa.RecordBatch:
+    """A part of a bucket too long for one task, cut by the ids of its lines."""
+    of = (mixed(columns[2].view(np.uint64)) % np.uint64(_CLASSES)).astype(np.int32)
+    order = np.argsort(of, kind="stable")
+    of = of[order]
+    first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    cut = packed([c[order] for c in columns], np.append(first, len(of)))
+    return _met(LONG, len(first), bucket=pa.array(np.full(len(first), bucket, np.int64)), **{"class": pa.array(of[first])}, **dict(zip(_COLUMNS, cut)))
+
+
+def candidate_pairs(entries: DataFrame, settings: Settings) -> DataFrame:
+    """Rows of four kinds: candidate pairs, lines cut short in a list, those lists, and parts of buckets too long for a task.
+
+    `entries` hold a bucket, and for cells of long buckets the block of the row and the two blocks that meet there.
+    """
+    cells = "low" in entries.columns
+    keys = ["bucket", "low", "high"] if cells else ["bucket"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, size, long = None, [], 0, False
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held:
+                columns = [np.concatenate(c) for c in zip(*(part for part, _ in held))]
+                if long:
+                    yield _by_class(now[0], columns)
+                else:
+                    yield from _paired(columns, np.concatenate([np.full(len(part[0]), side, np.int8) for part, side in held]), settings)
+
+        for batch in batches:
+            names = list(zip(*(batch.column(k).to_pylist() for k in keys)))
+            blocks = batch.column("block").to_pylist() if cells else None
+            columns = [batch.column(c) for c in _COLUMNS]
+            for i, name in enumerate(names):
+                if name != now:
+                    yield from done()
+                    now, held, size, long = name, [], 0, False
+                part = unpacked(columns, i, i + 1)
+                side = 0 if not cells or name[1] == name[2] else 1 if blocks[i] == name[1] else 2
+                held.append((part, side))
+                size += len(part[0])
+                if size > settings.list_entries and not cells:
+                    long = True
+                    yield from done()
+                    held, size = [], 0
+        yield from done()
+
+    return entries.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, f"kind byte, {_MET}")
+
+
+def cells_of(parts: DataFrame, settings: Settings) -> DataFrame:
+    """Long buckets cut into blocks of lines by id, each block sent to the cells where it meets itself and the others.
+
+    Equal lines share a block, so the earliest of them is known in every cell. A cell is about as large as a whole list
+    may be, and the number of blocks follows the bucket's size.
+    """
+    sizes = parts.groupBy("bucket").agg(F.sum(F.octet_length("word") / 8).alias("entries"))
+    blocks = F.least(F.lit(_CLASSES), F.ceil(F.col("entries") * 2 / settings.list_entries)).cast("int")
+    sized = parts.join(sizes.select("bucket", blocks.alias("blocks")), "bucket")
+    own = sized.withColumn("block", F.floor(F.col("class") * F.col("blocks") / _CLASSES).cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return met.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", *_COLUMNS)
+
+
+def more_pairs(lists: DataFrame, words: np.ndarray, ids: np.ndarray, settings: Settings) -> DataFrame:
+    """(later, earlier): all candidates of the lines in the bitmap `ids` in the stored lists of the words in the other one."""
+    shared = lists.sparkSession.sparkContext.broadcast((words, ids))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        most = shared.value
-        held: list[list[np.ndarray]] = []  # what was read of the list that may go on
+        wanted, open_ = shared.value
         for batch in batches:
-            columns = [c.to_numpy() for c in batch.columns]
-            word = columns[0]
-            if not len(word):
-                continue
-            last = int(np.searchsorted(word, word[-1]))
-            if last or (held and held[-1][0][-1] != word[-1]):
-                done = [*held, [c[:last] for c in columns]]
-                yield results([np.concatenate(c) for c in zip(*done)], most)
-                held = []
-            held.append([c[last:] for c in columns])
-        if held:
-            yield results([np.concatenate(c) for c in zip(*held)], most)
-
-    lists = entries.repartition("word").sortWithinPartitions("word")
-    return lists.mapInArrow(run, "later long, earlier long, word long")
+            parts, sides = [batch.column(c) for c in _COLUMNS], batch.column("sides")
+            for i in range(batch.num_rows):
+                columns, side = unpacked(parts, i, i + 1), np.frombuffer(sides[i].as_py(), np.int8)
+                keep = has(wanted, columns[0], settings.bitmap_bits)
+                if keep.any():
+                    later, earlier, _, _ = Lists([c[keep] for c in columns], side[keep], settings.threshold).pairs(None, open_, settings.bitmap_bits)
+                    yield pa.RecordBatch.from_arrays([pa.array(later), pa.array(earlier)], names=["later", "earlier"])
+
+    return lists.mapInArrow(run, "later long, earlier long")
 
 
 def line_sets(texts: DataFrame, listed: DataFrame) -> DataFrame:
@@ -353,8 +493,11 @@ def verified(pairs: DataFrame, texts: DataFrame, kinds: DataFrame, threshold: fl
 def similar_lines(texts: DataFrame, kinds: DataFrame, settings: Settings) -> DataFrame:
     """(id, twin) of the different lines that an earlier one is similar to; `kinds` says where each id stands first."""
     table = rarity_table(texts, settings.table_bits)
-    met = stored(candidate_pairs(prefix_entries(texts, table, settings), settings, settings.candidates), "line-pairs")
-    counted = met.filter("earlier is not null").groupBy("later", "earlier").agg(F.count(F.lit(1)).alias("lists"))
+    met = stored(candidate_pairs(prefix_entries(texts, table, settings), settings), "line-pairs")
+    long = met.filter(F.col("kind") == LONG)
+    if not long.isEmpty():
+        met = met.unionByName(stored(candidate_pairs(cells_of(long, settings), settings), "long-line-pairs"))
+    counted = met.filter(F.col("kind") == PAIR).groupBy("later", "earlier").agg(F.count(F.lit(1)).alias("lists"))
     pairs = stored(plausible(counted, kinds, settings.threshold), "first-pairs")
     # One similar line is enough: each line tries the partner it met in most lists, then, if need be, the others.
     likely = pairs.groupBy("later").agg(F.max_by("earlier", F.struct("lists", "earlier")).alias("earlier"))
@@ -363,11 +506,12 @@ def similar_lines(texts: DataFrame, kinds: DataFrame, settings: Settings) -> Dat
     others = pairs.select("later", "earlier").join(likely, ["later", "earlier"], "left_anti")
     others = stored(others.join(similar.select(F.col("id").alias("later")), "later", "left_anti"), "other-pairs")
     similar = stored(similar.unionByName(verified(others, texts, kinds, settings.threshold)), "similar-lines", result=True)
-    left = stored(met.filter("word is not null").select(F.col("later").alias("id"), "word").join(similar, "id", "left_anti"), "cut-short")
+    left = stored(met.filter(F.col("kind") == CUT).select(F.col("later").alias("id"), F.col("word_cut").alias("word")).distinct().join(similar, "id", "left_anti"), "cut-short")
     if left.isEmpty():
         return similar
     words, ids = (bitmap(left.select(c), settings.bitmap_bits) for c in ("word", "id"))
-    rest = candidate_pairs(prefix_entries(texts, table, settings, words), settings, None, ids).select("later", "earlier").distinct()
+    lists = met.filter(F.col("kind") == LIST).select("sides", *_COLUMNS)
+    rest = more_pairs(lists, words, ids, settings).distinct()
     rest = rest.join(left.select(F.col("id").alias("later")).distinct(), "later", "left_semi").join(pairs, ["later", "earlier"], "left_anti")
     rest = stored(plausible(rest, kinds, settings.threshold), "second-pairs")
     return similar.unionByName(verified(rest, texts, kinds, settings.threshold))
