@@ -1,10 +1,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 
 from ticketscope.operators.metrics import class_metrics, classification_report, confusion_table
-from ticketscope.operators.sampling import bernoulli_sample, hash_sample, hash_split, sample_exactly, sample_to_size
+from ticketscope.operators.sampling import bernoulli_sample, hash_sample, hash_split, parts_for, sample_exactly, sample_to_size, spread
 
 
 @pytest.fixture(scope="module")
@@ -78,3 +79,18 @@ def test_sample_exactly(spark):
     same = spark.range(100).selectExpr("'one' as key", "id")
     assert sample_exactly(same, "key", 30).count() == 30 and sample_exactly(same.unionByName(df), "key", 4000).count() == 4000
     assert sample_exactly(df.limit(0), "key", 10).count() == 0
+
+
+def test_parts_grow_with_the_rows():
+    assert [parts_for(n) for n in (0, 10_000, 10_001, 75_000, 1_500_000, 9_000_000, 27_000_000)] == [0, 1, 2, 8, 16, 90, 270]
+    assert all(n / parts_for(n) <= 100_000 for n in (10**5, 10**6, 10**7, 10**8))
+
+
+def test_a_spread_table_keeps_its_rows_and_no_part_holds_many_more_than_others(spark):
+    rows = spark.range(200_000).selectExpr("concat('K-', id) as key", "id")
+    dealt = spread(rows, "key")
+    sizes = [r["n"] for r in dealt.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 16 and sum(sizes) == 200_000 and max(sizes) < 14_000
+    assert dealt.agg(F.sum("id")).first()[0] == sum(range(200_000))
+    few = spark.createDataFrame([("K-1", 1), ("K-1", 2), (None, 3)], "key string, id int")
+    assert sorted(r["id"] for r in spread(few, "key").collect()) == [1, 2, 3]
