@@ -243,6 +243,22 @@ def test_whole_analysis(spark, tmp_path):
     analysis.release()
 
 
+def test_analysis_holds_no_parts_of_vectors_and_no_training_rows(spark, features):
+    """Clusters come after the models, when only the bugs and their vectors may take up memory."""
+    issues = features.withColumns({"issuetype_name": F.lit("Bug"), "description": F.col("text_content")}).select(
+        "key", "issuetype_name", "priority_name", "status_name", "summary", "description",
+        *[F.lit("2020-01-01").cast("timestamp_ntz").alias(name) for name in ("created", "updated", "resolutiondate")],
+    )
+    changes = features.filter("was_reopened").selectExpr(
+        "key as id", "key", "timestamp_ntz '2020-01-02' as created", "'status' as field", "'Closed' as fromString", "'Reopened' as toString"
+    )
+    analysis = run_bug_analysis(spark, issues, changes, models=["LogisticRegression"], ks=[2])
+    assert "features" in analysis.clustered.columns
+    assert not {"text_features", "project_vec", "project_idx"} & set(analysis.clustered.columns)
+    assert len(analysis.held) == 2
+    analysis.release()
+
+
 @pytest.fixture(scope="module")
 def sparse(spark):
     """Sparse, dense and empty vectors of 40 slots in three loose groups."""
