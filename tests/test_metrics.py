@@ -82,7 +82,7 @@ def test_sample_exactly(spark):
 
 
 def test_parts_grow_with_the_rows():
-    assert [parts_for(n) for n in (0, 10_000, 10_001, 75_000, 1_500_000, 9_000_000, 27_000_000)] == [0, 1, 2, 8, 16, 90, 270]
+    assert [parts_for(n) for n in (0, 75_000, 100_000, 100_001, 1_500_000, 9_000_000, 27_000_000)] == [1, 1, 1, 16, 16, 90, 270]
     assert all(n / parts_for(n) <= 100_000 for n in (10**5, 10**6, 10**7, 10**8))
 
 
