@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures import documents, none_of, odd_documents, rows_of
 from pyspark.sql import functions as F
@@ -138,3 +139,21 @@ def test_a_filter_larger_than_its_room_is_sent_in_groups_and_loses_nothing(spark
     assert [r[:5] for r in actual] == [r[:5] for r in expected] and len(actual) == docs.count()
     for column in (5, 6):
         assert sorted(r[column] for r in actual) == pytest.approx(sorted(r[column] for r in expected))
+
+
+def test_counts_leave_a_worker_one_kind_at_a_time():
+    """Tokens and pairs in one batch would both stand in memory, with all their copies."""
+    kinds = []
+
+    class Train:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            texts = pa.RecordBatch.from_arrays([pa.array(["a b c a", None, "", "b a b"] * 5)], names=["text"])
+            kinds.extend(batch["kind"].to_pylist() for batch in run(iter([texts, texts])))
+            raise InterruptedError
+
+    with pytest.raises(InterruptedError):
+        lm.counted(Train(), lm.Settings(pages=16, flush_tokens=30))
+    assert len(kinds) == 4 and [set(k) for k in kinds] == [{0}, {1}] * 2

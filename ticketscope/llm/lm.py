@@ -168,9 +168,15 @@ def counted(train: DataFrame, settings: Settings) -> DataFrame:
         singles, doubles, n = [], [], 0
 
         def flushed() -> Iterator[pa.RecordBatch]:
-            rows = [r for kind, held in enumerate((singles, doubles)) for r in _by_page(kind, np.concatenate(held), settings.pages)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), shape)], schema=shape)
-            singles.clear(), doubles.clear()
+            for kind, held in enumerate((singles, doubles)):  # one kind at a time: a worker holds one kind's copies
+                keys = np.concatenate(held)
+                held.clear()
+                rows = list(_by_page(kind, keys, settings.pages))
+                del keys
+                columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), shape)]
+                del rows
+                yield pa.RecordBatch.from_arrays(columns, schema=shape)
+                del columns
 
         for batch in batches:
             data, bounds = text_bytes(batch.column(0))
