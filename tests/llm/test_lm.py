@@ -157,3 +157,13 @@ def test_counts_leave_a_worker_one_kind_at_a_time():
     with pytest.raises(InterruptedError):
         lm.counted(Train(), lm.Settings(pages=16, flush_tokens=30))
     assert len(kinds) == 4 and [set(k) for k in kinds] == [{0}, {1}] * 2
+
+
+def test_levels_of_many_groups_take_little_room(spark, monkeypatch):
+    """Each group of pages shows few of the levels; a pass does not keep a byte for every token that it does not know."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 31 + k * k) % 977}" for k in range(4000))) for i in range(12)], "doc_id long, text string")
+    kept, real = [], lm.stored
+    monkeypatch.setattr(lm, "stored", lambda df, name: kept.append((name, real(df, name))) or kept[-1][1])
+    lm.scores(docs, lm.Settings(pages=16, filter_bytes=2000)).count()
+    sizes = [table.agg(F.sum(F.octet_length("levels"))).first()[0] for name, table in kept if name == "lm-levels"]
+    assert len(sizes) > 8 and sum(sizes) < 2 * 12 * 4001

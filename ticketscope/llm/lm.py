@@ -28,6 +28,7 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -316,6 +317,8 @@ def probed_apart(rows: DataFrame, pages: DataFrame, groups: list, smooth: Smooth
         shared = context.broadcast(gathered(pages, group, settings))
 
         def probe(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            # A group shows few of all levels, the more groups the fewer, and zeros take no room once compressed.
+            smaller = zstandard.ZstdCompressor(level=1).compress
             singles, doubles = (Filter(data, sizes, settings) for data, sizes in shared.value)
             for batch in batches:
                 data, bounds = text_bytes(batch.column(1))
@@ -327,7 +330,7 @@ def probed_apart(rows: DataFrame, pages: DataFrame, groups: list, smooth: Smooth
                         keys, place = np.unique(wanted, return_inverse=True)
                         both.append(held.level(keys).astype(np.uint8)[place])
                     ends = np.cumsum(per_text)
-                    out += [b"".join(x[e - n : e].tobytes() for x in both) for e, n in zip(ends, per_text)]
+                    out += [smaller(b"".join(x[e - n : e].tobytes() for x in both)) for e, n in zip(ends, per_text)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["key", "levels"])
 
         found_levels.append(stored(keyed.mapInArrow(probe, "key binary, levels binary"), "lm-levels"))
@@ -339,10 +342,11 @@ def probed_apart(rows: DataFrame, pages: DataFrame, groups: list, smooth: Smooth
     together = together.groupBy("key").agg(F.collect_set("levels").alias("levels"))
 
     def combine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             out = []
             for entries in batch.column(1).to_pylist():
-                both = np.maximum.reduce([np.frombuffer(x, np.uint8) for x in entries]).astype(np.int64)
+                both = np.maximum.reduce([np.frombuffer(whole(x), np.uint8) for x in entries]).astype(np.int64)
                 out.append(float(np.log10(smooth.of_texts(*smooth.counts(*np.split(both, 2)))).sum()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["key", "score"])
 
