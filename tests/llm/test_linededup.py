@@ -125,3 +125,35 @@ def test_short_lines_that_repeat_go(spark):
     docs = spark.createDataFrame([(1, "Share\none two three four\nRead more"), (2, "read  more\nfive six\nshare\n\nfive"), (3, "a b c\na b c d\nfour one two three five")], "doc_id long, text string")
     assert compared(docs) == 3
     assert {r.doc_id: r.text for r in linededup.deduplicated(docs).collect()} == {1: "Share\none two three four\nRead more", 2: "five six\n\nfive", 3: "a b c\na b c d"}
+
+
+def test_earliest_of_equal_lines():
+    rng = np.random.default_rng(4)
+    columns = [rng.integers(0, 3, 300).astype(kind) for kind in linededup._LINES.values()]
+    first, again = linededup.earliest(columns)
+    rows = [tuple(int(c[i]) for c in columns[:6]) for i in range(300)]
+    least = {}
+    for row in rows:
+        least[row[4:]] = min(least.get(row[4:], row), row)
+    assert sorted(rows[i] for i in np.flatnonzero(first)) == sorted(least.values())
+    assert again.tolist() == [row != least[row[4:]] and row[1:4] != least[row[4:]][1:4] for row in rows]
+    assert [x.tolist() for x in linededup.earliest([c[:0] for c in columns])] == [[], []]
+
+
+def test_entries_stand_by_word_and_rank():
+    rng = np.random.default_rng(5)
+    word, line, ids = (rng.integers(0, n, 400) for n in (90, 4, 50))
+    for order in (rng.integers(0, 5, 400), rng.integers(-(1 << 62), 1 << 62, 400), np.zeros(400, np.int64)):
+        expected = [i for i in np.lexsort((ids, line, order, word)) if (word == word[i]).sum() > 1]
+        by_rank = linededup.ranked(word.astype(np.uint64), order, line.astype(np.int32), ids)
+        assert [(word[i], order[i], line[i], ids[i]) for i in by_rank] == [(word[i], order[i], line[i], ids[i]) for i in expected]
+
+
+def test_a_line_in_most_documents_leaves_a_task_once(spark, monkeypatch):
+    """Copies meet before they are sent, in stretches shorter than the table and over several tasks."""
+    docs = spark.createDataFrame([(i, f"one two three\nfour five w{i % 40} six seven\nOne Two three") for i in [*range(150), *range(50)]], "doc_id long, text string").repartition(3)
+    texts = linededup.texts_of(docs, "doc_id", "text")
+    packed = linededup.lines_of(texts, 1, 16).filter(F.col("kind") == linededup.LINES)
+    assert packed.agg(F.sum(F.octet_length("id") / 8)).first()[0] <= 3 * 41
+    monkeypatch.setattr(linededup, "_FLUSH", 50)
+    assert compared(docs) > 400

@@ -4,7 +4,9 @@ A line is the set of its lower-cased words. It is removed when an earlier line h
 `Settings.threshold` with it; lines of fewer than `min_words` different words are left alone, by default only those
 without words. Lines too short to be similar without being equal have no entries in the lists. Lines are in the order of
 document id (nulls last; ids that are no integers by hash), line number, then digest. Earlier lines count whether or not
-they are removed themselves. Equal sets are one entry at the place of the earliest, so copies never pair up.
+they are removed themselves. Equal sets are one entry at the place of the earliest, so copies never pair up: one pass over the
+texts packs the lines by their digests and counts the words, and the copies of a line that a task holds at once leave it
+as one. A line that repeats an earlier one goes whatever becomes of that one, so only first lines are looked up later.
 
 Words are ordered by rarity (quantised counts of hashed words in a table of fixed size, ties by hash): of n words the
 first n - ceil(t n) + 1 are looked up among the first n - ceil(2 t n / (1 + t)) + 1 of the shorter line. Pairs that meet
@@ -58,15 +60,21 @@ PAIR_MAPS = 4
 _MAPS = [f"m{k}" for k in range(PAIR_MAPS)]
 _WORD_BITS = np.uint64(20)  # the lowest bits of a word's hash give way to the number of its line, for sorting only
 _TWIN = np.uint64(0xC2B2AE3D27D4EB4F)
+_CACHED = 1 << 16  # bytes of text that are hashed at once, so that what is made of them stays in the processor's cache
 _LEVELS = 6  # levels of the rarity table for each doubling of a count
 _FAN_IN = 64  # partial counts that are merged at once
+_PAGE_BITS = 8  # of the rarity table
+_CLASS_BITS = 10  # leading bits of a line's id by which its copies meet
 
 
 def word_hashes(data: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts and where they begin."""
-    low = LOWER[data]
-    starts, ends = word_bounds(low, own)
-    return range_hashes(prefix_hashes(low), starts, ends), starts
+    hashes, starts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for a, b in chunks(own, _CACHED):
+        low = LOWER[data[own[a] : own[b]]]
+        begin, end = word_bounds(low, own[a : b + 1] - own[a])
+        hashes.append(range_hashes(prefix_hashes(low), begin, end)), starts.append(begin + own[a])
+    return np.concatenate(hashes), np.concatenate(starts)
 
 
 def word_sets(hashes: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,25 +98,46 @@ def word_sets(hashes: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.nda
     return h[once], number[d[once]]
 
 
+class WordCounts:
+    """How often words occur, by the leading `bits` bits of their hashes."""
+
+    def __init__(self, bits: int):
+        self.bits, self.total = bits, np.zeros(1 << bits, np.uint32)
+
+    def add(self, hashes: np.ndarray) -> None:
+        slots = np.sort((hashes >> np.uint64(64 - self.bits)).astype(np.int64))
+        first = np.flatnonzero(np.append(True, slots[1:] != slots[:-1])[: len(slots)])
+        self.total[slots[first]] += np.diff(np.append(first, len(slots))).astype(np.uint32)
+
+    def pages(self) -> Iterator[tuple[int, bytes, bytes]]:
+        """Number, slots and counts of every page that is not empty."""
+        page_bits = self.bits - _PAGE_BITS
+        for page in range(1 << _PAGE_BITS):
+            part = self.total[page << page_bits : (page + 1) << page_bits]
+            at = np.flatnonzero(part)
+            if len(at):
+                yield page, at.astype(np.uint32).tobytes(), part[at].astype(np.uint64).tobytes()
+
+
 def rarity_table(texts: DataFrame, bits: int) -> np.ndarray:
     """Log-quantised counts of all words by the leading `bits` bits of their hashes: 2**bits bytes."""
-    pages, page_bits = 1 << 8, bits - 8
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.uint32)
+        counts = WordCounts(bits)
         for batch in batches:
             data, bounds = text_bytes(batch.column(0))
             for i, j in chunks(bounds):
-                hashes, _ = word_hashes(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
-                slots = np.sort((hashes >> np.uint64(64 - bits)).astype(np.int64))
-                first = np.flatnonzero(np.append(True, slots[1:] != slots[:-1])[: len(slots)])
-                total[slots[first]] += np.diff(np.append(first, len(slots))).astype(np.uint32)
-        for page in range(pages):
-            part = total[page << page_bits : (page + 1) << page_bits]
-            at = np.flatnonzero(part)
-            if len(at):
-                columns = [pa.array([page], pa.int32()), pa.array([at.astype(np.uint32).tobytes()], pa.binary()), pa.array([part[at].astype(np.uint64).tobytes()], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["page", "slots", "counts"])
+                counts.add(word_hashes(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])[0])
+        for row in counts.pages():
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.binary(), pa.binary()))], names=["page", "slots", "counts"])
+
+    counted = texts.select("text").mapInArrow(count, "page int, slots binary, counts binary")
+    return merged_rarity(stored(counted.withColumn("part", F.spark_partition_id()), "rarity"), bits)
+
+
+def merged_rarity(parts: DataFrame, bits: int) -> np.ndarray:
+    """The table of all stored (page, slots, counts, part), merged as a tree."""
+    pages, page_bits = 1 << _PAGE_BITS, bits - _PAGE_BITS
 
     def summed(rows: pd.DataFrame) -> np.ndarray:
         total = np.zeros(1 << page_bits, np.uint64)
@@ -126,7 +155,6 @@ def rarity_table(texts: DataFrame, bits: int) -> np.ndarray:
         return pd.DataFrame({"page": rows["page"].iloc[:1], "levels": [levels.tobytes()]})
 
     shape = "page int, slots binary, counts binary"
-    parts = stored(texts.select("text").mapInArrow(count, shape).withColumn("part", F.spark_partition_id()), "rarity")
     while (parts.agg(F.max("part")).first()[0] or 0) >= _FAN_IN:
         parts = stored(parts.groupBy("page", F.floor(F.col("part") / _FAN_IN)).applyInPandas(merge, f"{shape}, part int"), "rarity")
     out = np.zeros((pages, 1 << page_bits), np.uint8)
@@ -170,28 +198,6 @@ def sets_of_lines(data: np.ndarray, own: np.ndarray, min_words: int) -> tuple[np
     return words, at, first, n, text, number, digest, twin
 
 
-def lines_of(texts: DataFrame, min_words: int) -> DataFrame:
-    """(key, order, line, id, twin, n, maps): every line with enough words; id and twin are digests of its set of words.
-
-    The maps are `PAIR_MAPS` parity maps of 64 bits, each of the words that fall to it: finer than the one in the lists.
-    """
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, bounds = text_bytes(batch.column(2))
-            for i, j in chunks(bounds):
-                words, _, first, n, text, number, digest, twin = sets_of_lines(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], min_words)
-                if not len(first):
-                    continue
-                bit, map_of = np.uint64(1) << ((words >> _WORD_BITS) & np.uint64(63)), (words >> np.uint64(26)) % np.uint64(PAIR_MAPS)
-                maps = [np.bitwise_xor.reduceat(np.where(map_of == k, bit, np.uint64(0)), first).view(np.int64) for k in range(PAIR_MAPS)]
-                at = pa.array(text + i)
-                columns = [batch.column(0).take(at), batch.column(1).take(at), *map(pa.array, (number.astype(np.int32), digest.view(np.int64), twin.view(np.int64), n.astype(np.int32), *maps))]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "order", "line", "id", "twin", "n", *_MAPS])
-
-    return texts.mapInArrow(run, "key binary, order long, line int, id long, twin long, n int, " + ", ".join(f"{m} long" for m in _MAPS))
-
-
 def plausible(pairs: DataFrame, kinds: DataFrame, threshold: float) -> DataFrame:
     """The pairs that the finer parity maps of both lines do not rule out."""
     side = lambda name: kinds.select(F.col("id").alias(name), F.struct("n", *_MAPS).alias(f"__{name}"))
@@ -208,25 +214,138 @@ _FLUSH = 1 << 17  # entries that a task gathers before it packs them
 _CLASSES = 1 << 12  # finest parts, by id, into which a long list can be cut
 
 
-def packed(columns: list[np.ndarray], edges: np.ndarray) -> list[pa.Array]:
+def packed(columns: list[np.ndarray], edges: np.ndarray, kinds: dict = _COLUMNS) -> list[pa.Array]:
     """One binary value for each column and stretch of entries between neighbouring edges."""
     out = []
-    for values, kind in zip(columns, _COLUMNS.values()):
+    for values, kind in zip(columns, kinds.values()):
         values = np.ascontiguousarray(values, kind)
         offsets = (edges * values.itemsize).astype(np.int32)
         out.append(pa.BinaryArray.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)]))
     return out
 
 
-def unpacked(columns: list[pa.Array], first: int, last: int) -> list[np.ndarray]:
-    """The entries of rows `first` to `last`."""
+def unpacked(columns: list, first: int, last: int, kinds: dict = _COLUMNS) -> list[np.ndarray]:
+    """The entries of rows `first` to `last`; columns are arrays, or what `text_bytes` makes of them once for many rows."""
     out = []
-    for column, kind in zip(columns, _COLUMNS.values()):
-        data, bounds = text_bytes(column)
+    for column, kind in zip(columns, kinds.values()):
+        data, bounds = column if isinstance(column, tuple) else text_bytes(column)
         out.append(data[bounds[first] : bounds[last]].view(kind))
     return out
 
 
+LINES, REPEAT, WORDS = range(3)
+_LINES = {"order": np.int64, "number": np.int32, "high": np.uint64, "low": np.uint64, "id": np.int64, "twin": np.int64, "n": np.int32, **{m: np.int64 for m in _MAPS}}
+
+
+def earliest(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Which lines are the first of their set of words, and which others repeat one from another place."""
+    order, number, high, low, ids, twin = columns[:6]
+    first, again = np.ones(len(ids), bool), np.zeros(len(ids), bool)
+    by_id = np.argsort(ids)
+    tied = ids[by_id][1:] == ids[by_id][:-1]
+    among = by_id[np.append(tied, False) | np.append(False, tied)] if len(ids) else by_id
+    if len(among):
+        among = among[np.lexsort([c[among] for c in (low, high, number, order, twin, ids)])]
+        new = np.append(True, (ids[among][1:] != ids[among][:-1]) | (twin[among][1:] != twin[among][:-1]))
+        lead = among[new][np.cumsum(new) - 1]
+        first[among[~new]] = False
+        again[among] = (number[among] != number[lead]) | (high[among] != high[lead]) | (low[among] != low[lead])
+    return first, again
+
+
+def _halves(keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 16 bytes of each key as two numbers in the same order."""
+    data, bounds = text_bytes(keys)
+    both = data[bounds[0] : bounds[-1]].view(">u8").astype(np.uint64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
+def _keys(high: np.ndarray, low: np.ndarray) -> pa.Array:
+    data = np.stack([high, low], axis=1).astype(">u8")
+    offsets = np.arange(0, 16 * len(high) + 1, 16, dtype=np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(high), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def lines_of(texts: DataFrame, min_words: int, bits: int) -> DataFrame:
+    """One pass over all texts. Rows of three kinds: packed lines, lines that repeat one of them, counts of words.
+
+    Lines are packed by leading bits of `id`; id and twin are digests of a line's set of words. Of equal lines that a task
+    holds at once only the first is packed, so a line that stands everywhere is one entry for each of these stretches.
+    The maps are `PAIR_MAPS` parity maps of 64 bits, each of the words that fall to it: finer than the one in the lists.
+    """
+    types = {"class": pa.int32(), "key": pa.binary(), "line": pa.int32(), "slots": pa.binary(), "counts": pa.binary(), **{c: pa.binary() for c in _LINES}}
+
+    def row(kind: int, rows: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(rows, kind, np.int8)), *(columns.get(c, pa.nulls(rows, t)) for c, t in types.items())], names=["kind", *types])
+
+    def flushed(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        columns = [np.concatenate(c) for c in zip(*held)]
+        first, again = earliest(columns)
+        number, high, low = (c[again] for c in columns[1:4])
+        yield row(REPEAT, len(number), {"key": _keys(high, low), "line": pa.array(number)})
+        of = (columns[4].view(np.uint64) >> np.uint64(64 - _CLASS_BITS)).astype(np.int32)
+        by_class = np.flatnonzero(first)[np.argsort(of[first], kind="stable")]
+        of = of[by_class]
+        new = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        parts = packed([c[by_class] for c in columns], np.append(new, len(of)), _LINES)
+        yield row(LINES, len(new), {"class": pa.array(of[new]), **dict(zip(_LINES, parts))})
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, held, size = WordCounts(bits), [], 0
+        for batch in batches:
+            data, bounds = text_bytes(batch.column(2))
+            high, low = _halves(batch.column(0))
+            orders = batch.column(1).to_numpy()
+            for i, j in chunks(bounds):
+                words, _, first, n, text, number, digest, twin = sets_of_lines(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], min_words)
+                if not len(first):
+                    continue
+                counts.add(words)
+                bit, map_of = np.uint64(1) << ((words >> _WORD_BITS) & np.uint64(63)), (words >> np.uint64(26)) % np.uint64(PAIR_MAPS)
+                maps = [np.bitwise_xor.reduceat(np.where(map_of == k, bit, np.uint64(0)), first).view(np.int64) for k in range(PAIR_MAPS)]
+                at = text + i
+                held.append([orders[at], number.astype(np.int32), high[at], low[at], digest.view(np.int64), twin.view(np.int64), n.astype(np.int32), *maps])
+                size += len(first)
+                if size >= _FLUSH:
+                    yield from flushed(held)
+                    held, size = [], 0
+        if size:
+            yield from flushed(held)
+        for page, slots, found in counts.pages():
+            yield row(WORDS, 1, {"class": pa.array([page], pa.int32()), "slots": pa.array([slots], pa.binary()), "counts": pa.array([found], pa.binary())})
+
+    shape = "kind byte, class int, key binary, line int, slots binary, counts binary, " + ", ".join(f"{c} binary" for c in _LINES)
+    return texts.mapInArrow(run, shape).withColumn("part", F.spark_partition_id())
+
+
+def kinds_of(lines: DataFrame) -> DataFrame:
+    """(first, key, line, order, id, twin, n, maps): every set of words at its first line, and packed lines that repeat it."""
+    names = ["first", "key", "line", "order", *list(_LINES)[4:]]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held:
+                columns = [np.concatenate(c) for c in zip(*held)]
+                first, again = earliest(columns)
+                order, number, high, low, *rest = (c[first | again] for c in columns)
+                arrays = [pa.array(first[first | again]), _keys(high, low), *map(pa.array, (number, order, *rest))]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+        for batch in batches:
+            parts = [text_bytes(batch.column(c)) for c in _LINES]
+            for i, of in enumerate(batch.column("class").to_pylist()):
+                if of != now:
+                    yield from done()
+                    now, held = of, []
+                held.append(unpacked(parts, i, i + 1, _LINES))
+        yield from done()
+
+    dealt = lines.filter(F.col("kind") == LINES).select("class", *_LINES).repartition("class").sortWithinPartitions("class")
+    return dealt.mapInArrow(run, "first boolean, key binary, line int, order long, id long, twin long, n int, " + ", ".join(f"{m} long" for m in _MAPS))
+
+
 def bucket_bits(table: np.ndarray, threshold: float) -> int:
     """Bits of a word's hash that name its bucket, so that buckets stay at some 2**18 entries however large the input."""
     counts = np.bincount(table, minlength=256)
@@ -255,8 +374,8 @@ def prefix_entries(texts: DataFrame, table: np.ndarray, settings: Settings) -> D
         levels = shared.value
         held, size = [], 0
         for batch in batches:
-            data, bounds = text_bytes(batch.column(2))
-            orders = batch.column(1).to_numpy()
+            data, bounds = text_bytes(batch.column(1))
+            orders = batch.column(0).to_numpy()
             for i, j in chunks(bounds):
                 words, _, first, n, text, number, digest, twin = sets_of_lines(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], settings.min_words)
                 if not len(first):
@@ -286,7 +405,28 @@ def prefix_entries(texts: DataFrame, table: np.ndarray, settings: Settings) -> D
         if size:
             yield rows(held)
 
-    return texts.mapInArrow(run, f"bucket long, {_PACKED}")
+    return texts.select("order", "text").mapInArrow(run, f"bucket long, {_PACKED}")
+
+
+def ranked(word: np.ndarray, order: np.ndarray, line: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The entries of words that several lines hold, ordered by word, then order, line and id."""
+    by_word = np.argsort(word)
+    new = np.append(True, word[by_word][1:] != word[by_word][:-1])[: len(word)]
+    by_word = by_word[~(new & np.append(new[1:], True)[: len(word)])]
+    if not len(by_word):
+        return by_word
+    word, order, line, ids = word[by_word], order[by_word], line[by_word], ids[by_word]
+    if int(order.max()) - int(order.min()) >= 1 << 40 or int(line.max()) >= 1 << 23:
+        return by_word[np.lexsort((ids, line, order, word))]
+    place = ((order - order.min()).astype(np.uint64) << np.uint64(23)) | line.astype(np.uint64)
+    place = np.unique(place, return_inverse=True)[1].astype(np.uint64)
+    group = np.cumsum(np.append(True, word[1:] != word[:-1])).astype(np.uint64)
+    both = (group << np.uint64(32)) | place
+    by_rank = np.argsort(both)
+    tied = both[by_rank][1:] == both[by_rank][:-1]
+    if (ids[by_rank][1:][tied] != ids[by_rank][:-1][tied]).any():  # lines of documents that share an id
+        by_rank = np.lexsort((ids, both))
+    return by_word[by_rank]
 
 
 class Lists:
@@ -297,11 +437,13 @@ class Lists:
 
     def __init__(self, columns: list[np.ndarray], side: np.ndarray, t: float):
         word, order, ids, maps, line, n, place = columns
-        by_rank = np.lexsort((ids, line, order, word))
+        by_rank = ranked(word, order, line, ids)
         word, ids = word[by_rank], ids[by_rank]
-        # Equal lines are neighbours only where ranks are equal, so copies are found by id.
-        by_id = np.lexsort((np.arange(len(ids)), ids, word))
-        copy = np.append(False, (ids[by_id][1:] == ids[by_id][:-1]) & (word[by_id][1:] == word[by_id][:-1]))
+        # Equal lines are neighbours only where ranks are equal, so copies are found by id: all of one id in their order.
+        number = np.unique(ids, return_inverse=True)[1].astype(np.uint64)
+        by_id = np.sort((number << np.uint64(32)) | np.arange(len(ids), dtype=np.uint64))
+        by_id, number = (by_id & np.uint64(0xFFFFFFFF)).astype(np.int64), by_id >> np.uint64(32)
+        copy = np.append(False, (number[1:] == number[:-1]) & (word[by_id][1:] == word[by_id][:-1]))[: len(ids)]
         first = np.ones(len(ids), bool)
         first[by_id[copy]] = False
         at = by_rank[first]
@@ -401,7 +543,7 @@ def candidate_pairs(entries: DataFrame, settings: Settings) -> DataFrame:
         for batch in batches:
             names = list(zip(*(batch.column(k).to_pylist() for k in keys)))
             blocks = batch.column("block").to_pylist() if cells else None
-            columns = [batch.column(c) for c in _COLUMNS]
+            columns = [text_bytes(batch.column(c)) for c in _COLUMNS]
             for i, name in enumerate(names):
                 if name != now:
                     yield from done()
@@ -440,7 +582,7 @@ def more_pairs(lists: DataFrame, words: np.ndarray, ids: np.ndarray, settings: S
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, open_ = shared.value
         for batch in batches:
-            parts, sides = [batch.column(c) for c in _COLUMNS], batch.column("sides")
+            parts, sides = [text_bytes(batch.column(c)) for c in _COLUMNS], batch.column("sides")
             for i in range(batch.num_rows):
                 columns, side = unpacked(parts, i, i + 1), np.frombuffer(sides[i].as_py(), np.int8)
                 keep = has(wanted, columns[0], settings.bitmap_bits)
@@ -452,27 +594,30 @@ def more_pairs(lists: DataFrame, words: np.ndarray, ids: np.ndarray, settings: S
 
 
 def line_sets(texts: DataFrame, listed: DataFrame) -> DataFrame:
-    """(id, twin, words): the whole sets of words of the listed lines (key, line, id, twin), as 64-bit hashes."""
-    per_text = stored(listed.groupBy("key").agg(F.collect_list(F.struct("line", "id", "twin")).alias("listed")), "listed-lines")
+    """(id, twin, words): the whole sets of words of the listed lines (key, order, line, id, twin), as 64-bit hashes."""
+    per_text = stored(listed.groupBy("key", "order").agg(F.collect_list(F.struct("line", "id", "twin")).alias("listed")), "listed-lines")
     # Equal documents list equal lines, so any one of them will do; they stand side by side after the join.
-    held = texts.select("key", "text").join(small(per_text.select("key")), "key", "left_semi").join(per_text.hint("shuffle_merge"), "key")
+    # Most are told apart by their order, before a digest of their text is made.
+    near = texts.join(small(per_text.select("order")), "order", "left_semi").select("key", "text")
+    held = near.join(small(per_text.select("key")), "key", "left_semi").join(per_text.drop("order").hint("shuffle_merge"), "key")
     held = held.dropDuplicates(["key"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = text_bytes(batch.column(0))
-            ids, twins, sets = [], [], []
+            ids, twins, lines = [], [], [np.zeros(0, np.uint8)]
             for k, wanted in enumerate(batch.column(1).to_pylist()):
                 raw = data[bounds[k] : bounds[k + 1]]
                 breaks = np.append(np.append(-1, np.flatnonzero(raw == 0x0A)), len(raw))
                 for line in wanted:
-                    low = LOWER[raw[breaks[line["line"]] + 1 : breaks[line["line"] + 1]]]
-                    starts, ends = word_bounds(low, np.array([0, len(low)]))
                     ids.append(line["id"])
                     twins.append(line["twin"])
-                    sets.append(np.unique(range_hashes(prefix_hashes(low), starts, ends)).view(np.int64))
-            edges = np.append(0, np.cumsum([len(x) for x in sets])).astype(np.int32)
-            words = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(sets or [np.zeros(0, np.int64)])))
+                    lines.append(raw[breaks[line["line"]] + 1 : breaks[line["line"] + 1]])
+            own = np.cumsum([len(x) for x in lines])
+            hashes, starts = word_hashes(np.concatenate(lines), own)
+            sets, at = word_sets(hashes, np.searchsorted(own, starts, side="right") - 1)
+            edges = np.searchsorted(at, np.arange(len(own))).astype(np.int32)
+            words = pa.ListArray.from_arrays(pa.array(edges), pa.array(sets.view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(twins, pa.int64()), words], names=["id", "twin", "words"])
 
     return held.select("text", "listed").mapInArrow(run, "id long, twin long, words array<long>")
@@ -482,7 +627,7 @@ def verified(pairs: DataFrame, texts: DataFrame, kinds: DataFrame, threshold: fl
     """(id, twin) of the later lines of the pairs (later, earlier) whose sets of words are similar."""
     with scratch(pairs.sparkSession):
         named = stored(pairs.select(F.explode(F.array("later", "earlier")).alias("id")).distinct(), "paired-lines")
-        sets = stored(line_sets(texts, kinds.select("id", "twin", "key", "line").join(named, "id", "left_semi")), "line-sets")
+        sets = stored(line_sets(texts, kinds.select("id", "twin", "key", "order", "line").join(named, "id", "left_semi")), "line-sets")
         later = sets.select(F.col("id").alias("later"), "twin", F.col("words").alias("w"))
         earlier = sets.select(F.col("id").alias("earlier"), F.col("words").alias("x"))
         common = F.size(F.array_intersect("w", "x"))
@@ -490,9 +635,8 @@ def verified(pairs: DataFrame, texts: DataFrame, kinds: DataFrame, threshold: fl
         return stored(pairs.join(later, "later").join(earlier, "earlier").filter(similar).select(F.col("later").alias("id"), "twin").distinct(), "similar", result=True)
 
 
-def similar_lines(texts: DataFrame, kinds: DataFrame, settings: Settings) -> DataFrame:
+def similar_lines(texts: DataFrame, kinds: DataFrame, table: np.ndarray, settings: Settings) -> DataFrame:
     """(id, twin) of the different lines that an earlier one is similar to; `kinds` says where each id stands first."""
-    table = rarity_table(texts, settings.table_bits)
     met = stored(candidate_pairs(prefix_entries(texts, table, settings), settings), "line-pairs")
     long = met.filter(F.col("kind") == LONG)
     if not long.isEmpty():
@@ -521,16 +665,15 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     """(key, lines): the numbers of the lines each document loses, from zero."""
     with scratch(docs.sparkSession):
         texts = texts_of(docs, doc_id, text)
-        lines = stored(lines_of(texts, settings.min_words), "lines")
-        # The id breaks ties of order and line between texts with one document id.
-        kinds = lines.groupBy("id", "twin").agg(F.min(F.struct("order", "line", "key")).alias("one"), F.count(F.lit(1)).alias("times"), F.first("n").alias("n"), *(F.first(m).alias(m) for m in _MAPS))
-        kinds = stored(kinds.select("id", "twin", "times", F.col("one.key").alias("key"), F.col("one.line").alias("line"), "n", *_MAPS), "line-kinds")
-        similar = similar_lines(texts, kinds.drop("times"), settings)
-        gone = F.coalesce("gone", F.lit(False))
-        # Every line of a kind that goes, and every line but the first of the other kinds that repeat.
-        busy = kinds.join(similar.withColumn("gone", F.lit(True)), ["id", "twin"], "left").filter(gone | (F.col("times") > 1))
-        busy = busy.select("id", "twin", gone.alias("gone"), F.col("key").alias("first_key"), F.col("line").alias("first_line"))
-        lost = lines.select("key", "line", "id", "twin").join(busy, ["id", "twin"]).filter(F.col("gone") | (F.col("key") != F.col("first_key")) | (F.col("line") != F.col("first_line")))
+        lines = stored(lines_of(texts, settings.min_words, settings.table_bits), "lines")
+        counts = lines.filter(F.col("kind") == WORDS).select(F.col("class").alias("page"), "slots", "counts", "part")
+        table = merged_rarity(counts, settings.table_bits)
+        found = stored(kinds_of(lines), "line-kinds")
+        kinds = found.filter("first").drop("first")
+        similar = similar_lines(texts, kinds, table, settings)
+        # Every line that repeats an earlier one, and the first line of every kind that goes.
+        gone = kinds.select("id", "twin", "key", "line").join(similar, ["id", "twin"], "left_semi").select("key", "line")
+        lost = lines.filter(F.col("kind") == REPEAT).select("key", "line").unionByName(found.filter(~F.col("first")).select("key", "line")).unionByName(gone)
         return stored(lost.groupBy("key").agg(F.collect_set("line").alias("lines")), "lost-lines", result=True)
 
 
