@@ -4,6 +4,7 @@ import hashlib
 import re
 
 from fixtures import documents, none_of, odd_documents, rows_of, SMALL
+from pyspark.sql import functions as F
 
 from ticketscope.llm import contamination
 
@@ -73,3 +74,14 @@ def test_proximity(spark):
     key = {r.key: r.doc_id for r in docs.select("doc_id", contamination.text_key(docs.text).alias("key")).collect()}
     found = {(key[r.key], r["shift"]) for r in contamination.proximity_matches(docs, items, slop=2).collect()}
     assert {d for d, _ in found} == {1, 2, 3} and (2, 0) in found
+
+
+def test_only_documents_with_candidates_are_shuffled(spark):
+    """Under a join of many keys the text column passes the shuffle behind a semi-join of its keys."""
+    docs = spark.createDataFrame([(i, f"one two three {i}") for i in range(20)] + [(99, "a b c d e f g h i j")], "doc_id long, text string")
+    phrases = spark.createDataFrame([("a b c d e f g h i j",)], "phrase string")
+    found = spark.createDataFrame([(docs.filter("doc_id = 99").select(contamination.text_key(docs.text)).first()[0], 0, 0)], "key binary, start int, shift int")
+    found = found.crossJoin(phrases.select(F.xxhash64("phrase").alias("id")))
+    matched = contamination.exact_matches(docs, found, phrases)
+    assert "LeftSemi" in matched._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.start, r.width, r.phrase) for r in matched.collect()] == [(0, 10, "a b c d e f g h i j")]

@@ -100,7 +100,9 @@ def exact_matches(docs: DataFrame, found: DataFrame, phrases: DataFrame, text: s
     wanted = found.filter("shift = 0 and start >= 0").join(named, "id")
     wanted = stored(wanted.groupBy("key").agg(F.collect_list(F.struct("start", "phrase")).alias("wanted")), "wanted")
     texts = docs.select(text_key(docs[text]).alias("key"), docs[text].alias("text"))
-    held = texts.join(wanted, "key").groupBy("key").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted"))
+    # Only documents with candidates are shuffled to meet them.
+    near = texts.join(small(wanted.select("key")), "key", "left_semi")
+    held = near.join(wanted, "key").groupBy("key").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted"))
     split = held.select("key", parts(F.col("text")).alias("words"), "wanted")
     width = lambda w: F.size(F.split(w.phrase, " "))
     right = F.filter("wanted", lambda w: F.array_join(F.slice("words", w.start + 1, width(w)), " ") == w.phrase)
