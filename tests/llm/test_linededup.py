@@ -140,6 +140,62 @@ def test_earliest_of_equal_lines():
     assert [x.tolist() for x in linededup.earliest([c[:0] for c in columns])] == [[], []]
 
 
+def held_lists():
+    """One list of 60 lines that are all similar, of ids 1 to 60."""
+    n = 60
+    columns = [np.full(n, 9 << 20), np.arange(n), np.arange(1, n + 1), np.zeros(n), np.zeros(n), np.full(n, 20), np.zeros(n)]
+    return linededup.Lists([c.astype(kind) for c, kind in zip(columns, linededup._COLUMNS.values())], np.zeros(n, np.int8), 0.8)
+
+
+@pytest.mark.parametrize("limit", [None, 8])
+def test_pairs_of_a_list_leave_in_parts(monkeypatch, limit):
+    monkeypatch.setattr(linededup, "_FLUSH", 100)
+    lists = held_lists()
+    parts = list(lists.pairs(limit, None, 16))
+    assert len(parts) > 3 and max(len(later) for later, _ in parts) < 100 + 60
+    pairs = [(int(a), int(b)) for later, earlier in parts for a, b in zip(later, earlier)]
+    assert sorted(pairs) == [(a, b) for a in range(1, 61) for b in range(1, a if limit is None else min(a, limit + 1))]
+    assert lists.ids[lists.cut].tolist() == ([] if limit is None else list(range(9, 61)))
+
+
+def test_counts_of_words_hold_only_slots_that_occur(monkeypatch):
+    rng = np.random.default_rng(6)
+    words = [rng.integers(0, 1 << 63, 4000).astype(np.uint64) * np.uint64(2) for _ in range(9)]
+    expected = np.bincount((np.concatenate(words) >> np.uint64(48)).astype(np.int64), minlength=1 << 16)
+    for most in (1 << 20, 6000):
+        monkeypatch.setattr(linededup, "_HELD_SLOTS", most)
+        counts, found, rows = linededup.WordCounts(16), np.zeros(1 << 16, np.int64), 0
+        for part in words:
+            rows += (flushed := list(counts.add(part))) != []
+            assert counts.size < max(most, 1)
+            for page, slots, n in flushed:
+                found[(page << 8) + np.frombuffer(slots, np.uint32).astype(np.int64)] += np.frombuffer(n, np.uint64).astype(np.int64)
+        for page, slots, n in counts.pages():
+            found[(page << 8) + np.frombuffer(slots, np.uint32).astype(np.int64)] += np.frombuffer(n, np.uint64).astype(np.int64)
+        assert (found == expected).all() and (rows > 0) == (most == 6000)
+    assert list(linededup.WordCounts(16).pages()) == []
+
+
+def test_hashes_of_words_by_their_bytes_alone():
+    rng = random.Random(12)
+    kinds = ["".join(rng.choices("abcé", k=k)) for k in (*range(1, 20), 63, 64, 65, 66, 300) for _ in range(3)]
+    tokens = [rng.choice(kinds) for _ in range(3000)]
+    text = " ".join(x.upper().replace("É", "é") if rng.random() < 0.5 else x for x in tokens).encode()
+    hashes, starts = linededup.word_hashes(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert len(hashes) == len(tokens) and starts[0] == 0
+    of = {}
+    assert all(of.setdefault(x, h) == h for x, h in zip(tokens, hashes.tolist()))
+    assert len(set(of.values())) == len(of)
+
+
+def test_texts_are_read_once_for_all_first_pairs(spark, monkeypatch):
+    reads = []
+    real = linededup.line_sets
+    monkeypatch.setattr(linededup, "line_sets", lambda *given: reads.append(1) or real(*given))
+    assert compared(variants(spark), Settings(candidates=200, bitmap_bits=16)) > 100
+    assert len(reads) == 1
+
+
 def test_entries_stand_by_word_and_rank():
     rng = np.random.default_rng(5)
     word, line, ids = (rng.integers(0, n, 400) for n in (90, 4, 50))

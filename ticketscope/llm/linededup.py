@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ticketscope.llm.bitmap import bitmap, has
 from ticketscope.llm.storage import scratch, small, stored
-from ticketscope.llm.words import LOWER, chunks, mixed, prefix_hashes, range_hashes, text_bytes, word_bounds
+from ticketscope.llm.words import chunks, mixed, prefix_hashes, range_hashes, text_bytes, word_bounds
 
 
 
@@ -56,11 +56,16 @@ def needed(n: int | np.ndarray, threshold: float) -> tuple:
     return (n - overlap + 1).astype(np.int64), (n - equal + 1).astype(np.int64)
 
 
-PAIR_MAPS = 4
+_MAP_BITS = 2
+PAIR_MAPS = 1 << _MAP_BITS
 _MAPS = [f"m{k}" for k in range(PAIR_MAPS)]
 _WORD_BITS = np.uint64(20)  # the lowest bits of a word's hash give way to the number of its line, for sorting only
 _TWIN = np.uint64(0xC2B2AE3D27D4EB4F)
 _CACHED = 1 << 16  # bytes of text that are hashed at once, so that what is made of them stays in the processor's cache
+_WINDOWED = 64  # words of more bytes are hashed byte by byte
+_WINDOWS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first k of eight bytes
+_LENGTH = np.uint64(0x9E3779B97F4A7C15)
+_HELD_SLOTS = 1 << 20  # counts of words that a task gathers before it merges them
 _LEVELS = 6  # levels of the rarity table for each doubling of a count
 _FAN_IN = 64  # partial counts that are merged at once
 _PAGE_BITS = 8  # of the rarity table
@@ -71,12 +76,28 @@ def word_hashes(data: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Hashes of all words of the texts and where they begin."""
     hashes, starts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for a, b in chunks(own, _CACHED):
-        low = LOWER[data[own[a] : own[b]]]
-        begin, end = word_bounds(low, own[a : b + 1] - own[a])
-        hashes.append(range_hashes(prefix_hashes(low), begin, end)), starts.append(begin + own[a])
+        low = np.frombuffer(data[own[a] : own[b]].tobytes().lower() + bytes(8), np.uint8)
+        begin, end = word_bounds(low[:-8], own[a : b + 1] - own[a])
+        hashes.append(hashed(low, begin, end)), starts.append(begin + own[a])
     return np.concatenate(hashes), np.concatenate(starts)
 
 
+def hashed(low: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each byte range, eight bytes at a time; eight bytes must follow the last range."""
+    windows = np.ndarray(len(low) - 7, "<u8", low, strides=(1,))
+    n = end - begin
+    out = mixed((np.take(windows, begin) & _WINDOWS[np.minimum(n, 8)]) + n.astype(np.uint64) * _LENGTH)
+    rest, done = np.flatnonzero((n > 8) & (n <= _WINDOWED)), 8
+    while len(rest):
+        out[rest] = mixed(out[rest] ^ (np.take(windows, begin[rest] + done) & _WINDOWS[np.minimum(n[rest] - done, 8)]))
+        done += 8
+        rest = rest[n[rest] > done]
+    long = np.flatnonzero(n > _WINDOWED)
+    if len(long):
+        out[long] = range_hashes(prefix_hashes(low), begin[long], end[long])
+    return out
+
+
 def word_sets(hashes: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different words of each line, ordered by line, then hash; line numbers must not fall."""
     if not len(hashes):
@@ -99,24 +120,44 @@ def word_sets(hashes: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 class WordCounts:
-    """How often words occur, by the leading `bits` bits of their hashes."""
+    """How often words occur, by the leading `bits` bits of their hashes. Only slots that occur are held."""
 
     def __init__(self, bits: int):
-        self.bits, self.total = bits, np.zeros(1 << bits, np.uint32)
+        self.bits, self.held, self.size = bits, [], 0
 
-    def add(self, hashes: np.ndarray) -> None:
-        slots = np.sort((hashes >> np.uint64(64 - self.bits)).astype(np.int64))
+    def add(self, hashes: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
+        """Counts the words; once too many slots are held, yields what `pages` does and begins anew."""
+        slots = np.sort((hashes >> np.uint64(64 - self.bits)).astype(np.uint32))
         first = np.flatnonzero(np.append(True, slots[1:] != slots[:-1])[: len(slots)])
-        self.total[slots[first]] += np.diff(np.append(first, len(slots))).astype(np.uint32)
+        self._hold(slots[first], np.diff(np.append(first, len(slots))))
+        if self.size >= _HELD_SLOTS:
+            self._merge()
+            if self.size >= _HELD_SLOTS // 2:
+                yield from self.pages()
+
+    def _hold(self, slots: np.ndarray, counts: np.ndarray) -> None:
+        self.held.append((slots.astype(np.uint64) << np.uint64(32)) | counts.astype(np.uint64))
+        self.size += len(slots)
+
+    def _merge(self) -> None:
+        both = np.sort(np.concatenate(self.held))
+        slots = both >> np.uint64(32)
+        first = np.flatnonzero(np.append(True, slots[1:] != slots[:-1])[: len(slots)])
+        counts = np.add.reduceat(both & np.uint64(0xFFFFFFFF), first) if len(first) else both
+        self.held, self.size = [], 0
+        self._hold(slots[first], counts)
 
     def pages(self) -> Iterator[tuple[int, bytes, bytes]]:
-        """Number, slots and counts of every page that is not empty."""
-        page_bits = self.bits - _PAGE_BITS
-        for page in range(1 << _PAGE_BITS):
-            part = self.total[page << page_bits : (page + 1) << page_bits]
-            at = np.flatnonzero(part)
-            if len(at):
-                yield page, at.astype(np.uint32).tobytes(), part[at].astype(np.uint64).tobytes()
+        """Number, slots and counts of every page that is not empty; nothing is held afterwards."""
+        if self.held:
+            self._merge()
+            slots, counts = (self.held[0] >> np.uint64(32)).astype(np.uint32), self.held[0] & np.uint64(0xFFFFFFFF)
+            page_bits = self.bits - _PAGE_BITS
+            edges = np.searchsorted(slots, np.arange(1 << _PAGE_BITS).astype(np.uint32) << np.uint32(page_bits))
+            for page, (a, b) in enumerate(zip(edges, np.append(edges[1:], len(slots)))):
+                if a < b:
+                    yield page, (slots[a:b] & np.uint32((1 << page_bits) - 1)).tobytes(), counts[a:b].tobytes()
+        self.held, self.size = [], 0
 
 
 def rarity_table(texts: DataFrame, bits: int) -> np.ndarray:
@@ -124,11 +165,15 @@ def rarity_table(texts: DataFrame, bits: int) -> np.ndarray:
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = WordCounts(bits)
-        for batch in batches:
-            data, bounds = text_bytes(batch.column(0))
-            for i, j in chunks(bounds):
-                counts.add(word_hashes(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])[0])
-        for row in counts.pages():
+
+        def pages() -> Iterator[tuple[int, bytes, bytes]]:
+            for batch in batches:
+                data, bounds = text_bytes(batch.column(0))
+                for i, j in chunks(bounds):
+                    yield from counts.add(word_hashes(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])[0])
+            yield from counts.pages()
+
+        for row in pages():
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.binary(), pa.binary()))], names=["page", "slots", "counts"])
 
     counted = texts.select("text").mapInArrow(count, "page int, slots binary, counts binary")
@@ -179,21 +224,24 @@ def _key(docs: DataFrame, doc_id: str, text: str) -> Column:
     return F.unhex(F.md5(F.concat_ws("\n", *parts)))
 
 
-def sets_of_lines(data: np.ndarray, own: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
-    """Words with their line, and for each line with enough words: its first word, size, text, number, digest and twin."""
+def sets_of_lines(data: np.ndarray, own: np.ndarray, min_words: int, twins: bool = True) -> tuple[np.ndarray, ...]:
+    """Words with their line, and for each line with enough words: its first word, size, text, number, digest and, if asked for, twin."""
     line_starts = np.union1d(own[:-1], np.flatnonzero(data == 0x0A) + 1)
     hashes, starts = word_hashes(data, own)
     words, at = word_sets(hashes, np.searchsorted(line_starts, starts, side="right") - 1)
     first = np.flatnonzero(np.append(True, at[1:] != at[:-1])[: len(at)])
     n = np.diff(np.append(first, len(at)))
-    keep = np.repeat(n >= min_words, n)
-    words, at = words[keep], at[keep]
-    first = np.flatnonzero(np.append(True, at[1:] != at[:-1])[: len(at)])
-    n = np.diff(np.append(first, len(at)))
+    if min_words > 1:
+        keep = np.repeat(n >= min_words, n)
+        words, at = words[keep], at[keep]
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1])[: len(at)])
+        n = np.diff(np.append(first, len(at)))
     line = at[first]
     text = np.searchsorted(own, line_starts[line], side="right") - 1
     number = line - np.searchsorted(line_starts, own[text])
     digest = mixed(np.add.reduceat(words, first) + n.astype(np.uint64)) if len(first) else np.zeros(0, np.uint64)
+    if not twins:
+        return words, at, first, n, text, number, digest
     twin = mixed(np.add.reduceat(mixed(words ^ _TWIN), first) + n.astype(np.uint64)) if len(first) else np.zeros(0, np.uint64)
     return words, at, first, n, text, number, digest, twin
 
@@ -266,6 +314,15 @@ def _keys(high: np.ndarray, low: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(high), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
+def parity_maps(words: np.ndarray, first: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """The maps of each line; a word falls to one by its leading bits, so the words of a map stand together in its line."""
+    group = np.repeat(np.arange(len(first)) * PAIR_MAPS, n) + (words >> np.uint64(64 - _MAP_BITS)).astype(np.int64)
+    new = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    out = np.zeros(len(first) * PAIR_MAPS, np.uint64)
+    out[group[new]] = np.bitwise_xor.reduceat(np.uint64(1) << ((words >> _WORD_BITS) & np.uint64(63)), new)
+    return [out[k::PAIR_MAPS].view(np.int64) for k in range(PAIR_MAPS)]
+
+
 def lines_of(texts: DataFrame, min_words: int, bits: int) -> DataFrame:
     """One pass over all texts. Rows of three kinds: packed lines, lines that repeat one of them, counts of words.
 
@@ -290,6 +347,9 @@ def lines_of(texts: DataFrame, min_words: int, bits: int) -> DataFrame:
         parts = packed([c[by_class] for c in columns], np.append(new, len(of)), _LINES)
         yield row(LINES, len(new), {"class": pa.array(of[new]), **dict(zip(_LINES, parts))})
 
+    def counted(page: tuple[int, bytes, bytes]) -> pa.RecordBatch:
+        return row(WORDS, 1, {c: pa.array([x], types[c]) for c, x in zip(("class", "slots", "counts"), page)})
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, held, size = WordCounts(bits), [], 0
         for batch in batches:
@@ -300,9 +360,9 @@ def lines_of(texts: DataFrame, min_words: int, bits: int) -> DataFrame:
                 words, _, first, n, text, number, digest, twin = sets_of_lines(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], min_words)
                 if not len(first):
                     continue
-                counts.add(words)
-                bit, map_of = np.uint64(1) << ((words >> _WORD_BITS) & np.uint64(63)), (words >> np.uint64(26)) % np.uint64(PAIR_MAPS)
-                maps = [np.bitwise_xor.reduceat(np.where(map_of == k, bit, np.uint64(0)), first).view(np.int64) for k in range(PAIR_MAPS)]
+                for page in counts.add(words):
+                    yield counted(page)
+                maps = parity_maps(words, first, n)
                 at = text + i
                 held.append([orders[at], number.astype(np.int32), high[at], low[at], digest.view(np.int64), twin.view(np.int64), n.astype(np.int32), *maps])
                 size += len(first)
@@ -311,8 +371,8 @@ def lines_of(texts: DataFrame, min_words: int, bits: int) -> DataFrame:
                     held, size = [], 0
         if size:
             yield from flushed(held)
-        for page, slots, found in counts.pages():
-            yield row(WORDS, 1, {"class": pa.array([page], pa.int32()), "slots": pa.array([slots], pa.binary()), "counts": pa.array([found], pa.binary())})
+        for page in counts.pages():
+            yield counted(page)
 
     shape = "kind byte, class int, key binary, line int, slots binary, counts binary, " + ", ".join(f"{c} binary" for c in _LINES)
     return texts.mapInArrow(run, shape).withColumn("part", F.spark_partition_id())
@@ -377,7 +437,7 @@ def prefix_entries(texts: DataFrame, table: np.ndarray, settings: Settings) -> D
             data, bounds = text_bytes(batch.column(1))
             orders = batch.column(0).to_numpy()
             for i, j in chunks(bounds):
-                words, _, first, n, text, number, digest, twin = sets_of_lines(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], settings.min_words)
+                words, _, first, n, text, number, digest = sets_of_lines(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], settings.min_words, twins=False)
                 if not len(first):
                     continue
                 words = words >> _WORD_BITS << _WORD_BITS
@@ -465,8 +525,8 @@ class Lists:
         out[left] = (n + m - apart >= 2 * overlap[left]) & np.where(n <= m, self.indexed[a], self.indexed[b])
         return out
 
-    def pairs(self, limit: int | None, only: np.ndarray | None, bits: int) -> tuple[np.ndarray, ...]:
-        """Pairs (later, earlier), and the (id, word) of lines that `limit` cut short in a list."""
+    def pairs(self, limit: int | None, only: np.ndarray | None, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (later, earlier) in parts of about `_FLUSH`; after the last, `cut` names the entries that `limit` cut short in a list."""
         new = np.flatnonzero(np.append(True, self.word[1:] != self.word[:-1])[: len(self.word)])
         base = np.repeat(new, np.diff(np.append(new, len(self.word))))
         place = np.arange(len(self.word)) - base
@@ -474,16 +534,22 @@ class Lists:
         active = np.flatnonzero(place > 0)
         if only is not None:
             active = active[has(only, self.ids[active].view(np.uint64), bits)]
-        later, earlier, step = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        held, size, step = [], 0, 0
         while len(active):
             other = base[active] + step
-            fit = self.fits(active, other)
-            later.append(self.ids[active[fit]]), earlier.append(self.ids[other[fit]])
-            found[active[fit]] += 1
+            fit = np.flatnonzero(self.fits(active, other))
+            if len(fit):
+                held.append((self.ids[active[fit]], self.ids[other[fit]]))
+                found[active[fit]] += 1
+                size += len(fit)
+            if size >= _FLUSH:
+                yield tuple(map(np.concatenate, zip(*held)))
+                held, size = [], 0
             step += 1
             active = active[(place[active] > step) & ((found[active] < limit) if limit else True)]
-        cut = np.flatnonzero((found >= limit) & (place > 0)) if limit else np.zeros(0, np.int64)
-        return np.concatenate(later), np.concatenate(earlier), self.ids[cut], self.word[cut]
+        if size:
+            yield tuple(map(np.concatenate, zip(*held)))
+        self.cut = np.flatnonzero((found >= limit) & (place > 0)) if limit else np.zeros(0, np.int64)
 
 
 _MET = f"later long, earlier long, word_cut long, bucket long, class int, sides binary, {_PACKED}"
@@ -501,11 +567,11 @@ PAIR, CUT, LIST, LONG = range(4)
 def _paired(columns: list[np.ndarray], sides: np.ndarray, settings: Settings) -> Iterator[pa.RecordBatch]:
     """The first partners in these lists; lines cut short, and the whole lists that they were cut short in."""
     lists = Lists(columns, sides, settings.threshold)
-    later, earlier, cut, word = lists.pairs(settings.candidates, None, settings.bitmap_bits)
-    if len(later):
+    for later, earlier in lists.pairs(settings.candidates, None, settings.bitmap_bits):
         yield _met(PAIR, len(later), later=pa.array(later), earlier=pa.array(earlier))
-    if len(cut):
-        yield _met(CUT, len(cut), later=pa.array(cut), word_cut=pa.array(word.view(np.int64)))
+    if len(lists.cut):
+        word = lists.word[lists.cut]
+        yield _met(CUT, len(word), later=pa.array(lists.ids[lists.cut]), word_cut=pa.array(word.view(np.int64)))
         at = lists.at[np.isin(lists.word, word)]
         whole = packed([c[at] for c in columns], np.array([0, len(at)]))
         yield _met(LIST, 1, sides=pa.array([sides[at].tobytes()], pa.binary()), **dict(zip(_COLUMNS, whole)))
@@ -587,8 +653,8 @@ def more_pairs(lists: DataFrame, words: np.ndarray, ids: np.ndarray, settings: S
                 columns, side = unpacked(parts, i, i + 1), np.frombuffer(sides[i].as_py(), np.int8)
                 keep = has(wanted, columns[0], settings.bitmap_bits)
                 if keep.any():
-                    later, earlier, _, _ = Lists([c[keep] for c in columns], side[keep], settings.threshold).pairs(None, open_, settings.bitmap_bits)
-                    yield pa.RecordBatch.from_arrays([pa.array(later), pa.array(earlier)], names=["later", "earlier"])
+                    for pair in Lists([c[keep] for c in columns], side[keep], settings.threshold).pairs(None, open_, settings.bitmap_bits):
+                        yield pa.RecordBatch.from_arrays(list(map(pa.array, pair)), names=["later", "earlier"])
 
     return lists.mapInArrow(run, "later long, earlier long")
 
@@ -623,16 +689,19 @@ def line_sets(texts: DataFrame, listed: DataFrame) -> DataFrame:
     return held.select("text", "listed").mapInArrow(run, "id long, twin long, words array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, kinds: DataFrame, threshold: float) -> DataFrame:
-    """(id, twin) of the later lines of the pairs (later, earlier) whose sets of words are similar."""
-    with scratch(pairs.sparkSession):
-        named = stored(pairs.select(F.explode(F.array("later", "earlier")).alias("id")).distinct(), "paired-lines")
-        sets = stored(line_sets(texts, kinds.select("id", "twin", "key", "order", "line").join(named, "id", "left_semi")), "line-sets")
-        later = sets.select(F.col("id").alias("later"), "twin", F.col("words").alias("w"))
-        earlier = sets.select(F.col("id").alias("earlier"), F.col("words").alias("x"))
-        common = F.size(F.array_intersect("w", "x"))
-        similar = common >= (F.size("w") + F.size("x") - common) * F.lit(threshold) - F.lit(1e-9)
-        return stored(pairs.join(later, "later").join(earlier, "earlier").filter(similar).select(F.col("later").alias("id"), "twin").distinct(), "similar", result=True)
+def paired_sets(pairs: DataFrame, texts: DataFrame, kinds: DataFrame) -> DataFrame:
+    """`line_sets` of all lines of the pairs (later, earlier), stored."""
+    named = stored(pairs.select(F.explode(F.array("later", "earlier")).alias("id")).distinct(), "paired-lines")
+    return stored(line_sets(texts, kinds.select("id", "twin", "key", "order", "line").join(named, "id", "left_semi")), "line-sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(id, twin) of the later lines of the pairs (later, earlier) whose sets of words are similar; stored, and outlives the scratch block."""
+    later = sets.select(F.col("id").alias("later"), "twin", F.col("words").alias("w"))
+    earlier = sets.select(F.col("id").alias("earlier"), F.col("words").alias("x"))
+    common = F.size(F.array_intersect("w", "x"))
+    similar = common >= (F.size("w") + F.size("x") - common) * F.lit(threshold) - F.lit(1e-9)
+    return stored(pairs.join(later, "later").join(earlier, "earlier").filter(similar).select(F.col("later").alias("id"), "twin").distinct(), "similar", result=True)
 
 
 def similar_lines(texts: DataFrame, kinds: DataFrame, table: np.ndarray, settings: Settings) -> DataFrame:
@@ -645,11 +714,12 @@ def similar_lines(texts: DataFrame, kinds: DataFrame, table: np.ndarray, setting
     pairs = stored(plausible(counted, kinds, settings.threshold), "first-pairs")
     # One similar line is enough: each line tries the partner it met in most lists, then, if need be, the others.
     likely = pairs.groupBy("later").agg(F.max_by("earlier", F.struct("lists", "earlier")).alias("earlier"))
-    likely = stored(likely, "likely-pairs")
-    similar = verified(likely, texts, kinds, settings.threshold)
-    others = pairs.select("later", "earlier").join(likely, ["later", "earlier"], "left_anti")
-    others = stored(others.join(similar.select(F.col("id").alias("later")), "later", "left_anti"), "other-pairs")
-    similar = stored(similar.unionByName(verified(others, texts, kinds, settings.threshold)), "similar-lines", result=True)
+    with scratch(texts.sparkSession):
+        likely, sets = stored(likely, "likely-pairs"), paired_sets(pairs, texts, kinds)
+        similar = verified(likely, sets, settings.threshold)
+        others = pairs.select("later", "earlier").join(likely, ["later", "earlier"], "left_anti")
+        others = stored(others.join(similar.select(F.col("id").alias("later")), "later", "left_anti"), "other-pairs")
+        similar = stored(similar.unionByName(verified(others, sets, settings.threshold)), "similar-lines", result=True)
     left = stored(met.filter(F.col("kind") == CUT).select(F.col("later").alias("id"), F.col("word_cut").alias("word")).distinct().join(similar, "id", "left_anti"), "cut-short")
     if left.isEmpty():
         return similar
@@ -658,7 +728,8 @@ def similar_lines(texts: DataFrame, kinds: DataFrame, table: np.ndarray, setting
     rest = more_pairs(lists, words, ids, settings).distinct()
     rest = rest.join(left.select(F.col("id").alias("later")).distinct(), "later", "left_semi").join(pairs, ["later", "earlier"], "left_anti")
     rest = stored(plausible(rest, kinds, settings.threshold), "second-pairs")
-    return similar.unionByName(verified(rest, texts, kinds, settings.threshold))
+    with scratch(texts.sparkSession):
+        return similar.unionByName(verified(rest, paired_sets(rest, texts, kinds), settings.threshold))
 
 
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -684,15 +755,17 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", se
     keyed = docs.select(*others, _key(docs, doc_id, text).alias("__key"))
     keys = small(lost.select("__key"))
     # Only documents that lose lines are shuffled to meet them.
-    touched = keyed.join(keys, "__key", "left_semi").join(lost, "__key").select(*others, "__lines")
+    touched = keyed.join(keys, "__key", "left_semi").join(lost.hint("shuffle_hash"), "__key").select(*others, "__lines")
     untouched = keyed.join(keys, "__key", "left_anti").select(*others, F.lit(None).cast("array<int>").alias("__lines"))
-    split = F.split(F.col(text).cast("string"), "\n")
+    raw = F.col(text).cast("string")
+    split = F.split(raw, "\n")
     kept = F.filter(split, lambda x, i: ~F.array_contains("__lines", i))
     rest = F.when(F.col("__lines").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    n_lines, n_removed = F.coalesce(F.size(split), F.lit(0)), F.coalesce(F.size("__lines"), F.lit(0))
+    breaks = F.octet_length(raw) - F.octet_length(F.replace(raw, F.lit("\n"), F.lit("")))
+    n_lines, n_removed = F.coalesce(breaks + 1, F.lit(0)), F.coalesce(F.size("__lines"), F.lit(0))
     return touched.unionByName(untouched).select(
         *(rest.alias(c) if c == text else F.col(c) for c in others),
-        F.greatest(n_lines, F.lit(0)).cast("long").alias("n_lines"), F.greatest(n_removed, F.lit(0)).cast("long").alias("n_removed"),
+        n_lines.cast("long").alias("n_lines"), F.greatest(n_removed, F.lit(0)).cast("long").alias("n_removed"),
     )
 
 
