@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ticketscope.llm.batches import mapped
 from ticketscope.llm.bitmap import bitmap, has
 from ticketscope.llm.storage import scratch, small, stored
 from ticketscope.llm.words import chunks, mixed, prefix_hashes, range_hashes, text_bytes, word_bounds
@@ -176,7 +177,7 @@ def rarity_table(texts: DataFrame, bits: int) -> np.ndarray:
         for row in pages():
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.binary(), pa.binary()))], names=["page", "slots", "counts"])
 
-    counted = texts.select("text").mapInArrow(count, "page int, slots binary, counts binary")
+    counted = mapped(texts.select("text"), count, "page int, slots binary, counts binary")
     return merged_rarity(stored(counted.withColumn("part", F.spark_partition_id()), "rarity"), bits)
 
 
@@ -375,7 +376,7 @@ def lines_of(texts: DataFrame, min_words: int, bits: int) -> DataFrame:
             yield counted(page)
 
     shape = "kind byte, class int, key binary, line int, slots binary, counts binary, " + ", ".join(f"{c} binary" for c in _LINES)
-    return texts.mapInArrow(run, shape).withColumn("part", F.spark_partition_id())
+    return mapped(texts, run, shape).withColumn("part", F.spark_partition_id())
 
 
 def kinds_of(lines: DataFrame) -> DataFrame:
@@ -403,7 +404,7 @@ def kinds_of(lines: DataFrame) -> DataFrame:
         yield from done()
 
     dealt = lines.filter(F.col("kind") == LINES).select("class", *_LINES).repartition("class").sortWithinPartitions("class")
-    return dealt.mapInArrow(run, "first boolean, key binary, line int, order long, id long, twin long, n int, " + ", ".join(f"{m} long" for m in _MAPS))
+    return mapped(dealt, run, "first boolean, key binary, line int, order long, id long, twin long, n int, " + ", ".join(f"{m} long" for m in _MAPS))
 
 
 def bucket_bits(table: np.ndarray, threshold: float) -> int:
@@ -465,7 +466,7 @@ def prefix_entries(texts: DataFrame, table: np.ndarray, settings: Settings) -> D
         if size:
             yield rows(held)
 
-    return texts.select("order", "text").mapInArrow(run, f"bucket long, {_PACKED}")
+    return mapped(texts.select("order", "text"), run, f"bucket long, {_PACKED}")
 
 
 def ranked(word: np.ndarray, order: np.ndarray, line: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -624,7 +625,7 @@ def candidate_pairs(entries: DataFrame, settings: Settings) -> DataFrame:
                     held, size = [], 0
         yield from done()
 
-    return entries.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, f"kind byte, {_MET}")
+    return mapped(entries.repartition(*keys).sortWithinPartitions(*keys), run, f"kind byte, {_MET}")
 
 
 def cells_of(parts: DataFrame, settings: Settings) -> DataFrame:
@@ -656,7 +657,7 @@ def more_pairs(lists: DataFrame, words: np.ndarray, ids: np.ndarray, settings: S
                     for pair in Lists([c[keep] for c in columns], side[keep], settings.threshold).pairs(None, open_, settings.bitmap_bits):
                         yield pa.RecordBatch.from_arrays(list(map(pa.array, pair)), names=["later", "earlier"])
 
-    return lists.mapInArrow(run, "later long, earlier long")
+    return mapped(lists, run, "later long, earlier long")
 
 
 def line_sets(texts: DataFrame, listed: DataFrame) -> DataFrame:
@@ -686,7 +687,7 @@ def line_sets(texts: DataFrame, listed: DataFrame) -> DataFrame:
             words = pa.ListArray.from_arrays(pa.array(edges), pa.array(sets.view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(twins, pa.int64()), words], names=["id", "twin", "words"])
 
-    return held.select("text", "listed").mapInArrow(run, "id long, twin long, words array<long>")
+    return mapped(held.select("text", "listed"), run, "id long, twin long, words array<long>")
 
 
 def paired_sets(pairs: DataFrame, texts: DataFrame, kinds: DataFrame) -> DataFrame:

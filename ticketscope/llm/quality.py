@@ -25,6 +25,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ticketscope.llm.batches import mapped
+
 
 @dataclass(frozen=True)
 class Band:
@@ -161,7 +163,7 @@ def fitted(docs: DataFrame, text: str = "text", rules: Rules = Rules(), spread:
                     rows.append((xxhash.xxh64_intdigest(piece) >> 1, chunk, length_class(len(piece)), step))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)] if rows else [pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64())], names=names)
 
-    found = docs.select(docs[text].cast("string")).mapInArrow(run, "piece long, chunk boolean, class long, step long").distinct()
+    found = mapped(docs.select(docs[text].cast("string")), run, "piece long, chunk boolean, class long, step long").distinct()
     sizes: dict[tuple[bool, int], dict[int, int]] = {}
     for row in found.groupBy("chunk", "class", "step").agg(F.count("*").alias("n")).collect():  # a row per class and thousandth
         sizes.setdefault((row["chunk"], row["class"]), {})[row["step"]] = row["n"]
@@ -195,7 +197,7 @@ def measure(docs: DataFrame, keep: list[str], text: str = "text", into: str = "q
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema)
     inner = ", ".join(":".join(f.split()) for f in FIELDS.split(", "))
     source = docs.select(*(docs[c] for c in others), docs[text].cast("string").alias("__text"))
-    return source.mapInArrow(run, f"{shape}{', ' * bool(others)}`{into}` struct<{inner}>")
+    return mapped(source, run, f"{shape}{', ' * bool(others)}`{into}` struct<{inner}>")
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFrame:
@@ -206,4 +208,4 @@ def keep_good(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> Da
         for batch in batches:
             yield batch.filter(pa.array([v["kept"] for v in _verdicts(batch.column(at), rules)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)

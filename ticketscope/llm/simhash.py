@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ticketscope.llm.batches import mapped
 from ticketscope.llm.components import components
 from ticketscope.llm.storage import scratch, small, stored
 
@@ -58,7 +59,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", into: str = "fingerpri
 
     kept = docs.select(*(docs[c] for c in others))
     shape = kept.withColumn(into, F.lit(0).cast("long")).schema
-    return kept.mapInArrow(run, shape)
+    return mapped(kept, run, shape)
 
 
 def quadruples() -> list[tuple[int, ...]]:
